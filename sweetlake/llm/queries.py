@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, token_store
+from . import byte_bpe, chat, near_dedup, packing, token_store, warc
 
 QUERIES = {
+    "op5_warc_chunks": warc.archive,
     "op6_pack_first_fit": packing.packed,
     "op7_token_files": token_store.token_files,
+    "op8_prefix_targets": chat.chat,
     "op9_byte_bpe": byte_bpe.round_trip,
+    "op10_super_min_hash": near_dedup.near_duplicates,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_prefix_targets": chat.CHAT_SQL}
