@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, near_dedup, packing, token_store, warc
+from . import byte_bpe, chat, graph_search, near_dedup, packing, pii, quality, token_store, voronoi_join, warc
 
 QUERIES = {
+    "op1_bootstrapped_pii": pii.personal_data,
+    "op2_factorisation_machine": quality.scored,
+    "op3_pruned_graph": graph_search.neighbours,
+    "op4_voronoi_join": voronoi_join.exact,
     "op5_warc_chunks": warc.archive,
     "op6_pack_first_fit": packing.packed,
     "op7_token_files": token_store.token_files,
@@ -12,4 +16,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.round_trip,
     "op10_super_min_hash": near_dedup.near_duplicates,
 }
-ORACLES: dict[str, str] = {"op8_prefix_targets": chat.CHAT_SQL}
+ORACLES: dict[str, str] = {
+    "op4_voronoi_join": voronoi_join.EXACT_SQL,
+    "op8_prefix_targets": chat.CHAT_SQL,
+}

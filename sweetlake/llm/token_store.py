@@ -56,19 +56,19 @@ def train_dictionary(docs: DataFrame, tokenizer: str, size: int = DICT_BYTES, sa
     Too few or too uniform arrays for training: the arrays themselves serve as content."""
     import zstandard
 
-    chosen = (
-        docs.where(F.length("text") <= SAMPLE_CHARS)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(sample)
-    )
-    arrays = [serialize(x) for x in packed_ids(tokenizer, [r.text for r in chosen.select("text").collect()], END)]
+    least = docs.where(F.length("text") <= SAMPLE_CHARS).select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("chosen"))
+    # At most `sample` ids and then as many bounded texts: the bound of what reaches the driver.
+    least = least.orderBy("h", "chosen").limit(sample).select("chosen").distinct()
+    texts = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(least), F.col("doc_id") == F.col("chosen"), "left_semi")
+    chosen = texts.dropDuplicates(["doc_id"]).orderBy("doc_id")
+    arrays = [serialize(x) for x in packed_ids(tokenizer, [r.text for r in chosen.collect()], END)]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes()
     except zstandard.ZstdError:
         return b"".join(arrays)[-size:] or b"\0" * 8
 
 
-def frames(docs: DataFrame, tokenizer: str, dictionary: bytes, level: int = 3) -> DataFrame:
+def frames(docs: DataFrame, tokenizer: str, dictionary: bytes, level: int = 1) -> DataFrame:
     """A compressed frame for each document's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

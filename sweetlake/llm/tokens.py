@@ -19,7 +19,7 @@ UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-˿]")
 #: Pieces of more characters are not remembered.
 LONG = 64
 #: Entries of a memo's newer half; the older half has as many at most.
-MEMO = 150_000
+MEMO = 300_000
 #: How the two kinds of vocabulary cut a normalised text into pieces.
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
