@@ -1,6 +1,6 @@
-"""Registered queries of the glycan operators and their SQL twins."""
+"""All registered queries of the glycan operators and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import spectra_queries, table_queries  # noqa: F401  each registers its queries
+from .registry import ORACLES, QUERIES  # noqa: F401
