@@ -3,14 +3,17 @@
 Texts become sets of hashed five-word shingles.  Documents of equal sets are one class.  Each
 set's SuperMinHash signature ranks its elements by one random permutation each, of which only
 as many steps are drawn as can still lower the signature (early stopping); it is cut into
-bands.  In a band's bucket every class is first compared with the bucket's least class, which
-joins large groups of near copies in linear work; then, in buckets that still hold several
-components, classes of different components are compared.  A pair counts only if its full
-sets say so.  Verified pairs go through connected components.
+bands.  In a band's bucket every class is first compared with one hub, the bucket's least
+class; in further rounds, in buckets that still hold several components, with hubs drawn from
+the bucket's main component.  That joins large groups of near copies in linear work.  Then, in
+buckets still mixed, classes of different components are compared.  A pair counts only if its
+full sets say so.  Verified pairs go through connected components.
 
 Link: 100 * |A and B| >= 75 * |A or B|.  With 32 bands of 4 rows a pair at exactly 0.75 meets
-in no band with probability 5e-6; a 256-bit sketch drops pairs that are far below (a pair at
-0.75 is dropped with probability under 1e-7).
+in no band with probability 5e-6.  Before sets are compared, parity sketches of 1024 bits are:
+they differ in no more bits than the sets differ in elements, and a linked pair's sets differ
+in at most a seventh of their summed sizes.  (Where the sketches are nearly full, six standard
+deviations above the expected difference is the limit, if that is lower.)
 
 Defined results: a null or empty text, or one without words, has no shingle and is linked with
 nothing; fewer than five words are one shingle; a null doc_id takes no part and has a null
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,10 @@ from . import common
 WORDS = 5
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Most bits in which the sketches of a pair may differ (expected 32 of 256 at 0.75).
-FAR = 66
+#: Bits of a parity sketch.
+BITS = 1024
+#: Rounds of comparing with a hub of the bucket's main component.
+ROUNDS = 2
 #: Bytes of text that are hashed together.
 BYTES = 1_000_000
 
@@ -143,6 +149,12 @@ def super_min_hash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
         return best
 
 
+def parity_sketch(elements: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit integers; each element turns one bit over."""
+    hits = np.bincount((elements >> U(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((hits & 1).astype(np.uint8)).view(np.int64)
+
+
 def documents_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of documents with about BYTES of text."""
     n = len(column)
@@ -178,11 +190,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                         h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), (len(full), BANDS)).copy()
                         for r in range(ROWS):
                             h = mix(h * U(0xD1342543DE82EF95) + mix(best[:, r::ROWS]))
-                        bits = mix(best)
-                    two = np.stack([bits & U(1), (bits >> U(1)) & U(1)], axis=2).reshape(len(full), -1).astype(np.uint8)
-                    words = np.packbits(two, axis=1).view(np.int64)
-                    for i, x, w in zip(full, h.view(np.int64), words):
-                        bands[i], sketch[i] = x, w
+                    for i, x in zip(full, h.view(np.int64)):
+                        bands[i], sketch[i] = x, parity_sketch(sets[i])
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -208,82 +217,116 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 
 def near(a: str, b: str) -> Column:
-    """Whether two classes may be linked, by their sizes and sketches."""
-    differ = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(4)), F.lit(0))
-    small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (100 * small >= 75 * large) & (differ <= FAR)
+    """Whether two classes may be linked, by their sizes and sketches; true for every linked pair."""
+    n = [F.col(f"{x}.n_shingles") for x in (a, b)]
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(BITS // 64)))
+    most = (n[0] + n[1]) / 7
+    expected = BITS / 2 * (1 - F.exp(-2 * most / BITS))
+    return (100 * F.least(*n) >= 75 * F.greatest(*n)) & (differ <= F.least(most, expected + 3 * BITS**0.5))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (src, dst) that are linked by their full sets."""
-    asked = pairs.select(F.explode(F.array("src", "dst")).alias("asked")).distinct()
-    sets = sets_of(docs.join(asked, F.col("doc_id") == F.col("asked"), "left_semi"))
-    sets = common.written(sets, "sets", "lz4")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (src, dst) that are linked by their full sets (id, shingles)."""
     one = pairs.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src")
     two = one.join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
     both = F.size(F.array_intersect("a", "b"))
     return two.where(100 * both >= 75 * (F.size("a") + F.size("b") - both)).select("src", "dst").distinct()
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def paired(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+    """Of pairs (src, dst) those that may be linked."""
+    return (
+        pairs.join(slim.withColumnRenamed("id", "src").alias("a"), "src")
+        .join(slim.withColumnRenamed("id", "dst").alias("b"), "dst")
+        .where(near("a", "b"))
+        .select("src", "dst")
+    )
+
+
+def mixed_bands(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """(band, id, comp) of the bands that hold several components."""
+    named = shared.join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    return named.join(mixed, "band")
+
+
+def hub_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """A hub, drawn from the largest component of each band, with each class of the others."""
+    counts = mixed.groupBy("band", "comp").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "band", F.lit(turn))).alias("hub"))
+    main = counts.groupBy("band").agg(F.max_by(F.struct("comp", "hub"), F.struct("n", "comp")).alias("m"))
+    return (
+        mixed.join(main, "band")
+        .where(F.col("comp") != F.col("m.comp"))
+        .select(F.least("m.hub", "id").alias("src"), F.greatest("m.hub", "id").alias("dst"))
+        .where("src <> dst")
+        .distinct()
+    )
+
+
+def across_pairs(mixed: DataFrame, slim: DataFrame) -> DataFrame:
+    """Pairs of one band and different components that may be linked."""
+    wide = mixed.join(slim, "id")
+    return (
+        wide.alias("a")
+        .join(wide.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.comp") < F.col("b.comp")) & near("a", "b"))
+        .select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"))
+        .where("src <> dst")
+        .distinct()
+    )
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: those that links join take the least component's name."""
+    name = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_comp"))
+    ends = links.join(name("src"), "src", "left").join(name("dst"), "dst", "left")
+    joined = connected_components(ends.select(F.coalesce("src_comp", "src").alias("src"), F.coalesce("dst_comp", "dst").alias("dst")))
+    old = known.unionByName(joined.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    new = joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    return old.join(new, "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+
+
+def groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     docs = common.texts(docs)
     signed = common.written(signatures(docs), "signed")
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    least = linkable.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = (
+    classes = common.written(
         linkable.groupBy("key")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .drop("key")
+        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        "classes",
     )
-    classes = common.written(classes, "classes")
+    slim = classes.select("id", "n_shingles", "sketch")
     rows = classes.select(F.explode("bands").alias("band"), "id")
     full = rows.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub <> most").drop("most")
     shared = common.written(rows.join(full, "band"), "bands")  # only bands with several classes
 
-    hubs = shared.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub"))
-    slim = classes.select("id", "n_shingles", "sketch")
-    stars = (
-        hubs.join(slim.alias("a"), "id")
-        .join(slim.withColumnRenamed("id", "hub").alias("b"), "hub")
-        .where(near("a", "b"))
-        .select(F.col("hub").alias("src"), F.col("id").alias("dst"))
-    )
-    links = common.written(verified(common.written(stars, "stars"), docs), "links")
-    known = connected_components(links)
-
-    named = shared.join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    left = common.written(named.join(mixed, "band").join(slim, "id"), "mixed")
-    across = (
-        left.alias("a")
-        .join(left.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.comp") < F.col("b.comp")) & near("a", "b"))
-        .select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"))
-        .where("src <> dst")
-        .distinct()
-    )
-    across = common.written(across, "across")
-    if not across.isEmpty():
-        links = links.unionByName(verified(across, docs))
-    components = connected_components(links.unionByName(classes_of_one_text(linkable, least)))
+    # Full sets of the classes that have such a band; texts move once.
+    wanted = shared.select(F.col("id").alias("wanted")).distinct()
+    sets = common.written(sets_of(docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")), "sets", "lz4")
+
+    stars = paired(shared.where("id <> hub").groupBy(F.col("id").alias("dst")).agg(F.min("hub").alias("src")), slim)
+    known = common.written(connected_components(verified(common.written(stars, "stars"), sets)), "components")
+    shared = shared.drop("hub")
+    for turn in range(rounds + 1):
+        mixed = common.written(mixed_bands(shared, known), "mixed")
+        pairs = paired(hub_pairs(mixed, turn), slim) if turn < rounds else across_pairs(mixed, slim)
+        links = common.written(verified(common.written(pairs, "pairs"), sets), "links")
+        known = common.written(merged(known, links), "components")
+
+    copies = linkable.select(F.col("key").alias("k"), F.col("doc_id").alias("copy")).join(classes.select("key", "id"), F.col("k") == F.col("key"))
+    copies = copies.join(known, "id", "left").select("copy", F.coalesce("component", "id").alias("component"))
+    named = copies.groupBy("copy").agg(F.min("component").alias("component"), F.collect_set("component").alias("all"))
+    # Rows of one doc_id with different texts are one node: it joins their components.
+    twice = named.where(F.size("all") > 1).select(F.col("component").alias("src"), F.explode("all").alias("dst"))
+    final = merged(named.select(F.col("copy").alias("id"), "component"), common.written(twice, "twice"))
     return (
         signed.select("doc_id", "n_shingles")
-        .join(components.withColumnRenamed("id", "member"), F.col("doc_id") == F.col("member"), "left")
+        .join(final.withColumnRenamed("id", "member"), F.col("doc_id") == F.col("member"), "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
-def classes_of_one_text(linkable: DataFrame, least: DataFrame) -> DataFrame:
-    """Edges from the least document of each set to the others of that set."""
-    return (
-        linkable.select("key", "doc_id")
-        .join(least, "key")
-        .where("doc_id <> rep")
-        .select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
-    )
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents of which one of each group stays, with all their columns."""
     gone = groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
