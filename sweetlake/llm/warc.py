@@ -3,8 +3,8 @@
 Payloads are streamed into rows of record identifier and chunk number, each of a bounded size
 and with the SHA-1 and length of the payload so far.  Each chunk becomes a WARC record or, of
 a payload with several, a segment (WARC-Segment-Number); Spark's text writer puts them into
-archives, and its reader cuts these at the version line, which no chunk contains: a payload
-that holds it is cut within it.  Reading back, payloads of one chunk are digested where they
+archives, and its reader cuts these at the version line, which no chunk can contain: a payload
+is cut within each of the version's names that it holds.  Reading back, payloads of one chunk are digested where they
 are; only chunks of oversized ones are brought together, sorted, and digested one after the
 other, so no task holds a whole oversized record.
 
@@ -32,20 +32,21 @@ from . import common
 #: Code points of a chunk at most.
 CHUNK = 256 * 1024
 #: Fixed values of the format.
-VERSION = "WARC/1.1\r\n"
+NAME = "WARC/1.1"
+VERSION = NAME + "\r\n"
 GAP = "\r\n\r\n"
 
 CHUNKS = "record_id string, page_id long, url string, chunk int, last boolean, data string, so_far long, sha1 string"
 
 
 def cut(payload: str, chunk: int = CHUNK) -> Iterator[str]:
-    """Chunks of a payload, one at least; none contains the version line."""
+    """Chunks of a payload, one at least; none contains the version's name, which a line end may follow."""
     at = 0
     while True:
         end = min(len(payload), at + chunk)
-        hit = payload.find(VERSION, at, end)
+        hit = payload.find(NAME, at, end)
         if hit >= 0:
-            end = hit + len(VERSION) - 1
+            end = hit + len(NAME) - 1
         yield payload[at:end]
         at = end
         if at >= len(payload):
@@ -98,7 +99,7 @@ def safe(url: Column) -> Column:
     """Percent-encodes blanks, controls and the version's slash, so that the value stays on one line."""
     for char in ("\r", "\n", "\t", " "):
         url = F.replace(url, F.lit(char), F.lit(f"%{ord(char):02X}"))
-    return F.replace(url, F.lit("WARC/1.1"), F.lit("WARC%2F1.1"))
+    return F.replace(url, F.lit(NAME), F.lit("WARC%2F1.1"))
 
 
 def write(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUNK) -> None:
