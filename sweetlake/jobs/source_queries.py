@@ -31,25 +31,25 @@ def s3(t):
 
 def normal(t: Tables) -> DataFrame:
     rows = t.customer.select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, text("c_custkey")).alias("pm"), F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("10."), text("c_custkey"))).alias("doi"))
-    return readers.normalize_source(rows, {"id": "c_custkey", "acc": "c_custkey", "taxid": "c_nationkey", "pmid": "pm", "doi": "doi", "sourceid": "c_custkey"}, {"source": "GlyConnect", "tissue": "liver"})
+    return readers.normalize_source(rows, {"id": "c_custkey", "acc": "c_custkey", "taxid": "c_nationkey", "pmid": "pm", "doi": "doi", "sourceid": "c_custkey"}, {"source": "SourceD", "tissue": "liver"})
 
 
-@query("S4_normalize_source", "SELECT CAST(c_custkey AS VARCHAR) AS acc, c_nationkey AS taxid, 'liver' AS tissue, 'GlyConnect' AS source FROM customer")
+@query("S4_normalize_source", "SELECT CAST(c_custkey AS VARCHAR) AS acc, c_nationkey AS taxid, 'liver' AS tissue, 'SourceD' AS source FROM customer")
 def s4(t):
     return normal(t).select("acc", "taxid", "tissue", "source")
 
 
 @query(
     "S5_source_taxa",
-    "SELECT CAST(c_custkey AS VARCHAR) AS acc, c_nationkey AS taxid, 'GlyConnect' AS source, CAST(c_custkey AS VARCHAR) AS sourceid FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_nationkey, 'PubMed', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_nationkey, 'DOI', '10.' || c_custkey FROM customer WHERE c_custkey % 5 = 0",
+    "SELECT CAST(c_custkey AS VARCHAR) AS acc, c_nationkey AS taxid, 'SourceD' AS source, CAST(c_custkey AS VARCHAR) AS sourceid FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_nationkey, 'PubMed', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_nationkey, 'DOI', '10.' || c_custkey FROM customer WHERE c_custkey % 5 = 0",
 )
 def s5(t):
     return readers.source_taxa(normal(t))
 
 
-@query("S6_union_sources", "SELECT CAST(c_custkey AS VARCHAR) AS acc, 'GlyConnect' AS source FROM customer UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'GlyGen' FROM supplier")
+@query("S6_union_sources", "SELECT CAST(c_custkey AS VARCHAR) AS acc, 'SourceD' AS source FROM customer UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'SourceC' FROM supplier")
 def s6(t):
-    other = t.supplier.select(text("s_suppkey").alias("acc"), F.lit("GlyGen").alias("source"))
+    other = t.supplier.select(text("s_suppkey").alias("acc"), F.lit("SourceC").alias("source"))
     return readers.union_sources([normal(t), other]).select("acc", "source")
 
 
@@ -79,9 +79,9 @@ def s12(t):
 
 @query(
     "S13_annotations_to_triples",
-    f"""WITH a AS ({EAV_SQL}), k AS (SELECT *, 'glycandata:anno/' || md5(concat_ws('-', acc, type, property, source, sourceid)) AS s FROM a)
-SELECT s, 'glycandata:hasGlycan' AS p, 'glycandata:glycan/' || acc AS o FROM k UNION SELECT s, 'glycandata:type', '"' || type || '"' FROM k UNION SELECT s, 'glycandata:property', '"' || property || '"' FROM k
-UNION SELECT s, 'glycandata:source', '"' || source || '"' FROM k UNION SELECT s, 'glycandata:sourceid', '"' || sourceid || '"' FROM k WHERE sourceid IS NOT NULL UNION SELECT s, 'glycandata:value', '"' || value || '"' FROM k""",
+    f"""WITH a AS ({EAV_SQL}), k AS (SELECT *, 'data:anno/' || md5(concat_ws('-', acc, type, property, source, sourceid)) AS s FROM a)
+SELECT s, 'data:hasGlycan' AS p, 'data:glycan/' || acc AS o FROM k UNION SELECT s, 'data:type', '"' || type || '"' FROM k UNION SELECT s, 'data:property', '"' || property || '"' FROM k
+UNION SELECT s, 'data:source', '"' || source || '"' FROM k UNION SELECT s, 'data:sourceid', '"' || sourceid || '"' FROM k WHERE sourceid IS NOT NULL UNION SELECT s, 'data:value', '"' || value || '"' FROM k""",
 )
 def s13(t):
     return sinks.annotations_to_triples(annotations(t))
@@ -89,10 +89,10 @@ def s13(t):
 
 @query(
     "S14_alignments_to_triples",
-    """WITH a AS (SELECT 'glycomotif:' || l_suppkey || ':' || l_orderkey || ':' || l_linenumber AS s, l_suppkey, l_orderkey, l_linenumber, l_quantity < 10 AS strict, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0)
-SELECT s, 'glycomotif:ids' AS p, CASE WHEN strict THEN 's' ELSE 'i' END || l_partkey AS o FROM a UNION ALL SELECT s, 'glycomotif:a', 'Alignment' FROM a UNION ALL SELECT s, 'glycomotif:motif', CAST(l_suppkey AS VARCHAR) FROM a UNION ALL SELECT s, 'glycomotif:structure', CAST(l_orderkey AS VARCHAR) FROM a
-UNION ALL SELECT s, 'glycomotif:type', CAST(l_linenumber AS VARCHAR) FROM a UNION ALL SELECT s, 'glycomotif:strict', CAST(strict AS VARCHAR) FROM a
-UNION ALL SELECT 'glycomotif:' || md5(c_custkey || ':' || c_mktsegment || ':' || c_nationkey), unnest(['glycomotif:glycan', 'glycomotif:class', 'glycomotif:subclass', 'glycomotif:source']), unnest([CAST(c_custkey AS VARCHAR), c_mktsegment, CAST(c_nationkey AS VARCHAR), 'x']) FROM customer""",
+    """WITH a AS (SELECT 'motif:' || l_suppkey || ':' || l_orderkey || ':' || l_linenumber AS s, l_suppkey, l_orderkey, l_linenumber, l_quantity < 10 AS strict, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0)
+SELECT s, 'motif:ids' AS p, CASE WHEN strict THEN 's' ELSE 'i' END || l_partkey AS o FROM a UNION ALL SELECT s, 'motif:a', 'Alignment' FROM a UNION ALL SELECT s, 'motif:motif', CAST(l_suppkey AS VARCHAR) FROM a UNION ALL SELECT s, 'motif:structure', CAST(l_orderkey AS VARCHAR) FROM a
+UNION ALL SELECT s, 'motif:type', CAST(l_linenumber AS VARCHAR) FROM a UNION ALL SELECT s, 'motif:strict', CAST(strict AS VARCHAR) FROM a
+UNION ALL SELECT 'motif:' || md5(c_custkey || ':' || c_mktsegment || ':' || c_nationkey), unnest(['motif:glycan', 'motif:class', 'motif:subclass', 'motif:source']), unnest([CAST(c_custkey AS VARCHAR), c_mktsegment, CAST(c_nationkey AS VARCHAR), 'x']) FROM customer""",
 )
 def s14(t):
     n = text("l_partkey")

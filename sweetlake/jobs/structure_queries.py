@@ -98,3 +98,24 @@ SELECT acc, representative, g || '.' || i AS label FROM o JOIN r USING (g, code)
 def g23(t):
     k = F.col("p_partkey")
     return s.representatives(t.part.select(k.alias("acc"), F.col("p_size").cast("double").alias("mass"), F.substr("p_name", F.lit(1), (F.lit(3) + k % 4).cast("int")).alias("code")))
+
+
+@query(
+    "U3_missing_score",
+    """WITH r AS (SELECT l_orderkey AS acc, l_linenumber AS rid, l_linenumber = 1 AS root, CASE WHEN l_suppkey % 3 = 0 THEN 2.0 ELSE 0.0 END + CASE WHEN l_suppkey % 4 = 0 THEN 1.0 ELSE 0.0 END + CASE WHEN l_partkey % 5 = 0 THEN 1.0 ELSE 0.0 END + CASE WHEN l_partkey % 2 = 0 THEN 2.0 ELSE 0.0 END AS own,
+CASE WHEN l_partkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END AS simple, l_partkey % 11 > 0 AS linked, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+s AS (SELECT acc, n, sum(own / 8 * 10) AS own, sum(CASE WHEN root THEN 0 WHEN NOT linked THEN 10 ELSE 0.65 * (simple / 8 * 10) END) AS link FROM r GROUP BY 1, 2)
+SELECT acc, CAST(floor(10000 * (own / (10.0 * n) * (0.65 / 1.65) + link / (10.0 * greatest(1, n - 1)) * (1 - 0.65 / 1.65)) + 1e-9) AS INTEGER) AS score FROM s""",
+)
+def u3(t):
+    one = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
+    p, q, none = F.col("l_partkey"), F.col("l_suppkey"), F.lit(None)
+    rows = one.select(
+        F.col("l_orderkey").alias("acc"), F.col("l_linenumber").alias("rid"), (F.col("l_linenumber") == 1).alias("is_root"), F.when(q % 3 > 0, "a").alias("anomer"),
+        F.array(F.when(q % 4 > 0, "d"), F.lit("d")).alias("config"), F.when(p % 5 > 0, 1).alias("ring_start"), F.lit(5).alias("ring_end"), F.array(F.when(p % 2 > 0, "gal")).alias("stem"), none.cast("array<array<int>>").alias("substituent_pos"),
+    )
+    links = one.where("l_linenumber > 1 and l_partkey % 11 > 0").select(
+        F.col("l_orderkey").alias("acc"), F.col("l_linenumber").alias("child"), F.when(p % 3 > 0, F.array(F.lit(4))).alias("parent_pos"), F.when(p % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("child_pos"),
+        F.array(F.lit("o")).alias("parent_type"), F.array(F.lit("d")).alias("child_type"),
+    )
+    return s.missing_score(rows, links)

@@ -9,7 +9,7 @@ from ..operators import joins, stats, tables
 from .registry import Tables, query
 
 #: Annotations: accession o_custkey, type o_orderstatus, property o_orderpriority, value o_orderkey % 50.
-EAV_SQL = "SELECT o_custkey AS acc, o_orderstatus AS type, o_orderpriority AS property, CASE o_orderkey % 3 WHEN 0 THEN 'GlyTouCan' WHEN 1 THEN 'UniCarbKB' ELSE 'GlyGen' END AS source, CASE WHEN o_orderkey % 4 > 0 THEN 's' || (o_orderkey % 4) END AS sourceid, CAST(o_orderkey % 50 AS VARCHAR) AS value FROM orders"
+EAV_SQL = "SELECT o_custkey AS acc, o_orderstatus AS type, o_orderpriority AS property, CASE o_orderkey % 3 WHEN 0 THEN 'SourceA' WHEN 1 THEN 'SourceB' ELSE 'SourceC' END AS source, CASE WHEN o_orderkey % 4 > 0 THEN 's' || (o_orderkey % 4) END AS sourceid, CAST(o_orderkey % 50 AS VARCHAR) AS value FROM orders"
 
 
 def text(c: str | Column) -> Column:
@@ -20,7 +20,7 @@ def annotations(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     return t.orders.select(
         F.col("o_custkey").alias("acc"), F.col("o_orderstatus").alias("type"), F.col("o_orderpriority").alias("property"),
-        F.when(k % 3 == 0, "GlyTouCan").when(k % 3 == 1, "UniCarbKB").otherwise("GlyGen").alias("source"),
+        F.when(k % 3 == 0, "SourceA").when(k % 3 == 1, "SourceB").otherwise("SourceC").alias("source"),
         F.when(k % 4 > 0, F.concat(F.lit("s"), text(k % 4))).alias("sourceid"), F.array(text(k % 50)).alias("value"),
     )
 
@@ -102,14 +102,14 @@ def p13(t):
     return tables.valid_crossref(rows, "resource", "entry", ["MACHINERY", "HOUSEHOLD"], {"FURNITURE": r"GAG_\d+"}, ["BUILDING"])
 
 
-@query("P14_annotations_where", f"SELECT acc, property, sourceid, value FROM ({EAV_SQL}) WHERE type = 'F' AND source = 'GlyGen'")
+@query("P14_annotations_where", f"SELECT acc, property, sourceid, value FROM ({EAV_SQL}) WHERE type = 'F' AND source = 'SourceC'")
 def p14(t):
-    return tables.annotations_where(annotations(t), type="F", property=None, source="GlyGen").select("acc", "property", "sourceid", F.col("value")[0].alias("value"))
+    return tables.annotations_where(annotations(t), type="F", property=None, source="SourceC").select("acc", "property", "sourceid", F.col("value")[0].alias("value"))
 
 
-@query("P15_export_facet", f"SELECT DISTINCT acc AS GlyTouCanAccession, value AS Entry, coalesce(sourceid, 's0') AS SourceID FROM ({EAV_SQL}) WHERE type = 'O' AND property = '1-URGENT'")
+@query("P15_export_facet", f"SELECT DISTINCT acc AS Accession, value AS Entry, coalesce(sourceid, 's0') AS SourceID FROM ({EAV_SQL}) WHERE type = 'O' AND property = '1-URGENT'")
 def p15(t):
-    return tables.export_facet(annotations(t), {"type": "O", "property": "1-URGENT"}, {"acc": "GlyTouCanAccession", "value": "Entry", "sourceid": "SourceID"}, "s0")
+    return tables.export_facet(annotations(t), {"type": "O", "property": "1-URGENT"}, {"acc": "Accession", "value": "Entry", "sourceid": "SourceID"}, "s0")
 
 
 @query("P16_monocounts", "SELECT o_custkey AS acc, CASE o_orderkey % 3 WHEN 0 THEN '*' WHEN 1 THEN 'Hex' ELSE 'Fuc' END AS symbol, CAST(o_orderkey % 50 AS INTEGER) AS n FROM orders WHERE o_orderstatus <> 'P'")
@@ -346,12 +346,12 @@ def alignments(t: Tables) -> DataFrame:
 
 @query(
     "J15_motif_hits",
-    f"""WITH {ALIGN_SQL}, m AS (SELECT 'GGM.' || s_suppkey AS id, s_suppkey % 25 AS motif, CASE s_suppkey % 2 WHEN 0 THEN 'Core' ELSE 'Whole' END AS type FROM supplier), h AS (SELECT DISTINCT structure, id, strict FROM a JOIN m USING (motif, type))
+    f"""WITH {ALIGN_SQL}, m AS (SELECT 'M.' || s_suppkey AS id, s_suppkey % 25 AS motif, CASE s_suppkey % 2 WHEN 0 THEN 'Core' ELSE 'Whole' END AS type FROM supplier), h AS (SELECT DISTINCT structure, id, strict FROM a JOIN m USING (motif, type))
 SELECT structure, string_agg(DISTINCT id, ';' ORDER BY id) AS loose, coalesce(string_agg(DISTINCT id, ';' ORDER BY id) FILTER (strict), '') AS strict FROM h GROUP BY 1""",
 )
 def j15(t):
     k = F.col("s_suppkey")
-    motifs = t.supplier.select(F.concat(F.lit("GGM."), text(k)).alias("motif_id"), (k % 25).alias("structure_acc"), F.when(k % 2 == 0, "Core").otherwise("Whole").alias("alignment"))
+    motifs = t.supplier.select(F.concat(F.lit("M."), text(k)).alias("motif_id"), (k % 25).alias("structure_acc"), F.when(k % 2 == 0, "Core").otherwise("Whole").alias("alignment"))
     return joins.motif_hits(alignments(t), motifs)
 
 

@@ -281,3 +281,33 @@ def representatives(rows: DataFrame) -> DataFrame:
     reps = least.join(best, ["g", "code"], "left").select("g", "code", F.coalesce("to", "rep").alias("representative"))
     numbered = reps.select("g", "representative").distinct().withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("representative")))
     return own.join(reps, ["g", "code"]).join(numbered, ["g", "representative"]).select("acc", "representative", F.concat_ws(".", "g", F.col("i").cast("string")).alias("label"))
+
+
+#: Fixed value: weight of a link's own parameters against its undetermined parents.
+SIMPLE = 0.65
+
+
+def missing_score(residues: DataFrame, links: DataFrame) -> DataFrame:
+    """(acc, score): incompleteness from 0 to 10000, of a residue part and a link part.
+
+    residues: acc, rid, is_root, anomer, config and stem (arrays with null entries), ring_start, ring_end,
+    substituent_pos (array of position arrays); links: acc, child, parent_pos, child_pos, parent_type, child_type
+    (arrays), one row per possible parent.  A residue that is not the root and has no link counts in full;
+    so does every link of a structure without any connected residue.  Loose substituents are not scored."""
+    lacking = lambda c: F.col(c).isNull().cast("double")
+    config = F.coalesce(2.0 * F.size(F.filter("config", lambda x: x.isNull())) / F.nullif(F.size("config"), F.lit(0)), F.lit(2.0))
+    ring = F.when(F.coalesce(F.col("anomer"), F.lit("")) != "open", lacking("ring_start") + lacking("ring_end")).otherwise(0.0)
+    stem = F.when(F.coalesce(F.exists("stem", lambda x: x.isNull()), F.lit(True)), 2.0).otherwise(0.0)
+    positions = F.aggregate(F.coalesce("substituent_pos", F.array().cast("array<array<int>>")), F.lit(0.0), lambda s, p: s + F.when(p.isNull(), 2.0).when(F.size(p) > 1, 1.0).otherwise(0.0))
+    own = (2 * lacking("anomer") + config + ring + stem + positions) / 8 * 10
+    vague = lambda c: F.when(F.col(c).isNull(), 2.0).when(F.size(c) > 1, 1.0).otherwise(0.0)
+    several = lambda c: F.when(F.size(c) > 1, 2.0).otherwise(0.0)
+    simple = (vague("parent_pos") + vague("child_pos") + several("parent_type") + several("child_type")) / 8 * 10
+    by_child = links.groupBy("acc", F.col("child").alias("rid")).agg(F.avg(simple).alias("simple"), F.count("*").alias("parents"))
+    size = residues.groupBy("acc").agg(F.count("*").alias("n"))
+    rows = residues.withColumn("own", own).join(by_child, ["acc", "rid"], "left").join(size, "acc")
+    link = F.when(F.col("parents").isNull(), F.when(F.col("is_root"), 0.0).otherwise(10.0)).otherwise(SIMPLE * F.col("simple") + 10 * (1 - SIMPLE) * (F.col("parents") - 1) / F.col("n"))
+    total = rows.groupBy("acc").agg(F.sum("own").alias("own"), F.sum(link).alias("link"), F.first("n").alias("n"))
+    w = SIMPLE / (1 + SIMPLE)
+    share = F.col("link") / (10.0 * F.greatest(F.lit(1), F.col("n") - 1))
+    return total.select("acc", F.floor(10000 * (F.col("own") / (10.0 * F.col("n")) * w + share * (1 - w)) + 1e-9).cast("int").alias("score"))

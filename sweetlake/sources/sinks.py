@@ -28,7 +28,7 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
-def annotations_to_triples(annotations: DataFrame, ns: str = "glycandata:") -> DataFrame:
+def annotations_to_triples(annotations: DataFrame, ns: str = "data:") -> DataFrame:
     """(s, p, o) of annotations: four facets and every value of each."""
     key = F.concat_ws("-", "acc", "type", "property", "source", "sourceid")
     subject = F.concat(F.lit(f"{ns}anno/"), F.md5(key))
@@ -41,7 +41,7 @@ def annotations_to_triples(annotations: DataFrame, ns: str = "glycandata:") -> D
     return annotations.select(subject.alias("s"), F.explode(F.concat(facets, values)).alias("x")).where("x.o is not null").select("s", "x.p", "x.o").distinct()
 
 
-def alignments_to_triples(align: DataFrame, classes: DataFrame, ns: str = "glycomotif:") -> DataFrame:
+def alignments_to_triples(align: DataFrame, classes: DataFrame, ns: str = "motif:") -> DataFrame:
     """(s, p, o): six predicates per hit, where the strict ids stand in for the inclusive ones if strict holds, and four per class row.
 
     align: motif, structure, type, strict, ids, strict_ids; classes: acc, type, subtype, source."""
