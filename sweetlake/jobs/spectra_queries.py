@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fdr, library
+from ..operators import fdr, library, models
 from .registry import Tables, query
 
 TIES = ["l_orderkey", "l_linenumber"]
@@ -224,3 +224,17 @@ def j21(t):
     rows = rows.select("key", (F.col("l_linenumber") % 3).alias("z1"), (F.col("l_orderkey") % 5).alias("spectra"), "l_suppkey")
     g = library.transition_groups(rows, peptides, "key", "pep", ["z1", "spectra"], ["l_suppkey"])
     return g.select("pep", "z1", "spectra", "n", F.array_join(F.transform("transitions", lambda x: x["l_suppkey"].cast("string")), ",").alias("ids"))
+
+
+@query("U12_retention_model")
+def u12(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("pep"), F.col("l_quantity").alias("a"), (F.col("l_discount") * 100).alias("c"), (F.col("l_extendedprice") / 1000).alias("rt"))
+    fitted, _ = models.retention_model(rows, "pep", "rt", ["a", "c"], threshold=40, rounds=4)
+    return fitted.select("l_orderkey", "l_linenumber", "fitted", "residual", "good")
+
+
+@query("U13_lattice_fdr")
+def u13(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("s1"), F.col("l_quantity").alias("s2"), (F.col("l_returnflag") == "R").cast("int").alias("decoy"))
+    found = models.lattice_fdr(rows, ["s1", "s2"], 0.49)
+    return models.accepted_by(rows, found["thresholds"] or {"s1": float("inf")})
