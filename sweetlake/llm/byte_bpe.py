@@ -14,9 +14,11 @@ very long matches are split in halves, never scanned pair by pair as one.
 
 from __future__ import annotations
 
+import array
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,6 @@ from .tokens import Halves
 
 #: Byte strings up to this length are leaves of the tree.
 LEAF = 24
-#: Fixed value: the pattern that comes with the vocabulary; public_tokenizers.PATTERN where installed.
 ENCODED = "doc_id long, ids array<int>"
 
 
@@ -45,7 +46,11 @@ class Bpe:
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.cut = regex.compile(pattern).findall
         self.pair_ok = Halves(self._pair_ok)
-        self.known = Halves(lambda piece: tuple(self.encode_piece(piece.encode())))
+        self.known = Halves(lambda piece: array.array("i", self.encode_piece(piece.encode())).tobytes())
+        size = max(self.bytes_of, default=-1) + 1
+        self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
 
     def leaf(self, data: bytes) -> list[int]:
         """Ids of a short byte string: the adjacent pair of least rank, leftmost first, is merged until none is known."""
@@ -97,13 +102,21 @@ class Bpe:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
 
-    def encode(self, text: str) -> list[int]:
+    def pack(self, text: str) -> bytes:
+        """Ids of a text as 32-bit integers, one after the other."""
         self.known.turn()
         self.pair_ok.turn()
-        return [i for ids in map(self.known.__getitem__, self.cut(text)) for i in ids]
+        return b"".join(map(self.known.__getitem__, self.cut(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.pack(text), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
+        """Bytes of all ids, gathered from the vocabulary's bytes."""
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[ids] - ends + sizes, sizes)].tobytes()
 
 
 CODECS: dict[tuple[str, str], Bpe] = {}
@@ -122,8 +135,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for b in batches:
-            ids = [bpe.encode(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            packed = [bpe.pack(t) for t in b.column("text").to_pylist()]
+            offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
 
     return common.texts(docs).mapInArrow(run, ENCODED)
 
@@ -134,7 +149,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for b in batches:
-            data = [bpe.decode(x.values.tolist() if x.is_valid else []) for x in b.column("ids")]
+            data = [bpe.decode(x.values.to_numpy() if x.is_valid else []) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(data, pa.binary())], ["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"{ENCODED}, bytes binary")
