@@ -96,9 +96,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
         hashes, doc = word_hashes(data, offsets)
         n = len(offsets) - 1
         bounds = np.searchsorted(doc, np.arange(n + 1))
-        rolled = np.zeros(max(0, len(hashes) - words + 1), U)
+        most = max(0, len(hashes) - words + 1)
+        rolled = np.zeros(most, U)
         for k in range(words):
-            rolled = rolled * U(0xD1342543DE82EF95) + hashes[k : len(hashes) - words + 1 + k]
+            rolled = rolled * U(0xD1342543DE82EF95) + hashes[k : k + most]
         rolled = mix(rolled)
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):

@@ -261,6 +261,17 @@ def test_near_dedup(spark, folder):
     assert all(r.kept == (i is None or r.component_id == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_near_dedup_of_few_words_in_a_run(spark, n):
+    text = " ".join(f"w{i}" for i in range(n))
+    (alone,) = near_dedup.shingle_sets(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    both = np.frombuffer(f"{text}{text} and six more words of text".encode(), np.uint8)
+    among = near_dedup.shingle_sets(both, np.array([0, len(text), len(both)]))[0]
+    assert len(alone) == min(n, 1) and alone.tolist() == among.tolist()
+    (row,) = near_dedup.signatures(spark.createDataFrame([(7, text)], "doc_id long, text string").coalesce(1)).collect()
+    assert row.n_shingles == min(n, 1)
+
+
 def test_near_dedup_of_many_near_copies(spark):
     rng = random.Random(6)
     base = [f"w{i}" for i in range(80)]
