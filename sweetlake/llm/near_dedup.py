@@ -329,9 +329,18 @@ def groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents of which one of each group stays, with all their columns."""
-    gone = groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """The documents of which one of each group stays, with all their columns.
+
+    Rows of one doc_id are one node: if it stays, so does one row for each of its distinct texts
+    (a null text is one of them).  Rows without doc_id all stay."""
+    marks = groups(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("mark_id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    marks = common.written(marks.where("not kept or n > 1"), "marks")
+    own = docs["doc_id"] == marks["mark_id"]
+    once = docs.join(marks, own, "left_anti")
+    again = marks.where("kept")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ repeated results; an empty table gives no rows; columns other than doc_id and te
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -47,7 +48,7 @@ SUPPORT, SURE = 5.0, 0.8
 ROUNDS = 3
 
 FOUND = (
-    "row string, doc_id long, base array<struct<kind:int,b:int,e:int>>, "
+    "row string, doc_id long, sha string, base array<struct<kind:int,b:int,e:int>>, "
     "seeds array<struct<kind:int,value:string,pattern:string>>, "
     "candidates array<struct<kind:int,b:int,e:int,value:string,pattern:string>>"
 )
@@ -119,7 +120,7 @@ def normal(value: str) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans, seed contexts and candidates of every whole text."""
+    """Base spans, seed contexts and candidates of every whole text; sha is the hash of a text with candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -138,13 +139,13 @@ def scan(docs: DataFrame) -> DataFrame:
                     b, e = m.span()
                     if not any(x < e and b < y for x, y in taken):
                         found += [(k, b, e, normal(m.group()), p) for k in kinds_of(m.group()) for p in patterns(text, b)]
-                rows.append((f"{part}-{n}", base, seeds, found))
+                rows.append((f"{part}-{n}", hashlib.sha256(text.encode()).hexdigest() if found else None, base, seeds, found))
                 n += 1
-            cols = list(zip(*rows)) or [(), (), (), ()]
+            cols = list(zip(*rows)) or [(), (), (), (), ()]
             named = lambda xs, t: pa.array([[dict(zip([f.name for f in t], x)) for x in row] for row in xs], pa.list_(t))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), batch.column("doc_id"), named(cols[1], kind_t), named(cols[2], seed_t), named(cols[3], cand_t)],
-                ["row", "doc_id", "base", "seeds", "candidates"],
+                [pa.array(cols[0], pa.string()), batch.column("doc_id"), pa.array(cols[1], pa.string()), named(cols[2], kind_t), named(cols[3], seed_t), named(cols[4], cand_t)],
+                ["row", "doc_id", "sha", "base", "seeds", "candidates"],
             )
 
     return common.texts(docs).mapInArrow(run, FOUND)
@@ -177,14 +178,14 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base, more): base spans and those that patterns discovered, as arrays of (kind, b, e)."""
+    """(row, doc_id, sha, base, more): base spans and those that patterns discovered, as arrays of (kind, b, e)."""
     found = common.written(scan(docs), "pii")
     edge = lambda c, seed: found.select(F.explode(c).alias("x")).select("x.pattern", "x.kind", "x.value", F.lit(seed).alias("seed"))
     edges = edge("seeds", 1).unionByName(edge("candidates", 0)).groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"))
     accepted = score_graph(cut_lineage(edges))
     each = found.select("row", F.explode("candidates").alias("x")).select("row", "x.kind", "x.value", "x.b", "x.e")
     more = each.join(accepted, ["kind", "value"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "b", "e"))).alias("more"))
-    return found.select("row", "doc_id", "base").join(more, "row", "left").select("row", "doc_id", "base", F.coalesce("more", F.array().cast("array<struct<kind:int,b:int,e:int>>")).alias("more"))
+    return found.select("row", "doc_id", "sha", "base").join(more, "row", "left").select("row", "doc_id", "sha", "base", F.coalesce("more", F.array().cast("array<struct<kind:int,b:int,e:int>>")).alias("more"))
 
 
 def listed(spans: Column) -> Column:
@@ -209,14 +210,16 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The documents with each span's text replaced by its kind in angle brackets; n_chars follows.
 
     All columns stay.  Base spans are replaced where the text is; discovered ones come by doc_id
-    and text hash, so only where there are any does a join move texts."""
+    (null is one more value) and text hash, as equal texts have equal spans, so only where there
+    are any does a join move texts."""
     found = find(docs).where(F.size("more") > 0)
     columns = docs.columns
     marked = docs.withColumn("pii_more", F.array().cast("array<struct<kind:int,b:int,e:int>>"))
-    more = common.written(found.select("doc_id", "more"), "pii-more")
+    more = common.written(found.select(F.col("doc_id").alias("pii_id"), F.col("sha").alias("pii_sha"), F.col("more").alias("pii_more")), "pii-more")
     if not more.isEmpty():
-        more = more.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("more"))).alias("pii_more")).withColumnRenamed("doc_id", "pii_id")
-        marked = docs.join(more, docs["doc_id"].cast("long") == more["pii_id"], "left").drop("pii_id")
+        more = more.groupBy("pii_id", "pii_sha").agg(F.first("pii_more").alias("pii_more"))
+        same = docs["doc_id"].cast("long").eqNullSafe(more["pii_id"]) & (F.sha2(docs["text"].cast("binary"), 256) == more["pii_sha"])
+        marked = docs.join(more, same, "left").drop("pii_id", "pii_sha")
     schema = marked.drop("pii_more").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,6 +61,22 @@ def test_pii_discovers_by_pattern(spark):
     assert text[100] == "see Phone: <PHONE> now" and text[101].endswith("1234 now") and "<PHONE>" in text[0]
 
 
+def test_pii_redacts_by_row(spark):
+    known = [(i, f"note {i}. Phone: +1 (0{i + 10}) 555-77{i + 10} end") for i in range(12)]
+    odd = [(None, "see Phone: 017 555 8899 now"), (None, "clean text that says nothing at all"), (7_000, "see Phone: 017 555 8899 now"), (7_000, "a clean text that is left as it was"), (7_000, None)]
+    docs = spark.createDataFrame([*known, *odd, odd[2]], "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in pii.redacted(docs).where("doc_id is null or doc_id = 7000").collect())
+    clean = lambda t: t and t.replace("017 555 8899", "<PHONE>")
+    assert got == Counter((i, clean(t)) for i, t in [*odd, odd[2]])
+
+
+def test_dedup_keeps_one_row_of_a_doc_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = [(1, a, 1), (1, a, 1), (1, b, 2), (2, a, 1), (2, a, 1), (3, c, 3), (4, None, 4), (4, None, 4), (5, "", 5), (None, c, 6), (None, c, 6)]
+    got = near_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string, n long")).collect()
+    assert Counter(map(tuple, got)) == Counter({(1, a, 1): 1, (1, b, 2): 1, (3, c, 3): 1, (4, None, 4): 1, (5, "", 5): 1, (None, c, 6): 2})
+
+
 def test_pii_long_runs_are_linear():
     assert pii.base_spans("a" * 200_000 + "@" * 1_000 + "999." * 50_000 + "+" * 1_000) == []
 
