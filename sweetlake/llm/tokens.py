@@ -3,8 +3,9 @@
 Most of the library's time goes on pieces it has met before.  So texts are cut by the
 vocabulary's own pattern and each distinct piece goes to the library's merge model once; a
 bounded memo per Python worker holds the ids.  This holds for texts of characters whose case,
-composition and class are alike in every Unicode version (COMMON); any other text takes the
-library's whole pipeline.  Either way the ids are those of ``Tokenizer.encode``.
+composition and class are alike in every Unicode version (COMMON) and that hold no string of an
+added token; any other text takes the library's whole pipeline.  Either way the ids are those of
+``Tokenizer.encode(text, add_special_tokens=False)``, so an added token's string is that token.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ class Memo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None  # word-level vocabularies have lower case
         self.cut = regex.compile(WORD_PIECES if self.lower else BYTE_PIECES).findall
@@ -77,10 +78,11 @@ class Memo:
 
     def pack(self, text: str) -> bytes:
         """Packed ids of a text."""
-        if UNCOMMON.search(text):
+        low = text.lower() if self.lower else text
+        if UNCOMMON.search(text) or any(a in text or a in low for a in self.added):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         self.known.turn()
-        return b"".join(map(self.known.__getitem__, self.cut(text.lower() if self.lower else text)))
+        return b"".join(map(self.known.__getitem__, self.cut(low)))
 
 
 MEMOS: dict[str, Memo] = {}

@@ -175,6 +175,18 @@ def test_tokens_equal_the_library(name):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.packed_ids(common.tokenizer_path(name), list(TEXTS.values()), 2)] == [ids[i].tolist() for i in TEXTS]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_of_added_tokens_equal_the_library(name):
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_path(name)
+    plain = Tokenizer.from_file(path)
+    some = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>Y 's <|endoftext|><|endoftext|>\n", "A <|ENDOFTEXT|> b", "<|endoftext", "é <|endoftext|> 中"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.packed_ids(path, some, None)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in some]
+    assert plain.token_to_id("<|endoftext|>") in got[0]
+
+
 def test_packing(spark, folder):
     ids, cover, sequences = library_ids("word_bpe_49k.json"), Counter(), {}
     for r in rows(spark, "op6_pack_first_fit", folder):
