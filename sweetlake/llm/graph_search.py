@@ -33,7 +33,7 @@ DEGREE, BEAM, BUILD_BEAM, ALPHA = 32, 96, 64, 1.2
 #: Nodes that are inserted, and queries that are searched, side by side.
 SIDE = 256
 
-GRAPH = "shard int, node int, gid long, vec array<double>, links array<int>"
+GRAPH = "shard int, node int, uid long, gid long, second long, vec array<double>, links array<int>"
 
 
 def usable(vec: Column) -> Column:
@@ -142,10 +142,10 @@ def lifted(vectors: np.ndarray, most: float) -> np.ndarray:
 
 
 def index(nodes: DataFrame, shards: int) -> DataFrame:
-    """A graph row for every node (gid, vec)."""
+    """A graph row for every node (uid, gid, second, vec)."""
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("gid")
+        table = table.sort_by([("gid", "ascending"), ("uid", "ascending")])
         vectors = as_matrix(table.column("vec"), table.num_rows)
         links, entry = build_graph(lifted(vectors, float(np.sqrt((vectors**2).sum(axis=1).max()))))
         place = np.arange(table.num_rows)
@@ -155,25 +155,26 @@ def index(nodes: DataFrame, shards: int) -> DataFrame:
         rows = [back[x[x >= 0]].astype(np.int32) for x in links[place]]
         moved = table.take(pa.array(place))
         return pa.Table.from_arrays(
-            [moved.column("shard"), pa.array(np.arange(len(place)), pa.int32()), moved.column("gid"), moved.column("vec"), pa.array(rows, pa.list_(pa.int32()))],
-            names=["shard", "node", "gid", "vec", "links"],
+            [moved.column("shard"), pa.array(np.arange(len(place)), pa.int32()), *(moved.column(c) for c in ("uid", "gid", "second", "vec")), pa.array(rows, pa.list_(pa.int32()))],
+            names=["shard", "node", "uid", "gid", "second", "vec", "links"],
         )
 
-    dealt = nodes.select(F.pmod(F.xxhash64("gid", F.lit(5)), F.lit(shards)).cast("int").alias("shard"), "gid", "vec")
+    dealt = nodes.select(F.pmod(F.xxhash64("gid", "vec", F.lit(5)), F.lit(shards)).cast("int").alias("shard"), "uid", "gid", "second", "vec")
     return dealt.groupBy("shard").applyInArrow(build, GRAPH)
 
 
 def search(graph: DataFrame, queries: DataFrame, shards: int, blocks: int, k: int) -> DataFrame:
-    """(query_id, found) with the k nearest nodes (gid, score) of every shard for every query (query_id, qvec).
+    """(query_id, found) with the k nearest nodes (score, least, uid) of every shard for every query (query_id, qvec).
 
-    Each block of queries meets each shard once; both sides of a meeting are bounded."""
+    Each block of queries meets each shard once; both sides of a meeting are bounded.  least is a
+    node's least id other than the query's; a node that has none is not found."""
     block = F.pmod(F.xxhash64("query_id", F.lit(9)), F.lit(blocks)).cast("int")
-    left = graph.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", "node", "gid", "vec", "links")
+    left = graph.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", "node", "uid", "gid", "second", "vec", "links")
     right = queries.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", "qvec")
-    schema = "query_id long, found array<struct<neg:double,gid:long>>"
+    schema = "query_id long, found array<struct<neg:double,least:long,uid:long>>"
 
     def answer(nodes: pa.Table, asked: pa.Table) -> pa.Table:
-        kind = pa.list_(pa.struct([("neg", pa.float64()), ("gid", pa.int64())]))
+        kind = pa.list_(pa.struct([("neg", pa.float64()), ("least", pa.int64()), ("uid", pa.int64())]))
         if not nodes.num_rows or not asked.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], kind)], names=["query_id", "found"])
         nodes = nodes.sort_by("node")
@@ -183,45 +184,58 @@ def search(graph: DataFrame, queries: DataFrame, shards: int, blocks: int, k: in
             links[i, : len(x)] = x
         points = lifted(vectors, float(np.sqrt((vectors**2).sum(axis=1).max())))
         flat = np.concatenate([qs, np.zeros((len(qs), 1))], axis=1)
-        gid = nodes.column("gid").to_numpy()
+        uid, gid = nodes.column("uid").to_numpy(), nodes.column("gid").to_numpy()
+        single = nodes.column("second").is_null().to_numpy()
+        second = nodes.column("second").fill_null(0).to_numpy()
+        names, counts = np.unique(gid[single], return_counts=True)
+        alone = dict(zip(names.tolist(), counts.tolist()))  # id -> nodes that hold no other id
+        who = asked.column("query_id").to_numpy()
         found = []
         for at in range(0, len(qs), SIDE):
-            ids, _ = beam_search(points, links, flat[at : at + SIDE], 0, max(BEAM, 4 * k))
-            for q, own in zip(qs[at : at + SIDE], ids):
+            some = who[at : at + SIDE]
+            more = max(alone.get(i, 0) for i in some.tolist())
+            ids, _ = beam_search(points, links, flat[at : at + SIDE], 0, max(BEAM, 4 * k, 2 * k + more))
+            for i, q, own in zip(some, qs[at : at + SIDE], ids):
                 own = own[own >= 0]
-                scores = np.array([float(np.dot(q, v)) for v in vectors[own[: 2 * k]]])
-                own = own[: 2 * k]
-                order = np.lexsort((gid[own], -scores))[:k]
-                found.append([{"neg": -float(scores[o]), "gid": int(gid[own[o]])} for o in order])
+                own = own[~(single[own] & (gid[own] == i))][: 2 * k]
+                least = np.where(gid[own] == i, second[own], gid[own])
+                scores = np.array([float(np.dot(q, v)) for v in vectors[own]])
+                order = np.lexsort((least, -scores))[:k]
+                found.append([{"neg": -float(scores[o]), "least": int(least[o]), "uid": int(uid[own[o]])} for o in order])
         return pa.Table.from_arrays([asked.column("query_id"), pa.array(found, kind)], names=["query_id", "found"])
 
     return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(answer, schema)
 
 
-def members(vectors: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """((gid, vec) of distinct vectors, (gid, ids)): gid is the least id, ids the `most` least ids.
+def members(vectors: DataFrame, most: int) -> DataFrame:
+    """(gid, second, vec, ids) of distinct vectors: ids are the `most` least ids in order, each as
+    often as it occurs, up to `most` times; gid and second are the two least (second may be null).
 
     Large groups of equal vectors are cut down in salted steps before they meet."""
     key = F.xxhash64("vec")
     salted = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(64)))
     w = Window.partitionBy("key", "vec", "salt").orderBy("vec_id")
-    some = salted.withColumn("key", key).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
-    held = some.groupBy("key", "vec").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, most).alias("ids")).select(F.col("ids")[0].alias("gid"), "vec", "ids")
-    return held.select("gid", "vec"), held.select("gid", "ids")
+    again = Window.partitionBy("key", "vec", "salt", "vec_id").orderBy("vec_id")
+    some = salted.withColumn("key", key).withColumn("d", F.dense_rank().over(w)).where(F.col("d") <= most)
+    some = some.withColumn("r", F.row_number().over(again)).where(F.col("r") <= most)
+    held = some.groupBy("key", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    held = held.withColumn("first", F.slice(F.array_distinct("ids"), 1, most))
+    ids = F.filter("ids", lambda i: i <= F.element_at("first", -1))
+    return held.select(F.col("first")[0].alias("gid"), F.get("first", F.lit(1)).alias("second"), "vec", ids.alias("ids"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): of vectors (vec_id, vec) the k nearest to each of queries (query_id, qvec).
 
     A row whose id is the query's own is no candidate."""
-    held = common.written(members(vectors, k + 1)[1].join(vectors, F.col("gid") == F.col("vec_id")).select("gid", "vec", "ids").dropDuplicates(["gid"]), "nodes")
+    held = common.written(members(vectors, k + 1).withColumn("uid", F.monotonically_increasing_id()), "nodes")
     shards = max(1, -(-held.count() // shard))
     blocks = max(1, -(-queries.count() // block))
     graph = common.written(index(held, shards), "graph")
     found = search(graph, queries, shards, blocks, k + 1)
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, 2 * k + 2).alias("best"))
-    each = best.select("query_id", F.explode("best").alias("b")).select("query_id", "b.gid", (-F.col("b.neg")).alias("score"))
-    rows = each.join(held.select("gid", "ids"), "gid").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    each = best.select("query_id", F.explode("best").alias("b")).select("query_id", "b.uid", (-F.col("b.neg")).alias("score"))
+    rows = each.join(held.select("uid", "ids"), "uid").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "vec_id", "score"))), 1, k)
     return (
         rows.groupBy("query_id")

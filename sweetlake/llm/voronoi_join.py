@@ -91,8 +91,8 @@ def summarize(data: DataFrame, pivots: np.ndarray) -> Summary:
     return s
 
 
-def needed(queries: np.ndarray, s: Summary, k: int) -> np.ndarray:
-    """Whether each query needs each group: (queries, groups).
+def needed(queries: np.ndarray, s: Summary, k: np.ndarray) -> np.ndarray:
+    """Whether each query needs each group for its k best: (queries, groups).
 
     q x = q p + q (x - p), so it lies within |q| radius of q p, and within |q| times the largest norm of 0."""
     q = np.sqrt((queries**2).sum(axis=1))[:, None]
@@ -102,7 +102,7 @@ def needed(queries: np.ndarray, s: Summary, k: int) -> np.ndarray:
     lower = np.maximum(middle - q * s.radius, -q * s.norm) - slack
     order = (-lower).argsort(axis=1)
     counted = np.cumsum(s.rows[order], axis=1)
-    enough = np.minimum((counted < k).sum(axis=1), len(s.rows) - 1)
+    enough = np.minimum((counted < k[:, None]).sum(axis=1), len(s.rows) - 1)
     at = np.arange(len(queries))
     floor = np.where(counted[:, -1] >= k, lower[at, order[at, enough]], -np.inf)
     return (upper >= floor[:, None]) & (s.rows > 0)
@@ -124,14 +124,18 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, row
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = as_matrix(b.column("qvec"), b.num_rows)
+            most = k + b.column("own").to_numpy()
             for at in range(0, b.num_rows, 512):
-                who, grp = np.nonzero(needed(q[at : at + 512], s, k + 1))
+                who, grp = np.nonzero(needed(q[at : at + 512], s, most[at : at + 512]))
                 some = b.slice(at, 512).take(pa.array(who))
                 yield pa.RecordBatch.from_arrays([some.column("query_id"), some.column("qvec"), pa.array(grp.astype(np.int32))], ["query_id", "qvec", "grp"])
 
     n_parts = F.get(F.array(*map(F.lit, parts)), F.col("grp"))
     q_block = F.pmod(F.xxhash64("query_id", F.lit(9)), F.lit(q_blocks)).cast("int").alias("block")
-    routed = queries.mapInArrow(route, "query_id long, qvec array<long>, grp int")
+    # Rows of the query's own id are no candidates, so bounds are taken for k and all of these.
+    repeated = held.groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("n")).where("n > 1")
+    counted = queries.join(repeated, "query_id", "left").select("query_id", "qvec", F.coalesce("n", F.lit(1)).cast("long").alias("own"))
+    routed = counted.mapInArrow(route, "query_id long, qvec array<long>, grp int")
     routed = common.written(routed.select("query_id", "qvec", "grp", q_block, F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part")), "routed")
     asked = routed.select(F.col("grp").alias("a_grp"), F.col("block").alias("a_block")).distinct()  # a row per group and query block
     part = F.pmod(F.xxhash64("vec_id", F.lit(4)), n_parts).cast("int").alias("part")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sweetlake.llm import byte_bpe, common, graph_search, near_dedup, packing, pii, quality, token_store, tokens, warc
+from sweetlake.llm import byte_bpe, common, graph_search, near_dedup, packing, pii, quality, token_store, tokens, voronoi_join, warc
 from sweetlake.llm.queries import ORACLES, QUERIES
 
 from .conftest import texts
@@ -127,6 +127,40 @@ def test_graph_search(spark, folder):
     assert hit >= 0.9 * total
 
 
+def repeated_ids(spark):
+    rng = np.random.default_rng(7)
+    v = [(i, rng.integers(-9, 10, 4).tolist()) for i in range(100, 160)]
+    v += [(5, [9, 9, 9, 8]), (5, [9, 9, 8, 9]), (5, [9, 8, 9, 9]), (5, [8, 9, 9, 9]), (6, [9, 9, 9, 8]), (4, [-9, 9, 0, 0]), (4, [9, -9, 0, 0]), (4, [9, -9, 0, 0]), (8, [9, -9, 0, 0])]
+    asked = [(5, [9, 9, 9, 9]), (4, [9, -9, 0, 0]), (100, [9, -9, 1, 0]), (101, [-9, 9, 1, 0])]
+    plain = lambda q, k: [
+        (r + 1, i, s) for r, (s, i) in enumerate(sorted(((int(np.dot(x, dict(asked)[q])), i) for i, x in v if i != q), key=lambda p: (-p[0], p[1]))[:k])
+    ]
+    return v, asked, {q: plain for q, _ in asked}
+
+
+@pytest.mark.parametrize("pivots", [8, 40])
+def test_voronoi_join_of_repeated_ids(spark, pivots):
+    v, asked, plain = repeated_ids(spark)
+    data, queries = spark.createDataFrame(v, "vec_id long, vec array<long>"), spark.createDataFrame(asked, "query_id long, qvec array<long>")
+    got = {tuple(r) for r in voronoi_join.top_k(data, queries, 3, pivots).collect()}
+    assert got == {(q, *r) for q, f in plain.items() for r in f(q, 3)}
+
+
+def test_voronoi_bounds_count_rows_of_the_own_id():
+    pivots = np.array([[10.0], [5.0]])
+    s = voronoi_join.Summary(pivots, np.array([3.0, 9.0]), np.zeros(2), np.array([10.0, 5.0]))
+    asked = np.array([[1.0], [1.0]])
+    assert voronoi_join.needed(asked, s, 1 + np.array([1, 3])).tolist() == [[True, False], [True, True]]
+
+
+def test_graph_search_of_repeated_ids(spark):
+    v, asked, plain = repeated_ids(spark)
+    data = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in v], "vec_id long, vec array<double>")
+    queries = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in asked], "query_id long, qvec array<double>")
+    got = {(r.query_id, r["rank"], r.vec_id, int(r.score)) for r in graph_search.nearest(data, queries, 3).collect()}
+    assert got == {(q, *r) for q, f in plain.items() for r in f(q, 3)}
+
+
 def test_robust_prune_keeps_diverse_edges():
     points = np.array([[0.0, 0], [1, 0], [1.1, 0], [0, 1]])
     assert set(graph_search.robust_prune(points, 0, np.array([1, 2, 3]))) == {1, 3}
