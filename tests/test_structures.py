@@ -2,6 +2,7 @@
 
 import itertools
 
+from sweetlake.jobs.queries import QUERIES
 from sweetlake.operators import structures as s
 
 SCHEMA = "acc string, rid int, parent int, symbol string, anomer string, pos int"
@@ -60,3 +61,8 @@ def test_trimming(spark):
     assert got["fullt3"] == [2, 3, 4] and got["chaint3"] == [2, 3, 4] and got["smallt1"] == [2]
     once = {r.acc: list(r.removed) for r in s.trim_leaves(df, ["Man"], once=True).collect()}
     assert once["fullt2"] == [3, 4] and once["chaint1"] == [4]
+
+
+def test_subsumption_query_takes_all_trees(spark):
+    got = QUERIES["J18_subsumption_pairs"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.parent % 4 for r in got} == {0, 1, 2, 3}
