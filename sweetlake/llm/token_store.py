@@ -3,8 +3,8 @@
 Every document's ids are compressed on their own, with one zstandard dictionary that is
 trained on the serialized id arrays of a bounded sample, so that a short document can be read
 without its neighbours.  Documents lie in ascending doc_id order in blocks; a block is
-self-describing: magic, SHA-256 of the dictionary, count, then doc ids, id counts and frame
-offsets, then the frames.  Spark writes blocks as rows of a table (its commit protocol covers
+self-describing: magic, SHA-256 of the dictionary, counts of documents and of those without
+doc_id (they come first), then doc ids, id counts and frame offsets, then the frames.  Spark writes blocks as rows of a table (its commit protocol covers
 lost executors); beside them lie the dictionary and, per range partition, the ids before it.
 
 Defined results: a null text counts as empty and has only the end id; a null doc_id is kept
@@ -17,6 +17,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,9 @@ END = 2
 SAMPLE_DOCS, SAMPLE_CHARS = 1_000, 20_000
 DICT_BYTES = 64 * 1024
 BLOCK_DOCS, BLOCK_BYTES = 1_024, 4_000_000
-MAGIC = b"SWTK\x01\0\0\0"
-NO_ID = -(2**63)
+MAGIC = b"SWTK\x02\0\0\0"
+#: Rows that are encoded before their frames leave the worker.
+SLICE = 256
 
 FRAMES = "doc_id long, n_tokens long, frame binary"
 BLOCKS = "part int, first_id long, last_id long, before_in_part long, n_docs long, n_tokens long, block binary"
@@ -39,15 +41,11 @@ ROWS = "doc_id long, start long, n_tokens long, ids binary"
 
 def serialize(ids: bytes) -> bytes:
     """uint32 ids -> their low, then their second bytes and so on: planes compress better."""
-    return b"".join(ids[i::4] for i in range(4))
+    return np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def deserialize(data: bytes) -> bytes:
-    n = len(data) // 4
-    out = bytearray(len(data))
-    for i in range(4):
-        out[i::4] = data[i * n : (i + 1) * n]
-    return bytes(out)
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.tobytes()
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, size: int = DICT_BYTES, sample: int = SAMPLE_DOCS) -> bytes:
@@ -75,12 +73,13 @@ def frames(docs: DataFrame, tokenizer: str, dictionary: bytes, level: int = 1) -
         import zstandard
 
         c = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
-        for b in batches:
-            n, out = [], []
-            for ids in packed_ids(tokenizer, b.column("text").to_pylist(), END):
-                n.append(len(ids) // 4)
-                out.append(c.compress(serialize(ids)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "frame"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b, n, out = whole.slice(at, SLICE), [], []
+                for ids in packed_ids(tokenizer, b.column("text").to_pylist(), END):
+                    n.append(len(ids) // 4)
+                    out.append(c.compress(serialize(ids)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "frame"])
 
     return docs.select("doc_id", "text").mapInArrow(run, FRAMES)
 
@@ -91,17 +90,17 @@ def pack_block(rows: list[tuple], dict_hash: bytes) -> bytes:
     for p in parts:
         offsets.append(offsets[-1] + len(p))
     n = len(rows)
-    index = struct.pack(f"<{n}q{n}Q{n + 1}Q", *(NO_ID if i is None else i for i in ids), *counts, *offsets)
-    return MAGIC + dict_hash + struct.pack("<Q", n) + index + b"".join(parts)
+    index = struct.pack(f"<{n}q{n}Q{n + 1}Q", *(i or 0 for i in ids), *counts, *offsets)
+    return MAGIC + dict_hash + struct.pack("<QQ", n, sum(i is None for i in ids)) + index + b"".join(parts)
 
 
-def open_block(block: bytes, dict_hash: bytes) -> tuple[list[int], list[int], list[int], int]:
+def open_block(block: bytes, dict_hash: bytes) -> tuple[list[int | None], list[int], list[int], int]:
     """(doc ids, id counts, frame offsets, where frames begin); fails on another format or dictionary."""
     if block[:8] != MAGIC or block[8:40] != dict_hash:
         raise ValueError("not a block of this dictionary")
-    (n,) = struct.unpack_from("<Q", block, 40)
-    v = struct.unpack_from(f"<{n}q{n}Q{n + 1}Q", block, 48)
-    return list(v[:n]), list(v[n : 2 * n]), list(v[2 * n :]), 48 + 8 * (3 * n + 1)
+    n, unnamed = struct.unpack_from("<QQ", block, 40)
+    v = struct.unpack_from(f"<{n}q{n}Q{n + 1}Q", block, 56)
+    return [*[None] * unnamed, *v[unnamed:n]], list(v[n : 2 * n]), list(v[2 * n :]), 56 + 8 * (3 * n + 1)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
@@ -157,7 +156,8 @@ def read(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame
     digest, dictionary = bytes.fromhex(dict_hash), bytes(dictionary)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     if doc_id is not None:
-        blocks = blocks.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+        # A block may begin with rows without id; one that ends with such a row holds no other.
+        blocks = blocks.where((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id))
     parts = spark.read.schema("part int, before_part long").parquet(f"{path}/parts")  # a row a partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def read(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame
                 for k, i in enumerate(ids):
                     if doc_id is None or i == doc_id:
                         raw = deserialize(d.decompress(block[begin + offsets[k] : begin + offsets[k + 1]]))
-                        out.append((None if i == NO_ID else i, start, counts[k], raw))
+                        out.append((i, start, counts[k], raw))
                     start += counts[k]
                 for at in range(0, len(out), 256):
                     cols = list(zip(*out[at : at + 256]))

@@ -2,9 +2,9 @@
 
 Most of the library's time goes on pieces it has met before.  So texts are cut by the
 vocabulary's own pattern and each distinct piece goes to the library's merge model once; a
-bounded memo per Python worker holds the ids.  This holds for texts of characters whose case,
-composition and class are alike in every Unicode version (COMMON) and that hold no string of an
-added token; any other text takes the library's whole pipeline.  Either way the ids are those of
+bounded memo per Python worker holds the ids.  This holds for texts of characters that every
+Unicode version classes, lowers and composes alike (COMMON) and that hold no string of an added
+token; any other text takes the library's whole pipeline.  Either way the ids are those of
 ``Tokenizer.encode(text, add_special_tokens=False)``, so an added token's string is that token.
 """
 
@@ -15,15 +15,21 @@ import os
 import re
 from collections.abc import Iterator
 
+#: Ranges of characters, assigned since early Unicode versions, that compose with no other of them.
+#: Latin; Cyrillic; kana; Han; Hangul syllables.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ȹȻ-Ƚȿ-ˁˆ-ˑˠ-ˤˬˮ" + "Ѐ-ҁ" + "ぁ-ゔァ-ヺ" + "一-龥" + "가-힣"
+NUMBERS = "0-9²³¹¼-¾"
+#: ASCII and Latin signs; general punctuation without its spaces; currency; CJK punctuation.
+SIGNS = "!-/:-@[-`{-~¡-©«-±´¶-¸»¿×÷˂-˅˒-˟˥-˫˭˯-˿" + "‐-‧‰-⁞₠-⃀" + "、-〃〈-】"
 #: A character for which a text goes through the library's whole pipeline.
-UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-˿]")
+UNCOMMON = re.compile(f"[^\\t\\n\\r {LETTERS}{NUMBERS}{SIGNS.replace('[', chr(92) + '[').replace(']', chr(92) + ']')}]")
 #: Pieces of more characters are not remembered.
 LONG = 64
-#: Entries of a memo's newer half; the older half has as many at most.
-MEMO = 300_000
-#: How the two kinds of vocabulary cut a normalised text into pieces.
-BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Entries of a memo's newer half; the older half has as many at most.  With LONG it bounds a worker's memo to some 80 MB.
+MEMO = 200_000
+#: How the two kinds of vocabulary cut a normalised text of common characters into pieces.
+BYTE_PIECES = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+WORD_PIECES = rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,19 +67,22 @@ class Memo:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None  # word-level vocabularies have lower case
-        self.cut = regex.compile(WORD_PIECES if self.lower else BYTE_PIECES).findall
+        self.cut = re.compile(WORD_PIECES if self.lower else BYTE_PIECES).findall
         self.letters = byte_letters()
         self.known = Halves(self.piece)
 
     def piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+        word = piece[piece[0] == " " :]
+        if word.isascii() and word.isalpha():
+            letters = piece if word is piece else self.letters[32] + word
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
         return array.array("I", [x.id for x in self.tokenize(letters)]).tobytes()
 
     def pack(self, text: str) -> bytes:
@@ -85,6 +94,13 @@ class Memo:
         return b"".join(map(self.known.__getitem__, self.cut(low)))
 
 
+def widest(path: str) -> int:
+    """The largest id of a vocabulary file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 MEMOS: dict[str, Memo] = {}
 
 

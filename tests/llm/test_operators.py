@@ -221,6 +221,19 @@ def test_tokens_of_added_tokens_equal_the_library(name):
     assert plain.token_to_id("<|endoftext|>") in got[0]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_common_characters_are_cut_as_the_library_cuts(name):
+    """Every character that is not sent through the library's whole pipeline, beside letters, digits, signs and itself."""
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_path(name)
+    chars = [c for c in map(chr, range(0x10000)) if not "\ud800" <= c < "\ue000" and not tokens.UNCOMMON.match(c)]
+    assert {"\u2019", "\u2014", "\u0416", "\u4e2d"} <= set(chars)
+    some = [f"a{c}b {c} {c}{c}1{c} {c}x\n{c}" for c in chars] + [a + b for a, b in zip(chars, chars[1:])]
+    plain = [e.ids for e in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.packed_ids(path, some, None)] == plain
+
+
 def test_packing(spark, folder):
     ids, cover, sequences = library_ids("word_bpe_49k.json"), Counter(), {}
     for r in rows(spark, "op6_pack_first_fit", folder):
@@ -260,6 +273,18 @@ def test_token_files(spark, folder):
     assert np.frombuffer(one.ids, "<u4").tolist() == ids[12].tolist() and one.start == want[12][0]
 
 
+def test_token_files_point_reads(spark):
+    """Blocks that begin with rows without id, the least id, and repeated ids."""
+    least = -(2**63)
+    docs = spark.createDataFrame([(None, "none"), (None, None), (least, "least"), (5, "five"), (5, "again five"), (7, "")], "doc_id long, text string").coalesce(1)
+    path = common.scratch(spark, "tokens-test")
+    token_store.write(docs.withColumn("text", F.coalesce("text", F.lit(""))), path, common.tokenizer_path("byte_bpe_50k.json"))
+    every = token_store.read(spark, path).collect()
+    assert Counter(r.doc_id for r in every) == Counter([None, None, least, 5, 5, 7])
+    for i in (least, 5, 7, 6):
+        assert Counter(map(tuple, token_store.read(spark, path, i).collect())) == Counter(tuple(r) for r in every if r.doc_id == i)
+
+
 def test_chat(spark, folder):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
