@@ -27,7 +27,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(found.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) of every node of an undirected edge table; component is its least node.
 
     Alternates large-star and small-star until the edges are stars around the least nodes;
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     loops = state.where("u = v")
     state = state.where("u <> v")
     mark = None
-    for _ in range(rounds):
+    while True:
         state = cut_lineage(_small_star(_large_star(state)).where("u <> v"))
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut_lineage
+from .lineage import cut_lineage, followed
 
 
 def edges_of_kind(edges: DataFrame, kind: str | None) -> DataFrame:
@@ -33,11 +33,11 @@ def add_mass_roots(nodes: DataFrame, edges: DataFrame, root: str = "root") -> Da
     return edges.select("parent", "child").unionByName(mass).unionByName(top)
 
 
-def transitive_closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def transitive_closure(edges: DataFrame) -> DataFrame:
     """(ancestor, descendant) pairs by path doubling; each round's pairs are cut off in the shared folder."""
     paths = cut_lineage(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).where("parent <> child").distinct())
     count = paths.count()
-    for _ in range(rounds):
+    while True:  # until no pair is added; the longest path at least doubles a round
         longer = paths.alias("a").join(paths.alias("b"), F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant")
         paths = cut_lineage(paths.unionByName(longer).where("ancestor <> descendant").distinct())
         now = paths.count()
@@ -207,17 +207,12 @@ def resolve_taxid(ids: DataFrame, nodes: DataFrame, merged: DataFrame, names: Da
     return rows.withColumn("resolved", F.coalesce("_now", "_merged", "_named")).drop("_now", "_merged", "_named", "_key")
 
 
-def lineage_pairs(ids: DataFrame, nodes: DataFrame, depth: int = 40) -> DataFrame:
-    """(id, ancestor, step) for each distinct id and itself (step 0), by one join a step up."""
-    up = nodes.select(F.col("tax_id").alias("ancestor"), F.col("parent_id").alias("next"))
-    front = ids.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("step")).distinct().join(up.select("ancestor"), "ancestor", "left_semi")
-    every, front = front, cut_lineage(front)
-    for step in range(1, depth + 1):
-        front = cut_lineage(front.join(up, "ancestor").where("next is not null and next <> ancestor").select("id", F.col("next").alias("ancestor"), F.lit(step).alias("step")))
-        if front.isEmpty():
-            break
-        every = every.unionByName(front)
-    return every
+def lineage_pairs(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, step) for each distinct id that is a node and itself (step 0), up to the root whatever the depth."""
+    known = nodes.select(F.col("tax_id").alias("at")).distinct()
+    start = ids.select("id", F.col("id").alias("at"), F.lit(0).alias("step")).distinct().join(known, "at", "left_semi")
+    up = nodes.where("parent_id <> tax_id").select(F.col("tax_id").alias("at"), F.col("parent_id").alias("next"))
+    return followed(start, up, []).select("id", F.col("at").alias("ancestor"), "step")
 
 
 def ranked_ancestors(ids: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -248,7 +243,7 @@ def restrict_to_taxa(glycans: DataFrame, taxa: DataFrame, nodes: DataFrame, ids:
     return glycans.join(good, "acc", "left_semi").join(listed, "acc", "left_semi")
 
 
-def closure_accessions(accs: DataFrame, closure: DataFrame, landmark: DataFrame, rounds: int = 20) -> DataFrame:
+def closure_accessions(accs: DataFrame, closure: DataFrame, landmark: DataFrame) -> DataFrame:
     """Accessions that ancestors and members of the same landmark add to `accs`, until nothing is added.
 
     landmark: (acc, mark)."""
@@ -256,7 +251,7 @@ def closure_accessions(accs: DataFrame, closure: DataFrame, landmark: DataFrame,
     have = cut_lineage(start)
     count = have.count()
     up = closure.select(F.col("descendant").alias("acc"), F.col("ancestor").alias("new"))
-    for _ in range(rounds):
+    while True:  # what is held only grows
         above = have.join(up, "acc").select(F.col("new").alias("acc"))
         marks = have.join(landmark, "acc").select("mark").distinct()
         beside = landmark.join(marks, "mark", "left_semi").select("acc")

@@ -4,17 +4,47 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir.
+
+    Where the session names none, a temporary folder is set on a master of one machine (as in tests); on a
+    cluster that would be a folder that other machines do not see, so it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sweetlake-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df.
-
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where the
-    session names none, as in tests on one machine.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sweetlake-")
-        spark.sparkContext.setCheckpointDir(root)
+    """A reliable checkpoint of df in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def followed(start: DataFrame, jump: DataFrame, by: list[str]) -> DataFrame:
+    """start and all that following `jump` from it reaches, with the number of steps.
+
+    start: by.., id, at, step (0); jump: by.., at, next, one row per place.  Jumps double each round, so rounds
+    grow with the logarithm of the longest path.  A path that comes back to where it was is an error."""
+    every = cut_lineage(start)
+    jump = cut_lineage(jump.where("at is not null and next is not null").distinct())
+    places, stride = jump.count(), 1
+    while not jump.isEmpty():
+        if stride > places:
+            raise ValueError("parents form a cycle")
+        far = every.join(jump, [*by, "at"]).select(*by, "id", F.col("next").alias("at"), (F.col("step") + stride).alias("step"))
+        every = cut_lineage(every.unionByName(far))
+        then = jump.select(*by, F.col("at").alias("next"), F.col("next").alias("then"))
+        jump = cut_lineage(jump.join(then, [*by, "next"]).select(*by, "at", F.col("then").alias("next")))
+        stride *= 2
+    return every

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -11,18 +12,19 @@ from pyspark.sql import functions as F
 from .lineage import cut_lineage
 
 
-def retention_model(tgs: DataFrame, peptide: str, y: str, xs: list[str], threshold: float = 5.0, rounds: int = 20) -> tuple[DataFrame, dict[str, float]]:
+def retention_model(tgs: DataFrame, peptide: str, y: str, xs: list[str], threshold: float = 5.0) -> tuple[DataFrame, dict[str, float]]:
     """(rows with fitted, residual and good, coefficients): least squares on peptide effects and shared columns.
 
     Peptide effects are eliminated by group means, so only the sums of the shared columns' products, a row of
     len(xs) squared numbers, reach the driver.  Rows move between good and bad by |residual| <= threshold until
-    no row moves or `rounds` are over.  A peptide without good rows takes the mean effect of the others; rows
+    no row moves.  Should a split of the rows come back (they move in a cycle), the fit ends there with a warning.
+    A peptide without good rows takes the mean effect of the others; rows
     with a null in y or a shared column are left out.
     """
     rows = tgs.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in (y, *xs))))
     state = cut_lineage(rows.withColumn("good", F.lit(True)))
-    b = np.zeros(len(xs))
-    for _ in range(rounds):
+    b, seen = np.zeros(len(xs)), set()
+    while True:
         good = state.where("good")
         means = good.groupBy(peptide).agg(*(F.avg(c).alias(f"_m_{c}") for c in (y, *xs)))
         centred = good.join(means, peptide).select(*((F.col(c) - F.col(f"_m_{c}")).alias(c) for c in (y, *xs)))
@@ -39,10 +41,15 @@ def retention_model(tgs: DataFrame, peptide: str, y: str, xs: list[str], thresho
         fitted = F.coalesce("_effect", F.lit(float(overall))) + line(lambda x: x)
         now = state.drop("fitted", "residual").join(effects, peptide, "left").withColumn("fitted", fitted).withColumn("residual", F.col(y) - F.col("fitted")).drop("_effect")
         now = cut_lineage(now.withColumn("was", F.col("good")).withColumn("good", F.abs("residual") <= threshold))
-        moved = now.where("was <> good").isEmpty()
+        settled = now.where("was <> good").isEmpty()
         state = now.drop("was")
-        if moved:
+        if settled:
             break
+        mark = tuple(now.where("good").agg(F.count("*"), F.sum(F.xxhash64(peptide, y, *xs).cast("decimal(38,0)"))).first())
+        if mark in seen:
+            warnings.warn("retention_model: rows move between good and bad in a cycle", stacklevel=2)
+            break
+        seen.add(mark)
     return state, dict(zip(xs, map(float, b)))
 
 

@@ -1,7 +1,8 @@
 """Structure trees as residue tables: comparison, motif alignment, fragments, trimming, classes.
 
-residues: acc, rid (root 1), parent (null for the root), symbol, anomer, pos; null anomer or pos is unknown.
-An unknown value of the more general side accepts anything; a known one does not accept unknown.
+residues: acc, rid (root 1), parent (null for the root), symbol, anomer, pos; null symbol, anomer or pos is unknown.
+An unknown value of the more general side accepts anything; a known one does not accept unknown.  A structure with
+several residues without parent is undetermined; one without any link is a composition.
 """
 
 from __future__ import annotations
@@ -12,14 +13,12 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
-from .lineage import cut_lineage
+from .lineage import followed
 
 #: Mass of the two hydrogens by which a structure with alditol stands above that without.
 ALDITOL = 2.015650070
-#: Motifs that are sent to every task, at most.
-MOTIFS = 5_000
 
 Node = tuple  # (symbol, anomer, pos)
 
@@ -32,7 +31,7 @@ def known(value):
 
 
 class Tree:
-    """A rooted tree of (symbol, anomer, pos) by residue number."""
+    """A tree, or the parts of an undetermined structure, of (symbol, anomer, pos) by residue number."""
 
     def __init__(self, residues):
         self.node = {int(r["rid"]): (known(r["symbol"]), known(r["anomer"]), known(r["pos"])) for r in residues}
@@ -41,45 +40,101 @@ class Tree:
         for rid, parent in parents:
             if parent is not None:
                 self.kids[parent].append(rid)
-        self.root = next((rid for rid, parent in parents if parent is None), None)
+        self.tops = sorted(rid for rid, parent in parents if parent is None)
+        self.root = self.tops[0] if self.tops else None
 
 
-def accepts(general: Node, special: Node, strict: bool) -> bool:
+def accepts(general: Node, special: Node, strict: bool, classes: dict[str, str] | None = None) -> bool:
+    """Whether a residue accepts another; a symbol that is a class accepts its members."""
     if strict:
         return general == special and None not in general
-    return all(g is None or g == s for g, s in zip(general, special))
+    member = general[0] is not None and (classes or {}).get(special[0]) == general[0]
+    return all(g is None or g == s or (member and k == 0) for k, (g, s) in enumerate(zip(general, special)))
 
 
-def match(a: Tree, i: int, b: Tree, j: int, strict: bool = False, whole: bool = False) -> dict | None:
-    """Residues of b that those of a, from i down, lie on when i lies on j; None without such a map.
+def covered(a: Tree, i: int, b: Tree, j: int, strict: bool = False, whole: bool = False) -> set | None:
+    """Residues of b that those of a, from i down, lie on in any map that puts i on j; None without such a map.
 
-    Children are matched one to one, to all children where `whole`; the first map in order is taken."""
+    Children are matched one to one, to all children where `whole`."""
     if not accepts(a.node[i], b.node[j], strict):
         return None
     mine, theirs = a.kids[i], b.kids[j]
     if len(mine) > len(theirs) or whole and len(mine) != len(theirs):
         return None
-
-    def place(k: int, used: frozenset) -> dict | None:
-        if k == len(mine):
-            return {}
-        for t in theirs:
-            if t not in used and (below := match(a, mine[k], b, t, strict, whole)) is not None and (rest := place(k + 1, used | {t})) is not None:
-                return below | rest
-        return None
-
-    found = place(0, frozenset())
-    return None if found is None else {i: j} | found
-
-
-@F.pandas_udf(BooleanType())
-def subsumes(general: pd.Series, special: pd.Series) -> pd.Series:
-    """Whether the whole first tree, with unknowns, accepts the whole second one."""
-    out = []
-    for g, s in zip(general, special):
-        a, b = Tree(g), Tree(s)
-        out.append(a.root is not None and b.root is not None and match(a, a.root, b, b.root, whole=True) is not None)
-    return pd.Series(out, dtype=bool)
+    below = [{t: c for t in theirs if (c := covered(a, m, b, t, strict, whole)) is not None} for m in mine]
+
+    def fits(fixed: int, to: int) -> bool:
+        """Whether all children find places of their own when one is put on `to`."""
+        taken: dict[int, int] = {to: fixed}
+
+        def place(k: int, tried: set) -> bool:
+            for t in below[k]:
+                if t != to and t not in tried:
+                    tried.add(t)
+                    if t not in taken or place(taken[t], tried):
+                        taken[t] = k
+                        return True
+            return False
+
+        return all(k == fixed or place(k, set()) for k in range(len(mine)))
+
+    found, out = not mine, {j}
+    for k, options in enumerate(below):
+        for t, c in options.items():
+            if fits(k, t):
+                found = True
+                out |= c
+    return out if found else None
+
+
+def subsumes_tree(a: Tree, b: Tree, classes: dict[str, str] | None = None) -> bool:
+    """Whether all residues of a accept those of b, one to one, and each of a's links is a link of b.
+
+    A composition accepts any structure of fitting residues.  A tree's root lies on the root.  The parts of an
+    undetermined structure lie anywhere; one that has links accepts no composition."""
+    if len(a.node) != len(b.node) or not a.node:
+        return False
+    order, todo = [], [(t, None) for t in sorted(a.tops, key=lambda t: not a.kids[t])]
+    while todo:
+        i, parent = todo.pop(0)
+        order.append((i, parent))
+        todo = [(k, i) for k in a.kids[i]] + todo
+    ok = lambda i, j: accepts(a.node[i], b.node[j], False, classes)
+    at: dict[int, int] = {}
+    loose = [i for i, parent in order if parent is None and not a.kids[i]] if len(a.tops) > 1 else []
+    tight = [(i, parent) for i, parent in order if i not in loose]
+
+    def rest(used: set) -> bool:
+        """Residues without links take what is left: a matching, not a search."""
+        taken: dict[int, int] = {}
+
+        def place(i: int, tried: set) -> bool:
+            for j in b.node:
+                if j not in used and j not in tried and ok(i, j):
+                    tried.add(j)
+                    if j not in taken or place(taken[j], tried):
+                        taken[j] = i
+                        return True
+            return False
+
+        return all(place(i, set()) for i in loose)
+
+    def put(k: int, used: set) -> bool:
+        if k == len(tight):
+            return rest(used)
+        i, parent = tight[k]
+        if parent is not None:
+            options = b.kids[at[parent]]
+        else:
+            options = list(b.node) if len(a.tops) > 1 else b.tops if len(b.tops) == 1 else []
+        for j in options:
+            if j not in used and ok(i, j):
+                at[i] = j
+                if put(k + 1, used | {j}):
+                    return True
+        return False
+
+    return put(0, set())
 
 
 def gathered(residues: DataFrame) -> DataFrame:
@@ -87,22 +142,33 @@ def gathered(residues: DataFrame) -> DataFrame:
     return residues.groupBy("acc").agg(F.array_sort(F.collect_list(F.struct("rid", "parent", "symbol", "anomer", "pos"))).alias("residues"))
 
 
-def subsumption_pairs(structures: DataFrame, slices: int = 8) -> DataFrame:
+def subsumption_pairs(structures: DataFrame, slices: int = 8, classes: dict[str, str] | None = None) -> DataFrame:
     """(parent, child, kind): pairs in one rounded-mass bucket of which the parent accepts the child.
 
-    structures: acc, mass, alditol (boolean), residues.  One with alditol enters a second bucket, without it, only
-    as the child; those edges are +aldi.  Pairs must agree in size and symbols before trees are compared.  Hot
-    buckets are cut: the child side by hash into slices, to which the parent side is copied.  Equal pairs go from
-    the smaller accession to the larger."""
-    bucket = lambda m: F.format_number(m, 2)
-    symbols = F.array_join(F.array_sort(F.transform("residues", lambda r: r["symbol"])), ",")
-    base = structures.select("acc", "mass", "alditol", "residues", symbols.alias("symbols"))
-    parent = base.select(F.col("acc").alias("parent"), bucket(F.col("mass")).alias("bucket"), "symbols", F.col("residues").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    structures: acc, mass, alditol (boolean), residues; classes: symbol -> its class, which as a symbol accepts it.
+    One with alditol enters a second bucket, without it, only as the child; those edges are +aldi.  Pairs must agree
+    in size and, where the parent's symbols are all known, in classes before trees are compared.  Hot buckets are
+    cut: the child side by hash into slices, to which the parent side is copied.  Equal pairs go from the smaller
+    accession to the larger."""
+    classes = classes or {}
+    bucket = lambda m: F.concat_ws("/", F.format_number(m, 2), F.size("residues").cast("string"))
+    of = lambda c: reduce(lambda so_far, kv: F.when(c == kv[0], kv[1]).otherwise(so_far), classes.items(), c)
+    kinds = F.array_join(F.array_sort(F.transform("residues", lambda r: of(r["symbol"]))), ",")
+    base = structures.select("acc", "mass", "alditol", "residues", kinds.alias("kinds"))
+    parent = base.select(
+        F.col("acc").alias("parent"), bucket(F.col("mass")).alias("bucket"), F.col("kinds").alias("p_kinds"), F.exists("residues", lambda r: r["symbol"].isNull()).alias("open"),
+        F.col("residues").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
+    )
     own = F.struct(bucket(F.col("mass")).alias("bucket"), F.lit("subsumed").alias("kind"))
     extra = F.when(F.col("alditol"), F.struct(bucket(F.col("mass") - ALDITOL).alias("bucket"), F.lit("+aldi").alias("kind")))
-    child = base.select(F.col("acc").alias("child"), "symbols", F.col("residues").alias("c"), F.pmod(F.xxhash64("acc"), F.lit(slices)).cast("int").alias("slice"), F.explode(F.array_compact(F.array(own, extra))).alias("b"))
-    child = child.select("child", "symbols", "c", "slice", "b.bucket", "b.kind")
-    pairs = parent.join(child, ["bucket", "symbols", "slice"]).where("parent <> child")
+    child = base.select(F.col("acc").alias("child"), F.col("kinds").alias("c_kinds"), F.col("residues").alias("c"), F.pmod(F.xxhash64("acc"), F.lit(slices)).cast("int").alias("slice"), F.explode(F.array_compact(F.array(own, extra))).alias("b"))
+    child = child.select("child", "c_kinds", "c", "slice", "b.bucket", "b.kind")
+    pairs = parent.join(child, ["bucket", "slice"]).where("parent <> child and (open or p_kinds = c_kinds)")
+
+    @F.pandas_udf("boolean")
+    def subsumes(general: pd.Series, special: pd.Series) -> pd.Series:
+        return pd.Series([subsumes_tree(Tree(g), Tree(s), classes) for g, s in zip(general, special)], dtype=bool)
+
     down = pairs.where(subsumes("p", "c")).withColumn("equal", subsumes("c", "p"))
     return down.where(~F.col("equal") | (F.col("parent") < F.col("child"))).select("parent", "child", "kind")
 
@@ -112,46 +178,49 @@ KINDS = ("core", "substructure", "whole", "nonreducing")
 
 
 def alignments(motif: Tree, structure: Tree) -> Iterator[tuple[str, bool, list[int]]]:
-    """(kind, strict, sorted matched residues) of all kinds that hold; strict only where inclusive holds."""
+    """(kind, strict, sorted residues of all maps) of all kinds that hold; strict only where inclusive holds."""
     n = len(motif.node)
     for strict in (False, True):
-        hits = {j: m for j in structure.node if (m := match(motif, motif.root, structure, j, strict)) is not None}
-        ids = lambda ms: sorted({v for m in ms for v in m.values()})
+        hits = {j: c for j in structure.node if (c := covered(motif, motif.root, structure, j, strict)) is not None}
         if structure.root in hits:
-            yield "core", strict, ids([hits[structure.root]])
+            yield "core", strict, sorted(hits[structure.root])
             if n == len(structure.node):
-                yield "whole", strict, ids([hits[structure.root]])
+                yield "whole", strict, sorted(hits[structure.root])
         if not hits:
             return
-        yield "substructure", strict, ids(hits.values())
-        ends = [m for j in structure.node if (m := match(motif, motif.root, structure, j, strict, whole=True)) is not None]
+        yield "substructure", strict, sorted(set().union(*hits.values()))
+        ends = [c for j in structure.node if (c := covered(motif, motif.root, structure, j, strict, whole=True)) is not None]
         if ends:
-            yield "nonreducing", strict, ids(ends)
+            yield "nonreducing", strict, sorted(set().union(*ends))
 
 
-def align_motifs(motifs: DataFrame, structures: DataFrame, most: int = MOTIFS) -> DataFrame:
+def align_motifs(motifs: DataFrame, structures: DataFrame, slices: int = 8) -> DataFrame:
     """(motif, structure, type, strict, ids): every kind of alignment of every motif that holds.
 
-    Both have acc and residues.  Motifs go to every task, after a check of their number; structures stay where
-    they are.  Larger motifs and those of absent symbols are passed over before trees are matched."""
-    held = motifs.select("acc", "residues").limit(most + 1).collect()
-    if len(held) > most:
-        raise ValueError(f"more than {most} motifs")
-    small = [(r.acc, len(r.residues), {x.symbol for x in r.residues}, [x.asDict() for x in r.residues]) for r in held]
+    Both have acc and residues.  A motif meets only structures that have its rarest known symbol, are not smaller
+    and have all its known symbols; a motif of unknown symbols only meets all.  Structures are cut by hash into
+    slices, to which motifs are copied, so that a common symbol is many tasks."""
+    symbols = F.array_compact(F.array_distinct(F.transform("residues", lambda r: r["symbol"]))).alias("symbols")
+    theirs = structures.select(F.col("acc").alias("structure"), F.col("residues").alias("s"), F.size("residues").alias("s_n"), symbols, F.pmod(F.xxhash64("acc"), F.lit(slices)).cast("int").alias("slice"))
+    met = theirs.withColumnRenamed("symbols", "s_symbols").withColumn("symbol", F.explode(F.concat("s_symbols", F.array(F.lit("")))))
+    mine = motifs.select(F.col("acc").alias("motif"), F.col("residues").alias("m"), F.size("residues").alias("m_n"), symbols)
+    counts = met.groupBy("symbol").agg(F.count("*").alias("count"))
+    each = mine.withColumn("symbol", F.explode(F.when(F.size("symbols") > 0, F.col("symbols")).otherwise(F.array(F.lit("")))))
+    rarest = each.join(counts, "symbol", "left").groupBy("motif").agg(F.min_by("symbol", F.struct(F.coalesce("count", F.lit(0)), "symbol")).alias("symbol"))
+    sent = mine.join(rarest, "motif").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    pairs = sent.join(met, ["symbol", "slice"]).where((F.col("m_n") <= F.col("s_n")) & (F.size(F.array_except("symbols", "s_symbols")) == 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = [(acc, n, symbols, Tree(rs)) for acc, n, symbols, rs in small]
         for df in batches:
-            rows = []
-            for acc, residues in zip(df["acc"], df["residues"]):
-                tree, n, have = Tree(residues), len(residues), {r["symbol"] for r in residues}
-                for name, size, symbols, motif in trees:
-                    if size <= n and symbols <= have:
-                        rows += [(name, acc, k, s, ",".join(map(str, ids))) for k, s, ids in alignments(motif, tree)]
+            rows, motif = [], {}
+            for name, structure, m, s in zip(df["motif"], df["structure"], df["m"], df["s"]):
+                if name not in motif:
+                    motif[name] = Tree(m)
+                rows += [(name, structure, k, strict, ",".join(map(str, ids))) for k, strict, ids in alignments(motif[name], Tree(s))]
             yield pd.DataFrame(rows, columns=["motif", "structure", "type", "strict", "ids"])
 
     kinds = dict(motifs.dtypes)["acc"], dict(structures.dtypes)["acc"]
-    return structures.select("acc", "residues").mapInPandas(run, f"motif {kinds[0]}, structure {kinds[1]}, type string, strict boolean, ids string")
+    return pairs.select("motif", "structure", "m", "s").mapInPandas(run, f"motif {kinds[0]}, structure {kinds[1]}, type string, strict boolean, ids string")
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -180,46 +249,54 @@ def trim_leaves(structures: DataFrame, symbols: list[str], once: bool = False, s
     return rows.select(name.alias("acc"), "removed", kept.alias("residues"), F.size("removed").alias("n_removed"))
 
 
-def fragment_ions(residues: DataFrame, masses: DataFrame, depth: int = 64) -> DataFrame:
+def fragment_ions(residues: DataFrame, masses: DataFrame) -> DataFrame:
     """(acc, rid, n, mass, rest): size and mass of the subtree cut at each link, and of its complement.
 
-    Descendants are followed inside a structure, a level a join, so rows grow with residues times depth."""
-    node = residues.join(masses, "symbol").select("acc", "rid", "parent", "mass")
-    up = node.select("acc", F.col("rid").alias("up"), F.col("parent").alias("next"))
-    state = node.where("parent is not null").select("acc", F.col("rid").alias("top"), "mass", F.col("parent").alias("to"))
-    rows = [state.select("acc", "top", "mass")]
-    for _ in range(depth):
-        state = cut_lineage(state.join(up, "acc").where("up = to and next is not null").select("acc", F.col("up").alias("top"), "mass", F.col("next").alias("to")))
-        if state.isEmpty():
-            break
-        rows.append(state.select("acc", "top", "mass"))
-    total = node.groupBy("acc").agg(F.sum("mass").alias("total"))
-    cut = reduce(DataFrame.unionByName, rows).groupBy("acc", F.col("top").alias("rid")).agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
+    Each residue is followed up to the root by doubling jumps, so rows grow with residues times depth and rounds
+    with the logarithm of the depth.  A part with a residue of unknown mass has a null mass."""
+    node = residues.join(masses, "symbol", "left").select("acc", "rid", "parent", "mass")
+    jump = node.select("acc", F.col("rid").alias("at"), F.col("parent").alias("next"))
+    above = followed(node.select("acc", F.col("rid").alias("id"), F.col("rid").alias("at"), F.lit(0).alias("step")), jump, ["acc"])
+    tops = node.where("parent is not null").select("acc", F.col("rid").alias("at"))
+    mass = F.when(F.count("mass") == F.count("*"), F.sum("mass"))
+    cut = above.join(tops, ["acc", "at"], "left_semi").join(node.select("acc", F.col("rid").alias("id"), "mass"), ["acc", "id"]).groupBy("acc", F.col("at").alias("rid")).agg(F.count("*").alias("n"), mass.alias("mass"))
+    total = node.groupBy("acc").agg(mass.alias("total"))
     return cut.join(total, "acc").select("acc", "rid", "n", "mass", (F.col("total") - F.col("mass")).alias("rest"))
 
 
-def all_fragments(structures: DataFrame, most: int = 16) -> DataFrame:
-    """(acc, ids, n_cleavages): every connected piece with the number of links cut around it; null ids, not decided,
-    for structures of more than `most` residues."""
+def pieces(residues) -> Iterator[tuple[list[int], int]]:
+    """(residues, links cut around it) of every connected piece of a tree, one after the other.
 
-    def pieces(residues) -> list[tuple[str, int]]:
-        parent = {int(r["rid"]): known(r["parent"]) for r in residues}
-        near = {i: {p for p in [parent[i]] if p is not None} | {k for k, p in parent.items() if p == i} for i in parent}
-        seen, todo = set(), [frozenset([i]) for i in parent]
+    For each top residue, undecided residues are left out or taken with their children, so memory is that of the
+    tree, however many pieces there are."""
+    tree = Tree(residues)
+    for top in tree.node:
+        todo = [((top,), int(top not in tree.tops), tuple(tree.kids[top]))]
         while todo:
-            piece = todo.pop()
-            if piece not in seen:
-                seen.add(piece)
-                todo += [piece | {j} for i in piece for j in near[i] - piece]
-        return [(",".join(map(str, sorted(p))), sum(len(near[i] - p) for i in p)) for p in seen]
+            held, cuts, open_ = todo.pop()
+            if not open_:
+                yield sorted(held), cuts
+            else:
+                todo.append((held, cuts + 1, open_[1:]))
+                todo.append(((*held, open_[0]), cuts, (*open_[1:], *tree.kids[open_[0]])))
+
+
+def all_fragments(structures: DataFrame, batch: int = 10_000) -> DataFrame:
+    """(acc, ids, n_cleavages): every connected piece with the number of links cut around it.
 
+    There may be exponentially many of a structure, so they leave its task in batches as they are found."""
     kind = dict(structures.dtypes)["acc"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, rows = ["acc", "ids", "n_cleavages"], []
         for df in batches:
             for acc, residues in zip(df["acc"], df["residues"]):
-                rows = pieces(residues) if len(residues) <= most else [(None, None)]
-                yield pd.DataFrame([(acc, *r) for r in rows], columns=["acc", "ids", "n_cleavages"])
+                for ids, cuts in pieces(residues):
+                    rows.append((acc, ",".join(map(str, ids)), cuts))
+                    if len(rows) == batch:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
     return structures.select("acc", "residues").mapInPandas(run, f"acc {kind}, ids string, n_cleavages int")
 
