@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction (operator 1).
 
-Base matches of four kinds (email, ip, card, phone) are seeds.  The words and cue before a
-match are its lexical patterns; identifier-like strings that are no base match are candidates
-with patterns of their own.  Patterns and values form a graph whose scores Spark computes in
-rounds: a pattern scores by the share of its distinct values that are known to be of one kind,
-a candidate by the patterns it stands in (noisy or).  Candidates that score high, in patterns
-with enough distinct seeds, are added as spans; base spans always stay.
+Base matches of four kinds (email, ip, card, phone) are seeds; so are secrets, key-like strings
+that are assigned to a name of a credential.  The words and cue before a match are its lexical
+patterns; identifier-like strings that are no base match are candidates with patterns of their
+own.  Patterns and values form a graph whose scores Spark computes in rounds: a pattern scores
+by the share of its distinct values that are known to be of one kind, a candidate by the
+patterns it stands in (noisy or).  Candidates that score high, in patterns with enough distinct
+seeds, and known values that stand elsewhere in another form or without cue, are added as
+spans; base spans always stay.
 
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive;
 copies of a text give their values once to the graph; a null doc_id is kept; repeated rows give
@@ -14,6 +16,7 @@ repeated results; an empty table gives no rows; columns other than doc_id and te
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,19 +29,24 @@ from pyspark.sql import functions as F
 from ..operators.lineage import cut_lineage
 from . import common
 
-#: Fixed value: kinds in the order of all results.
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order of all results; the first BASE have base matches.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE, SECRET = 4, 4
 
-LOCAL = "A-Za-z0-9._%+-"
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(rf"[{LOCAL}]*\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: Candidates: number-like and address-like strings.
+#: Candidates: number-like, address-like and key-like strings.
 NUMBER = re.compile(r"(?<![\w+])[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![\w])")
 ADDRESS = re.compile(r"(?<![^\s<(\[\"'])[A-Za-z0-9._%+-]{2,64}(?:@| ?\(at\) ?| ?\[at\] ?| at )[A-Za-z0-9-]{2,63}(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]{2,63}){0,4}")
+KEY = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_+/=-])")
+#: Characters of a key-like string at most.
+KEY_CHARS = 512
+#: Fixed value: what a name of a credential holds, with the sign that assigns to it.
+CREDENTIAL = re.compile(r"(?:token|secret|passw(?:or)?d|credential|auth|(?:api|access|private|secret)[_ -]?key)[\w.-]{0,24}[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?\Z", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+|[:=#]")
 CUES = ":=#"
 LEFT = 48
@@ -67,12 +75,8 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
         begin = at
-        low = max(done, at - 256)
-        while True:  # the run of local characters before the @, widened while it fills the window
-            begin = LOCAL_END.search(text, low, at).start()
-            if begin > low or low == done:
-                break
-            low = max(done, low - 4 * (at - low))
+        while begin > done and text[begin - 1] in LOCAL:  # what precedes an @ is walked once: @ is no local character
+            begin -= 1
         if begin < at and (m := DOMAIN.match(text, at + 1)):
             yield begin, m.end()
             done = m.end()
@@ -116,7 +120,52 @@ def kinds_of(value: str) -> list[int]:
 
 def normal(value: str) -> str:
     """Values that differ in separators or case only are one instance."""
-    return re.sub(r"[\s().-]+", "", value.casefold()) if value[:1] in "+0123456789" else value.casefold()
+    return re.sub(r"[\s().+-]+", "", value.casefold()) if value[:1] in "+0123456789" else value.casefold()
+
+
+def key_like(value: str) -> bool:
+    """Letters and digits, and not few of the latter, as in random strings and unlike words."""
+    digits = sum(c.isdigit() for c in value)
+    return len(value) <= KEY_CHARS and 8 * digits >= len(value) and any(c.isalpha() for c in value)
+
+
+class Taken:
+    """Stretches of a text that base spans cover."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        for b, e in sorted((b, e) for _, b, e in spans):
+            if self.ends and b <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.begins.append(b)
+                self.ends.append(e)
+
+    def meets(self, b: int, e: int) -> bool:
+        at = bisect.bisect_left(self.begins, e)
+        return at > 0 and self.ends[at - 1] > b
+
+
+def contexts(text: str) -> tuple[list, list, list]:
+    """(base spans, seeds (kind, value, pattern), candidates (kind, b, e, value, pattern)) of a text.
+
+    A secret that is assigned to a credential's name is a seed, and also a candidate, as it is no base span."""
+    base = base_spans(text)
+    seeds = [(k, normal(text[b:e]), p) for k, b, e in base for p in patterns(text, b)]
+    taken, found = Taken(base), []
+    for m in [*NUMBER.finditer(text), *(ADDRESS.finditer(text) if "at" in text or "@" in text else ())]:
+        b, e = m.span()
+        if not taken.meets(b, e):
+            found += [(k, b, e, normal(m.group()), p) for k in kinds_of(m.group()) for p in patterns(text, b) or [""]]
+    for m in KEY.finditer(text):
+        b, e = m.span()
+        if key_like(m.group()) and not taken.meets(b, e):
+            value, before = m.group().casefold(), patterns(text, b) or [""]
+            found += [(SECRET, b, e, value, p) for p in before]
+            if CREDENTIAL.search(text, max(0, b - LEFT), b):
+                seeds += [(SECRET, value, p) for p in before]
+    return base, seeds, found
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -131,14 +180,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column("text"):
                 text = text.as_py()
-                base = base_spans(text)
-                seeds = [(k, normal(text[b:e]), p) for k, b, e in base for p in patterns(text, b)]
-                taken = sorted((b, e) for _, b, e in base)
-                found = []
-                for m in [*NUMBER.finditer(text), *(ADDRESS.finditer(text) if "at" in text or "@" in text else ())]:
-                    b, e = m.span()
-                    if not any(x < e and b < y for x, y in taken):
-                        found += [(k, b, e, normal(m.group()), p) for k in kinds_of(m.group()) for p in patterns(text, b)]
+                base, seeds, found = contexts(text)
                 rows.append((f"{part}-{n}", hashlib.sha256(text.encode()).hexdigest() if found else None, base, seeds, found))
                 n += 1
             cols = list(zip(*rows)) or [(), (), (), (), ()]
@@ -152,29 +194,30 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, sure: float = SURE) -> DataFrame:
-    """(kind, value) of candidates that the graph accepts.
+    """(kind, value) of seeds and of candidates that the graph accepts.
 
-    edges: distinct (pattern, kind, value, seed).  Each round aggregates before it joins."""
-    total = edges.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
+    edges: distinct (pattern, kind, value, seed); an empty pattern gives no score.  Each round aggregates
+    before it joins."""
+    named = edges.where("pattern <> ''")
+    total = named.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
     scores = edges.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("s"))
     for _ in range(rounds):
         by_pattern = (
-            edges.join(scores, ["kind", "value"])
+            named.join(scores, ["kind", "value"])
             .groupBy("pattern", "kind")
             .agg(F.sum("s").alias("known"))
             .join(total, "pattern")
             .where(F.col("known") >= support)
             .select("pattern", "kind", F.least(F.lit(0.999), F.col("known") / F.col("n")).alias("p"))
         )
-        by_value = edges.join(by_pattern.where(F.col("p") >= sure), ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("q"))
+        by_value = named.join(by_pattern.where(F.col("p") >= sure), ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("q"))
         scores = cut_lineage(
             edges.groupBy("kind", "value")
             .agg(F.max("seed").alias("seed"))
             .join(by_value, ["kind", "value"], "left")
             .select("kind", "value", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("q", F.lit(0.0))).alias("s"))
         )
-    known = edges.where("seed = 1").select("kind", "value").distinct()
-    return scores.where(F.col("s") >= sure).join(known, ["kind", "value"], "left_anti").select("kind", "value")
+    return scores.where(F.col("s") >= sure).select("kind", "value")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -202,8 +245,9 @@ def number(kind: int) -> Column:
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: personal data in all documents."""
     found = find(common.table(spark, sf_dir, "documents"))
-    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_union("base", "more")).alias("spans"))
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:BASE])]
+    spans = F.array_union("base", "more")
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -214,18 +258,19 @@ def redacted(docs: DataFrame) -> DataFrame:
     are any does a join move texts."""
     found = find(docs).where(F.size("more") > 0)
     columns = docs.columns
-    marked = docs.withColumn("pii_more", F.array().cast("array<struct<kind:int,b:int,e:int>>"))
-    more = common.written(found.select(F.col("doc_id").alias("pii_id"), F.col("sha").alias("pii_sha"), F.col("more").alias("pii_more")), "pii-more")
+    name = common.free(docs, "pii_more")
+    marked = docs.withColumn(name, F.array().cast("array<struct<kind:int,b:int,e:int>>"))
+    more = common.written(found.select(F.col("doc_id").alias("pii_id"), F.col("sha").alias("pii_sha"), F.col("more").alias(name)), "pii-more")
     if not more.isEmpty():
-        more = more.groupBy("pii_id", "pii_sha").agg(F.first("pii_more").alias("pii_more"))
+        more = more.groupBy("pii_id", "pii_sha").agg(F.first(name).alias(name))
         same = docs["doc_id"].cast("long").eqNullSafe(more["pii_id"]) & (F.sha2(docs["text"].cast("binary"), 256) == more["pii_sha"])
-        marked = docs.join(more, same, "left").drop("pii_id", "pii_sha")
-    schema = marked.drop("pii_more").schema
+        marked = docs.join(more, same, "left").select(*(docs[c] for c in columns), more[name])
+    schema = marked.drop(name).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, sizes = [], []
-            for text, more in zip(b.column("text").to_pylist(), b.column("pii_more").to_pylist()):
+            for text, more in zip(b.column("text").to_pylist(), b.column(name).to_pylist()):
                 spans = base_spans(text or "") + [(s["kind"], s["b"], s["e"]) for s in more or []]
                 out, at = [], 0
                 for k, x, y in sorted(spans, key=lambda s: (s[1], -s[2])):

@@ -4,8 +4,8 @@ Features of a whole text are its words, hashed into DIM slots with damped, norme
 structure statistics, and its recorded length (n_chars).  Every feature has a weight and a
 vector of FACTORS numbers; pairs interact by the product of their vectors, summed in linear
 time as half of (sum of v x)^2 - sum of (v x)^2.  The machine is fitted on the driver by
-AdaGrad over at most SAMPLE labelled documents (least hash of doc_id), whose features Spark
-computes; scoring runs where the texts are.
+AdaGrad over at most SAMPLE labelled documents (least hash of doc_id, one row each, of at most
+SAMPLE_BYTES), whose features Spark computes; scoring runs where the texts are.
 
 Learning uses only labels of rows with crc32(doc_id as text) mod 3 other than 1; labels, lang,
 source and doc_id are never features.
@@ -29,8 +29,9 @@ from . import common
 from .near_dedup import documents_of, word_hashes
 
 DIM, FACTORS = 1 << 14, 8
-#: Labelled documents that the machine is fitted on, at most.
-SAMPLE = 6_000
+#: Labelled documents that the machine is fitted on, at most, and bytes of a text among them: the bound of what
+#: reaches the driver.  Longer texts are scored like all others.
+SAMPLE, SAMPLE_BYTES = 6_000, 20_000
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.05, 1e-4
 
 CLASSES = {
@@ -165,6 +166,7 @@ def held_out(doc_id: Column) -> Column:
 
 def taken(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_chars) with nulls filled; n_chars may be missing."""
+    common.small_batches(docs.sparkSession)
     n = F.coalesce(F.col("n_chars").cast("long"), F.lit(0)) if "n_chars" in docs.columns else F.length("text").cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(n, F.lit(0)).alias("n_chars"))
 
@@ -175,7 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
     known = known.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("quality").alias("quality"))
     # At most `sample` rows of two numbers: the bound of what is broadcast.
     known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    rows = taken(docs).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    rows = taken(docs).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    # Of rows of one doc_id the one of the least text hash: at most a row a label reaches the driver.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "n_chars")).alias("row")).select("doc_id", "quality", "row.text", "row.n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,19 +208,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
     return fit(f, made.column("label").to_numpy().astype(np.float64))
 
 
-def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """docs' rows, all columns kept, with quality_score; those without machine score 0.5."""
+def score(docs: DataFrame, machine: Machine | None, name: str = "quality_score") -> DataFrame:
+    """docs' rows, all columns kept, with their score as column `name` (which docs must not have); those without machine score 0.5."""
     if machine is None:
-        return docs.withColumn("quality_score", F.lit(0.5))
+        return docs.withColumn(name, F.lit(0.5))
     small = Machine(float(machine.w0), machine.w.astype(np.float32), machine.v.astype(np.float32), machine.mean, machine.scale)
-    schema = docs.withColumn("quality_score", F.lit(0.5)).schema
+    schema = docs.withColumn(name, F.lit(0.5)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column("text").cast(pa.string()).fill_null("")
             n_chars = b.column("n_chars").cast(pa.int64()).fill_null(0).to_numpy() if "n_chars" in b.schema.names else np.array([len(t.as_py()) for t in text])
             scores = [small.score(features(data, offsets, n_chars[at : at + len(offsets) - 1])) for at, data, offsets in documents_of(text)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -235,4 +239,5 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier predicts as good, with their own columns."""
-    return score(docs, train(docs, labels)).where(F.col("quality_score") >= 0.5).drop("quality_score")
+    name = common.free(docs, "quality_score")
+    return score(docs, train(docs, labels), name).where(F.col(name) >= 0.5).drop(name)

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -77,8 +79,42 @@ def test_dedup_keeps_one_row_of_a_doc_id_and_text(spark):
     assert Counter(map(tuple, got)) == Counter({(1, a, 1): 1, (1, b, 2): 1, (3, c, 3): 1, (4, None, 4): 1, (5, "", 5): 1, (None, c, 6): 2})
 
 
+def test_pii_discovers_secrets_by_pattern(spark):
+    """Assigned secrets induce patterns; those find one of another shape, and a known one without its cue."""
+    key = lambda i: hashlib.sha1(b"%d" % i).hexdigest()
+    docs = [(i, f'some words here client token = "{key(i)}" and more') for i in range(12)] + [(20, f"nothing but {key(3)} here"), (21, f"commit {key(99)} fixes it")]
+    docs += [(22, "client token ZZ-9x9x9x9x9x9x9x9x9x"), (23, 'their CLIENT TOKEN = "AB12CD34EF56GH78"')]
+    got = {r.doc_id: [(pii.KINDS[s.kind], s.b, s.e) for s in r.more] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == [("secret", 32, 72)] and got[20] == [("secret", 12, 52)] and got[21] == [] and got[23] == [("secret", 22, 38)]
+    # Copies of one text count once, so that they give no pattern support.
+    one = [(i, "see Phone: +1 (010) 555-7710 end") for i in range(30)] + [(40, "see Phone: 017 555 8899 now")]
+    assert not [r for r in pii.find(spark.createDataFrame(one, "doc_id long, text string")).collect() if r.more]
+
+
 def test_pii_long_runs_are_linear():
     assert pii.base_spans("a" * 200_000 + "@" * 1_000 + "999." * 50_000 + "+" * 1_000) == []
+    began = time.process_time()
+    assert pii.base_spans("a" * 500_000 + " " + "b" * 500_000 + "@x.y") == [(0, 500_001, 1_000_005)]
+    pii.contexts("ab12" * 100_000 + " a@b.c" * 20_000 + " 017 555 8899" * 20_000)
+    assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("stage", [pii.redacted, lambda d: quality.accepted(d, d.selectExpr("doc_id", "1 as quality").limit(0))])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    names = ["doc_id", "text", "lang", "quality_score", "quality_score_", "pii_more", "pii_id", "pii_sha", "more", "n_chars"]
+    docs = spark.createDataFrame([(1, "mail a@b.cd", "en", 0.1, 2, "m", 7, "s", "x", 11), (None, None, None, None, None, None, None, None, None, None)], ", ".join(f"{n} {t}" for n, t in zip(names, "long string string double long string long string string long".split())))
+    out = stage(docs)
+    assert out.columns == names and out.count() == 2
+    assert {r.pii_more for r in out.collect()} == {"m", None}
+
+
+def test_training_takes_a_row_a_label(spark):
+    """Rows of one doc_id give one row, so what reaches the driver is bounded."""
+    a, b, c = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    docs = spark.createDataFrame([(a, f"text {i} of many words", 10) for i in range(50)] + [(b, "bad $$$ $$$", 5), (c, "x" * 100_000, 5)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(a, 1), (b, 0), (c, 1)], "doc_id long, quality int")
+    machine = quality.train(docs, labels)
+    assert machine is not None and len(quality.score(docs, machine).collect()) == 52
 
 
 def test_quality(spark):
@@ -146,11 +182,59 @@ def test_voronoi_join_of_repeated_ids(spark, pivots):
     assert got == {(q, *r) for q, f in plain.items() for r in f(q, 3)}
 
 
-def test_voronoi_bounds_count_rows_of_the_own_id():
-    pivots = np.array([[10.0], [5.0]])
-    s = voronoi_join.Summary(pivots, np.array([3.0, 9.0]), np.zeros(2), np.array([10.0, 5.0]))
-    asked = np.array([[1.0], [1.0]])
-    assert voronoi_join.needed(asked, s, 1 + np.array([1, 3])).tolist() == [[True, False], [True, True]]
+def plain_top(v, asked, k):
+    return {(q, r + 1, i, s) for q, x in asked for r, (s, i) in enumerate(sorted(((sum(int(a) * int(b) for a, b in zip(x, y)), i) for i, y in v if i != q), key=lambda p: (-p[0], p[1]))[:k])}
+
+
+def voronoi(spark, v, asked, k, **how):
+    data, queries = spark.createDataFrame(v, "vec_id long, vec array<long>"), spark.createDataFrame(asked, "query_id long, qvec array<long>")
+    return {tuple(r) for r in voronoi_join.top_k(data, queries, k, **how).collect()}
+
+
+def test_voronoi_join_sends_few_rows_of_clustered_data(spark):
+    """Several groups, blocks and parts; under a fifth of rows times groups is sent."""
+    rng = np.random.default_rng(11)
+    centres = 1000 * np.eye(12, dtype=int)
+    v = [(i, (centres[i % 12] + rng.integers(-20, 21, 12)).tolist()) for i in range(2_400)]
+    asked, told = v[::4], {}
+    assert voronoi(spark, v, asked, 5, part_bytes=4_000, block=20, told=told) == plain_top(v, asked, 5)
+    assert told["groups"] >= 12 and told["sent"] < 0.2 * told["rows"] * told["groups"]
+
+
+def test_voronoi_join_where_nothing_prunes(spark):
+    """Cells share groups, so rows are sent once a block of queries."""
+    rng = np.random.default_rng(12)
+    v = [(i, rng.integers(-50, 51, 16).tolist()) for i in range(600)]
+    asked, told = v[::3], {}
+    assert voronoi(spark, v, asked, 5, part_bytes=20_000, block=50, told=told) == plain_top(v, asked, 5)
+    assert told["groups"] <= 8
+
+
+def test_voronoi_join_is_exact_for_large_components(spark):
+    big = 2**30
+    v = [(i, [big + i, -big, big // 3 + i % 7]) for i in range(40)] + [(90, [2**62, 2**62, 0]), (91, [-(2**62), 2**62, 2**62])]
+    asked = [v[3], v[17]]
+    clip = lambda s: max(-voronoi_join.LONG, min(voronoi_join.LONG, s))
+    want = {(q, r, i, clip(s)) for q, r, i, s in plain_top(v, asked, 42)}
+    assert {(q, i, s) for q, _, i, s in voronoi(spark, v, asked, 42)} == {(q, i, s) for q, _, i, s in want}
+
+
+def test_voronoi_bounds_hold():
+    rng = np.random.default_rng(3)
+    q, v = rng.integers(-99, 100, (50, 6)).astype(float), rng.integers(-99, 100, (80, 6)).astype(float)
+    own, far = voronoi_join.nearest_pivot(q, v[:5])
+    cells = voronoi_join.Cells(v[:5], np.bincount(own, minlength=5), np.array([far[own == c].max(initial=0) for c in range(5)]))
+    low, high, scores = cells.ends(v, -1)[:, own].T, cells.ends(v, 1)[:, own].T, q @ v.T
+    assert (low < scores).all() and (scores < high).all()
+
+
+def test_vectors_of_other_lengths_take_no_part(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("lengths"))
+    v = [(100 * i, [0.1 * i, 0.5]) for i in range(5)] + [(7, []), (8, [0.1]), (9, [0.1, 0.2, 0.3]), (10, None)]
+    spark.createDataFrame(v, "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    for name in ("op3_pruned_graph", "op4_voronoi_join"):
+        got = rows(spark, name, at)
+        assert {r.query_id for r in got} == {r.vec_id for r in got} == {0, 100, 200, 300, 400} and len(got) == 20
 
 
 def test_graph_search_of_repeated_ids(spark):
@@ -161,6 +245,32 @@ def test_graph_search_of_repeated_ids(spark):
     assert got == {(q, *r) for q, f in plain.items() for r in f(q, 3)}
 
 
+def test_graph_search_over_several_shards_and_blocks(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1_500, 16))
+    data = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, vec array<double>")
+    queries = data.where("vec_id % 5 = 0").selectExpr("vec_id as query_id", "vec as qvec")
+    got = graph_search.nearest(data, queries, 10, shard=300, block=100).collect()
+    scores = v @ v.T
+    np.fill_diagonal(scores, -np.inf)
+    want = np.argsort(-scores, axis=1)[:, :10]
+    hits = sum(r.vec_id in want[r.query_id] for r in got)
+    assert len(got) == 3_000 and hits >= 0.97 * len(got)
+    assert all(r.score == pytest.approx(scores[r.query_id, r.vec_id], abs=1e-12) for r in got)
+
+
+def test_search_meets_a_small_share_of_a_shard():
+    rng = np.random.default_rng(10)
+    points = rng.normal(size=(40, 8))[rng.integers(0, 40, 6_000)] * 10 + rng.normal(size=(6_000, 8))
+    links, entry = graph_search.build_graph(points)
+    assert links.shape == (6_000, graph_search.DEGREE)
+    met: list[int] = []
+    found, _ = graph_search.beam_search(points, links, points[:200] + 0.01, entry, graph_search.BEAM, met)
+    near = ((points[:200, None] + 0.01 - points[None]) ** 2).sum(axis=2).argsort(axis=1)[:, :20]
+    assert np.mean([len(set(f[:20]) & set(n)) / 20 for f, n in zip(found.tolist(), near.tolist())]) >= 0.95
+    assert np.mean(met) < 0.2 * len(points)
+
+
 def test_robust_prune_keeps_diverse_edges():
     points = np.array([[0.0, 0], [1, 0], [1.1, 0], [0, 1]])
     assert set(graph_search.robust_prune(points, 0, np.array([1, 2, 3]))) == {1, 3}
@@ -320,6 +430,19 @@ def test_byte_bpe(spark, folder):
             assert bpe.encode(text) == e.encode_ordinary(text) and bpe.decode(bpe.encode(text)) == text.encode()
 
 
+def test_byte_bpe_joins_grow_until_stable(monkeypatch):
+    """Joins of small leaves against merging the whole string, with merges that reach far over a seam."""
+    monkeypatch.setattr(byte_bpe, "LEAF", 2)
+    ranks = {t: r for r, t in enumerate([b"a", b"b", b"aa", b"aaaa", b"ab", b"aab", b"aaaaaaaa", b"ba", b"abab"])}
+    bpe = byte_bpe.Bpe(ranks, r"\S+")
+    for n in range(1, 13):
+        for letters in itertools.product(b"ab", repeat=n):
+            data = bytes(letters)
+            assert bpe.encode_piece(data) == bpe.leaf(data) and bpe.decode(bpe.encode_piece(data)) == data
+    assert bpe.windows > bpe.grown > 100
+    assert bpe.decode(np.tile([0, 1, 3], 5_000)) == b"abaaaa" * 5_000  # several levels of runs
+
+
 def plain_groups(docs):
     """doc -> (shingles, component) by comparing all pairs."""
     sets = {}
@@ -372,6 +495,24 @@ def test_near_dedup_of_many_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_groups(docs)
 
 
+def test_hot_band_of_many_unlinked_components(spark):
+    """Ten thousand components share one band; the few pairs that may be linked are found, in blocks."""
+    rng = np.random.default_rng(8)
+    sets = {i: rng.integers(0, 2**63, int(rng.integers(8, 60))).astype(np.uint64) for i in range(10_000)}
+    for i in range(0, 40, 2):
+        sets[i + 1] = np.append(sets[i], rng.integers(0, 2**63, 1).astype(np.uint64))
+    slim = spark.createDataFrame([(i, len(x), near_dedup.parity_sketch(x).tolist()) for i, x in sets.items()], "id long, n_shingles long, sketch array<long>")
+    mixed = spark.createDataFrame([(7, i, i) for i in sets] + [(8, i, i // 2) for i in range(6)], "band long, id long, comp long")
+    got = {tuple(r) for r in near_dedup.across_pairs(mixed, slim).collect()}
+    assert {(i, i + 1) for i in range(0, 40, 2)} <= got and len(got) < 200
+    plain = mixed.join(slim, "id")
+    small = plain.where("id < 400").select("band", "id", "comp")
+    rows = {r.id: (r.n_shingles, r.sketch) for r in slim.where("id < 400").collect()}
+    ok = lambda a, b: 100 * min(a[0], b[0]) >= 75 * max(a[0], b[0]) and sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a[1], b[1])) <= (a[0] + b[0]) / 7
+    want = {(i, j) for i in rows for j in rows if i < j and ok(rows[i], rows[j])}
+    assert {tuple(r) for r in near_dedup.across_pairs(small, slim, block=30).collect()} == want
+
+
 def test_signature_is_super_min_hash():
     rng = np.random.default_rng(2)
     sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 3, 40, 700)]
