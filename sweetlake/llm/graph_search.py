@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a robust-pruned directed graph (operator 3).
 
-Equal vectors are one node.  Nodes are dealt at random into shards of a bounded mean size.  In
+Equal vectors are one node.  Nodes are dealt at random into shards of a bounded mean size, large so that a
+search meets a small share of its shard.  In
 each shard a directed graph is grown: a greedy search from the entry node proposes a node's
 neighbours, and pruning keeps, nearest first, only those that no kept neighbour is much nearer
 to (factor ALPHA), so that edges stay few and diverse; reverse edges are added and pruned the
@@ -14,7 +15,7 @@ coordinate that makes inner products distances.
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows
 without id, take no part; ties go to the smaller id; equal vectors are all found; repeated ids
 are repeated candidates; fewer than k candidates are all returned if found; an empty table
-gives no rows.  All vectors must have one length.
+gives no rows; vectors of another length than the most common one (of ties, the shortest) take no part.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Mean nodes of a shard and queries of a block.
-SHARD, BLOCK = 4_096, 2_048
-DEGREE, BEAM, BUILD_BEAM, ALPHA = 32, 96, 64, 1.2
+SHARD, BLOCK = 16_384, 2_048
+DEGREE, BEAM, BUILD_BEAM, ALPHA = 32, 128, 64, 1.2
+#: Edges beyond DEGREE that a node may gather while its graph grows, before it is pruned again.
+SLACK = 24
 #: Nodes that are inserted, and queries that are searched, side by side.
 SIDE = 256
 
@@ -42,14 +45,23 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(vec, lambda x: x != 0)
 
 
+def of_one_length(rows: DataFrame, vec: str) -> DataFrame:
+    """Rows whose vectors have the most common length; of ties the shortest."""
+    sizes = rows.groupBy(F.size(vec).alias("n")).agg(F.count("*").alias("rows"))
+    most = sizes.agg(F.max_by("n", F.struct("rows", -F.col("n"))).alias("n")).first().n
+    return rows if most is None else rows.where(F.size(vec) == most)
+
+
 def as_matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(rows, -1)
 
 
-def beam_search(points: np.ndarray, links: np.ndarray, asked: np.ndarray, entry: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(points: np.ndarray, links: np.ndarray, asked: np.ndarray, entry: int, beam: int, met: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, distances) of the beam of each query, nearest first; -1 and inf where there are fewer.
 
+    met gets the number of nodes whose distances were taken, of each query.
+
     All queries take a step together: each expands its nearest node not yet expanded."""
     q, n = len(asked), len(points)
     norms = (points**2).sum(axis=1)
@@ -83,6 +95,8 @@ def beam_search(points: np.ndarray, links: np.ndarray, asked: np.ndarray, entry:
         dist[active] = all_d[at, keep]
         ids[active] = np.concatenate([ids[active], np.where(fresh, near, -1)], axis=1)[at, keep]
         done[active] = np.concatenate([done[active], ~fresh], axis=1)[at, keep]
+    if met is not None:
+        met += seen.sum(axis=1).tolist()
     order = dist.argsort(axis=1, kind="stable")
     at = np.arange(q)[:, None]
     return np.where(np.isfinite(dist[at, order]), ids[at, order], -1), dist[at, order]
@@ -109,7 +123,7 @@ def robust_prune(points: np.ndarray, node: int, proposed: np.ndarray, alpha: flo
 def build_graph(points: np.ndarray, seed: int = 3) -> tuple[np.ndarray, int]:
     """(links, entry) of a shard's graph; links are padded with -1."""
     n = len(points)
-    links = np.full((n, DEGREE), -1, np.int64)
+    links = np.full((n, DEGREE + SLACK), -1, np.int64)
     entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
     order = np.random.default_rng(seed).permutation(n)
     order = np.concatenate([[entry], order[order != entry]])
@@ -128,12 +142,15 @@ def build_graph(points: np.ndarray, seed: int = 3) -> tuple[np.ndarray, int]:
         for k, more in back.items():
             have = links[k][links[k] >= 0]
             new = np.unique(np.concatenate([have, more]))
-            if len(new) > DEGREE:
+            if len(new) > DEGREE + SLACK:
                 new = robust_prune(points, k, new)
             links[k, : len(new)], links[k, len(new) :] = new, -1
         at += width
         width = min(SIDE, 2 * width, max(1, at // 2))
-    return links, entry
+    for node in np.flatnonzero(links[:, DEGREE] >= 0):
+        kept = robust_prune(points, node, links[node])
+        links[node, : len(kept)], links[node, len(kept) :] = kept, -1
+    return links[:, :DEGREE], entry
 
 
 def lifted(vectors: np.ndarray, most: float) -> np.ndarray:
@@ -248,7 +265,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD,
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, vec) of the usable rows, as doubles."""
     rows = common.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return rows.where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
+    return of_one_length(rows.where(F.col("vec_id").isNotNull() & usable(F.col("vec"))), "vec")
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
