@@ -6,7 +6,8 @@ seam are taken back to bytes and encoded again in a window that grows on either
 the tokens next to the window's ends are stable.  A token sequence is the encoding of its
 bytes exactly if every two neighbours in it are (each merge has a fixed rank), so a window
 whose outer pairs each encode to themselves proves the whole join.  Joining is associative,
-so any tree gives the same ids; decoding concatenates the tokens' bytes up the same tree.
+so any tree gives the same ids; decoding concatenates the bytes of neighbours, from leaves of a
+run of tokens, up a tree likewise.
 
 Defined results: a null or empty text has no ids, the hash of the empty string and no bytes;
 very long matches are split in halves, never scanned pair by pair as one.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import array
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import Halves
+from .tokens import BYTE_PATTERN, BYTE_PIECES, UNCOMMON, Halves
 
-#: Byte strings up to this length are leaves of the tree.
-LEAF = 24
+#: Byte strings up to this length are leaves of the encoding tree; runs of so many tokens are those of the decoding tree.
+LEAF, RUN = 6, 1024
 ENCODED = "doc_id long, ids array<int>"
 
 
@@ -45,7 +47,9 @@ class Bpe:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.cut = regex.compile(pattern).findall
+        self.common_cut = re.compile(BYTE_PIECES).findall if pattern == BYTE_PATTERN else self.cut
         self.pair_ok = Halves(self._pair_ok)
+        self.windows = self.grown = 0  # boundary windows that were encoded again, and those that had to grow
         self.known = Halves(lambda piece: array.array("i", self.encode_piece(piece.encode())).tobytes())
         size = max(self.bytes_of, default=-1) + 1
         self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], np.int64)
@@ -86,11 +90,13 @@ class Bpe:
             return left + right
         i, j = 1, 1
         while True:
+            self.windows += 1
             window = self.merged(b"".join(self.bytes_of[t] for t in left[len(left) - i :] + right[:j]))
             left_ok = i == len(left) or self.pair_ok[left[-i - 1], window[0]]
             right_ok = j == len(right) or self.pair_ok[window[-1], right[j]]
             if left_ok and right_ok:
                 return left[: len(left) - i] + window + right[j:]
+            self.grown += 1
             i, j = (i if left_ok else min(len(left), 2 * i)), (j if right_ok else min(len(right), 2 * j))
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -106,14 +112,22 @@ class Bpe:
         """Ids of a text as 32-bit integers, one after the other."""
         self.known.turn()
         self.pair_ok.turn()
-        return b"".join(map(self.known.__getitem__, self.cut(text)))
+        cut = self.cut if UNCOMMON.search(text) else self.common_cut
+        return b"".join(map(self.known.__getitem__, cut(text)))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.pack(text), np.int32).tolist()
 
     def decode(self, ids: list[int] | np.ndarray) -> bytes:
-        """Bytes of all ids, gathered from the vocabulary's bytes."""
+        """Bytes of all ids: neighbours are concatenated, level by level, from runs of tokens up."""
         ids = np.asarray(ids, np.int64)
+        level = [self.run_bytes(ids[i : i + RUN]) for i in range(0, len(ids), RUN)] or [b""]
+        while len(level) > 1:
+            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+        return level[0]
+
+    def run_bytes(self, ids: np.ndarray) -> bytes:
+        """Bytes of a run of ids, gathered from the vocabulary's bytes."""
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
         return self.bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[ids] - ends + sizes, sizes)].tobytes()

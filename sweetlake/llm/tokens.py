@@ -27,7 +27,9 @@ UNCOMMON = re.compile(f"[^\\t\\n\\r {LETTERS}{NUMBERS}{SIGNS.replace('[', chr(92
 LONG = 64
 #: Entries of a memo's newer half; the older half has as many at most.  With LONG it bounds a worker's memo to some 80 MB.
 MEMO = 200_000
-#: How the two kinds of vocabulary cut a normalised text of common characters into pieces.
+#: How the two kinds of vocabulary cut a normalised text of common characters into pieces; the first is
+#: BYTE_PATTERN, of any characters, with classes spelled out and letters first.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BYTE_PIECES = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 WORD_PIECES = rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
 
