@@ -42,6 +42,8 @@ SLOTS = BANDS * ROWS
 BITS = 1024
 #: Rounds of comparing with a hub of the bucket's main component.
 ROUNDS = 2
+#: Classes of a block of a large band.
+BLOCK = 512
 #: Bytes of text that are hashed together.
 BYTES = 1_000_000
 
@@ -264,12 +266,25 @@ def hub_pairs(mixed: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def across_pairs(mixed: DataFrame, slim: DataFrame) -> DataFrame:
-    """Pairs of one band and different components that may be linked."""
-    wide = mixed.join(slim, "id")
+def across_pairs(mixed: DataFrame, slim: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs of one band and different components that may be linked.
+
+    A band of many classes is cut by hash into blocks of about `block`; every two blocks meet in a place of their
+    own, and in such a band only classes meet whose sizes are in the same or neighbouring powers of 4/3, as a
+    linked pair's are.  So no task holds a whole hot band, and no pair that may be linked is left out."""
+    blocks = mixed.groupBy("band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    wide = mixed.join(blocks, "band").join(slim, "id")
+    wide = wide.withColumn("own", F.pmod(F.xxhash64("id", F.lit(23)), F.col("blocks")).cast("int"))
+    wide = wide.withColumn("level", F.when(F.col("blocks") > 1, F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(4 / 3)))).otherwise(F.lit(0)).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    levels = F.when(F.col("blocks") > 1, F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).otherwise(F.array("level"))
+    kept = ["id", "comp", "n_shingles", "sketch"]
+    left = wide.select("band", F.col("own").alias("x"), F.explode(every).alias("y"), F.struct(*kept).alias("a"), levels.alias("levels"))
+    left = left.select("band", "x", "y", F.explode("levels").alias("level"), "a")
+    right = wide.select("band", F.explode(every).alias("x"), F.col("own").alias("y"), "level", F.struct(*kept).alias("b"))
     return (
-        wide.alias("a")
-        .join(wide.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.comp") < F.col("b.comp")) & near("a", "b"))
+        left.join(right, ["band", "x", "y", "level"])
+        .where((F.col("a.comp") < F.col("b.comp")) & near("a", "b"))
         .select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"))
         .where("src <> dst")
         .distinct()
