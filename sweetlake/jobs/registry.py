@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +22,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def scratch(self, name: str) -> str:
+        """A new folder in the shared one, for files that a query writes and reads again."""
+        return f"{shared_folder(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
 def query(name: str, sql: str | None = None):
     """Registers a function of Tables under a name."""

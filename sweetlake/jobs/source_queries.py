@@ -66,6 +66,79 @@ def s9(t):
     return readers.term_stanzas(t.part.select(value.alias("value")), ["GTC:", "GLY:"]).withColumn("xrefs", F.array_join("xrefs", ";"))
 
 
+def upserts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(old, new) annotations, where new ones lack, change and add some."""
+    k, v = F.col("o_orderkey"), text(F.col("o_orderkey") % 50)
+    base = t.orders.select(F.col("o_custkey").alias("acc"), k.alias("k"), F.array(v).alias("value"))
+    new = base.where("acc % 3 = 0 and k % 4 > 0").withColumn("value", F.when(F.col("k") % 7 == 0, F.array(F.lit("-1"))).otherwise(F.col("value")))
+    return base.where("k % 5 > 0"), new
+
+
+# Files that a sink writes and a reader reads
+
+
+@query("S1_S11_export_read_back", "SELECT c_custkey, c_name, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer")
+def s1_s11(t):
+    path = t.scratch("export")
+    sinks.write_export(t.customer.select("c_name", "c_custkey", "c_acctbal", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment")), path, ["c_custkey", "c_name", "c_acctbal", "segment"], ["c_name", "c_custkey"])
+    return readers.read_delimited(t.spark, path, "\t", "c_custkey long, c_name string, c_acctbal double, segment string")
+
+
+@query("S3_read_nested_records", "SELECT 'S' || p_partkey AS id, 'structure' AS kind, p_size AS taxid, 'P' || (p_partkey % 7) AS pmid FROM part")
+def s3_files(t):
+    """A file per p_size, each with one array of records over several lines."""
+    record = F.struct(
+        F.array(F.concat(F.lit("S"), text("p_partkey"))).alias("structures"), F.array().cast("array<string>").alias("compositions"),
+        F.array(F.struct(F.col("p_size").alias("taxid"), F.concat(F.lit("P"), text(F.col("p_partkey") % 7)).alias("pmid"))).alias("references"),
+    )
+    files = t.part.groupBy("p_size").agg(F.replace(F.to_json(F.collect_list(record)), F.lit("},{"), F.lit("},\n {")).alias("value"))
+    path = t.scratch("records")
+    files.write.partitionBy("p_size").text(path)
+    return readers.read_nested_records(t.spark, f"{path}/*")
+
+
+@query("S7_read_subsumption_dump", "SELECT CAST(p_size AS VARCHAR) AS bucket, 'node' AS kind, 'G' || p_partkey AS a, CAST(p_size AS VARCHAR) AS b, 'Topology' AS c FROM part UNION ALL SELECT CAST(p_size AS VARCHAR), 'edge', 'G' || p_partkey, 'H', 'subsumed' FROM part")
+def s7_files(t):
+    g, size = F.concat(F.lit("G"), text("p_partkey")), text("p_size")
+    path = t.scratch("dump")
+    t.part.select(F.concat(F.lit(" "), size, F.lit("\nNODE "), g, F.lit(" "), size, F.lit(" Topology\nEDGE "), g, F.lit(" H subsumed\n# DONE of cluster\n")).alias("value")).write.option("lineSep", "# START").text(path)
+    return readers.read_subsumption_dump(t.spark, path).where("kind <> 'warning'")
+
+
+TAXONOMY_SQL = """SELECT 'name' AS kind, n_nationkey AS id, -1 AS other, n_name AS value FROM nation WHERE n_nationkey % 5 < 4
+UNION ALL SELECT 'node', n_nationkey, n_regionkey, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'species' END FROM nation UNION ALL SELECT 'merged', n_nationkey + 1000, n_nationkey, '' FROM nation"""
+
+
+@query("S8_read_taxonomy", TAXONOMY_SQL)
+def s8(t):
+    folder, k = t.scratch("taxonomy"), F.col("n_nationkey")
+    line = lambda *cells: F.concat(F.concat_ws("\t|\t", *cells), F.lit("\t|")).alias("value")
+    classes = F.get(F.array(*map(F.lit, ("scientific name", "synonym", "common name", "genbank common name", "authority"))), (k % 5).cast("int"))
+    t.nation.select(line(text(k), F.col("n_name"), F.lit(""), classes)).write.text(f"{folder}/names.dmp")
+    t.nation.select(line(text(k), text("n_regionkey"), F.when(k % 3 == 0, "no rank").otherwise("species"), F.lit("x"))).write.text(f"{folder}/nodes.dmp")
+    t.nation.select(line(text(k + 1000), text(k))).write.text(f"{folder}/merged.dmp")
+    names, nodes, merged = readers.read_taxonomy(t.spark, folder)
+    none = F.lit(-1)
+    rows = names.select(F.lit("name").alias("kind"), F.col("tax_id").alias("id"), none.alias("other"), F.col("name").alias("value"))
+    rows = rows.unionByName(nodes.select(F.lit("node").alias("kind"), F.col("tax_id").alias("id"), F.col("parent_id").alias("other"), F.col("rank").alias("value")))
+    return rows.unionByName(merged.select(F.lit("merged").alias("kind"), F.col("old_id").alias("id"), F.col("tax_id").alias("other"), F.lit("").alias("value")))
+
+
+@query("S9_read_term_stanzas", "SELECT 'CHEBI:' || p_partkey AS id, p_name AS name, 'GTC:' || p_size AS xrefs FROM part")
+def s9_files(t):
+    path = t.scratch("stanzas")
+    value = F.concat(F.lit("[Term]\nid: CHEBI:"), text("p_partkey"), F.lit("\nname: "), "p_name", F.lit("\nxref: GTC:"), text("p_size"), F.lit(" {x}\nxref: OTHER:1"))
+    t.part.select(value.alias("value")).write.option("lineSep", "\n\n").text(path)
+    return readers.read_term_stanzas(t.spark, path, ["GTC:", "GLY:"]).withColumn("xrefs", F.array_join("xrefs", ";"))
+
+
+@query("S16_upserted_table", """WITH o AS (SELECT o_custkey AS acc, o_orderkey AS k, o_orderkey % 50 AS v FROM orders WHERE o_orderkey % 5 > 0), n AS (SELECT o_custkey AS acc, o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE o_orderkey % 50 END AS v FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey % 4 > 0)
+SELECT acc, k, CAST(v AS VARCHAR) AS value FROM n UNION ALL SELECT acc, k, CAST(v AS VARCHAR) FROM o WHERE acc NOT IN (SELECT acc FROM n)""")
+def s16_table(t):
+    base, new = upserts(t)
+    return sinks.upsert_annotations(base, new, ["acc", "k"])[0].select("acc", "k", F.array_join("value", ";").alias("value"))
+
+
 @query("S10_read_packed_scans", "SELECT p_partkey, 'hcd' AS mode, CAST(p_size AS DOUBLE) AS rt, p_retailprice AS precmz FROM part UNION ALL SELECT p_partkey, 'etd', 2.5, 1e3 FROM part")
 def s10(t):
     packed = F.concat(F.lit("hcd("), text("p_size"), F.lit(",7,"), text("p_retailprice"), F.lit(",0.5);etd(2.5,8,1e3,)"))
@@ -89,14 +162,14 @@ def s13(t):
 
 @query(
     "S14_alignments_to_triples",
-    """WITH a AS (SELECT 'motif:' || l_suppkey || ':' || l_orderkey || ':' || l_linenumber AS s, l_suppkey, l_orderkey, l_linenumber, l_quantity < 10 AS strict, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0)
+    """WITH a AS (SELECT 'motif:' || l_suppkey || ':' || l_orderkey || ':' || l_linenumber AS s, l_suppkey, l_orderkey, l_linenumber, l_quantity < 10 AS strict, l_partkey FROM lineitem)
 SELECT s, 'motif:ids' AS p, CASE WHEN strict THEN 's' ELSE 'i' END || l_partkey AS o FROM a UNION ALL SELECT s, 'motif:a', 'Alignment' FROM a UNION ALL SELECT s, 'motif:motif', CAST(l_suppkey AS VARCHAR) FROM a UNION ALL SELECT s, 'motif:structure', CAST(l_orderkey AS VARCHAR) FROM a
 UNION ALL SELECT s, 'motif:type', CAST(l_linenumber AS VARCHAR) FROM a UNION ALL SELECT s, 'motif:strict', CAST(strict AS VARCHAR) FROM a
 UNION ALL SELECT 'motif:' || md5(c_custkey || ':' || c_mktsegment || ':' || c_nationkey), unnest(['motif:glycan', 'motif:class', 'motif:subclass', 'motif:source']), unnest([CAST(c_custkey AS VARCHAR), c_mktsegment, CAST(c_nationkey AS VARCHAR), 'x']) FROM customer""",
 )
 def s14(t):
     n = text("l_partkey")
-    align = t.lineitem.where("l_orderkey % 10 = 0").select(
+    align = t.lineitem.select(
         F.col("l_suppkey").alias("motif"), F.col("l_orderkey").alias("structure"), text("l_linenumber").alias("type"), (F.col("l_quantity") < 10).alias("strict"), F.concat(F.lit("i"), n).alias("ids"), F.concat(F.lit("s"), n).alias("strict_ids")
     )
     classes = t.customer.select(F.col("c_custkey").alias("acc"), F.col("c_mktsegment").alias("type"), text("c_nationkey").alias("subtype"), F.lit("x").alias("source"))
@@ -117,10 +190,7 @@ def s15(t):
 SELECT acc, k, CASE WHEN o.v IS NULL THEN 'created' WHEN n.v IS NULL THEN 'deleted' ELSE 'updated' END AS change FROM o FULL JOIN n USING (acc, k) WHERE o.v IS NULL OR (n.v IS NULL AND acc IN (SELECT acc FROM n)) OR o.v <> n.v""",
 )
 def s16(t):
-    k, v = F.col("o_orderkey"), text(F.col("o_orderkey") % 50)
-    base = t.orders.select(F.col("o_custkey").alias("acc"), k.alias("k"), F.array(v).alias("value"))
-    new = base.where("acc % 3 = 0 and k % 4 > 0").withColumn("value", F.when(F.col("k") % 7 == 0, F.array(F.lit("-1"))).otherwise(F.col("value")))
-    return sinks.upsert_annotations(base.where("k % 5 > 0"), new, ["acc", "k"])[1]
+    return sinks.upsert_annotations(*upserts(t), ["acc", "k"])[1]
 
 
 @query(

@@ -95,13 +95,13 @@ def f8(t):
 
 @query(
     "F9_peptide_key",
-    "SELECT p_partkey, upper(p_type) || '|G' || least(p_size, 20) || '@N1,G' || greatest(p_size, 20) || '@N1|' || CASE WHEN p_size = 20 THEN '' ELSE '' END || '15.995@M' || (p_size % 3) AS key, substr(p_type, 1, 1) || '[ox]' || substr(p_type, 2) AS name FROM part WHERE p_size >= 20",
+    "SELECT p_partkey, upper(p_type) || '|' || least('G' || p_size, 'G20') || '@N1,' || greatest('G' || p_size, 'G20') || '@N1|15.995@M' || (p_size % 3) AS key, substr(p_type, 1, 1) || '[ox]' || substr(p_type, 2) AS name FROM part",
 )
 def f9(t):
     g = lambda n: F.struct(F.concat(F.lit("G"), n.cast("string")).alias("acc"), F.lit("N1").alias("site"))
     mods = F.array(F.struct(F.lit(15.9949).alias("delta"), F.concat(F.lit("M"), (F.col("p_size") % 3).cast("string")).alias("site")))
     name = f.peptide_name(F.col("p_type"), F.array(F.struct(F.lit(1).alias("site"), F.lit("ox").alias("text"))))
-    return t.part.where("p_size >= 20").select("p_partkey", f.peptide_key(F.upper("p_type"), F.array(g(F.col("p_size")), g(F.lit(20))), mods).alias("key"), name.alias("name"))
+    return t.part.select("p_partkey", f.peptide_key(F.upper("p_type"), F.array(g(F.col("p_size")), g(F.lit(20))), mods).alias("key"), name.alias("name"))
 
 
 @query("F10_precursor_mass", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_linenumber - 1.0078 * l_linenumber, 4) AS mass FROM lineitem")

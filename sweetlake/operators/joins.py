@@ -70,9 +70,15 @@ def optional_pair_export(annotations: DataFrame, first: str, second: str) -> Dat
 
 
 def occurrences(text: Column, part: Column) -> Column:
-    """1-based starts of all occurrences, overlapping ones too."""
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(part) + 1))
-    return F.filter(at, lambda i: (F.length(part) > 0) & (F.substr(text, i, F.length(part)) == part))
+    """1-based starts of all occurrences, overlapping ones too; none of an empty part.
+
+    The text is split before each occurrence in one scan; a piece starts where those before it end."""
+    ahead = F.concat(F.lit("(?="), F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(")"))
+    pieces = F.transform(F.split(text, ahead), lambda x: F.length(x))
+    summed = F.aggregate(pieces, F.array(F.lit(1)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    starts = F.slice(summed, 1, F.greatest(F.lit(1), F.size(summed) - 1))
+    # The first piece starts with the part only where the text does.
+    return F.when(F.length(part) > 0, F.filter(starts, lambda i: (i > 1) | F.startswith(text, part))).otherwise(F.array().cast("array<int>"))
 
 
 def locate_peptides(peptides: DataFrame, proteins: DataFrame) -> DataFrame:

@@ -70,13 +70,13 @@ def viewer_nodes(nodes: DataFrame, edges: DataFrame, synonyms: DataFrame) -> Dat
 def upsert_annotations(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(table, report): new annotations replace all of their accessions; the report names created, updated and
     deleted keys.  Unchanged rows are the old ones; accessions that `new` does not mention are kept."""
-    mark = lambda df, n: df.select(*keys, F.col("value").alias(n), F.xxhash64(F.array_sort("value")).alias(f"_{n}"))
+    mark = lambda df, n: df.select(*keys, F.col("value").alias(n), F.array_sort("value").alias(f"_{n}"), F.lit(True).alias(f"_in_{n}"))
     named = new.select("acc").distinct().withColumn("_mentioned", F.lit(True))
     both = mark(old, "was").join(mark(new, "is"), keys, "full").join(named, "acc", "left")
     change = (
-        F.when(F.col("_was").isNull(), "created")
-        .when(F.col("_is").isNull() & F.col("_mentioned").isNotNull(), "deleted")
-        .when(F.col("_is").isNotNull() & (F.col("_was") != F.col("_is")), "updated")
+        F.when(F.col("_in_was").isNull(), "created")
+        .when(F.col("_in_is").isNull() & F.col("_mentioned").isNotNull(), "deleted")
+        .when(F.col("_in_is").isNotNull() & ~F.col("_was").eqNullSafe(F.col("_is")), "updated")
     )
     told = both.withColumn("change", change)
     table = told.where("change is null or change <> 'deleted'").select(*keys, F.when(F.col("change").isNotNull(), F.col("is")).otherwise(F.col("was")).alias("value"))
