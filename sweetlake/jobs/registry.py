@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +23,7 @@ class Tables:
 
     def scratch(self, name: str) -> str:
         """A new folder in the shared one, for files that a query writes and reads again."""
-        return f"{shared_folder(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        return scratch(self.spark, name)
 
 
 def query(name: str, sql: str | None = None):

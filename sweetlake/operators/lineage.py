@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,37 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+#: Folders that this process has written, by session.
+WRITTEN: dict[str, list[str]] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df written to the shared folder and read again: lineage ends, lost executors cost nothing, and sizes are known.
+
+    One job writes it, where a checkpoint takes two."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df, written and read again."""
+    return written(df, "cut")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this session has written in the shared folder, at the end of a job when its results are stored elsewhere."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in WRITTEN.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def followed(start: DataFrame, jump: DataFrame, by: list[str]) -> DataFrame:
