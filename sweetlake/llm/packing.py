@@ -1,36 +1,41 @@
 """Packing documents into fixed-length sequences (operator 6).
 
-Documents are dealt at random (hash of doc_id) into groups of a bounded mean number.  In a
-group, whole sequences are cut from the front of long documents; the rests are placed by
-first-fit decreasing, where a tournament tree over the bins' free room finds the first bin
-that fits in logarithmic time.  A bin left with much room is cut into sequences whose lengths
-are powers of two, which need no padding.
+Rows are dealt at random into groups of a bounded mean size of text.  In a group, whole
+sequences are cut from the front of long documents; the rests are placed by first-fit
+decreasing, where a tournament tree over the bins' free room finds the first bin that fits in
+logarithmic time.  A bin left with much room is cut into sequences whose lengths are powers of
+two, which need no padding.
+
+Ids travel to their group in two bytes where the vocabulary allows it.  A group's task holds
+its ids once: pieces are slices of one buffer.
 
 Defined results: a null or empty text is a document of the end id only; a null doc_id is an
-id like others; rows of one doc_id are separate documents; an empty table gives no pieces.
-Group task memory is that of its documents' ids: about GROUP documents.
+id like others; rows of one doc_id are separate documents, dealt apart; an empty table gives no
+pieces.  A document's ids are one value, so a document must fit a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import packed_ids
+from .tokens import packed_ids, widest
 
 END = 2
 LENGTH = 4096
-#: Mean number of documents in a group.
-GROUP = 4096
+#: Mean bytes of text, and mean number of documents, of a group at most.
+GROUP_BYTES, GROUP = 16_000_000, 4096
+#: Rows that are encoded before their ids leave the worker.
+SLICE = 256
 #: Bins with more room than this part of LENGTH are cut into powers of two.
 LOOSE = 32
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-IDS = pa.schema([("doc_id", pa.int64()), ("grp", pa.int64()), ("ids", pa.binary())])
 
 
 class Tournament:
@@ -96,29 +101,35 @@ def arrange(lengths: list[int], room: int = LENGTH, loose: int = LOOSE) -> Itera
             sequence += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = END, room: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Pieces with their ids, the sequence each lies in and where.
+def pack(docs: DataFrame, tokenizer: str, end: int = END, room: int = LENGTH, group: int = GROUP, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Pieces with their ids (little-endian unsigned 32-bit), the sequence each lies in and where.
 
     sequence_id is the group's number times 2^32 plus the sequence's in the group."""
-    groups = max(1, -(-docs.count() // group))
-    dealt = common.texts(docs).withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(groups)))
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    groups = max(1, -(-size.n // group), -(-size.size // group_bytes))
+    # The row's place in its partition deals rows of one doc_id, and those without, apart.
+    dealt = common.texts(docs).withColumn("grp", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(17)), F.lit(groups)))
+    narrow = "<u2" if max(end, widest(tokenizer)) < 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = list(packed_ids(tokenizer, b.column("text").to_pylist(), end))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grp"), pa.array(ids, pa.binary())], schema=IDS)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                ids = [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in packed_ids(tokenizer, b.column("text").to_pylist(), end)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grp"), pa.array(ids, pa.binary())], ["doc_id", "grp", "ids"])
 
     def place(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        docs_ids, ids = rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()
-        base = rows.column("grp")[0].as_py() << 32
-        out = [
-            (docs_ids[d], start, n, ids[d][4 * start : 4 * (start + n)], len(ids[d]) // 4, base + s, at)
-            for d, start, n, s, at in arrange([len(x) // 4 for x in ids], room)
-        ]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+        column = rows.column("ids").combine_chunks()
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        ids = np.frombuffer(column.buffers()[2], narrow, (offsets[-1] - offsets[0]) // np.dtype(narrow).itemsize, offsets[0]).astype("<u4")
+        lengths = np.diff(offsets) // np.dtype(narrow).itemsize
+        doc, start, length, sequence, offset = np.array(sorted(arrange(lengths.tolist(), room)), np.int64).reshape(-1, 5).T
+        cuts = pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int64))
+        # In document order pieces follow each other, so the ids of all documents are their buffer.
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(length), [None, cuts, pa.py_buffer(ids)])
+        columns = [rows.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pieces.cast(pa.binary()), pa.array(lengths[doc]), pa.array((rows.column("grp")[0].as_py() << 32) + sequence), pa.array(offset)]
+        return pa.table(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     encoded = dealt.select("doc_id", "grp", "text").mapInArrow(encode, "doc_id long, grp long, ids binary")
     return encoded.groupBy("grp").applyInArrow(place, PIECES)
