@@ -3,42 +3,40 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import scratch, written  # noqa: F401  for all operators here
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, read with Spark's own reader (any store)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+#: Bytes of an Arrow batch, unless the session sets its own bound: what a Python worker and the JVM hold of a task's
+#: rows at once, besides a row of more bytes.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in bytes where the session leaves Spark's default of 64 MB."""
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
 
-    Where the session names none (tests on one machine) a temporary folder of this
-    process is used and also set as checkpoint folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sweetlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, read with Spark's own reader (any store)."""
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    while name.casefold() in {c.casefold() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key as long, text) with a null text as empty; other columns go, so none can clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
