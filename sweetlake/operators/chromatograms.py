@@ -64,7 +64,7 @@ def chromatogram_specificity(xic: DataFrame, centres: DataFrame, inner: float =
 
 def fit_peak(windowed: DataFrame, widest: float = 3.5, series: str = "series") -> DataFrame:
     """(series, apex, width, height, area, r): Gaussian by weighted parabola of log intensity; width is 6 sigma,
-    and peaks wider than `widest`, or not concave, are left out.  A series is one bounded window."""
+    and peaks wider than `widest`, or not concave, are left out.  A series within its window must fit a task."""
 
     names = [series, "apex", "width", "height", "area", "r"]
 
@@ -90,7 +90,8 @@ def fit_peak(windowed: DataFrame, widest: float = 3.5, series: str = "series") -
 def robust_fit(points: DataFrame, key: str, x: str, y: str, good: float = 0.99, least: float = 0.5, most: int = 20) -> DataFrame:
     """(key, slope, intercept, r, n, removed): the point of the largest residual goes until r exceeds `good`.
 
-    A key fails, with null results, below three points, after `most` removals, or where r starts below `least`."""
+    A key fails, with null results, below three points, after `most` removals, or where r starts below `least`.
+    The points of a key, two numbers each, must fit a task."""
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
         p = p.dropna()
@@ -143,14 +144,36 @@ def binom_tail(x: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _binomial(n: int, p: float) -> np.ndarray:
+    """Chances of 0 to n hits in n trials at chance p."""
+    if p <= 0 or p >= 1:
+        return np.eye(n + 1)[n if p >= 1 else 0]
+    i = np.arange(n + 1)
+    return np.exp(_log_choose(np.full(n + 1, n), i) + i * math.log(p) + (n - i) * math.log1p(-p))
+
+
 @F.pandas_udf(DoubleType())
 def poisson_binomial_tail(probs: pd.Series, k: pd.Series) -> pd.Series:
-    """P(X >= k) of independent trials with these chances: a direct sum over the exact distribution."""
+    """P(X >= k) of independent trials with these chances: a direct sum over the exact distribution.
+
+    Trials of one chance are one binomial, so the work grows with the number of different chances."""
     out = []
     for ps, least in zip(probs, k):
         pmf = np.ones(1)
-        for p in ps:
-            pmf = np.convolve(pmf, [1 - p, p])
+        for p, n in zip(*np.unique(np.asarray(ps, float), return_counts=True)):
+            pmf = np.convolve(pmf, _binomial(int(n), float(p)))
+        out.append(float(pmf[max(0, int(least)) :].sum()))
+    return pd.Series(out)
+
+
+@F.pandas_udf(DoubleType())
+def counted_trials_tail(trials: pd.Series, k: pd.Series) -> pd.Series:
+    """P(X >= k) of independent trials, given as (chance, number of trials)."""
+    out = []
+    for groups, least in zip(trials, k):
+        pmf = np.ones(1)
+        for g in groups:
+            pmf = np.convolve(pmf, _binomial(int(g["n"]), float(g["p"])))
         out.append(float(pmf[max(0, int(least)) :].sum()))
     return pd.Series(out)
 
@@ -204,10 +227,12 @@ def phenotype_enrichment(motif_residues: DataFrame, residue_genes: DataFrame, ge
     size = known.groupBy("rid").agg(F.count_distinct("gene").alias("k"))
     hit = known.join(gene_pheno, "gene").select("rid", "phenotype").distinct()
     hits = motif_residues.distinct().join(hit, "rid").groupBy("motif", "phenotype").agg(F.count("*").alias("hits"))
-    trials = motif_residues.distinct().join(size, "rid").groupBy("motif").agg(F.collect_list("k").alias("ks"))
+    # Residues of a motif with the same number of genes have one chance: they are counted, not listed.
+    counted = motif_residues.distinct().join(size, "rid").groupBy("motif", "k").agg(F.count("*").alias("n"))
+    trials = counted.groupBy("motif").agg(F.collect_list(F.struct("k", "n")).alias("ks"))
     rows = hits.join(trials, "motif").join(share, "phenotype")
-    chance = F.transform("ks", lambda k: F.when(F.col("p") >= 1, 1.0).otherwise(1 - F.pow(1 - F.col("p"), k)))
-    scored = rows.withColumn("tail", poisson_binomial_tail(chance, F.col("hits")))
+    chance = F.transform("ks", lambda x: F.struct(F.when(F.col("p") >= 1, 1.0).otherwise(1 - F.pow(1 - F.col("p"), x["k"])).alias("p"), x["n"].alias("n")))
+    scored = rows.withColumn("tail", counted_trials_tail(chance, F.col("hits")))
     return scored.select("motif", "phenotype", "hits", (-10 * F.log10(F.greatest("tail", F.lit(1e-30)))).alias("score")).where(F.col("score") >= least)
 
 

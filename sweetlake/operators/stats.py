@@ -144,7 +144,11 @@ def signature_diff(old: DataFrame, new: DataFrame, examples: int = 10) -> DataFr
     sets = lambda df, n: df.groupBy("acc").agg(F.sort_array(F.collect_set("cls")).alias(n))
     none = F.array().cast("array<string>")
     both = sets(old, "o").join(sets(new, "n"), "acc", "full").select("acc", F.coalesce("o", none).alias("o"), F.coalesce("n", none).alias("n")).where("o <> n")
-    grouped = both.groupBy("o", "n").agg(F.count("*").alias("size"), F.slice(F.sort_array(F.collect_list("acc")), 1, examples).alias("examples"))
+    # The first accessions are taken of salted parts of a group, then of these.
+    part = Window.partitionBy("o", "n", F.pmod(F.xxhash64("acc"), F.lit(64))).orderBy("acc")
+    first = both.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= examples)
+    first = first.groupBy("o", "n").agg(F.slice(F.sort_array(F.collect_list("acc")), 1, examples).alias("examples"))
+    grouped = both.groupBy("o", "n").agg(F.count("*").alias("size")).join(first, ["o", "n"])
     return grouped.select(F.array_except("n", "o").alias("adds"), F.array_except("o", "n").alias("removes"), "size", "examples").orderBy(F.desc("size"))
 
 
