@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Code points of a chunk at most.
+#: Bytes of a chunk at most.
 CHUNK = 256 * 1024
 #: Fixed values of the format.
 NAME = "WARC/1.1"
@@ -39,17 +39,22 @@ GAP = "\r\n\r\n"
 CHUNKS = "record_id string, page_id long, url string, chunk int, last boolean, data string, so_far long, sha1 string"
 
 
-def cut(payload: str, chunk: int = CHUNK) -> Iterator[str]:
-    """Chunks of a payload, one at least; none contains the version's name, which a line end may follow."""
-    at = 0
+def cut(payload: str | bytes | memoryview, chunk: int = CHUNK) -> Iterator[memoryview]:
+    """Chunks of a payload's UTF-8, one at least, as views of it: no copy of the whole is made.
+
+    Chunks end between code points; none contains the version's name, which a line end may follow."""
+    view = memoryview(payload.encode() if isinstance(payload, str) else payload).cast("B")
+    at, chunk = 0, max(4, chunk)
     while True:
-        end = min(len(payload), at + chunk)
-        hit = payload.find(NAME, at, end)
+        end = min(len(view), at + chunk)
+        while end < len(view) and view[end] & 0xC0 == 0x80:
+            end -= 1
+        hit = bytes(view[at:end]).find(NAME.encode())
         if hit >= 0:
-            end = hit + len(NAME) - 1
-        yield payload[at:end]
+            end = at + hit + len(NAME) - 1
+        yield view[at:end]
         at = end
-        if at >= len(payload):
+        if at >= len(view):
             return
 
 
@@ -71,22 +76,23 @@ def chunk_table(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
             rows, size = [], 0
             for page_id, url, html in zip(b.column("page_id"), b.column("url"), b.column("html")):
                 digest, so_far, k, held = hashlib.sha1(), 0, 0, None
-                for data in cut(html.as_py() or "", chunk):
-                    raw = data.encode()
+                for raw in cut(html.as_buffer() or b"", chunk):
                     digest.update(raw)
                     so_far += len(raw)
+                    data = str(raw, "utf-8")
                     if held:
                         rows.append(held)
                     held = (f"{part:08d}-{n:010d}", page_id.as_py(), url.as_py(), k, False, data, so_far, base32(digest.digest()))
-                    k, size = k + 1, size + len(data)
+                    k, size = k + 1, size + len(raw)
                     if size > 8 * chunk and rows:
                         yield made(rows)
-                        rows, size = [], len(data)
+                        rows, size = [], len(raw)
                 rows.append((*held[:4], True, *held[5:]))
                 n += 1
             if rows:
                 yield made(rows)
 
+    common.small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, CHUNKS)
 
 
