@@ -305,12 +305,12 @@ def test_warc_payloads_and_small_chunks(spark, folder):
     assert max(len(c) for c in warc.cut("ab" * 1000, 64)) == 64
 
 
-def library_ids(name):
+def library_ids(name, texts_=None):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(common.tokenizer_path(name))
     t.encode_special_tokens = True
-    return {i: np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for i, x in TEXTS.items()}
+    return {i: np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for i, x in (TEXTS if texts_ is None else texts_).items()}
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -539,5 +539,58 @@ def test_pipeline(spark, folder):
     assert out and {r.doc_id for r in out} <= set(TEXTS)
 
 
+def test_pipeline_equals_plain(spark, folder):
+    """Each stage by plain Python on what the one before keeps; the classifier's scores are its own (held against labels elsewhere)."""
+    docs = common.table(spark, folder, "documents")
+    scores = {(r.doc_id, r.text): r.quality_score for r in quality.score(docs, quality.train(docs, common.table(spark, folder, "labels"))).collect()}
+    good = [(i, t) for (i, t), s in scores.items() if s >= 0.5]
+    kept = [i for i, (_, c) in plain_groups({i: t or "" for i, t in good if i is not None}).items() if c == i]
+    once = [(i, t or "") for i, t in good if i is None or i in kept]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(once, "doc_id long, text string")).collect()}
+    texts_ = {}
+    for i, text in once:
+        spans = sorted([(k, b, e) for k, b, e in pii.base_spans(text)] + [(s.kind, s.b, s.e) for s in found[i].more], key=lambda s: (s[1], -s[2]))
+        out, at = "", 0
+        for k, b, e in spans:
+            if b >= at:
+                out += text[at:b] + f"<{pii.KINDS[k].upper()}>"
+            at = max(at, e)
+        texts_[i] = out + text[at:]
+    ids = library_ids("word_bpe_49k.json", texts_)
+    cover = Counter()
+    got = corpus_pipeline.run(spark, folder).collect()
+    for r in got:
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        cover.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+    assert cover == Counter((i, k) for i, x in ids.items() for k in range(len(x))) and len(ids) > 5
+
+
+def test_rows_of_repeated_and_missing_ids(spark):
+    """Rows of one doc_id, and those without, are documents of their own in op2, 6, 7 and 9."""
+    rows_ = [(1, "one text here"), (1, "another text of one"), (1, "another text of one"), (None, None), (None, "none"), (None, "x" * 5_000), (2, "")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    want = Counter((i, len(x)) for (i, _), x in zip(rows_, library_ids("word_bpe_49k.json", {k: t or "" for k, (_, t) in enumerate(rows_)}).values()))
+    packed = packing.pack(docs, common.tokenizer_path("word_bpe_49k.json"), group=2).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in packed if r.start == 0) == want
+    path = common.scratch(spark, "tokens-test")
+    token_store.write(common.texts(docs), path, common.tokenizer_path("byte_bpe_50k.json"))
+    assert Counter(r.doc_id for r in token_store.read(spark, path).collect()) == Counter(i for i, _ in rows_)
+    import public_tokenizers
+
+    bpe = common.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    back = byte_bpe.decode(byte_bpe.encode(docs, *bpe), *bpe).collect()
+    assert Counter((r.doc_id, bytes(r.bytes).decode()) for r in back) == Counter((i, t or "") for i, t in rows_)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert Counter(r.doc_id for r in quality.score(docs, quality.train(docs, labels)).collect()) == Counter(i for i, _ in rows_)
+
+
+def test_warc_of_repeated_and_missing_page_ids(spark):
+    pages = [(1, "u", "same"), (1, "u", "same"), (None, None, "same"), (None, "v", None), (3, "w", "other")]
+    path = common.scratch(spark, "warc-test")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
+    got = Counter((r.page_id, r.type, r.refers_to) for r in warc.read(spark, path).collect())
+    assert got == Counter([(1, "response", None), (1, "revisit", 1), (None, "revisit", 1), (None, "response", None), (3, "response", None)])
+
+
 def test_pipeline_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
