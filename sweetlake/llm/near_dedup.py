@@ -42,8 +42,8 @@ SLOTS = BANDS * ROWS
 BITS = 1024
 #: Rounds of comparing with a hub of the bucket's main component.
 ROUNDS = 2
-#: Classes of a block of a large band.
-BLOCK = 512
+#: Classes of a block of a large band: two blocks meet in a task.
+BLOCK = 4_096
 #: Bytes of text that are hashed together.
 BYTES = 1_000_000
 
