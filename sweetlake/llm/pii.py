@@ -26,7 +26,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import cut_lineage
 from . import common
 
 #: Kinds in the order of all results; the first BASE have base matches.
@@ -198,25 +197,15 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT
 
     edges: distinct (pattern, kind, value, seed); an empty pattern gives no score.  Each round aggregates
     before it joins."""
-    named = edges.where("pattern <> ''")
-    total = named.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
+    total = edges.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
+    named = common.written(edges.where("pattern <> ''").join(total, "pattern"), "edges")
     scores = edges.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("s"))
     for _ in range(rounds):
-        by_pattern = (
-            named.join(scores, ["kind", "value"])
-            .groupBy("pattern", "kind")
-            .agg(F.sum("s").alias("known"))
-            .join(total, "pattern")
-            .where(F.col("known") >= support)
-            .select("pattern", "kind", F.least(F.lit(0.999), F.col("known") / F.col("n")).alias("p"))
-        )
-        by_value = named.join(by_pattern.where(F.col("p") >= sure), ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("q"))
-        scores = cut_lineage(
-            edges.groupBy("kind", "value")
-            .agg(F.max("seed").alias("seed"))
-            .join(by_value, ["kind", "value"], "left")
-            .select("kind", "value", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("q", F.lit(0.0))).alias("s"))
-        )
+        known = named.join(scores.where("s > 0"), ["kind", "value"]).groupBy("pattern", "kind").agg(F.sum("s").alias("known"), F.first("n").alias("n"))
+        sure_ones = known.select("pattern", "kind", F.least(F.lit(0.999), F.col("known") / F.col("n")).alias("p")).where((F.col("known") >= support) & (F.col("p") >= sure))
+        by_value = named.where("seed = 0").join(sure_ones, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("s"))
+        both = by_value.unionByName(edges.where("seed = 1").select("kind", "value", F.lit(1.0).alias("s")))
+        scores = common.written(both.groupBy("kind", "value").agg(F.max("s").alias("s")), "scores")
     return scores.where(F.col("s") >= sure).select("kind", "value")
 
 
@@ -225,7 +214,7 @@ def find(docs: DataFrame) -> DataFrame:
     found = common.written(scan(docs), "pii")
     edge = lambda c, seed: found.select(F.explode(c).alias("x")).select("x.pattern", "x.kind", "x.value", F.lit(seed).alias("seed"))
     edges = edge("seeds", 1).unionByName(edge("candidates", 0)).groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"))
-    accepted = score_graph(cut_lineage(edges))
+    accepted = score_graph(common.written(edges, "edges"))
     each = found.select("row", F.explode("candidates").alias("x")).select("row", "x.kind", "x.value", "x.b", "x.e")
     more = each.join(accepted, ["kind", "value"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "b", "e"))).alias("more"))
     return found.select("row", "doc_id", "sha", "base").join(more, "row", "left").select("row", "doc_id", "sha", "base", F.coalesce("more", F.array().cast("array<struct<kind:int,b:int,e:int>>")).alias("more"))

@@ -203,9 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
         return None
     made = made.sort_by([("doc_id", "ascending")]).slice(0, sample)
     sizes = np.array([len(x) for x in made.column("slot")])
+    label = made.column("label").to_numpy().astype(np.float64)
     flat = lambda c: made.column(c).combine_chunks().flatten().to_numpy()
     f = Features(made.num_rows, np.repeat(np.arange(made.num_rows), sizes), flat("slot").astype(np.int64), flat("value").astype(np.float64), flat("stats").reshape(made.num_rows, STATS))
-    return fit(f, made.column("label").to_numpy().astype(np.float64))
+    del made
+    return fit(f, label)
 
 
 def score(docs: DataFrame, machine: Machine | None, name: str = "quality_score") -> DataFrame:
