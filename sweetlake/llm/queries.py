@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, graph_search, merkle, near_dedup, packing, pii, quality, token_store, voronoi_join, warc
+from . import alignment, byte_bpe, chat, graph_search, merkle, near_dedup, packing, pii, quality, token_store, voronoi_join, warc
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.personal_data,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.round_trip,
     "op10_super_min_hash": near_dedup.near_duplicates,
     "op11_subtree_exchange": merkle.proofs,
+    "op12_interval_coalescing": alignment.aligned,
 }
 ORACLES: dict[str, str] = {
     "op4_voronoi_join": voronoi_join.EXACT_SQL,
