@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, byte_bpe, chat, graph_search, merkle, near_dedup, packing, pii, quality, token_store, voronoi_join, warc
+from . import alignment, byte_bpe, chat, graph_search, merkle, near_dedup, packing, pii, quality, substrings, token_store, voronoi_join, warc
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.personal_data,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_super_min_hash": near_dedup.near_duplicates,
     "op11_subtree_exchange": merkle.proofs,
     "op12_interval_coalescing": alignment.aligned,
+    "op13_relative_parsing": substrings.deduped,
 }
 ORACLES: dict[str, str] = {
     "op4_voronoi_join": voronoi_join.EXACT_SQL,
     "op8_prefix_targets": chat.CHAT_SQL,
     "op11_subtree_exchange": merkle.PROOFS_SQL,
+    "op13_relative_parsing": substrings.DEDUPED_SQL,
 }
