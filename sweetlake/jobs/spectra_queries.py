@@ -233,8 +233,26 @@ def u12(t):
     return fitted.select("l_orderkey", "l_linenumber", "fitted", "residual", "good")
 
 
+@query("U12_retention_runs")
+def u12_runs(t):
+    """Three runs from the fit of each peptide's mean value."""
+    group = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("tg")
+    rows = t.lineitem.select(group, F.col("l_suppkey").alias("seq"), F.col("l_partkey").alias("pep"), (F.col("l_discount") * 100).cast("int").alias("c"), F.col("l_quantity").cast("double").alias("n"), (F.col("l_extendedprice") / 1000).cast("double").alias("rt"))
+    rows, names = models.with_categories(rows, ["c"])
+    xs = [*names, "n"]
+    known = rows.groupBy("seq", "pep").agg(*(F.avg(c).alias(c) for c in (*xs, "rt")))
+    best, _ = models.retention_runs(rows, "tg", "seq", "pep", "rt", xs, known, threshold=20, choose=5_000, runs=3, seed=1)
+    return best.select("tg", "run", "fitted", "residual", "good")
+
+
 @query("U13_lattice_fdr")
 def u13(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("s1"), F.col("l_quantity").alias("s2"), (F.col("l_returnflag") == "R").cast("int").alias("decoy"))
-    found = models.lattice_fdr(rows, ["s1", "s2"], 0.49)
-    return models.accepted_by(rows, found["thresholds"] or {"s1": float("inf")})
+    return models.assign_lattice_fdr(rows, models.lattice_fdr(rows, ["s1", "s2"]))
+
+
+@query("U13_lattice_fdr_of_one_score", f"WITH {SCORED_SQL} SELECT grp, score, decoy, round({QVALUE}, 9) AS fdr FROM best")
+def u13_one(t):
+    """A lattice of one score, with a step for each point of its curve, gives q-values."""
+    b = best(t)
+    return models.assign_lattice_fdr(b, models.lattice_fdr(b, ["score"], points=5_000)).select("grp", "score", "decoy", F.round("fdr", 9).alias("fdr"))

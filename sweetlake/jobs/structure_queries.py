@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import motifs
 from ..operators import structures as s
 from .registry import Tables, query
 from .table_queries import text
@@ -41,7 +42,16 @@ def j18(t):
 
 @query("J19_align_motifs")
 def j19(t):
-    return s.align_motifs(trees(t).where("acc < 40 and acc % 4 = 0"), trees(t))
+    """All different trees as motifs on all trees; of every sixth the last residue hangs loose, of every tenth the last two."""
+    k, n = F.col("acc"), F.size("residues")
+    held = F.when(k % 10 == 7, n - 2).when(k % 6 == 0, n - 1).otherwise(n)
+    fields = ("rid", "symbol", "anomer", "pos")
+    loose = F.transform("residues", lambda r: F.struct(*(r[c].alias(c) for c in fields), F.when(r["rid"] <= held, r["parent"]).alias("parent"), F.when(r["rid"] > held, F.sequence(F.lit(1), held)).alias("maybe")))
+    mass = F.aggregate("residues", F.lit(0.0), lambda m, r: m + F.when(r["symbol"] == "GlcNAc", 203.0794).otherwise(162.0528))
+    facts = [(k % 5 == 0).cast("int").alias("n_subst"), mass.alias("mass"), (k % 17 == 0).alias("repeated")]
+    whole = trees(t).select("acc", "residues", *facts)
+    different = whole.groupBy("residues").agg(F.min_by(F.struct("acc", "n_subst", "mass", "repeated"), "acc").alias("m")).select("m.*", "residues")
+    return motifs.align_motifs(different, whole.select("acc", loose.alias("residues"), "n_subst", "mass", "repeated"))
 
 
 @query("U2_structure_tests", f"WITH {RESIDUES_SQL}, k AS (SELECT r.acc, r.rid, count(c.rid) AS k FROM r LEFT JOIN r c ON c.acc = r.acc AND c.parent = r.rid GROUP BY 1, 2) SELECT acc, count(*) FILTER (k > 1) AS n_branches, count(*) FILTER (k = 0) AS n_leaves, count(*) FILTER (k > 1) > 0 AS branched FROM k GROUP BY 1")

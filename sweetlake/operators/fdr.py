@@ -50,10 +50,10 @@ def fdr_curve(scored: DataFrame, ndecoys: int = 1, score: str = "score", decoy:
 
 def assign_qvalue(scored: DataFrame, curve: DataFrame, score: str = "score") -> DataFrame:
     """scored with qvalue: the FDR at the highest kept score that is not above; 1 if there is none."""
-    every = scored.select(F.col(score).alias("s"), F.lit(None).cast("double").alias("fdr")).unionByName(curve.select(F.col("score").alias("s"), "fdr"))
-    by_score = every.where("s is not null").groupBy("s").agg(F.min("fdr").alias("fdr"))
-    found = running(by_score, [F.col("s").asc()], {"q": ("min", "fdr")}).select("s", F.coalesce("q", F.lit(1.0)).alias("qvalue"))
-    return scored.join(found, F.col(score) == F.col("s"), "left").drop("s").withColumn("qvalue", F.coalesce("qvalue", F.lit(1.0)))
+    every = scored.select(F.col(score).alias("_s"), F.lit(None).cast("double").alias("fdr")).unionByName(curve.select(F.col("score").alias("_s"), "fdr"))
+    by_score = every.where("_s is not null").groupBy("_s").agg(F.min("fdr").alias("fdr"))
+    found = running(by_score, [F.col("_s").asc()], {"q": ("min", "fdr")}).select("_s", F.coalesce("q", F.lit(1.0)).alias("qvalue"))
+    return scored.join(found, F.col(score) == F.col("_s"), "left").drop("_s").withColumn("qvalue", F.coalesce("qvalue", F.lit(1.0)))
 
 
 def score_at(curve: DataFrame, q: float) -> DataFrame:

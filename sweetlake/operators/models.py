@@ -6,10 +6,11 @@ import warnings
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut_lineage
+from .fdr import fdr_curve
+from .lineage import cut_lineage, written
 
 
 def retention_model(tgs: DataFrame, peptide: str, y: str, xs: list[str], threshold: float = 5.0) -> tuple[DataFrame, dict[str, float]]:
@@ -53,31 +54,179 @@ def retention_model(tgs: DataFrame, peptide: str, y: str, xs: list[str], thresho
     return state, dict(zip(xs, map(float, b)))
 
 
-def lattice_fdr(scored: DataFrame, dims: list[str], target: float, bins: int = 16, ndecoys: int = 1, decoy: str = "decoy") -> dict:
-    """Thresholds, one per score, that accept most targets at an FDR of at most `target`.
+def with_categories(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """rows with an indicator column for each whole value of the columns above their least, and the names of these."""
+    ends = rows.agg(*(x for c in columns for x in (F.min(c).cast("long").alias(f"lo_{c}"), F.max(c).cast("long").alias(f"hi_{c}")))).first()
+    new = {f"{c}_{v}": (F.col(c) == v).cast("double") for c in columns if ends[f"lo_{c}"] is not None for v in range(ends[f"lo_{c}"] + 1, ends[f"hi_{c}"] + 1)}
+    return rows.withColumns(new) if new else rows, list(new)
 
-    Each score is cut at `bins` quantiles; Spark counts targets and decoys per cell, at most (bins + 1)^dims rows;
-    the driver cumulates the small lattice from the best corner and picks the cell.  None if no cell qualifies."""
+
+def _fits(good: DataFrame, by: str, sequence: str, y: str, xs: list[str], shift: dict[str, float]) -> tuple[DataFrame, dict[int, list[float]]]:
+    """Least squares on sequence effects and shared columns, one fit a value of `by`: (by, sequence, _effect), coefficients.
+
+    Sums of products are taken a sequence at a time, combined before the shuffle; effects are eliminated from them, so a
+    row of len(xs) squared numbers a fit reaches the driver.  Columns are measured from `shift`, near their means, against cancellation."""
+    columns = [y, *xs]
+    at = {c: F.col(c) - F.lit(shift[c]) for c in columns}
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+    sums = good.groupBy(by, sequence).agg(
+        F.count("*").alias("_n"), *(F.sum(at[c]).alias(f"_s{k}") for k, c in enumerate(columns)),
+        *(F.sum(at[xs[i]] * at[xs[j]]).alias(f"_x{i}_{j}") for i, j in pairs), *(F.sum(at[x] * at[y]).alias(f"_y{i}") for i, x in enumerate(xs)),
+    )
+    sums = written(sums, "sums")
+    inner = lambda p, q: F.col(f"_s{p}") * F.col(f"_s{q}") / F.col("_n")
+    solved = {}
+    for r in sums.groupBy(by).agg(*(F.sum(F.col(f"_x{i}_{j}") - inner(i + 1, j + 1)).alias(f"x{i}_{j}") for i, j in pairs), *(F.sum(F.col(f"_y{i}") - inner(i + 1, 0)).alias(f"y{i}") for i in range(len(xs)))).collect():
+        a = np.zeros((len(xs), len(xs)))
+        for i, j in pairs:
+            a[i, j] = a[j, i] = r[f"x{i}_{j}"]
+        solved[r[by]] = np.linalg.lstsq(a, np.array([r[f"y{i}"] for i in range(len(xs))]), rcond=1e-12)[0].tolist() if xs else []
+    mean = lambda k, c: F.col(f"_s{k}") / F.col("_n") + F.lit(shift[c])
+    line = _line(solved, by, {x: mean(k + 1, x) for k, x in enumerate(xs)})
+    return sums.select(by, sequence, (mean(0, y) - line).alias("_effect")), solved
+
+
+def _line(solved: dict[int, list[float]], by: str, columns: dict[str, Column]) -> Column:
+    """The shared columns' part of a fit: coefficients of the row's fit, which are as many as there are runs."""
+    total = F.lit(0.0)
+    for k, c in enumerate(columns.values()):
+        of = reduce(lambda so_far, kv: F.when(F.col(by) == kv[0], float(kv[1][k])).otherwise(so_far), solved.items(), F.lit(0.0))  # noqa: B023
+        total = total + of * c
+    return total
+
+
+def retention_runs(
+    tgs: DataFrame, group: str, sequence: str, peptide: str, y: str, xs: list[str], known: DataFrame | None = None,
+    threshold: float = 5.0, choose: int = 10, runs: int = 1, heuristic: str = "weighted", seed: int = 0,
+) -> tuple[DataFrame, list[dict]]:
+    """(rows of the best run with run, fitted, residual and good; a summary of each run): a retention model from several starts.
+
+    known: sequence, xs and y of peptides whose value is known: rows further than `threshold` from their fit start bad (all start
+    good without it).  In each round a run fits its good rows, takes back every bad row nearer than `threshold`, and calls
+    at most `choose` of the good ones beyond it bad: drawn by residual (weighted) or evenly (uniform), the worst, or all.  A run ends
+    when none moves, or with a warning when a split of its rows comes back.  All runs are fitted in one job a round.  Best is the
+    run with the fewest peptides that have only bad rows, ties to the first.
+
+    Draws are hashes of seed, run, round and group, so results do not depend on partitions; rows of one group move together.
+    A sequence without good rows has no effect (0).  Rows with a null in y or a shared column are left out."""
+    orders = {"weighted": lambda u, r: (-F.log(u) / r, u), "uniform": lambda u, r: (-F.log(u), u), "worst": lambda u, r: (-r, u), "all": None}
+    pick = orders[heuristic]
+    rows = tgs.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in (y, *xs))))
+    means = rows.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).cast("double").alias(c) for c in (y, *xs))).first().asDict()
+    if known is None:
+        first = rows.withColumn("_good", F.lit(True))
+    else:
+        given = known.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in (y, *xs)))).withColumn("_run", F.lit(0))
+        effects, solved = _fits(given, "_run", sequence, y, xs, means)
+        fitted = F.coalesce("_effect", F.lit(0.0)) + _line(solved, "_run", {x: F.col(x) for x in xs})
+        first = rows.withColumn("_run", F.lit(0)).join(effects.drop("_run"), sequence, "left").withColumn("_good", F.abs(F.col(y) - fitted) <= threshold).drop("_effect", "_run")
+    state = written(first.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))), "retention")
+    finished, summary, seen, turn = [], {}, set(), 0
+    while True:
+        effects, solved = _fits(state.where("_good"), "_run", sequence, y, xs, means)
+        fitted = F.coalesce("_effect", F.lit(0.0)) + _line(solved, "_run", {x: F.col(x) for x in xs})
+        now = state.join(effects, ["_run", sequence], "left").withColumn("fitted", fitted).withColumn("residual", F.col(y) - F.col("fitted")).drop("_effect")
+        now = written(now, "retention")
+        far, near = F.abs("residual") > threshold, F.abs("residual") < threshold
+        mark = F.sum(F.when(F.col("_good"), F.xxhash64(group, y, *xs)).cast("decimal(38,0)"))
+        moves = now.groupBy("_run").agg(F.count_if(F.col("_good") & far).alias("far"), F.count_if(~F.col("_good") & near).alias("near"), F.count_if(~F.col("_good")).alias("bad"), F.sqrt(F.avg(F.when(F.col("_good"), F.col("residual") ** 2))).alias("rms"), mark.alias("mark")).collect()
+        ended = []
+        for r in moves:
+            back = (r["_run"], r["bad"], r["mark"]) in seen
+            seen.add((r["_run"], r["bad"], r["mark"]))
+            if back and r.far + r.near:
+                warnings.warn(f"retention_runs: rows of run {r['_run']} move in a cycle", stacklevel=2)
+            if back or not r.far + r.near:
+                ended.append(r["_run"])
+                summary[r["_run"]] = {"run": r["_run"], "rounds": turn + 1, "bad": r.bad, "rms": r.rms, "coefficients": dict(zip(xs, solved.get(r["_run"], [0.0] * len(xs))))}
+        if ended:
+            finished.append(now.where(F.col("_run").isin(ended)))
+        if len(ended) == len(moves):
+            break
+        open_ = now.where(~F.col("_run").isin(ended))
+        moved = open_.withColumn("_good", F.when(F.col("_good"), ~far if pick is None else F.lit(True)).otherwise(near))
+        if pick is not None:
+            u = (F.xxhash64(F.lit(seed), "_run", F.lit(turn), group) / F.lit(2.0**64) + 0.5) * (1 - 2e-12) + 1e-12
+            order = [c.asc() for c in pick(u, F.abs("residual"))]
+            drawn = open_.where(F.col("_good") & far).withColumn("_at", F.row_number().over(Window.partitionBy("_run").orderBy(*order, group)))
+            drawn = drawn.where(F.col("_at") <= choose).select("_run", group).distinct().withColumn("_drawn", F.lit(True))
+            drawn = F.broadcast(drawn)  # at most `choose` rows a run
+            moved = moved.join(drawn, ["_run", group], "left").withColumn("_good", F.col("_good") & F.col("_drawn").isNull()).drop("_drawn")
+        state = moved.drop("fitted", "residual")
+        turn += 1
+    every = reduce(DataFrame.unionByName, finished) if finished else state.withColumns({"fitted": F.lit(None).cast("double"), "residual": F.lit(None).cast("double")})
+    lost = every.groupBy("_run", peptide).agg(F.bool_or("_good").alias("any")).groupBy("_run").agg(F.count_if(~F.col("any")).alias("lost")).collect()
+    for r in lost:
+        summary[r["_run"]]["lost_peptides"] = r.lost
+    stats = [summary[k] for k in sorted(summary)]
+    best = min(stats, key=lambda s: (s["lost_peptides"], s["run"]))["run"] if stats else 0
+    return every.where(F.col("_run") == best).withColumnsRenamed({"_run": "run", "_good": "good"}), stats
+
+
+#: Critical points of a score by default, as many as its lattice has steps.
+POINTS = 10
+
+
+def critical_points(scored: DataFrame, score: str, points: int = POINTS, ndecoys: int = 1, decoy: str = "decoy") -> list[float]:
+    """Thresholds of a score, best first: the kept points of its FDR curve and its worst value; of more than `points` the best and the worst stay."""
+    kept = [r[0] for r in fdr_curve(scored, ndecoys, score, decoy).orderBy(F.col("score").desc()).limit(points).select("score").collect()]
+    worst = scored.agg(F.min(score)).first()[0]
+    every = [*kept, *([worst] if worst is not None and worst not in kept else [])]
+    return list(map(float, every if len(every) <= points else [*every[: points - 1], worst]))
+
+
+def _step(score: str, points: list[float]) -> Column:
+    """Place of the best threshold that a score reaches."""
+    return F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p > F.col(score)))
+
+
+def lattice_fdr(scored: DataFrame, dims: list[str], target: float | None = None, points: int = POINTS, ndecoys: int = 1, decoy: str = "decoy") -> dict:
+    """The lattice of several scores: its thresholds (points), and a path through it (trace).
+
+    Each score has its critical points as steps.  Spark counts targets and decoys per cell; the driver holds the lattice, at
+    most points to the power of the scores.  A corner accepts what reaches all its thresholds; its FDR is the least of the corners
+    that are looser in every score, at most 1.  The path goes from the loosest corner, or from the one with most targets at an
+    FDR of at most `target`, always to the tighter neighbour (in one score or several) with the most targets, ties to the one that moves
+    later scores, up to the tightest corner.  trace has the corners where the FDR changes, tightest first: thresholds, steps, fdr,
+    targets, decoys.  Rows with a null score are left out; without rows, or with none at the target, the trace is empty."""
     kept = scored.where(reduce(Column.__and__, (F.col(d).isNotNull() for d in dims)))
-    quantiles = kept.agg(*(F.percentile_approx(d, [i / bins for i in range(bins)], 10_000).alias(d) for d in dims)).first()
-    if quantiles[dims[0]] is None:
-        return {"thresholds": None, "targets": 0, "fdr": None}
-    edges = {d: sorted(set(map(float, quantiles[d]))) for d in dims}
-    index = lambda d: F.size(F.filter(F.array(*map(F.lit, edges[d])), lambda e: e <= F.col(d)))
-    cells = kept.groupBy(*(index(d).alias(f"_{d}") for d in dims)).agg(F.count_if(F.col(decoy) == 0).alias("t"), F.count_if(F.col(decoy) != 0).alias("d")).collect()
-    shape = [len(edges[d]) + 1 for d in dims]
+    steps = {d: critical_points(kept, d, points, ndecoys, decoy) for d in dims}
+    if not all(steps.values()):
+        return {"points": steps, "trace": []}
+    cells = kept.groupBy(*(_step(d, steps[d]).alias(f"_{d}") for d in dims)).agg(F.count_if(F.col(decoy) == 0).alias("t"), F.count_if(F.col(decoy) != 0).alias("d")).collect()
+    shape = tuple(len(steps[d]) for d in dims)
     t, n = np.zeros(shape), np.zeros(shape)
     for r in cells:
         at = tuple(r[f"_{d}"] for d in dims)
         t[at], n[at] = r.t, r.d
     for axis in range(len(dims)):
-        t, n = (np.flip(np.cumsum(np.flip(x, axis), axis), axis) for x in (t, n))
-    fdr = np.where(t > 0, n / ndecoys / np.maximum(t, 1), np.inf)
-    best = np.where(fdr <= target, t, -1)
-    at = np.unravel_index(int(best.argmax()), best.shape)
-    if best[at] <= 0:
-        return {"thresholds": None, "targets": 0, "fdr": None}
-    return {"thresholds": {d: (-np.inf if i == 0 else edges[d][i - 1]) for d, i in zip(dims, at)}, "targets": int(t[at]), "fdr": float(fdr[at])}
+        t, n = np.cumsum(t, axis), np.cumsum(n, axis)
+    fdr = np.where(t > 0, n / ndecoys / np.maximum(t, 1), 1.0)
+    for axis in range(len(dims)):
+        fdr = np.flip(np.minimum.accumulate(np.flip(fdr, axis), axis), axis)
+    fdr = np.minimum(fdr, 1.0)
+    at = tuple(x - 1 for x in shape)
+    if target is not None:
+        reached = np.where(fdr <= target, t, -1)
+        at = tuple(map(int, np.unravel_index(int(reached.argmax()), shape)))
+        if reached[at] <= 0:
+            return {"points": steps, "trace": []}
+    path = [at]
+    while any(path[-1]):
+        ways = [m for m in range(1, 1 << len(dims)) if all(path[-1][k] for k in range(len(dims)) if m >> k & 1)]
+        back = [tuple(x - (m >> k & 1) for k, x in enumerate(path[-1])) for m in ways]
+        path.append(max(zip((t[b] for b in back), ways, back))[2])
+    corners = [p for k, p in enumerate(path) if k in (0, len(path) - 1) or fdr[p] != fdr[path[k - 1]]]
+    row = lambda p: {"thresholds": {d: steps[d][i] for d, i in zip(dims, p)}, "steps": p, "fdr": float(fdr[p]), "targets": int(t[p]), "decoys": int(n[p])}
+    return {"points": steps, "trace": [row(p) for p in corners[::-1]]}
+
+
+def assign_lattice_fdr(scored: DataFrame, lattice: dict) -> DataFrame:
+    """scored with fdr: that of the tightest corner of the trace all of whose thresholds a row's scores reach; 1 without one.
+
+    The trace, at most as many corners as all scores have steps, goes into the expression."""
+    reached = [F.when(reduce(Column.__and__, (F.col(d) >= v for d, v in c["thresholds"].items())), c["fdr"]) for c in lattice["trace"]]
+    return scored.withColumn("fdr", F.coalesce(*reached, F.lit(1.0)))
 
 
 def accepted_by(scored: DataFrame, thresholds: dict[str, float], decoy: str = "decoy") -> DataFrame:

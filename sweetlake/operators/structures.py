@@ -1,4 +1,4 @@
-"""Structure trees as residue tables: comparison, motif alignment, fragments, trimming, classes.
+"""Structure trees as residue tables: comparison, fragments, trimming, classes.
 
 residues: acc, rid (root 1), parent (null for the root), symbol, anomer, pos; null symbol, anomer or pos is unknown.
 An unknown value of the more general side accepts anything; a known one does not accept unknown.  A structure with
@@ -31,17 +31,23 @@ def known(value):
 
 
 class Tree:
-    """A tree, or the parts of an undetermined structure, of (symbol, anomer, pos) by residue number."""
+    """A tree, or the parts of an undetermined structure, of (symbol, anomer, pos) by residue number.
+
+    A parent that is no residue of the structure counts as none; parents that form a cycle are an error."""
 
     def __init__(self, residues):
         self.node = {int(r["rid"]): (known(r["symbol"]), known(r["anomer"]), known(r["pos"])) for r in residues}
         self.kids = {r: [] for r in self.node}
-        parents = [(int(r["rid"]), known(r["parent"])) for r in residues]
-        for rid, parent in parents:
-            if parent is not None:
-                self.kids[parent].append(rid)
-        self.tops = sorted(rid for rid, parent in parents if parent is None)
+        self.tops = []
+        for rid, parent in {int(r["rid"]): known(r["parent"]) for r in residues}.items():
+            (self.tops if parent not in self.kids else self.kids[parent]).append(rid)
+        self.tops.sort()
         self.root = self.tops[0] if self.tops else None
+        down = list(self.tops)
+        for rid in down:
+            down.extend(self.kids[rid])
+        if len(down) != len(self.node):
+            raise ValueError("parents form a cycle")
 
 
 def accepts(general: Node, special: Node, strict: bool, classes: dict[str, str] | None = None) -> bool:
@@ -52,41 +58,6 @@ def accepts(general: Node, special: Node, strict: bool, classes: dict[str, str]
     return all(g is None or g == s or (member and k == 0) for k, (g, s) in enumerate(zip(general, special)))
 
 
-def covered(a: Tree, i: int, b: Tree, j: int, strict: bool = False, whole: bool = False) -> set | None:
-    """Residues of b that those of a, from i down, lie on in any map that puts i on j; None without such a map.
-
-    Children are matched one to one, to all children where `whole`."""
-    if not accepts(a.node[i], b.node[j], strict):
-        return None
-    mine, theirs = a.kids[i], b.kids[j]
-    if len(mine) > len(theirs) or whole and len(mine) != len(theirs):
-        return None
-    below = [{t: c for t in theirs if (c := covered(a, m, b, t, strict, whole)) is not None} for m in mine]
-
-    def fits(fixed: int, to: int) -> bool:
-        """Whether all children find places of their own when one is put on `to`."""
-        taken: dict[int, int] = {to: fixed}
-
-        def place(k: int, tried: set) -> bool:
-            for t in below[k]:
-                if t != to and t not in tried:
-                    tried.add(t)
-                    if t not in taken or place(taken[t], tried):
-                        taken[t] = k
-                        return True
-            return False
-
-        return all(k == fixed or place(k, set()) for k in range(len(mine)))
-
-    found, out = not mine, {j}
-    for k, options in enumerate(below):
-        for t, c in options.items():
-            if fits(k, t):
-                found = True
-                out |= c
-    return out if found else None
-
-
 def subsumes_tree(a: Tree, b: Tree, classes: dict[str, str] | None = None) -> bool:
     """Whether all residues of a accept those of b, one to one, and each of a's links is a link of b.
 
@@ -119,22 +90,32 @@ def subsumes_tree(a: Tree, b: Tree, classes: dict[str, str] | None = None) -> bo
 
         return all(place(i, set()) for i in loose)
 
-    def put(k: int, used: set) -> bool:
-        if k == len(tight):
-            return rest(used)
+    def options(k: int) -> Iterator[int]:
         i, parent = tight[k]
         if parent is not None:
-            options = b.kids[at[parent]]
-        else:
-            options = list(b.node) if len(a.tops) > 1 else b.tops if len(b.tops) == 1 else []
-        for j in options:
-            if j not in used and ok(i, j):
-                at[i] = j
-                if put(k + 1, used | {j}):
-                    return True
-        return False
-
-    return put(0, set())
+            return iter(b.kids[at[parent]])
+        return iter(list(b.node) if len(a.tops) > 1 else b.tops if len(b.tops) == 1 else [])
+
+    # Residues with links are put one after the other; the last that has another place is moved when one finds none.
+    used: set[int] = set()
+    stack = [options(0)] if tight else []
+    if not tight:
+        return rest(used)
+    while stack:
+        i = tight[len(stack) - 1][0]
+        if i in at:
+            used.discard(at.pop(i))
+        j = next((j for j in stack[-1] if j not in used and ok(i, j)), None)
+        if j is None:
+            stack.pop()
+            continue
+        at[i] = j
+        used.add(j)
+        if len(stack) < len(tight):
+            stack.append(options(len(stack)))
+        elif rest(used):
+            return True
+    return False
 
 
 def gathered(residues: DataFrame) -> DataFrame:
@@ -173,56 +154,6 @@ def subsumption_pairs(structures: DataFrame, slices: int = 8, classes: dict[str,
     return down.where(~F.col("equal") | (F.col("parent") < F.col("child"))).select("parent", "child", "kind")
 
 
-#: Kinds of alignment.
-KINDS = ("core", "substructure", "whole", "nonreducing")
-
-
-def alignments(motif: Tree, structure: Tree) -> Iterator[tuple[str, bool, list[int]]]:
-    """(kind, strict, sorted residues of all maps) of all kinds that hold; strict only where inclusive holds."""
-    n = len(motif.node)
-    for strict in (False, True):
-        hits = {j: c for j in structure.node if (c := covered(motif, motif.root, structure, j, strict)) is not None}
-        if structure.root in hits:
-            yield "core", strict, sorted(hits[structure.root])
-            if n == len(structure.node):
-                yield "whole", strict, sorted(hits[structure.root])
-        if not hits:
-            return
-        yield "substructure", strict, sorted(set().union(*hits.values()))
-        ends = [c for j in structure.node if (c := covered(motif, motif.root, structure, j, strict, whole=True)) is not None]
-        if ends:
-            yield "nonreducing", strict, sorted(set().union(*ends))
-
-
-def align_motifs(motifs: DataFrame, structures: DataFrame, slices: int = 8) -> DataFrame:
-    """(motif, structure, type, strict, ids): every kind of alignment of every motif that holds.
-
-    Both have acc and residues.  A motif meets only structures that have its rarest known symbol, are not smaller
-    and have all its known symbols; a motif of unknown symbols only meets all.  Structures are cut by hash into
-    slices, to which motifs are copied, so that a common symbol is many tasks."""
-    symbols = F.array_compact(F.array_distinct(F.transform("residues", lambda r: r["symbol"]))).alias("symbols")
-    theirs = structures.select(F.col("acc").alias("structure"), F.col("residues").alias("s"), F.size("residues").alias("s_n"), symbols, F.pmod(F.xxhash64("acc"), F.lit(slices)).cast("int").alias("slice"))
-    met = theirs.withColumnRenamed("symbols", "s_symbols").withColumn("symbol", F.explode(F.concat("s_symbols", F.array(F.lit("")))))
-    mine = motifs.select(F.col("acc").alias("motif"), F.col("residues").alias("m"), F.size("residues").alias("m_n"), symbols)
-    counts = met.groupBy("symbol").agg(F.count("*").alias("count"))
-    each = mine.withColumn("symbol", F.explode(F.when(F.size("symbols") > 0, F.col("symbols")).otherwise(F.array(F.lit("")))))
-    rarest = each.join(counts, "symbol", "left").groupBy("motif").agg(F.min_by("symbol", F.struct(F.coalesce("count", F.lit(0)), "symbol")).alias("symbol"))
-    sent = mine.join(rarest, "motif").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    pairs = sent.join(met, ["symbol", "slice"]).where((F.col("m_n") <= F.col("s_n")) & (F.size(F.array_except("symbols", "s_symbols")) == 0))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows, motif = [], {}
-            for name, structure, m, s in zip(df["motif"], df["structure"], df["m"], df["s"]):
-                if name not in motif:
-                    motif[name] = Tree(m)
-                rows += [(name, structure, k, strict, ",".join(map(str, ids))) for k, strict, ids in alignments(motif[name], Tree(s))]
-            yield pd.DataFrame(rows, columns=["motif", "structure", "type", "strict", "ids"])
-
-    kinds = dict(motifs.dtypes)["acc"], dict(structures.dtypes)["acc"]
-    return pairs.select("motif", "structure", "m", "s").mapInPandas(run, f"motif {kinds[0]}, structure {kinds[1]}, type string, strict boolean, ids string")
-
-
 @F.pandas_udf(ArrayType(IntegerType()))
 def _trimmed(residues: pd.Series, symbols: pd.Series, once: pd.Series) -> pd.Series:
     out = []

@@ -1,8 +1,11 @@
 """Retention model and score lattice on small inputs with known answers."""
 
+import itertools
+
 import numpy as np
+import pytest
 
-from sweetlake.operators import models
+from sweetlake.operators import fdr, models
 
 
 def test_retention_model(spark):
@@ -19,13 +22,117 @@ def test_retention_model(spark):
     assert len(got) == 240 and sum(not r.good for r in got) == 2 and max(abs(r.residual) for r in got if r.good) < 1e-6
 
 
-def test_lattice(spark):
-    rng = np.random.default_rng(6)
-    rows = [(float(rng.normal(2 * (i % 3 > 0))), float(rng.normal(2 * (i % 3 > 0))), int(i % 3 == 0)) for i in range(600)]
-    df = spark.createDataFrame(rows, "s1 double, s2 double, decoy int")
-    got = models.lattice_fdr(df, ["s1", "s2"], 0.05, bins=8)
-    kept = models.accepted_by(df, got["thresholds"])
-    assert kept.count() == got["targets"] > 0 and got["fdr"] <= 0.05
-    one = models.lattice_fdr(df, ["s1"], 0.05, bins=8)
-    assert got["targets"] >= one["targets"]
-    assert models.lattice_fdr(df.limit(0), ["s1"], 0.05)["thresholds"] is None
+def plain_lattice(rows, dims, target, points, ndecoys=1):
+    """rows: (scores.., decoy). Trace (thresholds, fdr, targets, decoys) and the FDR of each row, from the definition."""
+    rate = lambda t, d: d / ndecoys / t if t else 1e20
+    steps = []
+    for k in range(dims):
+        values = sorted({r[k] for r in rows}, reverse=True)
+        raw = [rate(*(sum(r[k] >= v and r[-1] == x for r in rows) for x in (0, 1))) for v in values]
+        mono = [min(1.0, *raw[i:]) for i in range(len(raw))]
+        crit = [v for i, v in enumerate(values) if i == len(values) - 1 or mono[i] != mono[i + 1]]
+        steps.append(crit if len(crit) <= points else [*crit[: points - 1], crit[-1]])
+    corners = list(itertools.product(*(range(len(s)) for s in steps)))
+    count = {c: tuple(sum(r[-1] == x and all(r[k] >= steps[k][i] for k, i in enumerate(c)) for r in rows) for x in (0, 1)) for c in corners}
+    fdr = {c: min(1.0, *(rate(*count[o]) for o in corners if all(x >= y for x, y in zip(o, c)))) for c in corners}
+    at = corners[-1]
+    if target is not None:
+        fit = [c for c in corners if fdr[c] <= target and count[c][0]]
+        if not fit:
+            return [], [1.0] * len(rows)
+        at = max(fit, key=lambda c: (count[c][0], [-x for x in c]))
+    path = [at]
+    while any(at):
+        back = [tuple(x - y for x, y in zip(at, m)) for m in itertools.product((0, 1), repeat=dims) if any(m)]
+        at = max((b for b in back if min(b) >= 0), key=lambda b: (count[b][0], sum(2**k for k in range(dims) if b[k] < at[k])))
+        path.append(at)
+    kept = [c for k, c in enumerate(path) if k in (0, len(path) - 1) or fdr[c] != fdr[path[k - 1]]][::-1]
+    trace = [(tuple(steps[k][i] for k, i in enumerate(c)), fdr[c], *count[c]) for c in kept]
+    return trace, [next((f for v, f, _, _ in trace if all(r[k] >= x for k, x in enumerate(v))), 1.0) for r in rows]
+
+
+@pytest.mark.parametrize(("dims", "target", "points"), [(1, None, 500), (1, 0.2, 4), (2, None, 6), (2, 0.15, 6), (3, None, 4), (2, -1.0, 5)])
+def test_lattice_equals_plain(spark, dims, target, points):
+    rng = np.random.default_rng(dims + points)
+    rows = [(*(float(np.round(rng.normal(1.5 * (i % 3 > 0)), 1)) for _ in range(dims)), int(i % 3 == 0)) for i in range(150)]
+    names = [f"s{k}" for k in range(dims)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id int, {', '.join(n + ' double' for n in names)}, decoy int")
+    found = models.lattice_fdr(df, names, target, points)
+    trace, each = plain_lattice(rows, dims, target, points)
+    assert [(tuple(c["thresholds"][n] for n in names), c["fdr"], c["targets"], c["decoys"]) for c in found["trace"]] == trace
+    assert [r.fdr for r in models.assign_lattice_fdr(df, found).orderBy("id").collect()] == each
+    assert (target == -1.0) == (not trace)
+
+
+def test_lattice_of_one_score_gives_qvalues(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(float(np.round(rng.normal(1.5 * (i % 3 > 0)), 2)), int(i % 3 == 0)) for i in range(400)] + [(None, 0)], "s double, decoy int")
+    got = models.assign_lattice_fdr(fdr.assign_qvalue(df, fdr.fdr_curve(df, score="s"), "s"), models.lattice_fdr(df, ["s"], points=400)).collect()
+    assert all(r.fdr == r.qvalue for r in got) and len({r.fdr for r in got}) > 5
+    assert models.lattice_fdr(df.limit(0), ["s"])["trace"] == []
+
+
+def runs_data(spark):
+    """30 sequences of 1 or 2 peptides; some groups far off, for a few sequences most of them, all to one side."""
+    rng = np.random.default_rng(12)
+    rows, known, wrong = [], [], set()
+    for q in range(30):
+        effect = float(rng.normal(60, 25))
+        for i in range(9):
+            c, n = int(rng.integers(0, 3)), float(rng.integers(3, 12))
+            y = effect + 1.5 * (c > 0) + 4.0 * (c > 1) - 2 * n + float(rng.normal(0, 0.3))
+            off = i < (5 if q % 6 == 0 else q % 3)
+            if off:
+                wrong.add((q, i))
+            rows.append((q * 100 + i, f"q{q}", f"p{q}-{i % 2}", c, n, y + (40 + i if off else 0)))
+            if i < 2 or i > 6:
+                known.append((f"q{q}", c, n, y))
+    schema = "tg int, seq string, pep string, s int, total double, nrt double"
+    df = spark.createDataFrame([*rows, (9_999, "q1", "p1-0", 1, None, 3.0)], schema)
+    return rows, wrong, *models.with_categories(df, ["s"]), spark.createDataFrame(known, "seq string, s int, total double, nrt double")
+
+
+def fitted_plain(rows, good):
+    """Residual of each row by one least-squares fit of all columns over the good rows."""
+    names = sorted({r[1] for r in rows})
+    a = np.array([[*(r[1] == n for n in names), r[3] == 1, r[3] == 2, r[4]] for r in rows], float)
+    y = np.array([r[5] for r in rows])
+    beta = np.linalg.lstsq(a[good], y[good], rcond=1e-12)[0]
+    return y - a @ beta
+
+
+@pytest.mark.parametrize("heuristic", ["weighted", "uniform", "worst", "all"])
+def test_retention_runs_end_where_no_row_moves(spark, heuristic):
+    rows, wrong, df, names, known = runs_data(spark)
+    xs = [*names, "total"]
+    best, stats = models.retention_runs(df, "tg", "seq", "pep", "nrt", xs, threshold=8.0, choose=25, runs=3, heuristic=heuristic, seed=4)
+    got = {r.tg: r for r in best.collect()}
+    assert got.keys() == {r[0] for r in rows} and names == ["s_1", "s_2"]
+    good = np.array([got[r[0]].good for r in rows])
+    residual = fitted_plain(rows, good)
+    assert max(abs(residual - np.array([got[r[0]].residual for r in rows]))[good]) < 1e-6
+    assert max(abs(residual[good])) <= 8 <= min(abs(residual[~good]))
+    lost = lambda ok: len({r[2] for r in rows} - {r[2] for r, g in zip(rows, ok) if g})
+    chosen = next(s for s in stats if s["run"] == next(iter(got.values())).run)
+    assert chosen["lost_peptides"] == lost(good) == min(s["lost_peptides"] for s in stats)
+
+
+def test_retention_runs_from_known_values_find_the_planted_rows(spark):
+    """From all good, five far rows of nine pull a sequence to their side; known values of others start it right."""
+    rows, wrong, df, names, known = runs_data(spark)
+    given, _ = models.with_categories(known, ["s"])
+    ask = lambda **kw: models.retention_runs(df, "tg", "seq", "pep", "nrt", [*names, "total"], threshold=8.0, choose=10, **kw)
+    bad = lambda out: {(r.tg // 100, r.tg % 100) for r in out.where("not good").collect()}
+    right, stats = ask(known=given, runs=2, seed=3)
+    assert bad(right) == wrong and stats[0]["bad"] == len(wrong) and abs(stats[0]["coefficients"]["total"] + 2) < 0.1
+    alone, one = ask(runs=1, seed=3)
+    assert bad(alone) != wrong
+    # Draws depend on seed, run, round and group alone.
+    facts = lambda stats: [(s["run"], s["rounds"], s["bad"], s["lost_peptides"]) for s in stats]
+    _, several = models.retention_runs(df.repartition(3), "tg", "seq", "pep", "nrt", [*names, "total"], threshold=8.0, choose=10, runs=3, seed=3)
+    assert facts(several)[0] == facts(one)[0] and len(several) == 3
+
+
+def test_retention_runs_of_no_rows(spark):
+    df = spark.createDataFrame([], "tg int, seq string, pep string, total double, nrt double")
+    assert models.retention_runs(df, "tg", "seq", "pep", "nrt", ["total"], runs=2)[0].count() == 0
