@@ -1,13 +1,13 @@
 """Personal data by bootstrapped contextual extraction (operator 1).
 
 Base matches of four kinds (email, ip, card, phone) are seeds; so are secrets, key-like strings
-that are assigned to a name of a credential.  The words and cue before a match are its lexical
+that are assigned to a name of a credential, which are only accepted through a pattern, too.  The words and cue before a match are its lexical
 patterns; identifier-like strings that are no base match are candidates with patterns of their
-own.  Patterns and values form a graph whose scores Spark computes in rounds: a pattern scores
-by the share of its distinct values that are known to be of one kind, a candidate by the
-patterns it stands in (noisy or).  Candidates that score high, in patterns with enough distinct
-seeds, and known values that stand elsewhere in another form or without cue, are added as
-spans; base spans always stay.
+own.  Patterns and values form a graph whose scores Spark computes in rounds until nothing moves:
+a pattern scores by the share of its distinct values that are known to be of one kind, a candidate
+by the patterns it stands in (noisy or).  Candidates that score high, in patterns with enough
+distinct known values, and known values that stand elsewhere in another form or without cue, are
+added as spans; base spans always stay.
 
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive;
 copies of a text give their values once to the graph; a null doc_id is kept; repeated rows give
@@ -41,9 +41,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Candidates: number-like, address-like and key-like strings.
 NUMBER = re.compile(r"(?<![\w+])[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![\w])")
 ADDRESS = re.compile(r"(?<![^\s<(\[\"'])[A-Za-z0-9._%+-]{2,64}(?:@| ?\(at\) ?| ?\[at\] ?| at )[A-Za-z0-9-]{2,63}(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]{2,63}){0,4}")
+DOTTED = re.compile(r"\.|\(dot\)|\[dot\]| dot ")
 KEY = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_+/=-])")
-#: Characters of a key-like string at most.
-KEY_CHARS = 512
+#: Values of more characters are known by their hash.
+LONG_VALUE = 64
 #: Fixed value: what a name of a credential holds, with the sign that assigns to it.
 CREDENTIAL = re.compile(r"(?:token|secret|passw(?:or)?d|credential|auth|(?:api|access|private|secret)[_ -]?key)[\w.-]{0,24}[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?\Z", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+|[:=#]")
@@ -51,8 +52,7 @@ CUES = ":=#"
 LEFT = 48
 
 #: A pattern needs so many known distinct values, and such a share of all its values, of one kind.
-SUPPORT, SURE = 5.0, 0.8
-ROUNDS = 3
+SUPPORT, SURE = 5, 0.8
 
 FOUND = (
     "row string, doc_id long, sha string, base array<struct<kind:int,b:int,e:int>>, "
@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, begin, end) of all base matches, by kind, then position."""
     out = [(0, b, e) for b, e in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out.append((1, *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -119,13 +119,18 @@ def kinds_of(value: str) -> list[int]:
 
 def normal(value: str) -> str:
     """Values that differ in separators or case only are one instance."""
-    return re.sub(r"[\s().+-]+", "", value.casefold()) if value[:1] in "+0123456789" else value.casefold()
+    value = re.sub(r"[\s().+-]+", "", value.casefold()) if value[:1] in "+0123456789" else value.casefold()
+    return value if len(value) <= LONG_VALUE else hashlib.sha256(value.encode()).hexdigest()
+
+
+def secret(value: str) -> str:
+    return value.casefold() if len(value) <= LONG_VALUE else hashlib.sha256(value.casefold().encode()).hexdigest()
 
 
 def key_like(value: str) -> bool:
     """Letters and digits, and not few of the latter, as in random strings and unlike words."""
     digits = sum(c.isdigit() for c in value)
-    return len(value) <= KEY_CHARS and 8 * digits >= len(value) and any(c.isalpha() for c in value)
+    return 8 * digits >= len(value) and any(c.isalpha() for c in value)
 
 
 class Taken:
@@ -156,11 +161,15 @@ def contexts(text: str) -> tuple[list, list, list]:
     for m in [*NUMBER.finditer(text), *(ADDRESS.finditer(text) if "at" in text or "@" in text else ())]:
         b, e = m.span()
         if not taken.meets(b, e):
-            found += [(k, b, e, normal(m.group()), p) for k in kinds_of(m.group()) for p in patterns(text, b) or [""]]
+            before = patterns(text, b)
+            # Words around a bare "at" are prose unless a dot or a sign before them says otherwise.
+            if " at " in m.group() and not DOTTED.search(m.group().split(" at ", 1)[1]) and not any(p[-1] in CUES for p in before):
+                continue
+            found += [(k, b, e, normal(m.group()), p) for k in kinds_of(m.group()) for p in before or [""]]
     for m in KEY.finditer(text):
         b, e = m.span()
         if key_like(m.group()) and not taken.meets(b, e):
-            value, before = m.group().casefold(), patterns(text, b) or [""]
+            value, before = secret(m.group()), patterns(text, b) or [""]
             found += [(SECRET, b, e, value, p) for p in before]
             if CREDENTIAL.search(text, max(0, b - LEFT), b):
                 seeds += [(SECRET, value, p) for p in before]
@@ -192,21 +201,25 @@ def scan(docs: DataFrame) -> DataFrame:
     return common.texts(docs).mapInArrow(run, FOUND)
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, sure: float = SURE) -> DataFrame:
-    """(kind, value) of seeds and of candidates that the graph accepts.
+def score_graph(edges: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
+    """(kind, value) that the graph accepts: values of sure patterns, and those that are base spans elsewhere.
 
-    edges: distinct (pattern, kind, value, seed); an empty pattern gives no score.  Each round aggregates
-    before it joins."""
+    edges: distinct (pattern, kind, value, seed); an empty pattern gives no score.  A pattern's chance is the share of its
+    values that are known; a value's score is the chance that not all its patterns fail.  Values that reach `sure` become
+    known in the next round, until none does: known values only grow, so this ends.  Seeds of secrets are known from the
+    start but accepted only through patterns.  Each round aggregates before it joins."""
     total = edges.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
     named = common.written(edges.where("pattern <> ''").join(total, "pattern"), "edges")
-    scores = edges.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("s"))
-    for _ in range(rounds):
-        known = named.join(scores.where("s > 0"), ["kind", "value"]).groupBy("pattern", "kind").agg(F.sum("s").alias("known"), F.first("n").alias("n"))
-        sure_ones = known.select("pattern", "kind", F.least(F.lit(0.999), F.col("known") / F.col("n")).alias("p")).where((F.col("known") >= support) & (F.col("p") >= sure))
-        by_value = named.where("seed = 0").join(sure_ones, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("s"))
-        both = by_value.unionByName(edges.where("seed = 1").select("kind", "value", F.lit(1.0).alias("s")))
-        scores = common.written(both.groupBy("kind", "value").agg(F.max("s").alias("s")), "scores")
-    return scores.where(F.col("s") >= sure).select("kind", "value")
+    seeds = common.written(edges.where("seed = 1").select("kind", "value").distinct(), "seeds")
+    known, held, accepted = seeds, -1, None
+    while (now := known.count()) != held:
+        held = now
+        counts = named.join(known, ["kind", "value"]).groupBy("pattern", "kind").agg(F.count("*").alias("known"), F.first("n").alias("n"))
+        chances = counts.select("pattern", "kind", F.least(F.lit(0.999), F.col("known") / F.col("n")).alias("p")).where((F.col("known") >= support) & (F.col("p") >= sure))
+        scores = named.where((F.col("seed") == 0) | (F.col("kind") == SECRET)).join(chances, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("s"))
+        accepted = common.written(scores.where(F.col("s") >= sure).select("kind", "value"), "accepted")
+        known = common.written(accepted.unionByName(seeds).distinct(), "known")
+    return accepted.unionByName(seeds.where(F.col("kind") != SECRET)).distinct()
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -91,6 +91,25 @@ def test_pii_discovers_secrets_by_pattern(spark):
     assert not [r for r in pii.find(spark.createDataFrame(one, "doc_id long, text string")).collect() if r.more]
 
 
+def test_pii_of_very_long_numbers_and_secrets(spark):
+    """Parts of thousands of zeros are 0, a secret of any length is found, and a chain of patterns is followed to its end."""
+    zeros = "0" * 5_000 + "1.1.1.1"
+    key = lambda n, size=40: hashlib.sha512(b"%d" % n).hexdigest() * (size // 128 + 1)
+    docs = [(1, zeros), (2, "0" * 5_000 + "999.1.1.1")]
+    docs += [(10 + i, f'client token = "{key(i)[:40]}"') for i in range(6)] + [(20, f'client token = "{key(20, 3_000)}"')]
+    # Each next cue has five of the values of the one before and one of its own.
+    for step, cue in enumerate(["alpha beta :", "gamma delta :", "omega sigma :", "kappa lambda :"], 1):
+        docs += [(100 * step + i, f"{cue} {key(step + i if i < 5 else step + 5)[:40]}") for i in range(6)]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in found[1].base] == [(1, 0, len(zeros))] and found[2].base == []
+    assert all(len(found[i].more) == 1 for i in found if i > 2) and found[20].more[0].e - found[20].more[0].b > 3_000
+
+
+def test_secret_without_a_supported_pattern_stays_unfound(spark):
+    docs = [(i, f'rare{i} token = "{hashlib.sha1(b"%d" % i).hexdigest()}"') for i in range(3)]
+    assert not [r for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.more]
+
+
 def test_pii_long_runs_are_linear():
     assert pii.base_spans("a" * 200_000 + "@" * 1_000 + "999." * 50_000 + "+" * 1_000) == []
     began = time.process_time()
