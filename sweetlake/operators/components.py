@@ -48,3 +48,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     stars = state.select(F.col("u").alias("id"), F.col("v").alias("component"))
     heads = state.select(F.col("v").alias("id"), F.col("v").alias("component")).unionByName(loops.select(F.col("u").alias("id"), F.col("u").alias("component")))
     return stars.unionByName(heads).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def forest_roots(parents: DataFrame, child: str = "dst", parent: str = "src") -> DataFrame:
+    """(id, component) of every child in a table that gives each child one parent, without cycles: component is the root above it.
+
+    Steps up double, so a round is one join and rounds grow with the logarithm of the depth: cheaper than
+    connected_components where links point to a centre."""
+    state = cut_lineage(parents.select(F.col(child).alias("id"), F.col(parent).alias("up")))
+    while True:
+        above = state.select(F.col("id").alias("at"), F.col("up").alias("next"))
+        state = cut_lineage(state.join(above, F.col("up") == F.col("at"), "left").select("id", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
+        if state.where("moved").isEmpty():
+            return state.select("id", F.col("up").alias("component"))

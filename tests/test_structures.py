@@ -4,7 +4,7 @@ import itertools
 import random
 
 from sweetlake.jobs.queries import QUERIES
-from sweetlake.operators import motifs
+from sweetlake.operators import components, motifs
 from sweetlake.operators import structures as s
 
 SCHEMA = "acc string, rid int, parent int, symbol string, anomer string, pos int"
@@ -128,3 +128,12 @@ def test_trimming(spark):
 def test_subsumption_query_takes_all_trees(spark):
     got = QUERIES["J18_subsumption_pairs"](spark, "/root/testdata/sf0.001").collect()
     assert {r.parent % 4 for r in got if r.parent > 0} == {0, 1, 2, 3} and any(r.parent < 0 < r.child for r in got)
+
+
+def test_forest_roots_equal_components(spark):
+    rng = random.Random(2)
+    edges = [(i, rng.randint(max(0, i - 3), i - 1)) for i in range(1, 200) if i % 11]
+    df = spark.createDataFrame(edges, "dst long, src long")
+    want = {r.id: r.component for r in components.connected_components(df).collect()}
+    assert {r.id: r.component for r in components.forest_roots(df).collect()} == {i: want[i] for i, _ in edges}
+    assert components.forest_roots(df.limit(0)).count() == 0
