@@ -48,15 +48,33 @@ def w13(t):
     return found.select("series", F.coalesce("width", F.lit(-1.0)).alias("width"))
 
 
-@query(
-    "A8_chromatogram_specificity",
-    f"""WITH {XIC_SQL}, m AS (SELECT series, arg_min(int, rt) AS f, max(int) FILTER (abs(rt - apex_rt) <= 1) AS i, max(int) FILTER (abs(rt - apex_rt) > 1 AND abs(rt - apex_rt) <= 6) AS o FROM x JOIN a USING (series) GROUP BY 1)
-SELECT series, greatest(f, i) AS inside, greatest(f, o) AS outside, round(100 * greatest(f, o) / greatest(f, i), 4) AS percent, 100 * greatest(f, o) / greatest(f, i) < 50 AS specific FROM m""",
-)
+#: Tails of the hypergeometric by their definition, for rows of SCORED (n_other, total, _bad, _all and an id k).
+SCORE_SQL = """terms AS (SELECT *, unnest(generate_series(greatest(0, total + _bad - _all), least(total, _bad))) AS i FROM scored WHERE total >= 10),
+tails AS (SELECT k, coalesce(sum(p) FILTER (i <= n_other), 0) AS low, coalesce(sum(p) FILTER (i >= n_other), 0) AS high FROM (SELECT k, i, n_other,
+exp(lgamma(_bad + 1) - lgamma(i + 1) - lgamma(_bad - i + 1) + lgamma(_all - _bad + 1) - lgamma(total - i + 1) - lgamma(_all - _bad - total + i + 1) - lgamma(_all + 1) + lgamma(total + 1) + lgamma(_all - total + 1)) AS p FROM terms) GROUP BY k),
+odds AS (SELECT *, CASE WHEN _bad - n_other >= 0 AND _all - total - _bad + n_other >= 0 THEN log2((n_other + 0.5) / (total - n_other + 0.5)) - log2((_bad - n_other + 0.5) / (_all - total - _bad + n_other + 0.5)) END AS lod FROM scored LEFT JOIN tails USING (k))"""
+SCORE = "round(CASE WHEN total < 10 THEN NULL WHEN _bad > 0 AND coalesce(lod < 0, true) THEN -10 * log10(greatest(least(low, 1), 1e-100)) ELSE 10 * log10(greatest(least(high, 1), 1e-100)) END, 3)"
+SPECIFIC_SQL = f"""{XIC_SQL}, m AS (SELECT series, arg_min(int, rt) AS f, max(int) FILTER (d < 1) AS i, max(int) FILTER (d >= 1 AND d < 6) AS o FROM (SELECT *, round(abs(round(rt, 3) - round(apex_rt, 3)), 6) AS d FROM x JOIN a USING (series)) GROUP BY 1),
+found AS (SELECT series, greatest(f, i) AS inside, greatest(f, o) AS outside, round(100 * greatest(f, o) / greatest(f, i), 2) AS percent FROM m)"""
+
+
+@query("A8_chromatogram_specificity", f"WITH {SPECIFIC_SQL} SELECT *, percent < 50 AS specific FROM found")
 def a8(t):
     x = xic(t)
-    found = c.chromatogram_specificity(x, c.apex(x).select("series", F.col("apex_rt").alias("centre")))
-    return found.withColumn("percent", F.round("percent", 4))
+    return c.chromatogram_specificity(x, c.apex(x).select("series", F.col("apex_rt").alias("centre")))
+
+
+@query(
+    "A8_label_rollup",
+    f"""WITH {SPECIFIC_SQL}, r AS (SELECT *, 'G' || (series % 7) AS glycan, 'Y' || (series % 11) AS label, percent < 50 AS good FROM found), scored AS (SELECT glycan IS NOT NULL AS by_glycan, glycan, label, row_number() OVER () AS k,
+count(*) FILTER (good) AS n_specific, count(*) FILTER (NOT good) AS n_other, count(*) AS total, median(inside) AS inside, median(percent) AS percent, (SELECT count(*) FROM r WHERE NOT good) AS _bad, (SELECT count(*) FROM r) AS _all FROM r WHERE good IS NOT NULL GROUP BY GROUPING SETS ((label), (glycan, label))),
+{SCORE_SQL} SELECT by_glycan, glycan, label, n_specific, n_other, total, round(100.0 * n_other / total, 6) AS percent_other, round(inside, 6) AS median_inside, round(percent, 6) AS median_percent, {SCORE} AS score FROM odds""",
+)
+def a8_labels(t):
+    rows = a8(t).withColumns({"glycan": F.concat(F.lit("G"), text(F.col("series") % 7)), "label": F.concat(F.lit("Y"), text(F.col("series") % 11), F.lit("*"))})
+    found = c.specificity_by_label(rows, "glycan", "label", "specific", {"median_inside": "inside", "median_percent": "percent"}, background=None)
+    numbers = {x: F.round(x, 6) for x in ("percent_other", "median_inside", "median_percent")} | {"score": F.round("score", 3)}
+    return found.withColumns(numbers).drop("percent_specific")
 
 
 @query("U11_fit_peak")

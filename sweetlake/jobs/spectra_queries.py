@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fdr, library, models
+from ..operators.chromatograms import specificity_by_label
+from .chromatogram_queries import SCORE, SCORE_SQL
 from .registry import Tables, query
 
 TIES = ["l_orderkey", "l_linenumber"]
@@ -165,16 +167,15 @@ def j11(t):
 
 @query(
     "A7_label_specificity",
-    f"""WITH {CONFUSABLE_SQL}, s AS (SELECT p.p_type AS glycan, regexp_replace(p.p_brand || '**', '\\*+$', '') AS label, n.n = 0 AS good FROM p JOIN n USING (key))
-SELECT glycan, label, count(*) FILTER (good) AS n_specific, count(*) FILTER (NOT good) AS n_other, count(*) AS total, round(100.0 * count(*) FILTER (good) / count(*), 6) AS percent FROM s GROUP BY 1, 2
-UNION ALL SELECT NULL, label, count(*) FILTER (good), count(*) FILTER (NOT good), count(*), round(100.0 * count(*) FILTER (good) / count(*), 6) FROM s GROUP BY label""",
+    f"""WITH {CONFUSABLE_SQL}, s AS (SELECT p.p_type AS glycan, p.p_brand || '*' AS label, n.n = 0 AS good FROM p JOIN n USING (key)), scored AS (SELECT grouping(glycan) = 0 AS by_glycan, glycan, label, row_number() OVER () AS k,
+count(*) FILTER (good) AS n_specific, count(*) FILTER (NOT good) AS n_other, count(*) AS total, (SELECT CAST(floor(0.13 * count(*) + 0.5) AS BIGINT) FROM s) AS _bad, (SELECT count(*) FROM s) AS _all FROM s GROUP BY GROUPING SETS ((label), (glycan, label))),
+{SCORE_SQL} SELECT by_glycan, glycan, label, n_specific, n_other, total, round(100.0 * n_specific / total, 6) AS percent_specific, round(100.0 * n_other / total, 6) AS percent_other, {SCORE} AS score FROM odds""",
 )
 def a7(t):
     tr = t.part.select(F.col("p_partkey").alias("key"), F.concat("p_brand", F.lit("**")).alias("label"), F.col("p_type").alias("glycan"))
-    tr = tr.join(confusable(t), "key").withColumn("specific", (F.col("n") == 0).cast("int"))
-    by_label = library.label_specificity(tr, []).withColumn("glycan", F.lit(None).cast("string"))
-    both = library.label_specificity(tr, ["glycan"]).unionByName(by_label)
-    return both.select("glycan", "label", "n_specific", "n_other", "total", F.round("percent", 6).alias("percent"))
+    tr = tr.join(confusable(t), "key").withColumn("specific", F.col("n") == 0)
+    found = specificity_by_label(tr, "glycan", "label", "specific")
+    return found.withColumns({x: F.round(x, 6) for x in ("percent_specific", "percent_other")} | {"score": F.round("score", 3)})
 
 
 @query(

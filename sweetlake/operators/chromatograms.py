@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from .stats import lod
+
 
 def apex(xic: DataFrame, series: str = "series") -> DataFrame:
     """(series, apex_rt, apex_int): the most intense point, ties to the earliest; combined before the shuffle."""
@@ -48,18 +50,18 @@ def rt_neighborhood(xic: DataFrame, centres: DataFrame, widths: list[float], lea
 
 
 def chromatogram_specificity(xic: DataFrame, centres: DataFrame, inner: float = 1, outer: float = 6, threshold: float = 50, series: str = "series") -> DataFrame:
-    """(series, inside, outside, percent, specific): the largest points within `inner` and from there to `outer`.
+    """(series, inside, outside, percent, specific): the largest points nearer than `inner`, and from there to below `outer`.
 
-    The first point of a series starts both maxima.  A fragment is specific where the outside is below
-    `threshold` percent of the inside."""
+    The first point of a series starts both maxima; times are rounded to 3 decimals, percent to 2.  A fragment is
+    specific where the outside is below `threshold` percent of the inside; an inside of 0 has neither (null)."""
     joined = xic.join(centres, series)
-    d = F.abs(F.col("rt") - F.col("centre"))
+    d = F.round(F.abs(F.round("rt", 3) - F.round("centre", 3)), 6)
     found = joined.groupBy(series).agg(
-        F.min_by("int", "rt").alias("first"), F.max(F.when(d <= inner, F.col("int"))).alias("i"), F.max(F.when((d > inner) & (d <= outer), F.col("int"))).alias("o")
+        F.min_by("int", "rt").alias("first"), F.max(F.when(d < inner, F.col("int"))).alias("i"), F.max(F.when((d >= inner) & (d < outer), F.col("int"))).alias("o")
     )
     inside, outside = F.greatest("first", "i"), F.greatest("first", "o")
-    pct = F.when(inside > 0, 100 * outside / inside)
-    return found.select(series, inside.alias("inside"), outside.alias("outside"), pct.alias("percent"), F.coalesce(pct < threshold, F.lit(False)).alias("specific"))
+    pct = F.when(inside != 0, F.round(100 * outside / inside, 2))
+    return found.select(series, inside.alias("inside"), outside.alias("outside"), pct.alias("percent"), (pct < threshold).alias("specific"))
 
 
 def fit_peak(windowed: DataFrame, widest: float = 3.5, series: str = "series") -> DataFrame:
@@ -119,29 +121,106 @@ def _log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
     return g(n + 1.0) - g(k + 1.0) - g(n - k + 1.0)
 
 
+def _stirling_rest(n: float) -> float:
+    """log n! less its Stirling approximation."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n > 0 else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation where both are near."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, term, j = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        if (now := total + term / (2 * j + 1)) == total:
+            return total
+        total, j = now, j + 1
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Log of the chance of x hits in n trials, by deviances, so that its error does not grow with n."""
+    if p in (0.0, 1.0):
+        return 0.0 if x == n * p else -math.inf
+    if x in (0, n):
+        return n * (math.log1p(-p) if x == 0 else math.log(p))
+    rest = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
+    return rest + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+
+
+def _summed(log_first: float, ratio, i: int, end: int, step: int) -> float:
+    """The chance of i and of what follows it up to `end`, by the ratios of neighbouring chances, which fall: terms
+    are taken until they add nothing, some standard deviations, however large the counts are."""
+    total, last, size = 1.0, 1.0, 64
+    while i != end and last > 1e-18 * total:
+        k = np.arange(i, end, step)[:size] if abs(end - i) <= size else np.arange(i, i + step * size, step)
+        terms = last * np.cumprod(ratio(k.astype(float)))
+        total, last, i, size = total + float(terms.sum()), float(terms[-1]), i + step * len(k), min(2 * size, 1 << 14)
+    return math.exp(log_first + math.log(total))
+
+
+def _tails(x: int, lo: int, hi: int, mode: int, log_chance, up, down) -> tuple[float, float]:
+    """P(X <= x) and P(X >= x); the tail away from the mode is summed, the other is its complement."""
+    if x < lo or x > hi:
+        return (0.0, 1.0) if x < lo else (1.0, 0.0)
+    if x <= mode:
+        low = _summed(log_chance(x), down, x, lo, -1)
+        return min(1.0, low), 1.0 if x == lo else max(0.0, 1 - low + math.exp(log_chance(x)))
+    high = _summed(log_chance(x), up, x, hi, 1)
+    return 1.0 if x == hi else max(0.0, 1 - high + math.exp(log_chance(x))), min(1.0, high)
+
+
+def hypergeom_tails(x: int, total: int, good: int, drawn: int) -> tuple[float, float]:
+    """P(X <= x) and P(X >= x) of x good ones among `drawn` of `total`."""
+    n, g, m = int(total), int(good), int(drawn)
+    p = m / n if n else 0.0
+
+    def log_chance(i: int) -> float:
+        return _log_binomial(i, g, p) + _log_binomial(m - i, n - g, p) - _log_binomial(m, n, p)
+
+    up = lambda i: (g - i) * (m - i) / ((i + 1) * (n - g - m + i + 1))
+    down = lambda i: i * (n - g - m + i) / ((g - i + 1) * (m - i + 1))
+    return _tails(int(x), max(0, m + g - n), min(g, m), (g + 1) * (m + 1) // (n + 2), log_chance, up, down)
+
+
+def binom_tails(x: int, n: int, p: float) -> tuple[float, float]:
+    """P(X <= x) and P(X >= x) of n draws at chance p."""
+    x, n = int(x), int(n)
+    if p <= 0 or p >= 1:
+        certain = n if p >= 1 else 0
+        return float(certain <= x), float(certain >= x)
+    up = lambda i: (n - i) / (i + 1) * (p / (1 - p))
+    down = lambda i: i / (n - i + 1) * ((1 - p) / p)
+    return _tails(x, 0, n, int((n + 1) * p), lambda i: _log_binomial(i, n, p), up, down)
+
+
+def _each(tails, side: int, *columns: pd.Series) -> pd.Series:
+    """One tail of each row; equal rows are worked out once, a null gives null."""
+    rows, memo = list(zip(*columns)), {}
+    for r in set(rows):
+        memo[r] = None if any(v is None or v != v for v in r) else tails(*r)[side]
+    return pd.Series([memo[r] for r in rows], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def hypergeom_tail(x: pd.Series, total: pd.Series, good: pd.Series, drawn: pd.Series) -> pd.Series:
     """P(X >= x) of x good ones among `drawn` of `total`."""
-    out = []
-    for a, n, k, m in zip(x, total, good, drawn):
-        i = np.arange(max(a, m + k - n, 0), min(k, m) + 1)
-        out.append(float(min(1.0, np.exp(_log_choose(k, i) + _log_choose(n - k, m - i) - _log_choose(n, m)).sum())) if len(i) else 0.0)
-    return pd.Series(out)
+    return _each(hypergeom_tails, 1, x, total, good, drawn)
+
+
+@F.pandas_udf(DoubleType())
+def hypergeom_low(x: pd.Series, total: pd.Series, good: pd.Series, drawn: pd.Series) -> pd.Series:
+    """P(X <= x) of x good ones among `drawn` of `total`."""
+    return _each(hypergeom_tails, 0, x, total, good, drawn)
 
 
 @F.pandas_udf(DoubleType())
 def binom_tail(x: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """P(X >= x) of n draws at chance p."""
-    out = []
-    for a, m, q in zip(x, n, p):
-        if a <= 0 or q >= 1:
-            out.append(1.0)
-        elif q <= 0:
-            out.append(0.0)
-        else:
-            i = np.arange(int(a), int(m) + 1)
-            out.append(float(min(1.0, np.exp(_log_choose(m, i) + i * math.log(q) + (m - i) * math.log1p(-q)).sum())) if len(i) else 0.0)
-    return pd.Series(out)
+    return _each(binom_tails, 1, x, n, p)
 
 
 def _binomial(n: int, p: float) -> np.ndarray:
@@ -178,13 +257,34 @@ def counted_trials_tail(trials: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def spec_score(specific: Column, total: Column, background: float = 0.13) -> Column:
-    """Signed phred of the non-specific count against a fixed background: positive where it is rarer than expected."""
-    other = total - specific
-    low = 1 - binom_tail(other + 1, total, F.lit(background))
-    high = binom_tail(other, total, F.lit(background))
-    score = lambda p: -10 * F.log10(F.greatest(p, F.lit(1e-30)))
-    return F.when(other < background * total, score(low)).otherwise(-score(high))
+def spec_score(other: Column, total: Column, background: Column, every: Column) -> Column:
+    """Signed score of `other` non-specific ones of `total`, where `background` of `every` are: positive where they are rarer
+    than that (log odds below 0, or undefined), by the lower tail of the hypergeometric, else negative, by the upper."""
+    tail = lambda p: 10 * F.log10(F.greatest(p, F.lit(1e-100)))
+    rarer = (background > 0) & F.coalesce(lod(other, total, background, every) < 0, F.lit(True))
+    return F.when(rarer, -tail(hypergeom_low(other, every, background, total))).otherwise(tail(hypergeom_tail(other, every, background, total)))
+
+
+def specificity_by_label(
+    rows: DataFrame, glycan: str, label: str, specific: str, values: dict[str, str] | None = None, background: float | None = 0.13, least: int = 10
+) -> DataFrame:
+    """Per label and per (glycan, label), in one pass: n_specific, n_other, total, the share of either in percent, exact
+    medians of `values` (new name -> column) and the score of levels with at least `least` rows (else null).
+
+    A star at the end of a label goes.  by_glycan tells the levels apart (glycan is null in the other, or where it is
+    unknown).  Rows whose `specific` is null are of no level but count among all; the background is so large a share of all rows,
+    rounded, or without one the non-specific rows themselves."""
+    n_all = F.count("*").alias("_all")
+    bad = F.count_if(~F.col(specific)) if background is None else F.floor(F.count("*") * background + 0.5)
+    facts = rows.agg(n_all, bad.cast("long").alias("_bad"))  # one row
+    clean = rows.where(F.col(specific).isNotNull()).withColumn(label, F.regexp_replace(label, r"\*$", ""))
+    good = F.col(specific)
+    counts = [F.count_if(good).alias("n_specific"), F.count_if(~good).alias("n_other"), F.count("*").alias("total")]
+    medians = [F.median(c).alias(name) for name, c in (values or {}).items()]
+    level = clean.groupingSets([[F.col(label)], [F.col(glycan), F.col(label)]], glycan, label).agg((F.grouping(glycan) == 0).alias("by_glycan"), *counts, *medians)
+    shares = {f"percent_{k}": 100 * F.col(f"n_{k}") / F.col("total") for k in ("specific", "other")}
+    scored = level.join(F.broadcast(facts)).withColumns(shares).withColumn("score", F.when(F.col("total") >= least, spec_score(F.col("n_other"), F.col("total"), F.col("_bad"), F.col("_all"))))
+    return scored.select("by_glycan", glycan, label, "n_specific", "n_other", "total", *shares, *(values or {}), "score")
 
 
 def isotope_pattern(elements: DataFrame, isotopes: dict[str, list[float]], most: int = 6, cutoff: float = 1e-9) -> DataFrame:

@@ -70,15 +70,6 @@ def confusable_transitions(tr: DataFrame, key: str, axes: dict[str, float], slic
     return base.select(key).join(counted, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def label_specificity(tr: DataFrame, keys: list[str], label: str = "label", specific: str = "specific") -> DataFrame:
-    """Specific, non-specific and total counts and percent per label, whose trailing stars go."""
-    clean = tr.withColumn(label, F.regexp_replace(label, r"\*+$", ""))
-    good = F.col(specific) != 0
-    return clean.groupBy(*keys, label).agg(
-        F.count_if(good).alias("n_specific"), F.count_if(~good).alias("n_other"), F.count("*").alias("total"), (100 * F.count_if(good) / F.count("*")).alias("percent")
-    )
-
-
 def library_stats(df: DataFrame, protein: str, glycan: str, site: str, glycopeptide: str) -> DataFrame:
     """Distinct proteins, glycans, sites, (protein, site, glycan) and glycopeptides, in one pass."""
     return df.agg(

@@ -2,11 +2,14 @@
 
 import itertools
 import math
+import time
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sweetlake.operators import chromatograms
 from sweetlake.operators import chromatograms as c
 from sweetlake.operators import hierarchy, lineage, models
 from sweetlake.operators.joins import occurrences
@@ -99,3 +102,57 @@ def test_scratch_is_cleared(spark):
     lineage.WRITTEN[spark.sparkContext.applicationId] = others
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(mine)
+
+
+def exact_tails(x, pmf):
+    return sum(p for i, p in pmf.items() if i <= x), sum(p for i, p in pmf.items() if i >= x)
+
+
+def test_tails_equal_exact_sums():
+    """Every outcome of many small cases, by whole-number combinatorics."""
+    for n, g, m in itertools.product((1, 2, 7, 30), (0, 1, 3, 15, 30), (0, 1, 5, 29, 30)):
+        if g <= n and m <= n:
+            pmf = {i: math.comb(g, i) * math.comb(n - g, m - i) / math.comb(n, m) for i in range(max(0, m + g - n), min(g, m) + 1)}
+            for x in range(-1, n + 2):
+                assert chromatograms.hypergeom_tails(x, n, g, m) == pytest.approx(exact_tails(x, pmf), rel=1e-11, abs=1e-15)
+    for n, p in itertools.product((0, 1, 2, 9, 40), (0.0, 0.013, 0.5, 0.99, 1.0)):
+        pmf = {i: math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)}
+        for x in range(-1, n + 2):
+            assert chromatograms.binom_tails(x, n, p) == pytest.approx(exact_tails(x, pmf), rel=1e-11, abs=1e-15)
+
+
+def test_tails_of_very_large_counts_take_milliseconds():
+    """Against exact fractions in the far tail, and the normal limit near the mean; the work grows with the spread only."""
+    began = time.process_time()
+    n, p = 10**8, 0.13
+    low, high = chromatograms.binom_tails(int(n * p), n, p)
+    assert abs(low - 0.5) < 1e-3 and abs(low + high - 1) < 1e-3
+    low, high = chromatograms.hypergeom_tails(13 * 10**6 + 9_000, 10**9, 13 * 10**7, 10**8)
+    assert abs(high - 0.5 * math.erfc(9_000 / math.sqrt(2 * 10**8 * 0.13 * 0.87 * 0.9))) < 1e-4
+    assert chromatograms.binom_tails(10**7, n, p) == (0.0, 1.0)
+    assert time.process_time() - began < 0.2
+    exact = sum(Fraction(math.comb(1_000, i), 2**1_000) for i in range(700, 1_001))
+    assert chromatograms.binom_tails(700, 1_000, 0.5)[1] == pytest.approx(float(exact), rel=1e-11)
+
+
+def test_specificity_levels_and_scores(spark):
+    """Labels with and without a star, an unknown glycan beside the roll-up, rows that are neither, few rows without score."""
+    rows = [("g1", "Y1*", True, 4.0)] * 9 + [("g1", "Y1", False, 1.0)] * 3 + [(None, "Y1", False, None)] * 2 + [("g2", "B2**", False, 8.0)] * 3 + [("g2", "B2*", None, 9.0)] * 3
+    got = {(r.by_glycan, r.glycan, r.label): r for r in chromatograms.specificity_by_label(spark.createDataFrame(rows, "glycan string, label string, good boolean, x double"), "glycan", "label", "good", {"mid": "x"}).collect()}
+    assert got.keys() == {(False, None, "Y1"), (False, None, "B2*"), (True, "g1", "Y1"), (True, None, "Y1"), (True, "g2", "B2*")}
+    whole = got[False, None, "Y1"]
+    assert (whole.n_specific, whole.n_other, whole.total, whole.mid, got[True, None, "Y1"].mid) == (9, 5, 14, 4.0, None)
+    assert got[False, None, "B2*"].score is None and got[True, None, "Y1"].total == 2
+    # 3 of all 20 rows are the background: 5 of 14 are more than may be, so the log odds are undefined and the lower tail is 1.
+    assert whole.score == 0.0
+    x, n, bad, every = 3, 12, 3, 20
+    high = sum(math.comb(bad, i) * math.comb(every - bad, n - i) for i in range(x, bad + 1)) / math.comb(every, n)
+    assert got[True, "g1", "Y1"].score == pytest.approx(10 * math.log10(high))
+    assert got[True, "g1", "Y1"].percent_other == 25.0
+
+
+def test_specificity_borders(spark):
+    x = spark.createDataFrame([("s", -9.0, 1.0), ("s", -1.0, 7.0), ("s", 0.9994, 20.0), ("s", 1.0, 8.0), ("s", 6.0, 99.0), ("z", 0.0, 0.0)], "series string, rt double, int double")
+    c = spark.createDataFrame([("s", 0.0), ("z", 0.0)], "series string, centre double")
+    got = {r.series: tuple(r)[1:] for r in chromatograms.chromatogram_specificity(x, c).collect()}
+    assert got == {"s": (20.0, 8.0, 40.0, True), "z": (0.0, 0.0, None, None)}
