@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, forest_roots
 from . import common
 
 WORDS = 5
@@ -321,20 +321,24 @@ def groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     sets = common.written(sets_of(docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")), "sets", "lz4")
 
     stars = paired(shared.where("id <> hub").groupBy(F.col("id").alias("dst")).agg(F.min("hub").alias("src")), slim)
-    known = common.written(connected_components(verified(common.written(stars, "stars"), sets)), "components")
+    # Each class has one star's hub above it, of a smaller id: a forest.
+    known = common.written(forest_roots(verified(common.written(stars, "stars"), sets)), "components")
     shared = shared.drop("hub")
     for turn in range(rounds + 1):
         mixed = common.written(mixed_bands(shared, known), "mixed")
         pairs = paired(hub_pairs(mixed, turn), slim) if turn < rounds else across_pairs(mixed, slim)
         links = common.written(verified(common.written(pairs, "pairs"), sets), "links")
-        known = common.written(merged(known, links), "components")
+        if not links.isEmpty():
+            known = common.written(merged(known, links), "components")
 
     copies = linkable.select(F.col("key").alias("k"), F.col("doc_id").alias("copy")).join(classes.select("key", "id"), F.col("k") == F.col("key"))
     copies = copies.join(known, "id", "left").select("copy", F.coalesce("component", "id").alias("component"))
     named = copies.groupBy("copy").agg(F.min("component").alias("component"), F.collect_set("component").alias("all"))
     # Rows of one doc_id with different texts are one node: it joins their components.
     twice = named.where(F.size("all") > 1).select(F.col("component").alias("src"), F.explode("all").alias("dst"))
-    final = merged(named.select(F.col("copy").alias("id"), "component"), common.written(twice, "twice"))
+    final, twice = named.select(F.col("copy").alias("id"), "component"), common.written(twice, "twice")
+    if not twice.isEmpty():
+        final = merged(final, twice)
     return (
         signed.select("doc_id", "n_shingles")
         .join(final.withColumnRenamed("id", "member"), F.col("doc_id") == F.col("member"), "left")
