@@ -59,11 +59,36 @@ def u2(t):
     return s.structure_tests(residues(t))
 
 
-@query("U4_trim_leaves")
+DOWN_SQL = "{d} AS (SELECT acc, rid AS top, rid AS node FROM {r} UNION ALL SELECT {d}.acc, {d}.top, {r}.rid FROM {d} JOIN {r} ON {r}.acc = {d}.acc AND {r}.parent = {d}.node)"
+
+
+@query(
+    "U4_trim_leaves",
+    f"""WITH RECURSIVE {RESIDUES_SQL}, {DOWN_SQL.format(d="d", r="r")}, gone AS (SELECT d.acc, d.top FROM d JOIN r ON r.acc = d.acc AND r.rid = d.node WHERE d.top > 1 GROUP BY ALL HAVING bool_and(r.symbol IN ('Gal', 'Man'))),
+n AS (SELECT r.acc, count(g.top) AS n, coalesce(string_agg(g.top::VARCHAR, ',' ORDER BY g.top), '') AS removed FROM r LEFT JOIN gone g ON g.acc = r.acc AND g.top = r.rid GROUP BY 1)
+SELECT acc || CASE WHEN n > 0 THEN 't' || n ELSE '' END AS acc, removed, n::INTEGER AS n_removed FROM n""",
+)
 def u4(t):
     return s.trim_leaves(trees(t), ["Gal", "Man"]).select("acc", F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), "n_removed")
 
 
+#: Galactose on GlcNAc goes once, unless a mannose beside it protects it; then mannose goes until none is a leaf.
+ENZYMES = [{"symbol": "Gal", "parent": "GlcNAc", "protectors": ["Man"], "once": True, "suffix": "G"}, {"symbol": "Man", "suffix": "M"}]
+
+
+@query(
+    "U4_digest",
+    f"""WITH RECURSIVE {RESIDUES_SQL}, one AS (SELECT c.acc, c.rid FROM r c JOIN r p ON p.acc = c.acc AND p.rid = c.parent WHERE c.symbol = 'Gal' AND p.symbol = 'GlcNAc'
+AND NOT EXISTS (FROM r k WHERE k.acc = c.acc AND k.parent = c.rid) AND NOT EXISTS (FROM r k WHERE k.acc = c.acc AND k.parent = c.parent AND k.symbol = 'Man')),
+rest AS (FROM r ANTI JOIN one USING (acc, rid)), {DOWN_SQL.format(d="d", r="rest")}, two AS (SELECT d.acc, d.top AS rid FROM d JOIN rest ON rest.acc = d.acc AND rest.rid = d.node WHERE d.top > 1 GROUP BY ALL HAVING bool_and(rest.symbol = 'Man')),
+n AS (SELECT r.acc, count(one.rid) AS g, count(two.rid) AS m, coalesce(string_agg(r.rid::VARCHAR, ',' ORDER BY r.rid) FILTER (one.rid IS NULL AND two.rid IS NULL), '') AS kept FROM r LEFT JOIN one USING (acc, rid) LEFT JOIN two USING (acc, rid) GROUP BY 1)
+SELECT acc || CASE WHEN g > 0 THEN '-G' || g ELSE '' END || CASE WHEN m > 0 THEN '-M' || m ELSE '' END AS acc, g::INTEGER AS n_gal, m::INTEGER AS n_man, kept FROM n""",
+)
+def u4_digest(t):
+    found = s.digest(trees(t), ENZYMES)
+    return found.select("acc", F.col("counts")[0].alias("n_gal"), F.col("counts")[1].alias("n_man"), F.array_join(F.transform("residues", lambda r: r["rid"].cast("string")), ",").alias("kept"))
+
+
 @query(
     "U5_fragment_ions",
     f"""WITH RECURSIVE {RESIDUES_SQL}, m AS (SELECT *, CASE WHEN symbol = 'GlcNAc' THEN 203.0794::DOUBLE ELSE 162.0528::DOUBLE END AS mass FROM r), d AS (SELECT acc, rid AS top, rid AS node FROM r UNION ALL SELECT d.acc, d.top, r.rid FROM d JOIN r ON r.acc = d.acc AND r.parent = d.node),

@@ -154,27 +154,85 @@ def subsumption_pairs(structures: DataFrame, slices: int = 8, classes: dict[str,
     return down.where(~F.col("equal") | (F.col("parent") < F.col("child"))).select("parent", "child", "kind")
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _trimmed(residues: pd.Series, symbols: pd.Series, once: pd.Series) -> pd.Series:
-    out = []
-    for rs, names, one in zip(residues, symbols, once):
-        live, gone = {int(r["rid"]): r for r in rs}, []
-        while True:
-            inner = {known(r["parent"]) for r in live.values()}
-            leaves = [i for i, r in live.items() if i not in inner and known(r["parent"]) is not None and r["symbol"] in set(names)]
-            gone += leaves
-            for i in leaves:
-                del live[i]
-            if not leaves or one:
-                break
-        out.append(sorted(gone))
-    return pd.Series(out)
+def cleaved(tree: Tree, enzyme: dict) -> list[int]:
+    """Residues that an enzyme takes off a tree, in order; the tree loses them.
+
+    enzyme: symbol; optionally anomer and parent, which the leaf and the residue that it hangs on must not contradict,
+    protectors (symbols that, also on that residue, protect the leaf) and once (only what can go at the start goes).
+    An unknown symbol or anomer contradicts nothing, so it also protects.  A residue without parent is never taken."""
+    fits = lambda i, symbol, anomer=None: tree.node[i][0] in (None, symbol) and (anomer is None or tree.node[i][1] in (None, anomer))
+    up = {k: i for i, kids in tree.kids.items() for k in kids}
+
+    def can_go(i: int) -> bool:
+        if i not in up or tree.kids[i] or not fits(i, enzyme["symbol"], enzyme.get("anomer")):
+            return False
+        if enzyme.get("parent") and not fits(up[i], enzyme["parent"]):
+            return False
+        return not any(k != i and fits(k, p) for p in enzyme.get("protectors", ()) for k in tree.kids[up[i]])
+
+    todo, gone = sorted(i for i in tree.node if can_go(i)), []
+    while todo:
+        i = todo.pop()
+        if i not in up or not enzyme.get("once") and not can_go(i):
+            continue
+        parent = up.pop(i)
+        tree.kids[parent].remove(i)
+        del tree.node[i], tree.kids[i]
+        gone.append(i)
+        if not enzyme.get("once"):  # the residue above may be a leaf now, and one beside it no longer protected
+            todo += [k for k in (parent, *tree.kids[parent]) if can_go(k)]
+    return gone
+
+
+def digest(structures: DataFrame, enzymes: list[dict], together: bool = False) -> DataFrame:
+    """(acc, cut, counts, residues): structures after enzymes (see `cleaved`) in turn; `together`: all in turn until none takes any.
+
+    cut: what each enzyme took, sorted; counts: how many, one count an enzyme; residues: what is left.  acc gets -suffix and
+    count for each enzyme with a suffix that took any.  Helper code sees one structure at a time."""
+
+    @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+    def taken(residues: pd.Series) -> pd.Series:
+        out = []
+        for rs in residues:
+            tree, gone = Tree(rs), [[] for _ in enzymes]
+            while True:
+                now = [cleaved(tree, e) for e in enzymes]
+                for so_far, more in zip(gone, now):
+                    so_far += more
+                if not together or not any(now):
+                    break
+            out.append([sorted(g) for g in gone])
+        return pd.Series(out)
+
+    rows = structures.select("acc", "residues", taken("residues").alias("cut"))
+    counts = F.transform("cut", lambda x: F.size(x))
+    name = F.concat(F.col("acc").cast("string"), *(F.when(counts[k] > 0, F.concat(F.lit("-" + e["suffix"]), counts[k].cast("string"))).otherwise("") for k, e in enumerate(enzymes) if e.get("suffix")))
+    kept = F.filter("residues", lambda r: ~F.array_contains(F.flatten("cut"), r["rid"]))
+    return rows.select(name.alias("acc"), "cut", counts.alias("counts"), kept.alias("residues"))
 
 
 def trim_leaves(structures: DataFrame, symbols: list[str], once: bool = False, suffix: str = "t") -> DataFrame:
-    """(acc, removed, residues, n_removed): leaves of the symbols are removed, repeatedly unless `once`."""
-    gone = _trimmed("residues", F.array(*map(F.lit, symbols)), F.lit(once))
-    rows = structures.withColumn("removed", gone)
+    """(acc, removed, residues, n_removed): leaves of the symbols are removed, repeatedly unless `once`; unknown ones stay.
+
+    Without conditions that is what hangs below the root under symbols of the list only, so no search is needed."""
+    listed = F.array(*map(F.lit, symbols))
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def gone(residues: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for rs, allowed in zip(residues, names):
+            tree, allowed, down = Tree(rs), set(allowed), []
+            down += tree.tops
+            for i in down:
+                down += tree.kids[i]
+            free, tops = set(), set(tree.tops)
+            for i in reversed(down):
+                if i not in tops and tree.node[i][0] in allowed and (not tree.kids[i] or not once and free.issuperset(tree.kids[i])):
+                    free.add(i)
+            out.append(sorted(free))
+        return pd.Series(out)
+
+    rows = structures.withColumn("removed", gone("residues", listed))
     kept = F.filter("residues", lambda r: ~F.array_contains("removed", r["rid"]))
     name = F.when(F.size("removed") > 0, F.concat(F.col("acc").cast("string"), F.lit(suffix), F.size("removed").cast("string"))).otherwise(F.col("acc").cast("string"))
     return rows.select(name.alias("acc"), "removed", kept.alias("residues"), F.size("removed").alias("n_removed"))

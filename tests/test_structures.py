@@ -137,3 +137,57 @@ def test_forest_roots_equal_components(spark):
     want = {r.id: r.component for r in components.connected_components(df).collect()}
     assert {r.id: r.component for r in components.forest_roots(df).collect()} == {i: want[i] for i, _ in edges}
     assert components.forest_roots(df.limit(0)).count() == 0
+
+
+def cleaved_plain(rows, enzyme):
+    """What an enzyme leaves of (rid, parent, symbol, anomer), taking one leaf after the other from the definition."""
+    live = {r[0]: r for r in rows}
+    known = lambda x, y: x is None or x == y
+
+    def can_go(r):
+        kids = lambda i: [k for k in live.values() if k[1] == i]
+        if r[1] is None or kids(r[0]) or not known(r[2], enzyme["symbol"]) or not (enzyme.get("anomer") is None or known(r[3], enzyme["anomer"])):
+            return False
+        if enzyme.get("parent") and not known(live[r[1]][2], enzyme["parent"]):
+            return False
+        return not any(known(k[2], p) for k in kids(r[1]) if k is not r for p in enzyme.get("protectors", ()))
+
+    if enzyme.get("once"):
+        first = [r for r in live.values() if can_go(r)]
+        return [r for r in rows if r not in first]
+    while ready := [r for r in live.values() if can_go(r)]:
+        del live[ready[0][0]]
+    return list(live.values())
+
+
+def all_trees(n):
+    """Parents of all trees of n residues whose parents have smaller numbers."""
+    return itertools.product(*([None] if i == 1 else range(1, i) for i in range(1, n + 1)))
+
+
+def test_enzymes_equal_the_definition_on_all_trees():
+    """All shapes of up to 7 residues, symbols at random, with conditions on parent, anomer and what hangs beside."""
+    rng, count = random.Random(9), 0
+    rules = [{"symbol": "Gal"}, {"symbol": "Gal", "parent": "GlcNAc", "protectors": ["Fuc"], "once": True}, {"symbol": "Gal", "parent": "GlcNAc", "protectors": ["Fuc", "Man"]}, {"symbol": "Fuc", "anomer": "a"}, {"symbol": "Fuc", "protectors": ["Fuc"]}]
+    for n in range(1, 8):
+        for parents in all_trees(n):
+            rows = [(i, p, rng.choice(["Gal", "Gal", "GlcNAc", "Fuc", "Man", None]), rng.choice(["a", "b", None])) for i, p in enumerate(parents, 1)]
+            rule = rng.choice(rules)
+            t = tree([(*r, None) for r in rows])
+            gone = s.cleaved(t, rule)
+            assert sorted(t.node) == sorted(r[0] for r in cleaved_plain(rows, rule)) and len(gone) + len(t.node) == n
+            count += len(gone)
+    assert count > 500
+
+
+def test_digest_in_turn_and_together(spark):
+    """Gal lies under Fuc and Fuc under Gal: in turn one layer goes, together all; parents and suffixes; empty tables."""
+    chain = [(1, None, "GlcNAc", None, None), (2, 1, "Gal", None, None), (3, 2, "Fuc", None, None), (4, 3, "Gal", None, None), (5, 4, "Fuc", None, None)]
+    df = s.gathered(residues(spark, {"x": chain, "y": chain[:1], "loose": [(1, None, "Gal", None, None), (2, 9, "Fuc", None, None)]}))
+    both = [{"symbol": "Gal", "suffix": "G"}, {"symbol": "Fuc", "suffix": "F"}]
+    ask = lambda together: {r.acc: ([list(c) for c in r.cut], list(r.counts), [k.rid for k in r.residues]) for r in s.digest(df, both, together).collect()}
+    assert ask(False) == {"x-F1": ([[], [5]], [0, 1], [1, 2, 3, 4]), "y": ([[], []], [0, 0], [1]), "loose": ([[], []], [0, 0], [1, 2])}
+    assert ask(True)["x-G2-F2"] == ([[2, 4], [3, 5]], [2, 2], [1])
+    assert s.digest(df.limit(0), both).count() == 0
+    long = tree([(i, i - 1 or None, "Gal", None, None) for i in range(1, 5_001)])
+    assert len(s.cleaved(long, {"symbol": "Gal"})) == 4_999
