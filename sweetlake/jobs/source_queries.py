@@ -53,11 +53,43 @@ def s6(t):
     return readers.union_sources([normal(t), other]).select("acc", "source")
 
 
-@query("S7_subsumption_lines", "SELECT CAST(p_size AS VARCHAR) AS bucket, 'node' AS kind, 'G' || p_partkey AS a, CAST(p_size AS VARCHAR) AS b, p_type AS c FROM part UNION ALL SELECT CAST(p_size AS VARCHAR), 'edge', 'G' || p_partkey, 'H', 'subsumed' FROM part")
+DUMP_SQL = """p AS (SELECT p_partkey AS k, 'G' || lpad(p_partkey::VARCHAR, 5, '0') || 'AA' AS acc, (100 + p_size) || '.00' AS bucket FROM part)
+SELECT bucket, 'node' AS kind, acc, bucket || '|' || CASE k % 4 WHEN 0 THEN 'Topology' ELSE 'Saccharide' END || '|' || acc || '|' || CASE WHEN k % 5 > 0 THEN 'C' || k % 5 ELSE '-' END || '|-|'
+|| 'Hex=' || k % 9 || ',HexNAc+aldi=1|COMP=true' || CASE WHEN k % 2 = 0 THEN ',HASARCH=G9' ELSE '' END AS detail FROM p
+UNION ALL SELECT bucket, 'edge', acc, 'X' || k || ' subsumed' FROM p UNION ALL SELECT bucket, 'edge', acc, 'Y +aldi' FROM p WHERE k % 3 = 0
+UNION ALL SELECT bucket, 'missing', acc, CASE WHEN k % 6 = 0 THEN '-' ELSE (k % 600)::VARCHAR END FROM p WHERE k % 7 > 0
+UNION ALL SELECT bucket, 'warning', '3', acc || ' is odd - so it says' FROM p WHERE k % 10 = 0 UNION ALL SELECT bucket, 'warning', '-', 'unread: ' || acc || ' broken' FROM p WHERE k % 50 = 0"""
+
+
+def dump_clusters(t: Tables) -> DataFrame:
+    """`value`: a record a mass cluster, as a dump has them: warnings amid nodes, sections without content, lists of edges."""
+    k, mass = F.col("p_partkey"), F.concat(text(100 + F.col("p_size")), F.lit(".00"))
+    acc = F.concat(F.lit("G"), F.lpad(text(k), 5, "0"), F.lit("AA"))
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    odd = F.when(k % 10 == 0, line("# WARNING:3 - ", acc, " is odd - so it says\n")).otherwise("")
+    broken = F.when(k % 50 == 0, line(acc, " broken\n")).otherwise("")
+    node = line(odd, broken, acc, " ", mass, " ", F.when(k % 4 == 0, "Topology").otherwise("Saccharide*"), " ", acc, F.when(k % 5 > 0, line(" C", text(k % 5), "*")).otherwise(" None"), " None  COMP ", F.when(k % 2 == 0, "HASARCH:G9 ").otherwise(""), "Hex:", text(k % 9), " HexNAc+aldi:1")
+    tree = line("  ", acc, F.when(k % 7 == 0, "*").otherwise(""), " Topology* ", F.when(k % 6 == 0, "-").otherwise(text(k % 600)))
+    edge = line(acc, ": X", text(k), F.when(k % 3 == 0, " Y*").otherwise(""))
+    rows = t.part.groupBy(mass.alias("mass")).agg(*(F.array_join(F.collect_list(x), "\n").alias(c) for x, c in ((node, "nodes"), (tree, "tree"), (edge, "edges"))))
+    head = line(" now - 1 accessions in molecular weight cluster for ", F.col("mass"), "\n# NODES - 1/1 + 0 glycans in molecular weight cluster for ", F.col("mass"), "\n")
+    return rows.select(line(head, F.col("nodes"), "\n# ENDNODES\n\n# TREE\n", F.col("tree"), "\n# ENDTREE\nstray\n# EDGES\n", F.col("edges"), "\n# ENDEDGES\n# DONE - Elapsed\n").alias("value"))
+
+
+def dump_rows(dump: readers.SubsumptionDump) -> DataFrame:
+    """(bucket, kind, acc, detail) of all tables of a dump."""
+    held = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    node = dump.nodes.select("bucket", F.lit("node").alias("kind"), "acc", F.concat_ws("|", "mw", "level", *map(none, ("topo", "comp", "bcomp")), held("counts"), held("extras")).alias("detail"))
+    edge = dump.edges.select("bucket", F.lit("edge").alias("kind"), F.col("parent").alias("acc"), F.concat_ws(" ", "child", "kind").alias("detail"))
+    missing = dump.missing.select("bucket", F.lit("missing").alias("kind"), "acc", none("rank").alias("detail"))
+    warning = dump.warnings.select("bucket", F.lit("warning").alias("kind"), none("level").alias("acc"), F.col("message").alias("detail"))
+    return node.unionByName(edge).unionByName(missing).unionByName(warning)
+
+
+@query("S7_subsumption_lines", f"WITH {DUMP_SQL}")
 def s7(t):
-    g, size = F.concat(F.lit("G"), text("p_partkey")), text("p_size")
-    value = F.concat(F.lit(" "), size, F.lit("\nNODE "), g, F.lit(" "), size, F.lit(" "), "p_type", F.lit("\nEDGE "), g, F.lit(" H subsumed\nother"))
-    return readers.subsumption_lines(t.part.select(value.alias("value")))
+    return dump_rows(readers.subsumption_dump(readers.subsumption_lines(dump_clusters(t))))
 
 
 @query("S9_term_stanzas", "SELECT 'CHEBI:' || p_partkey AS id, p_name AS name, 'GTC:' || p_size AS xrefs FROM part")
@@ -97,12 +129,11 @@ def s3_files(t):
     return readers.read_nested_records(t.spark, f"{path}/*")
 
 
-@query("S7_read_subsumption_dump", "SELECT CAST(p_size AS VARCHAR) AS bucket, 'node' AS kind, 'G' || p_partkey AS a, CAST(p_size AS VARCHAR) AS b, 'Topology' AS c FROM part UNION ALL SELECT CAST(p_size AS VARCHAR), 'edge', 'G' || p_partkey, 'H', 'subsumed' FROM part")
+@query("S7_read_subsumption_dump", f"WITH {DUMP_SQL}")
 def s7_files(t):
-    g, size = F.concat(F.lit("G"), text("p_partkey")), text("p_size")
     path = t.scratch("dump")
-    t.part.select(F.concat(F.lit(" "), size, F.lit("\nNODE "), g, F.lit(" "), size, F.lit(" Topology\nEDGE "), g, F.lit(" H subsumed\n# DONE of cluster\n")).alias("value")).write.option("lineSep", "# START").text(path)
-    return readers.read_subsumption_dump(t.spark, path).where("kind <> 'warning'")
+    dump_clusters(t).write.option("lineSep", "# START").text(path)
+    return dump_rows(readers.read_subsumption_dump(t.spark, path))
 
 
 TAXONOMY_SQL = """SELECT 'name' AS kind, n_nationkey AS id, -1 AS other, n_name AS value FROM nation WHERE n_nationkey % 5 < 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,21 +71,78 @@ def union_sources(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
-def subsumption_lines(clusters: DataFrame) -> DataFrame:
-    """(bucket, kind, a, b, c) of each line of clusters `mass` + lines: node, edge and warning lines.
+class SubsumptionDump(NamedTuple):
+    """nodes: bucket, acc, mw, level, topo, comp, bcomp, counts, extras; edges: bucket, parent, child, kind (subsumed or
+    +aldi); missing: bucket, acc, rank; warnings: bucket, level, message."""
 
-    Nodes are `NODE acc mass level`, edges `EDGE parent child kind`, warnings start with `#`."""
-    lines = clusters.select(F.regexp_extract("value", r"^\s*([0-9.]+)", 1).alias("bucket"), F.explode(F.split("value", "\n")).alias("line"))
-    node = F.regexp_extract("line", r"^NODE (\S+) (\S+) (\S+)$", 0) != ""
-    edge = F.regexp_extract("line", r"^EDGE (\S+) (\S+) (\S+)$", 0) != ""
-    part = lambda i: F.when(node | edge, F.regexp_extract("line", r"^(?:NODE|EDGE) (\S+) (\S+) (\S+)$", i))
-    kind = F.when(node, "node").when(edge, "edge").when(F.col("line").startswith("#"), "warning")
-    return lines.select("bucket", kind.alias("kind"), part(1).alias("a"), part(2).alias("b"), F.when(F.col("line").startswith("#"), F.col("line")).otherwise(part(3)).alias("c")).where("kind is not null")
+    nodes: DataFrame
+    edges: DataFrame
+    missing: DataFrame
+    warnings: DataFrame
 
 
-def read_subsumption_dump(spark: SparkSession, path: str) -> DataFrame:
-    """One mass cluster per record, so that every line keeps its bucket."""
-    return subsumption_lines(spark.read.option("lineSep", "# START").text(path))
+def subsumption_lines(clusters: DataFrame) -> DataFrame:
+    """(bucket, kind, line): lines of the sections of clusters, a record each in `value`; kind: node, edge, tree or warning.
+
+    A line that starts with # opens a section: NODES (whose line has the bucket's mass), TREE, EDGES, or one without
+    content; warnings stand anywhere and leave the section as it is."""
+    warning = lambda x: x.startswith("# WARNING")
+    lines = clusters.select(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "").alias("lines"))
+    rest = F.concat(F.lit("\n"), F.array_join(F.filter("lines", lambda x: ~warning(x)), "\n"))
+    sections = F.transform(F.split(rest, "\n#"), lambda x: F.split(x, "\n"))
+    head = lambda x: F.get(x, F.lit(0))
+    cut = lines.select(F.filter("lines", warning).alias("warnings"), F.filter(sections, lambda x: head(x).rlike("^ (NODES|TREE|EDGES)")).alias("sections"))
+    first = F.get(F.filter("sections", lambda x: head(x).startswith(" NODES")), F.lit(0))
+    mass = F.regexp_extract(head(first), r"\d{2,6}\.\d{1,2}", 0).try_cast("double")
+    kinds = F.create_map(*(F.lit(x) for pair in (("NODES", "node"), ("TREE", "tree"), ("EDGES", "edge")) for x in pair))
+    known = F.transform("sections", lambda x: F.struct(kinds[F.regexp_extract(head(x), "^ ([A-Z]+)", 1)].alias("kind"), F.slice(x, 2, F.size(x)).alias("lines")))
+    told = F.array(F.struct(F.lit("warning").alias("kind"), F.col("warnings").alias("lines")))
+    rows = cut.select(F.format_string("%.2f", mass).alias("bucket"), F.explode(F.concat(known, told)).alias("s"))
+    return rows.select("bucket", "s.kind", F.explode("s.lines").alias("line"))
+
+
+#: A line of the tree, with rank or `-`; a count of a symbol.
+TREE_LINE = r"(G\d{5}\w{2}\*?) (BaseComposition|Composition|Topology|Saccharide|-)(\*)? (\d{1,5}|-)"
+COUNT = r"[\w+]{1,13}:\d{1,3}"
+
+
+def subsumption_dump(lines: DataFrame) -> SubsumptionDump:
+    """Typed tables of a dump's lines. A trailing * of a level or a landmark, which marks it as computed, goes; None is null.
+
+    counts: of symbols; extras: words of capitals, with what follows their colon or `true`; of a repeated key the last counts.
+    Node and edge lines of another form become warnings without level; tree lines of another form, and those of accessions
+    with *, say nothing."""
+    of = lambda kind: lines.where(F.col("kind") == kind)
+    words = F.split("line", " ")
+    node = lines.where("kind = 'node'").withColumn("w", words).withColumn("mass", F.get("w", F.lit(1)).try_cast("double"))
+    good = F.coalesce((F.size("w") >= 6) & F.col("mass").isNotNull(), F.lit(False))
+    plain = lambda i: F.regexp_replace(F.get("w", F.lit(i)), r"\*+$", "")
+    mark = lambda i: F.nullif(plain(i), F.lit("None"))
+    rest = F.slice("w", 7, F.greatest(F.size("w") - 6, F.lit(0)))
+
+    def last(pairs: Column) -> Column:
+        return F.map_from_entries(F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["key"] == e["key"])))
+
+    pair = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+    found = F.filter(F.transform(rest, lambda x: F.regexp_extract_all(x, F.lit(COUNT), 0)), lambda x: F.size(x) == 1)
+    counts = F.transform(found, lambda x: pair(F.split_part(x[0], F.lit(":"), F.lit(1)), F.split_part(x[0], F.lit(":"), F.lit(2)).cast("int")))
+    capitals = F.filter(rest, lambda x: x.rlike("^[A-Z]+(:.*)?$"))
+    extras = F.transform(capitals, lambda x: pair(F.split_part(x, F.lit(":"), F.lit(1)), F.coalesce(F.nullif(F.regexp_extract(x, "^[A-Z]+:(.*)$", 1), F.lit("")), F.lit("true"))))
+    nodes = node.where(good).select("bucket", F.get("w", F.lit(0)).alias("acc"), F.format_string("%.2f", F.col("mass")).alias("mw"), plain(2).alias("level"), *(mark(i).alias(c) for i, c in ((3, "topo"), (4, "comp"), (5, "bcomp"))), last(counts).alias("counts"), last(extras).alias("extras"))
+    edge = of("edge").withColumn("parent", F.regexp_extract("line", r"^([^\s:]+) ?:", 1))
+    to = edge.where("parent <> ''").select("bucket", "parent", F.explode(F.split(F.regexp_replace("line", "^[^:]*: ?", ""), " ")).alias("child")).where("child <> ''")
+    edges = to.select("bucket", "parent", F.regexp_replace("child", r"\*$", "").alias("child"), F.when(F.col("child").endswith("*"), "+aldi").otherwise("subsumed").alias("kind"))
+    rank = lambda i: F.regexp_extract("line", TREE_LINE, i)
+    missing = of("tree").where((rank(1) != "") & ~rank(1).endswith("*")).select("bucket", rank(1).alias("acc"), F.nullif(rank(4), F.lit("-")).cast("int").alias("rank"))
+    told = of("warning").select("bucket", F.regexp_extract("line", r"^# WARNING\D*(\d)", 1).try_cast("int").alias("level"), F.regexp_extract("line", "^# WARNING.*? - (.*)$", 1).alias("message"))
+    unread = node.where(~good).select("bucket", "line").unionByName(edge.where("parent = ''").select("bucket", "line"))
+    warnings = told.unionByName(unread.select("bucket", F.lit(None).cast("int").alias("level"), F.concat(F.lit("unread: "), "line").alias("message")))
+    return SubsumptionDump(nodes, edges, missing.distinct(), warnings.distinct())
+
+
+def read_subsumption_dump(spark: SparkSession, path: str) -> SubsumptionDump:
+    """One mass cluster per record, so that every line keeps its bucket; what stands before the first cluster is no cluster."""
+    return subsumption_dump(subsumption_lines(spark.read.option("lineSep", "# START").text(path)))
 
 
 def read_taxonomy(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sweetlake.functions import text
 from sweetlake.operators import chromatograms, fdr, hierarchy, joins, library, stats
 from sweetlake.operators.components import connected_components
+from sweetlake.sources import readers
 
 SCORED = [("g1", 10.0, 0), ("g1", 9.0, 0), ("g2", 8.0, 0), ("g3", 7.0, 1), ("g4", 6.0, 0), ("g5", 5.0, 1)]
 
@@ -124,3 +125,42 @@ def test_robust_fit(spark):
     p = spark.createDataFrame([("a", float(i), 2.0 * i + 1 + (50 if i == 7 else 0)) for i in range(20)], "k string, x double, y double")
     r = chromatograms.robust_fit(p, "k", "x", "y").first()
     assert (round(r.slope, 6), round(r.intercept, 6), r.removed) == (2.0, 1.0, 1)
+
+
+def test_subsumption_dump(spark, tmp_path):
+    """Text before the first cluster, warnings amid a section, lines of other forms, repeated keys, empty sections and lists."""
+    text = """junk
+# START now - 2 accessions in molecular weight cluster for 910.3
+# WARNING:5 - early - with a dash
+# NODES - 2/2 + 0 glycans in molecular weight cluster for 910.3
+G00001AA 910.327 Saccharide* G00001AA* G00002BB None FULL HASARCH:G00009ZZ Hex:3 Hex:4 S:1
+# WARNING:2 - inside
+G00002BB\t910.3 Composition None G00002BB None
+short line
+# ENDNODES
+G00003CC 1.0 Topology None None None
+# TREE
+G00001AA Saccharide 120
+  G00002BB Composition* -
+  G00004DD* Topology 7
+# ENDTREE
+# EDGES
+G00002BB: G00001AA G00004DD*
+G00001AA:
+no list
+# ENDEDGES
+# DONE - Elapsed time 1.0 sec.
+# START later
+# NODES - 0/0 + 0 glycans in molecular weight cluster for 1000.00
+# ENDNODES
+"""
+    (tmp_path / "dump.txt").write_text(text)
+    d = readers.read_subsumption_dump(spark, str(tmp_path / "dump.txt"))
+    got = {r.acc: r for r in d.nodes.collect()}
+    assert got.keys() == {"G00001AA", "G00002BB"} and {r.bucket for r in got.values()} == {"910.30"}
+    one = got["G00001AA"]
+    assert (one.mw, one.level, one.topo, one.comp, one.bcomp) == ("910.33", "Saccharide", "G00001AA", "G00002BB", None)
+    assert one.counts == {"Hex": 4, "S": 1} and one.extras == {"FULL": "true", "HASARCH": "G00009ZZ", "S": "1"} and got["G00002BB"].counts == {}
+    assert {tuple(r)[1:] for r in d.edges.collect()} == {("G00002BB", "G00001AA", "subsumed"), ("G00002BB", "G00004DD", "+aldi")}
+    assert {tuple(r)[1:] for r in d.missing.collect()} == {("G00001AA", 120), ("G00002BB", None)}
+    assert {tuple(r)[1:] for r in d.warnings.collect()} == {(5, "early - with a dash"), (2, "inside"), (None, "unread: short line"), (None, "unread: no list")}
