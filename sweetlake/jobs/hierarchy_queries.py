@@ -59,18 +59,25 @@ def g3(t):
 
 @query("G4_transitive_reduction", f"{CLOSURE_SQL} SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c a JOIN c b ON a.descendant = b.ancestor WHERE a.ancestor = c.ancestor AND b.descendant = c.descendant)")
 def g4(t):
-    return h.transitive_reduction(closure(t))
+    """The edges and the ways from grandparents, of which the latter go."""
+    e = edges(t).select("parent", "child")
+    far = e.alias("a").join(e.alias("b"), F.col("a.child") == F.col("b.parent")).select("a.parent", "b.child")
+    return h.transitive_reduction(closure(t), e.unionByName(far))
+
+
+RESTRICTED_SQL = """m AS (SELECT DISTINCT unnest(['P' || p_partkey, CASE WHEN p_partkey >= 4 THEN 'P' || (p_partkey // 4) END]) AS acc FROM part WHERE p_partkey % 7 = 0 UNION SELECT 'P0' UNION SELECT ancestor FROM s WHERE CAST(substr(descendant, 2) AS BIGINT) % 7 = 0 AND CAST(substr(ancestor, 2) AS BIGINT) % 3 = 1 AND ancestor IN (SELECT 'P' || p_partkey FROM part)),
+ks AS (FROM s WHERE ancestor IN (FROM m) AND descendant IN (FROM m)), kc AS (FROM c WHERE ancestor IN (FROM m) AND descendant IN (FROM m)),
+rs AS (FROM ks WHERE (ancestor, descendant) NOT IN (SELECT (x.ancestor, y.descendant) FROM ks x JOIN ks y ON x.descendant = y.ancestor)),
+rc AS (FROM kc WHERE (ancestor, descendant) NOT IN (SELECT (x.ancestor, y.descendant) FROM kc x JOIN kc y ON x.descendant = y.ancestor))"""
 
 
 @query(
     "G5_restrict_graph",
-    f"""{CLOSURE_SQL}, m AS (SELECT DISTINCT unnest(['P' || p_partkey, CASE WHEN p_partkey >= 4 THEN 'P' || (p_partkey // 4) END]) AS acc FROM part WHERE p_partkey % 7 = 0),
-k AS (SELECT * FROM c WHERE ancestor IN (SELECT acc FROM m) AND descendant IN (SELECT acc FROM m)),
-b AS (SELECT DISTINCT x.ancestor, y.descendant FROM k x JOIN k y ON x.descendant = y.ancestor)
-SELECT ancestor AS parent, descendant AS child FROM k WHERE (ancestor, descendant) NOT IN (SELECT (ancestor, descendant) FROM b)""",
+    f"""{CLOSURE_SQL}, s AS (SELECT parent AS ancestor, child AS descendant FROM e WHERE kind = 'subsumed' UNION SELECT s.ancestor, e.child FROM s JOIN e ON e.parent = s.descendant AND e.kind = 'subsumed'), {RESTRICTED_SQL}
+SELECT ancestor AS parent, descendant AS child, 'subsumed' AS kind FROM rs UNION ALL SELECT *, 'other' FROM (FROM rc EXCEPT FROM rs)""",
 )
 def g5(t):
-    return h.restrict_graph(nodes(t), closure(t), nodes(t).where("p_partkey % 7 = 0"), ["topo"])
+    return h.restrict_graph(nodes(t), edges(t), nodes(t).where("p_partkey % 7 = 0"), ["topo"], root="P0", levels=("Topology",))
 
 
 @query("G6_leaf_root_flags", f"WITH {EDGES_SQL} SELECT 'P' || p_partkey AS acc, 'P' || p_partkey NOT IN (SELECT parent FROM e) AS is_leaf, 'P' || p_partkey NOT IN (SELECT child FROM e) AS is_root FROM part")
@@ -121,13 +128,24 @@ def g10(t):
 
 @query(
     "G11_subsumption_export",
-    f"""{CLOSURE_SQL}, x AS (SELECT child AS acc, 'Parent' AS property, parent AS value FROM e UNION SELECT parent, 'Child', child FROM e UNION SELECT descendant, 'Ancestor', ancestor FROM c
-UNION SELECT ancestor, 'Descendant', descendant FROM c UNION SELECT ancestor, 'LeafDescendant', descendant FROM c WHERE descendant NOT IN (SELECT parent FROM e)
-UNION SELECT 'P' || p_partkey, 'Level', CASE p_partkey % 3 WHEN 1 THEN 'Topology' ELSE 'Saccharide' END FROM part WHERE p_partkey % 3 > 0)
-SELECT * FROM x WHERE CAST(substr(acc, 2) AS BIGINT) % 10 = 0""",
+    f"""{CLOSURE_SQL}, n AS (SELECT 'P' || p_partkey AS acc, ['BaseComposition', 'Composition', 'Topology', 'Saccharide'][1 + p_partkey % 4] AS level, 'P' || (p_partkey // 4) AS topo, 'P' || (p_partkey // 8) AS comp, 'P' || (p_partkey // 16) AS bcomp,
+CASE WHEN p_partkey % 9 > 0 THEN p_partkey % 5 * 100 END AS missing, p_partkey % 5 < 3 AS listed FROM part), l AS (SELECT acc FROM n WHERE listed),
+d AS (SELECT c.ancestor AS acc, a.level AS mine, x.acc AS value, x.* EXCLUDE (acc) FROM c JOIN n x ON x.acc = c.descendant LEFT JOIN n a ON a.acc = c.ancestor),
+x AS (SELECT acc, 'Level' AS property, level AS value FROM n UNION ALL SELECT acc, 'MissingScore', missing::VARCHAR FROM n
+UNION ALL SELECT acc, 'BaseComposition', CASE WHEN level = 'BaseComposition' THEN acc ELSE bcomp END FROM n UNION ALL SELECT acc, 'Composition', CASE level WHEN 'Composition' THEN acc WHEN 'BaseComposition' THEN NULL ELSE comp END FROM n
+UNION ALL SELECT acc, 'Topology', CASE level WHEN 'Topology' THEN acc WHEN 'Saccharide' THEN topo END FROM n
+UNION ALL SELECT parent, 'Subsumes', child FROM e WHERE child IN (FROM l) UNION ALL SELECT child, 'SubsumedBy', parent FROM e WHERE parent IN (FROM l) UNION ALL SELECT descendant, 'Ancestor', ancestor FROM c WHERE ancestor IN (FROM l)
+UNION ALL SELECT acc, 'Descendant', value FROM d WHERE listed UNION ALL SELECT acc, 'Leaf', value FROM d WHERE listed AND value NOT IN (SELECT parent FROM e) UNION ALL SELECT acc, 'FullyDetermined', value FROM d WHERE listed AND missing = 0
+UNION ALL SELECT acc, 'Compositions', value FROM d WHERE mine = 'BaseComposition' AND level = 'Composition' AND bcomp = acc AND listed
+UNION ALL SELECT acc, 'Topologies', value FROM d WHERE level = 'Topology' AND (mine = 'BaseComposition' AND bcomp = acc AND listed OR mine = 'Composition' AND comp = acc)
+UNION ALL SELECT acc, 'Saccharides', value FROM d WHERE level = 'Saccharide' AND (mine = 'BaseComposition' AND bcomp = acc AND listed OR mine = 'Composition' AND comp = acc OR mine = 'Topology' AND topo = acc))
+SELECT DISTINCT * FROM x WHERE value IS NOT NULL AND acc IN (FROM l)""",
 )
 def g11(t):
-    return h.subsumption_export(nodes(t), edges(t), closure(t), nodes(t).where("p_partkey % 10 = 0"))
+    k = F.col("p_partkey")
+    levels = F.get(F.array(*map(F.lit, ("BaseComposition", "Composition", "Topology", "Saccharide"))), (k % 4).cast("int"))
+    rows = t.part.select(acc(k).alias("acc"), levels.alias("level"), *(acc(half("p_partkey", by)).alias(c) for c, by in (("topo", 4), ("comp", 8), ("bcomp", 16))), F.when(k % 9 > 0, k % 5 * 100).alias("missing"), k)
+    return h.subsumption_export(rows, edges(t), closure(t), rows.where("p_partkey % 5 < 3"))
 
 
 TAXA_SQL = """d AS (SELECT c_custkey AS acc, r_name AS species, c_mktsegment AS source, c_custkey % 7 AS sourceid, c_nationkey AS taxid FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey

@@ -34,34 +34,78 @@ def add_mass_roots(nodes: DataFrame, edges: DataFrame, root: str = "root") -> Da
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
-    """(ancestor, descendant) pairs by path doubling; each round's pairs are cut off in the shared folder."""
+    """(ancestor, descendant) pairs. A round joins only the ends of paths of one length, twice that of the round before, with
+    all pairs so far, which gives the new ones; rounds grow with the logarithm of the longest path.  Cycles do no harm."""
     paths = cut_lineage(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).where("parent <> child").distinct())
-    count = paths.count()
-    while True:  # until no pair is added; the longest path at least doubles a round
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant")
-        paths = cut_lineage(paths.unionByName(longer).where("ancestor <> descendant").distinct())
-        now = paths.count()
-        if now == count:
-            break
-        count = now
-    return paths
-
-
-def transitive_reduction(closure: DataFrame) -> DataFrame:
-    """Pairs of a closure with no node between."""
-    between = closure.alias("a").join(closure.alias("b"), F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant").distinct()
-    return closure.join(between, ["ancestor", "descendant"], "left_anti")
-
-
-def restrict_graph(nodes: DataFrame, closure: DataFrame, keep: DataFrame, landmarks: list[str]) -> DataFrame:
-    """Reduced (parent, child) edges among the kept nodes and their landmark nodes.
-
-    nodes: acc and the landmark columns; keep: acc."""
-    chosen = nodes.join(keep.select("acc").distinct(), "acc", "left_semi")
-    marks = chosen.select(F.explode(F.array("acc", *landmarks)).alias("acc")).where("acc is not null").distinct()
-    ends = lambda c: marks.select(F.col("acc").alias(c))
-    left = closure.join(ends("ancestor"), "ancestor", "left_semi").join(ends("descendant"), "descendant", "left_semi")
-    return transitive_reduction(left).select(F.col("ancestor").alias("parent"), F.col("descendant").alias("child"))
+    far = paths  # ends of paths of just the round's length
+    after = lambda rest: rest.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("to"))
+    joined = lambda rest: far.join(after(rest), "descendant").select("ancestor", F.col("to").alias("descendant")).where("ancestor <> descendant").distinct()
+    while True:
+        new = cut_lineage(joined(paths).join(paths, ["ancestor", "descendant"], "left_anti"))
+        if new.isEmpty():  # a shortest path that is not there would be a new one, or begin with one
+            return paths
+        far = cut_lineage(joined(far))
+        paths = paths.unionByName(new)
+
+
+def walked(start: DataFrame, step: DataFrame) -> DataFrame:
+    """(id, at) of all that `step` (at, next) reaches from `start` (id, at), without the start; only what is new is followed."""
+    step = step.select("at", "next").distinct()
+    seen = front = cut_lineage(start.select("id", "at").distinct())
+    found = front.limit(0)
+    while True:
+        front = cut_lineage(front.join(step, "at").select("id", F.col("next").alias("at")).distinct().join(seen, ["id", "at"], "left_anti"))
+        if front.isEmpty():
+            return found
+        seen, found = seen.unionByName(front), found.unionByName(front)
+
+
+def transitive_reduction(closure: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Pairs of a closure with no node between.
+
+    With the edges (parent, child) that it is the closure of, only these are looked at: no other pair can remain."""
+    first = closure if edges is None else edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).where("parent <> child").distinct()
+    after = closure.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("to"))
+    between = first.join(after, "descendant").select("ancestor", F.col("to").alias("descendant")).distinct()
+    return first.join(between, ["ancestor", "descendant"], "left_anti")
+
+
+def kept_edges(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """(parent, child) of kept nodes between which a path leads over nodes that are not kept, or none at all.
+
+    Only the part of the graph that is not kept is closed."""
+    pairs = edges.select("parent", "child").where("parent <> child").distinct()
+    up, down = (keep.select(F.col("acc").alias(c)).distinct().withColumn(f"{c}_kept", F.lit(True)) for c in ("parent", "child"))
+    named = cut_lineage(pairs.join(up, "parent", "left").join(down, "child", "left").select("parent", "child", F.coalesce("parent_kept", F.lit(False)).alias("from_kept"), F.coalesce("child_kept", F.lit(False)).alias("to_kept")))
+    inner = transitive_closure(named.where("not from_kept and not to_kept")).select(F.col("ancestor").alias("child"), "descendant")
+    into = named.where("from_kept and not to_kept").select("parent", "child")
+    reach = into.unionByName(into.join(inner, "child").select("parent", F.col("descendant").alias("child"))).withColumnRenamed("child", "mid")
+    out = named.where("not from_kept and to_kept").select(F.col("parent").alias("mid"), "child")
+    return named.where("from_kept and to_kept").select("parent", "child").unionByName(reach.join(out, "mid").select("parent", "child")).distinct()
+
+
+def restrict_graph(nodes: DataFrame, edges: DataFrame, keep: DataFrame, landmarks: list[str], root: str | None = None, levels: tuple[str, ...] = ()) -> DataFrame:
+    """(parent, child, kind): the graph of the kept nodes, their landmark nodes and the root, reduced twice.
+
+    nodes: acc, level and the landmark columns (topology, composition, base composition, mass, archetype); edges: parent,
+    child, kind; keep: acc.  Kept are also the ancestors of `keep` of the given levels, by edges of kind subsumed.  Edges
+    of kind subsumed are those that remain of such paths, edges of kind other those that remain of paths of any kind and are not
+    among the first.  Nodes that are not kept are stepped over; the graph has no cycles."""
+    strict = edges_of_kind(edges, "subsumed")
+    asked = keep.select("acc").distinct()
+    marks = nodes.join(asked, "acc", "left_semi").select(F.explode(F.array("acc", *landmarks)).alias("acc")).where("acc is not null")
+    if root is not None:
+        marks = marks.unionByName(marks.sparkSession.createDataFrame([(root,)], "acc string"))
+    if levels:
+        above = walked(asked.select(F.lit(0).alias("id"), F.col("acc").alias("at")), strict.select(F.col("child").alias("at"), F.col("parent").alias("next"))).select(F.col("at").alias("acc"))
+        marks = marks.unionByName(above.join(nodes.where(F.col("level").isin(*levels)).select("acc"), "acc", "left_semi"))
+    chosen = cut_lineage(marks.distinct())
+    reduced = []
+    for some in (strict, edges):
+        direct = cut_lineage(kept_edges(some, chosen))
+        reduced.append(cut_lineage(transitive_reduction(transitive_closure(direct), direct)))
+    own, every = (r.select(F.col("ancestor").alias("parent"), F.col("descendant").alias("child")) for r in reduced)
+    return own.withColumn("kind", F.lit("subsumed")).unionByName(every.join(own, ["parent", "child"], "left_anti").withColumn("kind", F.lit("other")))
 
 
 def leaf_root_flags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -121,19 +165,42 @@ def compose_levels(topo: DataFrame, comp: DataFrame, bcomp: DataFrame) -> DataFr
 
 
 def subsumption_export(nodes: DataFrame, edges: DataFrame, closure: DataFrame, accs: DataFrame) -> DataFrame:
-    """Long (acc, property, value): parents, children, ancestors, descendants, leaf descendants and level of listed nodes."""
-    leaf = leaf_root_flags(nodes, edges).where("is_leaf").select(F.col("acc").alias("descendant"))
-    rows = [
-        parents(edges).select("acc", F.lit("Parent").alias("property"), F.col("other").alias("value")),
-        children(edges).select("acc", F.lit("Child").alias("property"), F.col("other").alias("value")),
-        closure.select(F.col("descendant").alias("acc"), F.lit("Ancestor").alias("property"), F.col("ancestor").alias("value")),
-        closure.select(F.col("ancestor").alias("acc"), F.lit("Descendant").alias("property"), F.col("descendant").alias("value")),
-        closure.join(leaf, "descendant", "left_semi").select(F.col("ancestor").alias("acc"), F.lit("LeafDescendant").alias("property"), F.col("descendant").alias("value")),
-        nodes.where("level is not null").select("acc", F.lit("Level").alias("property"), F.col("level").alias("value")),
-    ]
-    typed = [r.select(F.col("acc").cast("string").alias("acc"), "property", F.col("value").cast("string").alias("value")) for r in rows]
-    listed = accs.select(F.col("acc").cast("string").alias("acc")).distinct()
-    return reduce(DataFrame.unionByName, typed).join(listed, "acc", "left_semi").distinct()
+    """Long (acc, property, value) of listed nodes: level, landmarks, members, relatives, scores.
+
+    nodes: acc, level, topo, comp, bcomp, missing.  Level and MissingScore are the node's; BaseComposition, Composition and
+    Topology its landmarks, itself at its own level.  Compositions, Topologies and Saccharides are its descendants of that
+    level of which it is the landmark (for a base composition only listed ones).  Subsumes, SubsumedBy (neighbours),
+    Ancestor, Descendant, Leaf (descendants without children) and FullyDetermined (those of score 0) are listed nodes.
+    The closure is read once upward and once downward; a node's facts come to it before it is dealt out."""
+    text_of = lambda df, *cols: df.select(*(F.col(c).cast("string").alias(c) for c in cols))
+    facts = nodes.select(*(F.col(c).cast("string").alias(c) for c in ("acc", "level", "topo", "comp", "bcomp")), F.col("missing").cast("int").alias("missing"))
+    listed = text_of(accs, "acc").distinct()
+    edge, pairs = text_of(edges, "parent", "child"), text_of(closure, "ancestor", "descendant")
+    ask = lambda c: listed.select(F.col("acc").alias(c))
+    row = lambda name, value: F.struct(F.lit(name).alias("property"), value.cast("string").alias("value"))
+    out = lambda df, *rows: df.select("acc", F.explode(F.array_compact(F.array(*rows))).alias("x")).select("acc", "x.property", "x.value").where("value is not null")
+    level, acc = F.col("level"), F.col("acc")
+    low = lambda own, mark, *under: F.when(level == own, acc).when(level.isin(*under), F.col(mark))
+    own = out(
+        facts.join(listed, "acc", "left_semi"), row("Level", level), row("MissingScore", F.col("missing")), row("BaseComposition", low("BaseComposition", "bcomp", "Composition", "Topology", "Saccharide")),
+        row("Composition", low("Composition", "comp", "Topology", "Saccharide")), row("Topology", low("Topology", "topo", "Saccharide")),
+    )
+    near = edge.join(ask("parent"), "parent", "left_semi").join(ask("child"), "child", "left_semi")
+    beside = near.select(F.col("parent").alias("acc"), F.lit("Subsumes").alias("property"), F.col("child").alias("value")).unionByName(near.select(F.col("child").alias("acc"), F.lit("SubsumedBy").alias("property"), F.col("parent").alias("value")))
+    above = pairs.join(ask("descendant"), "descendant", "left_semi").join(ask("ancestor"), "ancestor", "left_semi").select(F.col("descendant").alias("acc"), F.lit("Ancestor").alias("property"), F.col("ancestor").alias("value"))
+    inner = edge.select(F.col("parent").alias("acc")).distinct().withColumn("inner", F.lit(True))
+    there = facts.join(inner, "acc", "left").join(listed.withColumn("listed", F.lit(True)), "acc", "left")
+    there = there.select(F.col("acc").alias("descendant"), level.alias("d_level"), "topo", "comp", "bcomp", "missing", F.col("inner").isNull().alias("leaf"), F.col("listed").isNotNull().alias("listed"))
+    down = pairs.join(ask("ancestor"), "ancestor", "left_semi").join(there, "descendant").join(facts.select(acc.alias("ancestor"), "level"), "ancestor", "left").withColumnRenamed("ancestor", "acc")
+    value, held = F.col("descendant"), F.col("listed")
+    of = lambda mine, mark: (level == mine) & (F.col(mark) == acc)
+    member = lambda name, d_level, *tests: F.when((F.col("d_level") == d_level) & reduce(Column.__or__, tests), row(name, value))
+    base, comp, topo = of("BaseComposition", "bcomp") & held, of("Composition", "comp"), of("Topology", "topo")
+    under = out(
+        down, F.when(held, row("Descendant", value)), F.when(held & F.col("leaf"), row("Leaf", value)), F.when(held & (F.col("missing") == 0), row("FullyDetermined", value)),
+        member("Compositions", "Composition", base), member("Topologies", "Topology", base, comp), member("Saccharides", "Saccharide", base, comp, topo),
+    )
+    return reduce(DataFrame.unionByName, (own, beside, above, under)).distinct()
 
 
 def species_evidence(taxa: DataFrame, groups: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -230,9 +297,9 @@ def lineage(ids: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def taxon_descendants(ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, descendant) of all descendants."""
-    edges = nodes.where("parent_id is not null").select(F.col("parent_id").alias("parent"), F.col("tax_id").alias("child"))
-    return transitive_closure(edges).join(ids.select(F.col("id").alias("ancestor")).distinct(), "ancestor", "left_semi").select(F.col("ancestor").alias("id"), "descendant")
+    """(id, descendant) of all descendants, walked down from the ids."""
+    edges = nodes.where("parent_id is not null and parent_id <> tax_id").select(F.col("parent_id").alias("at"), F.col("tax_id").alias("next"))
+    return walked(ids.select("id", F.col("id").alias("at")), edges).select("id", F.col("at").alias("descendant"))
 
 
 def restrict_to_taxa(glycans: DataFrame, taxa: DataFrame, nodes: DataFrame, ids: DataFrame, resource: str) -> DataFrame:
@@ -247,20 +314,19 @@ def closure_accessions(accs: DataFrame, closure: DataFrame, landmark: DataFrame)
     """Accessions that ancestors and members of the same landmark add to `accs`, until nothing is added.
 
     landmark: (acc, mark)."""
-    start = accs.select("acc").distinct()
-    have = cut_lineage(start)
-    count = have.count()
+    start = cut_lineage(accs.select("acc").distinct())
     up = closure.select(F.col("descendant").alias("acc"), F.col("ancestor").alias("new"))
-    while True:  # what is held only grows
-        above = have.join(up, "acc").select(F.col("new").alias("acc"))
-        marks = have.join(landmark, "acc").select("mark").distinct()
-        beside = landmark.join(marks, "mark", "left_semi").select("acc")
-        have = cut_lineage(have.unionByName(above).unionByName(beside).distinct())
-        now = have.count()
-        if now == count:
-            break
-        count = now
-    return have.join(start, "acc", "left_anti")
+    have, front, marks = start, start, None
+    while True:  # only what is new is followed, and a landmark's members come once
+        above = front.join(up, "acc").select(F.col("new").alias("acc"))
+        met = front.join(landmark, "acc").select("mark").distinct()
+        met = cut_lineage(met if marks is None else met.join(marks, "mark", "left_anti"))
+        marks = met if marks is None else marks.unionByName(met)
+        beside = landmark.join(met, "mark", "left_semi").select("acc")
+        front = cut_lineage(above.unionByName(beside).distinct().join(have, "acc", "left_anti"))
+        if front.isEmpty():
+            return have.join(start, "acc", "left_anti")
+        have = have.unionByName(front)
 
 
 def minimal_topologies(nodes: DataFrame, closure: DataFrame, base: DataFrame) -> DataFrame:

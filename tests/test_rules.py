@@ -164,3 +164,44 @@ no list
     assert {tuple(r)[1:] for r in d.edges.collect()} == {("G00002BB", "G00001AA", "subsumed"), ("G00002BB", "G00004DD", "+aldi")}
     assert {tuple(r)[1:] for r in d.missing.collect()} == {("G00001AA", 120), ("G00002BB", None)}
     assert {tuple(r)[1:] for r in d.warnings.collect()} == {(5, "early - with a dash"), (2, "inside"), (None, "unread: short line"), (None, "unread: no list")}
+
+
+def plain_closure(edges):
+    out = set(edges)
+    while more := {(a, d) for a, b in out for c, d in out if b == c and a != d} - out:
+        out |= more
+    return {(a, b) for a, b in out if a != b}
+
+
+def test_closure_and_reduction_of_random_graphs(spark):
+    """Graphs with many paths of other lengths, with a cycle and a loop, and without edges."""
+    rng = np.random.default_rng(1)
+    dag = {(int(a), int(b)) for a, b in rng.integers(0, 40, (90, 2)) if a < b} | {(i, i + 1) for i in range(50, 75)}
+    for edges in (dag, dag | {(75, 50), (3, 3)}, set()):
+        df = spark.createDataFrame(sorted(edges), "parent int, child int")
+        found = hierarchy.transitive_closure(df)
+        assert sorted(map(tuple, found.collect())) == sorted(plain_closure(edges))
+    closed = plain_closure(dag)
+    want = {(a, c) for a, c in closed if not any((a, b) in closed and (b, c) in closed for b in range(80))}
+    df = spark.createDataFrame(sorted(dag), "parent int, child int")
+    assert {tuple(r) for r in hierarchy.transitive_reduction(hierarchy.transitive_closure(df), df).collect()} == want
+
+
+def test_restricted_graph_equals_plain(spark):
+    """Both kinds of edges, landmarks, the root and ancestors of a level, on random graphs."""
+    for seed in range(2):
+        rng = np.random.default_rng(seed)
+        edges = {(f"n{a}", f"n{b}"): str(rng.choice(["subsumed", "subsumed", "+aldi"])) for a, b in rng.integers(0, 30, (70, 2)) if a < b}
+        marks = {f"n{i}": (f"n{max(0, i - 5)}" if i % 3 else None, ["Topology", "Saccharide", None][i % 3]) for i in range(30)}
+        asked = {f"n{i}" for i in rng.integers(10, 30, 6)}
+        strict, every = plain_closure({e for e, k in edges.items() if k == "subsumed"}), plain_closure(edges)
+        keep = asked | {marks[a][0] for a in asked} - {None} | {"n0"} | {p for p, c in strict if c in asked and marks[p][1] == "Saccharide"}
+        reduced = []
+        for closed in (strict, every):
+            own = {(a, b) for a, b in closed if a in keep and b in keep}
+            reduced.append({(a, c) for a, c in own if not any((a, b) in own and (b, c) in own for b in keep)})
+        want = {(*e, "subsumed") for e in reduced[0]} | {(*e, "other") for e in reduced[1] - reduced[0]}
+        nodes = spark.createDataFrame([(a, *m) for a, m in marks.items()], "acc string, mark string, level string")
+        table = spark.createDataFrame([(*e, k) for e, k in edges.items()], "parent string, child string, kind string")
+        got = hierarchy.restrict_graph(nodes, table, spark.createDataFrame([(a,) for a in asked], "acc string"), ["mark"], "n0", ("Saccharide",))
+        assert {tuple(r) for r in got.collect()} == want
