@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import motifs
+from ..operators import joins, motifs
 from ..operators import structures as s
 from .registry import Tables, query
 from .table_queries import text
@@ -159,3 +159,23 @@ def u3(t):
         F.array(F.lit("o")).alias("parent_type"), F.array(F.lit("d")).alias("child_type"),
     )
     return s.missing_score(rows, links)
+
+
+@query(
+    "J20_supporting_residues",
+    f"""WITH RECURSIVE {RESIDUES_SQL}, m AS (SELECT acc % 5 AS motif, acc AS structure, CASE WHEN acc % 2 = 0 THEN 'core' ELSE 'substructure' END AS type, 1 + rid % 2 AS idx, rid * 10 AS motif_rid, rid FROM r WHERE (acc + rid) % 3 = 0),
+up AS (SELECT acc, rid AS id, parent AS at FROM r WHERE parent IS NOT NULL UNION ALL SELECT up.acc, up.id, r.parent FROM up JOIN r ON r.acc = up.acc AND r.rid = up.at WHERE r.parent IS NOT NULL),
+s AS (SELECT DISTINCT motif, structure, type, idx, up.at AS rid FROM m JOIN up ON up.acc = structure AND up.id = m.rid), every AS (FROM m UNION ALL BY NAME (FROM s ANTI JOIN m USING (motif, structure, type, idx, rid))),
+e AS (SELECT acc AS structure, rid, 'N' || rid AS node_id, CASE WHEN (acc + 2 * rid) % 5 > 0 THEN 'G' || (acc * rid) % 30 END AS gene, CASE WHEN (acc + rid) % 4 > 1 THEN 'human' ELSE 'mouse' END AS species FROM r WHERE (acc * rid) % 7 > 0),
+n AS (SELECT structure, rid, node_id, coalesce(string_agg(DISTINCT gene, ',' ORDER BY gene) FILTER (species = 'human'), '-') AS human, coalesce(string_agg(DISTINCT gene, ',' ORDER BY gene) FILTER (species = 'mouse'), '-') AS mouse FROM e GROUP BY 1, 2, 3)
+SELECT motif, coalesce(motif_rid, -1) AS motif_rid, structure, rid, type, idx, node_id, human, mouse FROM every JOIN n USING (structure, rid)""",
+)
+def j20_support(t):
+    r, k, i = residues(t), F.col("acc"), F.col("rid")
+    matches = r.where("(acc + rid) % 3 = 0").select((k % 5).alias("motif"), (i * 10).alias("motif_rid"), k.alias("structure"), "rid", F.when(k % 2 == 0, "core").otherwise("substructure").alias("type"), (1 + i % 2).alias("idx"))
+    enzymes = r.where("(acc * rid) % 7 > 0").select(
+        "acc", "rid", F.concat(F.lit("N"), text("rid")).alias("node_id"), F.when((k + i) % 4 > 1, "human").otherwise("mouse").alias("species"),
+        F.concat(F.lit("G"), text(k * i % 30)).alias("gene"), F.when((k + 2 * i) % 5 > 0, 0).otherwise(1).alias("violations"),
+    )
+    found = joins.enzyme_alignments(matches, r, enzymes, {"human": "human", "mouse": "mouse"})
+    return found.withColumn("motif_rid", F.coalesce("motif_rid", F.lit(-1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import followed
+
 
 def drop_archived(df: DataFrame, archived: DataFrame, acc: str = "acc") -> DataFrame:
     """Rows whose accession is not retired.  Spark broadcasts the list where its size allows."""
@@ -149,3 +151,24 @@ def motif_enzymes(matches: DataFrame, node_enzymes: DataFrame) -> DataFrame:
     matches: motif, structure, rid; node_enzymes: acc, rid, species, gene, violations."""
     clean = node_enzymes.where("violations = 0").select(F.col("acc").alias("structure"), "rid", "species", "gene")
     return matches.join(clean, ["structure", "rid"]).groupBy("motif", "structure", "species").agg(F.array_join(F.sort_array(F.collect_set("gene")), ",").alias("genes"))
+
+
+def enzyme_alignments(matches: DataFrame, residues: DataFrame, node_enzymes: DataFrame, species: dict[str, str]) -> DataFrame:
+    """(motif, motif_rid, structure, rid, type, idx, node_id, genes by species): aligned residues and those that support them,
+    with the enzymes without rule violations; `-` where a species has none.
+
+    matches: motif, motif_rid, structure, rid, type, idx (the number of the map); residues: acc, rid, parent; node_enzymes:
+    acc, rid, node_id, species, gene, violations (a null gene for a node without enzyme); species: new column -> name.  The residues
+    on the paths from aligned ones to the root support them, as far as they are not aligned themselves in that map; they have no
+    motif_rid.  A residue that no node is known for has no row.  Paths are followed once for each residue, by doubling jumps."""
+    key = ["motif", "structure", "type", "idx"]
+    place = matches.select(F.col("structure").alias("acc"), F.col("rid").alias("id"), F.col("rid").alias("at"), F.lit(0).alias("step")).distinct()
+    up = followed(place, residues.select("acc", F.col("rid").alias("at"), F.col("parent").alias("next")), ["acc"]).where("step > 0")
+    above = up.select(F.col("acc").alias("structure"), F.col("id").alias("rid"), F.col("at").alias("above"))
+    aligned = matches.select(*key, "rid").distinct()
+    support = aligned.join(above, ["structure", "rid"]).select(*key, F.col("above").alias("rid")).distinct().join(aligned, [*key, "rid"], "left_anti")
+    rows = matches.select(*key, "motif_rid", "rid").unionByName(support, allowMissingColumns=True)
+    clean = F.when(F.col("violations") == 0, F.col("gene"))
+    listed = {c: F.coalesce(F.nullif(F.array_join(F.sort_array(F.collect_set(F.when(F.col("species") == name, clean))), ","), F.lit("")), F.lit("-")).alias(c) for c, name in species.items()}
+    nodes = node_enzymes.groupBy(F.col("acc").alias("structure"), "rid", "node_id").agg(*listed.values())
+    return rows.join(nodes, ["structure", "rid"]).select("motif", "motif_rid", "structure", "rid", "type", "idx", "node_id", *species)

@@ -205,3 +205,12 @@ def test_restricted_graph_equals_plain(spark):
         table = spark.createDataFrame([(*e, k) for e, k in edges.items()], "parent string, child string, kind string")
         got = hierarchy.restrict_graph(nodes, table, spark.createDataFrame([(a,) for a in asked], "acc string"), ["mark"], "n0", ("Saccharide",))
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_supporting_residues(spark):
+    """A chain 1-2-3-4 with a branch 5 on 2: what lies above 4 and 5, without what is aligned in the same map."""
+    residues = spark.createDataFrame([("x", 1, None), ("x", 2, 1), ("x", 3, 2), ("x", 4, 3), ("x", 5, 2)], "acc string, rid int, parent int")
+    matches = spark.createDataFrame([("m", 1, "x", 4, "core", 1), ("m", 2, "x", 2, "core", 1), ("m", 1, "x", 5, "core", 2), ("n", 1, "y", 1, "core", 1)], "motif string, motif_rid int, structure string, rid int, type string, idx int")
+    enzymes = spark.createDataFrame([("x", i, f"N{i}", s, g, v) for i, s, g, v in [(1, "h", "A", 0), (1, "h", "B", 0), (1, "m", "C", 1), (2, "m", "D", 0), (3, "h", None, 0), (5, "h", "E", 0)]], "acc string, rid int, node_id string, species string, gene string, violations int")
+    got = {(r.idx, r.rid): (r.motif_rid, r.human, r.mouse) for r in joins.enzyme_alignments(matches, residues, enzymes, {"human": "h", "mouse": "m"}).collect()}
+    assert got == {(1, 2): (2, "-", "D"), (1, 3): (None, "-", "-"), (1, 1): (None, "A,B", "-"), (2, 5): (1, "E", "-"), (2, 2): (None, "-", "D"), (2, 1): (None, "A,B", "-")}
