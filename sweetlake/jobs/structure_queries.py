@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,3 +181,41 @@ def j20_support(t):
     )
     found = joins.enzyme_alignments(matches, r, enzymes, {"human": "human", "mouse": "mouse"})
     return found.withColumn("motif_rid", F.coalesce("motif_rid", F.lit(-1)))
+
+
+CORES_SQL = """r AS (SELECT k AS acc, i AS rid, CASE i WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN CASE WHEN k % 6 = 0 THEN 4 ELSE 3 END WHEN 6 THEN CASE WHEN k % 2 = 0 THEN 1 ELSE 4 END END AS parent,
+CASE WHEN i < 3 THEN CASE WHEN k % 5 = 1 THEN 'HexNAc' ELSE 'GlcNAc' END WHEN i = 6 THEN ['Fuc', 'Gal', 'NeuAc'][1 + k % 3] WHEN i = 5 AND k % 7 = 0 THEN 'Gal' ELSE 'Man' END AS symbol,
+CASE WHEN i = 2 AND k % 11 > 0 OR i = 3 AND k % 4 > 0 THEN 'b' WHEN i = 2 OR i = 4 OR i = 6 THEN 'a' END AS anomer, CASE i WHEN 2 THEN 4 WHEN 3 THEN CASE WHEN k % 13 = 0 THEN 3 ELSE 4 END WHEN 4 THEN 3 WHEN 5 THEN CASE WHEN k % 9 = 0 THEN 3 WHEN k % 8 > 0 THEN 6 END END AS pos,
+CASE WHEN i = 1 AND k % 10 = 0 THEN 1 ELSE 0 END AS loose, CASE WHEN k % 4 = 1 AND i > 2 + k % 2 THEN 1 WHEN k % 4 = 2 AND i > 2 THEN i % 2 END AS repeat FROM (SELECT p_partkey AS k FROM part), range(1, 7) t(i))"""
+#: Named tests, which rules of `classify` can use as columns.
+RULE_TESTS = lambda: {
+    "n_core": s.rooted(s.N_CORE), "core_gal": s.accepted_core(["GlcNAc"]), "bare_core": s.accepted_core(["GlcNAc", "Gal"], bare=True), "two_kids": s.accepted_core(["GlcNAc", "HexNAc", "Fuc", "Gal", "NeuAc"], bare=True, kids=2),
+    "n_man": s.symbol_count(["Man"]), "gal_is_leaf": s.only_leaves(["Gal"]), "no_branch": s.no_branch(), "no_other_branch": s.no_branch(["Fuc"]), "even_repeats": s.even_repeats(),
+}
+
+
+@query(
+    "U2_core_tests",
+    f"""WITH {CORES_SQL},
+arms AS (SELECT acc, parent AS rid FROM r WHERE parent IS NOT NULL AND symbol IN ('Man', 'Hex') AND coalesce(anomer, '') <> 'b' GROUP BY 1, 2 HAVING count(*) FILTER (coalesce(pos, 3) = 3) >= 1 AND count(*) FILTER (coalesce(pos, 6) = 6) >= 1 AND count(*) FILTER (pos IS NULL OR pos IN (3, 6)) >= 2),
+cores AS (SELECT DISTINCT a.acc FROM r a JOIN r b ON b.acc = a.acc AND b.parent = a.rid JOIN r m ON m.acc = a.acc AND m.parent = b.rid JOIN arms ON arms.acc = a.acc AND arms.rid = m.rid WHERE a.parent IS NULL AND a.symbol IN ('GlcNAc', 'HexNAc') AND b.symbol IN ('GlcNAc', 'HexNAc')
+AND coalesce(b.anomer, '') <> 'a' AND coalesce(b.pos, 4) = 4 AND m.symbol IN ('Man', 'Hex') AND coalesce(m.anomer, '') <> 'a' AND coalesce(m.pos, 4) = 4),
+tops AS (SELECT c.acc, bool_and(c.symbol IN ('GlcNAc', 'Fuc', 'NeuAc', 'NeuGc')) AS core_gal, bool_and(c.symbol IN ('GlcNAc', 'Gal')) AND max(p.loose) = 0 AS bare_core, bool_and(c.symbol IN ('GlcNAc', 'HexNAc', 'Fuc', 'Gal', 'NeuAc')) AND max(p.loose) = 0 AND count(*) = 2 AS two_kids FROM r p JOIN r c ON c.acc = p.acc AND c.parent = p.rid WHERE p.parent IS NULL GROUP BY 1),
+ways AS (SELECT p.acc, p.rid, p.symbol, count(c.rid) AS n, count(c.rid) FILTER (c.symbol <> 'Fuc') AS others FROM r p LEFT JOIN r c ON c.acc = p.acc AND c.parent = p.rid GROUP BY 1, 2, 3),
+w AS (SELECT acc, count(*) FILTER (symbol = 'Man')::INTEGER AS n_man, count(*) FILTER (symbol = 'Gal' AND n > 0) = 0 AS gal_is_leaf, max(n) < 2 AS no_branch, max(others) < 2 AS no_other_branch FROM ways GROUP BY 1),
+u AS (SELECT acc, bool_and(n % 2 = 0) AS even FROM (SELECT acc, repeat, count(*) AS n FROM r WHERE repeat IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT acc, acc IN (FROM cores) AS n_core, core_gal, bare_core, two_kids, n_man, gal_is_leaf, no_branch, no_other_branch, coalesce(even, true) AS even_repeats FROM tops JOIN w USING (acc) LEFT JOIN u USING (acc)""",
+)
+def u2_cores(t):
+    k, i = F.col("acc"), F.col("rid")
+    rows = t.part.select(F.col("p_partkey").alias("acc"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("rid"))
+    case = lambda *pairs: reduce(lambda so_far, p: so_far.when(p[0], p[1]), pairs[1:], F.when(*pairs[0]))
+    rows = rows.select(
+        k, i, case((i == 2, 1), (i == 3, 2), (i == 4, 3), ((i == 5) & (k % 6 == 0), 4), (i == 5, 3), ((i == 6) & (k % 2 == 0), 1), (i == 6, 4)).alias("parent"),
+        case(((i < 3) & (k % 5 == 1), "HexNAc"), (i < 3, "GlcNAc"), (i == 6, F.get(F.array(*map(F.lit, ("Fuc", "Gal", "NeuAc"))), (k % 3).cast("int"))), ((i == 5) & (k % 7 == 0), "Gal")).otherwise("Man").alias("symbol"),
+        case(((i == 2) & (k % 11 > 0) | (i == 3) & (k % 4 > 0), "b"), (i.isin(2, 4, 6), "a")).alias("anomer"),
+        case((i == 2, 4), ((i == 3) & (k % 13 == 0), 3), (i == 3, 4), (i == 4, 3), ((i == 5) & (k % 9 == 0), 3), ((i == 5) & (k % 8 > 0), 6)).alias("pos"),
+        F.when((i == 1) & (k % 10 == 0), 1).otherwise(0).alias("loose"), case(((k % 4 == 1) & (i > 2 + k % 2), F.lit(1)), ((k % 4 == 2) & (i > 2), i % 2)).alias("repeat"),
+    )
+    gathered = rows.groupBy("acc").agg(F.array_sort(F.collect_list(F.struct("rid", "parent", "symbol", "anomer", "pos", "loose", "repeat"))).alias("residues"))
+    return gathered.select("acc", *(test.alias(name) for name, test in RULE_TESTS().items()))

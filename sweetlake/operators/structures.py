@@ -298,6 +298,74 @@ def structure_tests(residues: DataFrame) -> DataFrame:
     return found.withColumn("branched", F.col("n_branches") > 0)
 
 
+#: A core as a pattern: symbols, an anomer that a residue may not have, positions (an unknown one fits), how many children
+#: at least fit each pattern below.
+N_CORE = {
+    "symbols": ["GlcNAc", "HexNAc"],
+    "kids": [{"symbols": ["GlcNAc", "HexNAc"], "not_anomer": "a", "pos": [4], "kids": [{"symbols": ["Man", "Hex"], "not_anomer": "a", "pos": [4], "kids": [
+        {"symbols": ["Man", "Hex"], "not_anomer": "b", "pos": [3]}, {"symbols": ["Man", "Hex"], "not_anomer": "b", "pos": [6]}, {"symbols": ["Man", "Hex"], "not_anomer": "b", "pos": [3, 6], "at_least": 2},
+    ]}]}],
+}
+
+
+def _root() -> Column:
+    """The root as an array of one residue; none for a structure without exactly one residue without parent."""
+    tops = F.filter("residues", lambda r: r["parent"].isNull())
+    return F.when(F.size(tops) == 1, tops).otherwise(F.slice(tops, 1, 0))
+
+
+def _kids(r: Column) -> Column:
+    return F.filter("residues", lambda k: k["parent"] == r["rid"])
+
+
+def _one_of(r: Column, symbols: list[str]) -> Column:
+    return F.coalesce(r["symbol"].isin(*symbols), F.lit(False))
+
+
+def _held(r: Column, pattern: dict) -> Column:
+    ok = _one_of(r, pattern["symbols"])
+    if "not_anomer" in pattern:
+        ok = ok & ~r["anomer"].eqNullSafe(F.lit(pattern["not_anomer"]))
+    if "pos" in pattern:
+        ok = ok & F.coalesce(r["pos"].isin(*pattern["pos"]), F.lit(True))
+    for below in pattern.get("kids", ()):
+        ok = ok & (F.size(F.filter(_kids(r), lambda k: _held(k, below))) >= below.get("at_least", 1))  # noqa: B023
+    return ok
+
+
+def rooted(pattern: dict) -> Column:
+    """Whether the root of `residues` holds a pattern (see N_CORE)."""
+    return F.exists(_root(), lambda r: _held(r, pattern))
+
+
+def accepted_core(symbols: list[str], bare: bool = False, kids: int | None = None, also: tuple[str, ...] = ("Fuc", "NeuAc", "NeuGc")) -> Column:
+    """Whether all children of the root have one of the symbols, or of `also`; a bare core has none of the latter and no loose
+    substituent on the root (field `loose` of a residue, their number); kids: as many children as that."""
+    fine = [*symbols, *(() if bare else also)]
+    ok = lambda r: F.forall(_kids(r), lambda k: _one_of(k, fine)) & (F.coalesce(r["loose"], F.lit(0)) == 0 if bare else F.lit(True)) & (F.size(_kids(r)) == kids if kids is not None else F.lit(True))
+    return F.exists(_root(), ok)
+
+
+def symbol_count(symbols: list[str]) -> Column:
+    return F.size(F.filter("residues", lambda r: _one_of(r, symbols)))
+
+
+def only_leaves(symbols: list[str]) -> Column:
+    """Whether no residue of the symbols has children."""
+    return ~F.exists("residues", lambda r: _one_of(r, symbols) & (F.size(_kids(r)) > 0))
+
+
+def no_branch(besides: list[str] | None = None) -> Column:
+    """Whether no residue has several children, those of the symbols `besides` left aside."""
+    return ~F.exists("residues", lambda r: F.size(F.filter(_kids(r), lambda k: ~_one_of(k, besides or [""]))) > 1)
+
+
+def even_repeats() -> Column:
+    """Whether each repeat unit (field `repeat` of a residue, its number) has an even number of residues."""
+    units = F.array_distinct(F.array_compact(F.transform("residues", lambda r: r["repeat"])))
+    return F.forall(units, lambda u: F.size(F.filter("residues", lambda r: r["repeat"] == u)) % 2 == 0)
+
+
 def classify(hits: DataFrame, rules: list[dict]) -> DataFrame:
     """(acc, rule, type, subtype) of every matching rule: any of its motifs, none of its exceptions, and its test.
 

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from sweetlake.jobs.queries import QUERIES
 from sweetlake.operators import components, motifs
 from sweetlake.operators import structures as s
@@ -191,3 +193,13 @@ def test_digest_in_turn_and_together(spark):
     assert s.digest(df.limit(0), both).count() == 0
     long = tree([(i, i - 1 or None, "Gal", None, None) for i in range(1, 5_001)])
     assert len(s.cleaved(long, {"symbol": "Gal"})) == 4_999
+
+
+def test_rules_name_core_tests(spark):
+    """A rule's test is a core; structures of two tops and empty ones hold none."""
+    core = [(1, None, "GlcNAc", None, None), (2, 1, "GlcNAc", "b", 4), (3, 2, "Man", None, None), (4, 3, "Man", "a", 3), (5, 3, "Man", "a", 6)]
+    df = s.gathered(residues(spark, {"core": core, "beta": [*core[:4], (5, 3, "Man", "b", 6)], "comp": [(i, None, *r[2:]) for i, r in enumerate(core, 1)]}))
+    df = df.unionByName(df.limit(1).selectExpr("'none' as acc", "filter(residues, r -> false) as residues")).withColumns({"n_core": s.rooted(s.N_CORE), "motifs": F.array(F.lit("m"))})
+    assert [r.acc for r in s.classify(df, [{"id": "n", "type": "N-linked", "motifs": ["m"], "test": "n_core"}]).collect()] == ["core"]
+    assert {r.acc for r in df.where(s.accepted_core(["Man"])).collect()} == set() and {r.acc for r in df.where(s.accepted_core(["GlcNAc"])).collect()} == {"core", "beta"}
+    assert {r.acc for r in df.where(s.no_branch()).collect()} == {"comp", "none"}
