@@ -42,7 +42,7 @@ CHOICES = WINDOW - ANCHOR + 1
 #: Words, and distinct words, beyond which a block of documents ends; one longer document is a block of its own.
 BLOCK_WORDS, BLOCK_DISTINCT = 600_000, 60_000
 #: Anchors of takers for which a copy of their reference is sent, or four times its own anchors if those are more.
-SHARE = 2_048
+SHARE = 512
 #: Odd multipliers of the rolling hashes.
 BASE, MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 BLOCKS = "block long, words binary, codes binary, doc_id array<long>, n_words array<long>, anchor array<long>, lo array<long>, hi array<long>, n array<long>"
