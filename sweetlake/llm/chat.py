@@ -44,6 +44,20 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<\\n"), F.lit("\n")))
 
 
+def starts(sizes: Column) -> Column:
+    """Running sums before each of the sizes.
+
+    An aggregate that grows an array copies it at each step, so sums run over blocks of about the square root of all, and over
+    the blocks' totals."""
+    block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(sizes))).cast("int"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda so_far, n: F.struct((so_far["at"] + n).alias("at"), F.concat(so_far["starts"], F.array(so_far["at"])).alias("starts"))
+    cut = F.transform(F.sequence(F.lit(0), F.size(sizes) - 1, block), lambda k: F.slice(sizes, k + 1, block))
+    local = F.transform(F.when(F.size(sizes) > 0, cut).otherwise(F.array()), lambda xs: F.aggregate(xs, none, step))
+    bases = F.aggregate(local, none, lambda so_far, x: step(so_far, x["at"]))["starts"]
+    return F.flatten(F.zip_with(local, bases, lambda x, base: F.transform(x["starts"], lambda at: at + base)))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, replies) with replies = [(begin, chars)] of assistant texts, from 0, in code points."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -57,18 +71,14 @@ def format_conversations(rows: DataFrame) -> DataFrame:
         ),
     )
     sized = gathered.select("conv_id", parts.alias("parts"))
-    step = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,chars:int>>").alias("spans")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END)).alias("at"),
-            F.when(p["trained"], F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(p["head"])).alias("begin"), F.length(p["body"]).alias("chars")))))
-            .otherwise(s["spans"])
-            .alias("spans"),
-        ),
-    )
+    size = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END)
+    place = lambda p, at: F.struct((at + F.length(p["head"])).alias("begin"), F.length(p["body"]).alias("chars"), p["trained"].alias("trained"))
+    # Columns of their own, so that they are worked out once and not at each use inside another function.
+    sized = sized.withColumn("sizes", F.transform("parts", size)).withColumn("starts", starts(F.col("sizes")))
+    placed = F.zip_with("parts", "starts", place)
+    spans = F.transform(F.filter(placed, lambda r: r["trained"]), lambda r: F.struct(r["begin"].alias("begin"), r["chars"].alias("chars")))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return sized.select("conv_id", text.alias("formatted"), step["spans"].alias("replies"))
+    return sized.select("conv_id", text.alias("formatted"), spans.alias("replies"))
 
 
 def examples(formatted: DataFrame) -> DataFrame:

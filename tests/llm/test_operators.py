@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sweetlake.llm import byte_bpe, common, graph_search, near_dedup, packing, pii, quality, token_store, tokens, voronoi_join, warc
+from sweetlake.llm import byte_bpe, chat, common, graph_search, near_dedup, packing, pii, quality, token_store, tokens, voronoi_join, warc
 from sweetlake.llm.queries import ORACLES, QUERIES
 
 from .conftest import texts
@@ -432,6 +432,14 @@ def test_chat_examples(spark):
     assert got[1].context == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<\\|<|im_end|>\n<|im_start|>user\nc<|im_end|>\n<|im_start|>assistant\n"
 
 
+def test_chat_of_very_many_turns(spark):
+    """Spans grow linearly: 100,000 turns of one conversation in seconds."""
+    rows = spark.range(100_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    began = time.time()
+    r = chat.format_conversations(rows).selectExpr("size(replies) as n", "substring(formatted, element_at(replies, -1).begin + 1, element_at(replies, -1).chars) as last").first()
+    assert (r.n, r.last) == (50_000, "t99999") and time.time() - began < 10
+
+
 def test_byte_bpe(spark, folder):
     import public_tokenizers
     import tiktoken
