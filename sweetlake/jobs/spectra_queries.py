@@ -9,6 +9,7 @@ from ..operators import fdr, library, models
 from ..operators.chromatograms import specificity_by_label
 from .chromatogram_queries import SCORE, SCORE_SQL
 from .registry import Tables, query
+from .table_queries import text
 
 TIES = ["l_orderkey", "l_linenumber"]
 SCORED_SQL = """
@@ -190,15 +191,31 @@ def a5(t):
 
 @query(
     "A6_glycosites",
-    """WITH o AS (SELECT l_partkey, count(DISTINCT l_suppkey % 2) AS na, count(DISTINCT l_returnflag) AS nc FROM lineitem GROUP BY 1),
-r AS (SELECT DISTINCT l_suppkey AS protein, l_linenumber AS pos, CAST(l_partkey AS VARCHAR) AS pep FROM lineitem JOIN o USING (l_partkey) WHERE na = 1 AND nc = 1)
-SELECT protein, pos, string_agg(pep, ';' ORDER BY pep) AS peptides FROM r GROUP BY 1, 2""",
+    """WITH p AS (SELECT l_partkey AS pep, min(l_suppkey % 40) AS g, list(DISTINCT {'protein': 'Q' || (l_suppkey % 300), 'site': ['N', 'S', 'T', 'X'][1 + l_linenumber % 4] || (l_linenumber * 10)}) AS a FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+g AS (SELECT i AS acc, CASE WHEN i % 3 = 0 THEN '' WHEN i % 3 = 1 THEN 'HexNAc' || i || 'Hex5' ELSE 'HexNAc' || i END AS composition, CASE WHEN i % 5 > 0 THEN 'N-linked' END AS class FROM range(40) t(i)),
+s AS (SELECT DISTINCT l_partkey AS pep FROM lineitem WHERE l_linestatus = 'F'), r AS (SELECT a[1].protein AS protein, CAST(substr(a[1].site, 2) AS INTEGER) AS position, CASE substr(a[1].site, 1, 1) WHEN 'N' THEN 'Asn' WHEN 'S' THEN 'Ser' WHEN 'T' THEN 'Thr' END AS amino_acid, acc AS glycan, composition, class, a[1].protein || '@' || a[1].site AS site, pep
+FROM p JOIN s USING (pep) JOIN g ON g.acc = p.g WHERE len(a) = 1 AND class IS NOT NULL) SELECT * EXCLUDE (pep), string_agg(pep::VARCHAR, ',' ORDER BY pep::VARCHAR) AS peptides FROM r GROUP BY ALL""",
 )
 def a6(t):
-    rows = t.lineitem
-    n = rows.groupBy(F.col("l_partkey").alias("k")).agg(F.count_distinct(F.col("l_suppkey") % 2).alias("na"), F.count_distinct("l_returnflag").alias("nc"))
-    known = rows.join(n, F.col("l_partkey") == F.col("k")).select(F.col("l_suppkey").alias("protein"), F.col("l_linenumber").alias("pos"), "l_partkey", "na", "nc")
-    return library.glycosites(known, ["protein", "pos"], "l_partkey", "na", "nc")
+    place = F.struct(F.concat(F.lit("Q"), text(F.col("l_suppkey") % 300)).alias("protein"), F.concat(F.get(F.array(*map(F.lit, "NSTX")), (F.col("l_linenumber") % 4).cast("int")), text(F.col("l_linenumber") * 10)).alias("site"))
+    peptides = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("pep_id")).agg(F.min(F.col("l_suppkey") % 40).alias("glycan"), F.collect_set(place).alias("alignments"))
+    tgs = t.lineitem.select(F.col("l_partkey").alias("peptide"), F.col("l_linestatus").alias("sample"))
+    i = F.col("acc")
+    two = F.concat(F.lit("HexNAc"), text(i))
+    names = F.when(i % 3 == 0, F.array(F.lit("FucHexNAc2"))).when(i % 3 == 1, F.array(F.lit("Hex5"), F.concat(two, F.lit("Hex5")), F.lit("HexNAc9"))).otherwise(F.array(F.lit("HexNAc1Fuc1"), two))
+    keys = t.lineitem.select((F.col("l_suppkey") % 40).alias("acc")).distinct()
+    glycans = keys.select("acc", names.alias("names"), F.when(i % 5 > 0, F.array(F.lit("N-linked"))).otherwise(F.array(F.lit("N-linked"), F.lit("O-linked"))).alias("classes"))
+    return library.glycosites(tgs, peptides, glycans, t.lineitem.where("l_linestatus = 'F'").select(F.col("l_linestatus").alias("sample")))
+
+
+@query(
+    "A31_dia_calibration",
+    """WITH d AS (SELECT o_custkey AS spectra, o_orderkey AS name, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 7) || '.5:' || (o_orderkey % 11) END AS c FROM orders)
+SELECT spectra, CAST(split_part(arg_min(c, name), ':', 1) AS DOUBLE) AS slope, CAST(split_part(arg_min(c, name), ':', 2) AS DOUBLE) AS intercept FROM d WHERE c IS NOT NULL GROUP BY 1""",
+)
+def a31_calibration(t):
+    k = F.col("o_orderkey")
+    return library.dia_calibration(t.orders.select(F.col("o_custkey").alias("spectra"), k.alias("name"), F.when(k % 3 > 0, F.concat(text(k % 7), F.lit(".5:"), text(k % 11))).alias("lccalibration")))
 
 
 @query(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
 from .ordered import running
 
 
@@ -39,13 +40,22 @@ def fdr_curve(scored: DataFrame, ndecoys: int = 1, score: str = "score", decoy:
     by_score = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(decoy) == 0).alias("t"), F.count_if(F.col(decoy) != 0).alias("d")
     )
-    best_first = running(by_score, [F.col("score").desc()], {"targets": ("sum", "t"), "decoys": ("sum", "d")})
-    points = best_first.select("score", "targets", F.when(F.col("targets") > 0, F.col("decoys") / F.lit(ndecoys) / F.col("targets")).alias("fdr"))
-    # The least FDR of worse scores stands one row further on; shifting by rows would need a global
-    # lag, so the least up to a row is compared with it and ties of the minimum keep the worst score.
-    worst_first = running(points, [F.col("score").asc()], {"least": ("min", "fdr")})
-    kept = worst_first.where((F.col("fdr") < 1) & (F.col("fdr") == F.col("least")))
-    return kept.groupBy("fdr").agg(F.min("score").alias("score"), F.min_by("targets", "score").alias("targets")).select("score", "fdr", "targets")
+    # One range partition serves both ways: sums from the best score on, then the least FDR from the worst on; a row a range
+    # carries either to the other ranges.
+    ranges = cut_lineage(by_score.repartitionByRange(F.col("score").desc()).withColumn("_range", F.spark_partition_id()))
+    local = Window.partitionBy("_range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = Window.orderBy("_range")
+    before, after = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    totals = ranges.groupBy("_range").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+    earlier = F.broadcast(totals.select("_range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("t", "d"))))
+    summed = ranges.join(earlier, "_range").select("_range", "score", *((F.sum(c).over(local) + F.col(f"_{c}")).alias(c) for c in ("t", "d")))
+    points = summed.select("_range", "score", F.col("t").alias("targets"), F.when(F.col("t") > 0, F.col("d") / F.lit(ndecoys) / F.col("t")).alias("fdr"))
+    least = points.groupBy("_range").agg(F.min("fdr").alias("least"))
+    later = F.broadcast(least.select("_range", F.min("least").over(after).alias("_least")))
+    worse = Window.partitionBy("_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.least(F.min("fdr").over(worse), "_least"), F.lit(1.0))
+    kept = points.join(later, "_range").withColumn("below", below).where((F.col("fdr") < 1) & (F.col("fdr") < F.col("below")))
+    return kept.select("score", "fdr", "targets")
 
 
 def assign_qvalue(scored: DataFrame, curve: DataFrame, score: str = "score") -> DataFrame:

@@ -81,9 +81,38 @@ def library_stats(df: DataFrame, protein: str, glycan: str, site: str, glycopept
     )
 
 
-def glycosites(df: DataFrame, keys: list[str], peptide: str, n_alignments: str, n_classes: str) -> DataFrame:
-    """Distinct peptides of each site, of uniquely aligned peptides with one class."""
-    return df.where((F.col(n_alignments) == 1) & (F.col(n_classes) == 1)).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(F.col(peptide).cast("string"))), ";").alias("peptides"))
+#: Three-letter names of amino acids.
+AMINO_ACIDS = {
+    "A": "Ala", "R": "Arg", "N": "Asn", "D": "Asp", "C": "Cys", "E": "Glu", "Q": "Gln", "G": "Gly", "H": "His", "I": "Ile",
+    "L": "Leu", "K": "Lys", "M": "Met", "F": "Phe", "P": "Pro", "S": "Ser", "T": "Thr", "W": "Trp", "Y": "Tyr", "V": "Val",
+}
+
+
+def glycosites(tgs: DataFrame, peptides: DataFrame, glycans: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """(protein, position, amino_acid, glycan, composition, class, peptides, site): a row a site and glycan, with the distinct
+    peptides that show it, sorted and comma-joined.
+
+    tgs: peptide, sample; peptides: pep_id, glycan (of its first site), alignments (array of protein and site, as N52); glycans:
+    acc, names, classes; samples: sample, those wanted (all without it).  Only peptides with one alignment count, and glycans of one
+    class.  The composition is the first name with HexNAc and without Fuc, empty without one; site is protein@site."""
+    wanted = tgs if samples is None else tgs.join(samples.select("sample").distinct(), "sample", "left_semi")
+    seen = wanted.select(F.col("peptide").alias("pep_id")).distinct()
+    one = peptides.where(F.size("alignments") == 1).join(seen, "pep_id", "left_semi").select("pep_id", F.col("glycan").alias("acc"), F.col("alignments")[0].alias("a"))
+    named = F.filter("names", lambda n: n.contains("HexNAc") & ~n.contains("Fuc"))
+    kind = glycans.where(F.size("classes") == 1).select("acc", F.coalesce(F.get(named, F.lit(0)), F.lit("")).alias("composition"), F.col("classes")[0].alias("class"))
+    letter = F.substring("a.site", 1, 1)
+    names = F.create_map(*(F.lit(x) for pair in AMINO_ACIDS.items() for x in pair))
+    rows = one.join(kind, "acc").select(F.col("a.protein").alias("protein"), F.substr("a.site", F.lit(2)).cast("int").alias("position"), F.try_element_at(names, letter).alias("amino_acid"), F.col("acc").alias("glycan"), "composition", "class", F.concat("a.protein", F.lit("@"), "a.site").alias("site"), "pep_id")
+    keys = [c for c in rows.columns if c not in ("pep_id", "site")]
+    return rows.groupBy(*keys, "site").agg(F.array_join(F.sort_array(F.collect_set(F.col("pep_id").cast("string"))), ",").alias("peptides")).select(*keys, "peptides", "site")
+
+
+def dia_calibration(documents: DataFrame) -> DataFrame:
+    """(spectra, slope, intercept): of each spectra the calibration `slope:intercept` of its first document that has one.
+
+    documents: spectra, name (their order), lccalibration."""
+    first = documents.where("lccalibration is not null").groupBy("spectra").agg(F.min_by(F.split("lccalibration", ":"), F.struct("name", "lccalibration")).alias("c"))
+    return first.select("spectra", *(F.get("c", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(("slope", "intercept"))))
 
 
 def dia_groups(fragments: DataFrame, keys: list[str], transition: str, area: str) -> DataFrame:

@@ -214,3 +214,21 @@ def test_supporting_residues(spark):
     enzymes = spark.createDataFrame([("x", i, f"N{i}", s, g, v) for i, s, g, v in [(1, "h", "A", 0), (1, "h", "B", 0), (1, "m", "C", 1), (2, "m", "D", 0), (3, "h", None, 0), (5, "h", "E", 0)]], "acc string, rid int, node_id string, species string, gene string, violations int")
     got = {(r.idx, r.rid): (r.motif_rid, r.human, r.mouse) for r in joins.enzyme_alignments(matches, residues, enzymes, {"human": "h", "mouse": "m"}).collect()}
     assert got == {(1, 2): (2, "-", "D"), (1, 3): (None, "-", "-"), (1, 1): (None, "A,B", "-"), (2, 5): (1, "E", "-"), (2, 2): (None, "-", "D"), (2, 1): (None, "A,B", "-")}
+
+
+def test_glycosites(spark):
+    """One alignment and one class only, wanted samples, the first fitting name, letters without a name; empty tables."""
+    kind = "array<struct<protein:string,site:string>>"
+    peptides = spark.createDataFrame([("p1", "g", [("Q1", "N52")]), ("p2", "g", [("Q1", "N52")]), ("p3", "g", [("Q1", "N52"), ("Q2", "N7")]), ("p4", "two", [("Q1", "N52")]), ("p5", "g", [("Q2", "X9")]), ("p6", "g", [("Q1", "N52")])], f"pep_id string, glycan string, alignments {kind}")
+    glycans = spark.createDataFrame([("g", ["HexNAc2Fuc1", "Hex3", "HexNAc2Hex3", "HexNAc9"], ["N-linked"]), ("two", ["HexNAc1"], ["N-linked", "O-linked"])], "acc string, names array<string>, classes array<string>")
+    tgs = spark.createDataFrame([("p2", "s1"), ("p1", "s1"), ("p1", "s1"), ("p3", "s1"), ("p4", "s1"), ("p5", "s1"), ("p6", "s2")], "peptide string, sample string")
+    samples = spark.createDataFrame([("s1",)], "sample string")
+    got = {tuple(r) for r in library.glycosites(tgs, peptides, glycans, samples).collect()}
+    assert got == {("Q1", 52, "Asn", "g", "HexNAc2Hex3", "N-linked", "p1,p2", "Q1@N52"), ("Q2", 9, None, "g", "HexNAc2Hex3", "N-linked", "p5", "Q2@X9")}
+    assert "p6" in {p for r in library.glycosites(tgs, peptides, glycans).collect() for p in r.peptides.split(",")}
+    assert library.glycosites(tgs.limit(0), peptides, glycans).count() == 0
+
+
+def test_calibration_of_the_first_document(spark):
+    rows = [("a", "2", "1.5:2"), ("a", "1", None), ("a", "3", "9:9"), ("b", "1", "x:1"), ("c", "1", None)]
+    assert {tuple(r) for r in library.dia_calibration(spark.createDataFrame(rows, "spectra string, name string, lccalibration string")).collect()} == {("a", 1.5, 2.0), ("b", None, 1.0)}
