@@ -207,12 +207,20 @@ def s14(t):
     return sinks.alignments_to_triples(align, classes)
 
 
-@query("S15_viewer_nodes", f"WITH {EDGES_SQL} SELECT 'P' || p_partkey AS acc, (SELECT count(*) FROM e WHERE parent = 'P' || p_partkey AND kind = 'subsumed') AS n, CAST(p_size AS VARCHAR) AS level FROM part WHERE p_partkey % 3 > 0")
+@query(
+    "S15_viewer_nodes",
+    f"""WITH {EDGES_SQL}, k AS (SELECT parent AS acc, '"children":[' || string_agg('"' || child || '"', ',' ORDER BY child) || ']' AS children, '"edgetype":{{' || string_agg('"' || child || '":"other"', ',' ORDER BY child) FILTER (kind <> 'subsumed') || '}}' AS types FROM e GROUP BY 1),
+n AS (SELECT 'P' || p_partkey AS acc, p_partkey AS k, ['basecomposition', 'composition', 'topology', 'saccharide', 'molecular weight'][1 + p_size % 5] AS level, p_name FROM part WHERE p_partkey % 3 > 0)
+SELECT acc, '{{' || concat_ws(',', CASE WHEN k % 4 = 0 THEN '"archetype":"P' || k // 4 || '"' END, children, '"count":{{"Hex":' || k % 9 || ',"HexNAc":2}}', types, CASE WHEN k % 7 = 0 THEN '"inrestriction":true' END, '"level":"' || level || '"', CASE WHEN k % 5 > 0 THEN '"score":' || k % 5 END,
+CASE WHEN k % 2 = 0 THEN '"syms":["' || p_name || '"]' END) || '}}' AS document FROM n LEFT JOIN k USING (acc) WHERE level <> 'molecular weight'""",
+)
 def s15(t):
-    nodes = t.part.select(F.concat(F.lit("P"), text("p_partkey")).alias("acc"), text("p_size").alias("level"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_size")).alias("n"), F.lit(None).cast("int").alias("score"))
-    docs = sinks.viewer_nodes(nodes, edges(t), t.part.select(F.concat(F.lit("P"), text("p_partkey")).alias("acc"), F.col("p_name").alias("name")))
-    kids = F.coalesce(F.json_array_length(F.get_json_object("document", "$.children")), F.lit(0))
-    return docs.select("acc", kids.cast("long").alias("n"), F.get_json_object("document", "$.level").alias("level"))
+    k = F.col("p_partkey")
+    acc = F.concat(F.lit("P"), text(k)).alias("acc")
+    level = F.get(F.array(*map(F.lit, (*sinks.VIEWER_LEVELS, "molecular weight"))), (F.col("p_size") % 5).cast("int"))
+    counts = F.when(k % 3 > 0, F.create_map(F.lit("HexNAc"), F.lit(2).cast("long"), F.lit("Hex"), (k % 9).cast("long")))
+    nodes = t.part.select(acc, level.alias("level"), counts.alias("counts"), F.when(k % 5 > 0, k % 5).alias("score"), F.when(k % 4 == 0, F.concat(F.lit("P"), text(F.floor(k / 4)))).alias("archetype"))
+    return sinks.viewer_nodes(nodes, edges(t), t.part.where("p_partkey % 2 = 0").select(acc, F.col("p_name").alias("name")), t.part.where("p_partkey % 7 = 0").select(acc))
 
 
 @query(

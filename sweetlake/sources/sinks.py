@@ -55,16 +55,31 @@ def alignments_to_triples(align: DataFrame, classes: DataFrame, ns: str = "motif
     return reduce(DataFrame.unionByName, rows).where("x.o is not null").select("s", "x.p", "x.o")
 
 
-def viewer_nodes(nodes: DataFrame, edges: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(acc, document): level, children, other-kind children, count, score and synonyms as JSON; nodes without
-    count are dropped and empty keys omitted.  nodes: acc, level, n, score; edges: parent, child, kind."""
-    listed = lambda c: F.nullif(F.sort_array(F.collect_set(c)), F.array().cast("array<string>"))
-    kids = edges.groupBy(F.col("parent").alias("acc")).agg(
-        listed(F.when(F.col("kind") == "subsumed", F.col("child"))).alias("children"), listed(F.when(F.col("kind") != "subsumed", F.col("child"))).alias("others")
-    )
-    names = synonyms.groupBy("acc").agg(listed("name").alias("syms"))
-    rows = nodes.where("n is not null").join(kids, "acc", "left").join(names, "acc", "left")
-    return rows.select("acc", F.to_json(F.struct("acc", "level", "children", "others", F.col("n").alias("count"), "score", "syms")).alias("document"))
+#: Levels of nodes that a viewer shows.
+VIEWER_LEVELS = ("basecomposition", "composition", "topology", "saccharide")
+
+
+def viewer_nodes(nodes: DataFrame, edges: DataFrame, synonyms: DataFrame, restriction: DataFrame | None = None) -> DataFrame:
+    """(acc, document): a JSON object a node, with sorted keys: archetype, children (of any kind), count (symbols), edgetype
+    (`other` for children by other edges), inrestriction, level, score, syms.
+
+    nodes: acc, level, counts (map), score, archetype; edges: parent, child, kind; synonyms: acc, name; restriction: acc.  Nodes
+    without counts or of no viewer's level are dropped, and keys that are empty, unknown or false are omitted.  A child by edges
+    of both kinds is no other one."""
+    listed = lambda c: F.nullif(F.sort_array(c), F.array().cast("array<string>"))
+    one = edges.groupBy("parent", F.col("child").cast("string").alias("child")).agg(F.bool_or(F.col("kind") == "subsumed").alias("strict"))
+    other = F.collect_list(F.when(~F.col("strict"), F.col("child")))
+    kids = one.groupBy(F.col("parent").alias("acc")).agg(listed(F.collect_list("child")).alias("children"), listed(other).alias("others"))
+    names = synonyms.where("name is not null").groupBy("acc").agg(listed(F.collect_set("name")).alias("syms"))
+    rows = nodes.where(F.col("counts").isNotNull() & F.col("level").isin(*VIEWER_LEVELS)).join(kids, "acc", "left").join(names, "acc", "left")
+    if restriction is not None:
+        rows = rows.join(restriction.select("acc", F.lit(True).alias("inrestriction")).distinct(), "acc", "left")
+    else:
+        rows = rows.withColumn("inrestriction", F.lit(None).cast("boolean"))
+    edgetype = F.map_from_entries(F.transform("others", lambda c: F.struct(c, F.lit("other"))))
+    count = F.map_from_entries(F.array_sort(F.map_entries("counts")))
+    fields = ["archetype", "children", count.alias("count"), edgetype.alias("edgetype"), "inrestriction", "level", F.col("score").cast("int").alias("score"), "syms"]
+    return rows.select("acc", F.to_json(F.struct(*fields)).alias("document"))
 
 
 def upsert_annotations(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
