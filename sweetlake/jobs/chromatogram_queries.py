@@ -77,9 +77,17 @@ def a8_labels(t):
     return found.withColumns(numbers).drop("percent_specific")
 
 
-@query("U11_fit_peak")
+@query(
+    "U11_fit_peak",
+    f"""WITH {XIC_SQL}, p AS (SELECT series, rt, int, avg(rt) OVER (PARTITION BY series) AS mid, max(int) OVER (PARTITION BY series) AS top FROM x JOIN a USING (series) WHERE abs(rt - apex_rt) <= 15 AND int > 0),
+q AS (SELECT series, mid, count(DISTINCT rt) AS n, sum(w * x ** 0) AS s0, sum(w * x ** 1) AS s1, sum(w * x ** 2) AS s2, sum(w * x ** 3) AS s3, sum(w * x ** 4) AS s4, sum(w * x ** 0 * ln(int)) AS t0, sum(w * x ** 1 * ln(int)) AS t1, sum(w * x ** 2 * ln(int)) AS t2 FROM (SELECT *, rt - mid AS x, (int / top) ** 2 AS w FROM p) GROUP BY 1, 2),
+f AS (SELECT series, mid, (t2 * (s2 * s0 - s1 * s1) - s3 * (t1 * s0 - s1 * t0) + s2 * (t1 * s1 - s2 * t0)) / d AS a, (s4 * (t1 * s0 - s1 * t0) - t2 * (s3 * s0 - s1 * s2) + s2 * (s3 * t0 - t1 * s2)) / d AS b, (s4 * (s2 * t0 - t1 * s1) - s3 * (s3 * t0 - t1 * s2) + t2 * (s3 * s1 - s2 * s2)) / d AS c FROM (SELECT *, (s4 * (s2 * s0 - s1 * s1) - s3 * (s3 * s0 - s1 * s2) + s2 * (s3 * s1 - s2 * s2)) AS d FROM q WHERE n >= 4) WHERE d <> 0),
+g AS (SELECT series, mid - b / (2 * a) AS apex, 6 * sqrt(-1 / (2 * a)) AS width, exp(least(700, c - b * b / (4 * a))) AS height FROM f WHERE a < 0)
+SELECT series, round(apex, 4) AS apex, round(width, 4) AS width, round(height, 3) AS height, round(height * width / 6 * sqrt(2 * pi()), 3) AS area, round(coalesce(corr(height * exp(-18 * ((rt - apex) / width) ** 2), int), 0), 4) AS r FROM p JOIN g USING (series) WHERE width <= 100 GROUP BY series, apex, width, height""",
+)
 def u11(t):
-    return c.fit_peak(c.apex_window(xic(t), 15), 100)
+    found = c.fit_peak(c.apex_window(xic(t), 15), 100)
+    return found.withColumns({x: F.round(x, n) for x, n in (("apex", 4), ("width", 4), ("height", 3), ("area", 3), ("r", 4))})
 
 
 @query("U8_robust_fit")
@@ -108,10 +116,13 @@ def u9_hypergeom(t):
     return k.select("k", F.round(c.hypergeom_tail("x", "n", "g", "m"), 8).alias("tail"))
 
 
-@query("U10_poisson_binomial_tail", "SELECT l_orderkey AS id, round(1 - exp(sum(ln(1 - l_discount))) + 1e-12, 8) AS tail FROM lineitem GROUP BY 1")
+@query(
+    "U10_poisson_binomial_tail",
+    "SELECT l_orderkey AS id, round(1 - exp(sum(ln(1 - l_discount))) + 1e-12, 8) AS tail, round(1 - exp(sum(ln(1 - l_discount))) * (1 + sum(l_discount / (1 - l_discount))) + 1e-12, 8) AS two FROM lineitem GROUP BY 1",
+)
 def u10(t):
     rows = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_discount").alias("p"))
-    return rows.select("id", F.round(c.poisson_binomial_tail("p", F.lit(1)) + 1e-12, 8).alias("tail"))
+    return rows.select("id", *(F.round(c.poisson_binomial_tail("p", F.lit(k)) + 1e-12, 8).alias(name) for k, name in ((1, "tail"), (2, "two"))))
 
 
 #: Natural chances of extra neutrons.
@@ -120,10 +131,12 @@ ISOTOPES = {"C": [0.9893, 0.0107], "H": [0.999885, 0.000115], "N": [0.99636, 0.0
 
 @query(
     "U7_isotope_pattern",
-    f"WITH {ELEMENT_SQL} SELECT acc, round(sum(n * CASE element WHEN 'C' THEN 0.0107 / 0.9893 WHEN 'H' THEN 0.000115 / 0.999885 WHEN 'N' THEN 0.00364 / 0.99636 ELSE 0.00038 / 0.99757 END)::DOUBLE, 6) AS first FROM el GROUP BY acc",
+    f"""WITH {ELEMENT_SQL}, r AS (SELECT acc, n, CASE element WHEN 'C' THEN 0.0107 / 0.9893 WHEN 'H' THEN 0.000115 / 0.999885 WHEN 'N' THEN 0.00364 / 0.99636 ELSE 0.00038 / 0.99757 END::DOUBLE AS a, CASE WHEN element = 'O' THEN 0.00205 / 0.99757 ELSE 0 END::DOUBLE AS b FROM el)
+SELECT acc, round(sum(n * a), 6) AS first, round(sum(n * b) + (sum(n * a) ** 2 - sum(n * a * a)) / 2, 6) AS second FROM r GROUP BY acc""",
 )
 def u7(t):
-    return c.isotope_pattern(elements(t), ISOTOPES, cutoff=0).select("acc", F.round(F.col("pattern")[1] / F.col("pattern")[0], 6).alias("first"))
+    found = c.isotope_pattern(elements(t), ISOTOPES, cutoff=0)
+    return found.select("acc", *(F.round(F.col("pattern")[k] / F.col("pattern")[0], 6).alias(name) for k, name in ((1, "first"), (2, "second"))))
 
 
 @query("A23_phenotype_enrichment")

@@ -65,28 +65,34 @@ def chromatogram_specificity(xic: DataFrame, centres: DataFrame, inner: float =
 
 
 def fit_peak(windowed: DataFrame, widest: float = 3.5, series: str = "series") -> DataFrame:
-    """(series, apex, width, height, area, r): Gaussian by weighted parabola of log intensity; width is 6 sigma,
-    and peaks wider than `widest`, or not concave, are left out.  A series within its window must fit a task."""
-
-    names = [series, "apex", "width", "height", "area", "r"]
-
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        p = p[p["int"] > 0].sort_values(["rt", "int"])
-        rows = []
-        if p["rt"].nunique() >= 4:
-            x, y = p["rt"].to_numpy(float), p["int"].to_numpy(float)
-            mid = x.mean()
-            a, b, c = np.polyfit(x - mid, np.log(y), 2, w=y)
-            if a < 0 and 6 * math.sqrt(-1 / (2 * a)) <= widest:
-                sigma = math.sqrt(-1 / (2 * a))
-                top, height = mid - b / (2 * a), math.exp(min(700.0, c - b * b / (4 * a)))
-                model = height * np.exp(-((x - top) ** 2) / (2 * sigma**2))
-                r = float(np.corrcoef(model, y)[0, 1]) if model.std() > 0 and y.std() > 0 else 0.0
-                rows.append((p[series].iloc[0], top, 6 * sigma, height, height * sigma * math.sqrt(2 * math.pi), r))
-        return pd.DataFrame(rows, columns=names)
-
-    kind = dict(windowed.dtypes)[series]
-    return windowed.select(series, "rt", "int").groupBy(series).applyInPandas(fit, f"{series} {kind}, apex double, width double, height double, area double, r double")
+    """(series, apex, width, height, area, r): Gaussian by the parabola of log intensity, with intensities as weights; width is
+    6 sigma, and peaks wider than `widest`, not concave or of fewer than 4 times are left out.  r is the correlation of
+    model and intensities, 0 where either is constant.
+
+    A parabola's sums are those of eight products, so points are summed where they lie, and a series of any size is a row."""
+    points = windowed.where("int > 0").select(series, F.col("rt").cast("double").alias("rt"), F.col("int").cast("double").alias("int"))
+    middle = points.groupBy(series).agg(F.avg("rt").alias("_mid"), F.max("int").alias("_max"), F.count_distinct("rt").alias("_n")).where("_n >= 4").drop("_n")
+    x, w = F.col("rt") - F.col("_mid"), F.pow(F.col("int") / F.col("_max"), 2)
+    powers = [F.sum(w * F.pow(x, F.lit(k))).alias(f"_s{k}") for k in range(5)] + [F.sum(w * F.pow(x, F.lit(k)) * F.log("int")).alias(f"_t{k}") for k in range(3)]
+    sums = points.join(middle, series).groupBy(series, "_mid").agg(*powers)
+    s, t = [F.col(f"_s{k}") for k in range(5)], [F.col(f"_t{k}") for k in range(3)]
+
+    def det(m: list[list[Column]]) -> Column:
+        (a, b, c), (d, e, f), (g, h, i) = m
+        return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+
+    rows = [[s[4], s[3], s[2]], [s[3], s[2], s[1]], [s[2], s[1], s[0]]]
+    right = [t[2], t[1], t[0]]
+    whole = det(rows)
+    a, b, c = (F.try_divide(det([[right[j] if k == m else rows[j][k] for k in range(3)] for j in range(3)]), whole) for m in range(3))
+    found = sums.select(series, "_mid", a.alias("_a"), b.alias("_b"), c.alias("_c")).where("_a < 0")
+    sigma = F.sqrt(-1 / (2 * F.col("_a")))
+    height = F.exp(F.least(F.lit(700.0), F.col("_c") - F.col("_b") * F.col("_b") / (4 * F.col("_a"))))
+    fits = found.select(series, (F.col("_mid") - F.col("_b") / (2 * F.col("_a"))).alias("apex"), (6 * sigma).alias("width"), height.alias("height")).where(F.col("width") <= widest)
+    model = F.col("height") * F.exp(-18 * F.pow((F.col("rt") - F.col("apex")) / F.col("width"), 2))
+    near = points.join(fits, series).groupBy(series, "apex", "width", "height").agg(F.corr(model, "int").alias("r"))
+    r = F.when(F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.col("r"))
+    return near.select(series, "apex", "width", "height", (F.col("height") * F.col("width") / 6 * math.sqrt(2 * math.pi)).alias("area"), r.alias("r"))
 
 
 def robust_fit(points: DataFrame, key: str, x: str, y: str, good: float = 0.99, least: float = 0.5, most: int = 20) -> DataFrame:

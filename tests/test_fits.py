@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import time
 from fractions import Fraction
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sweetlake.operators import chromatograms
 from sweetlake.operators import chromatograms as c
-from sweetlake.operators import hierarchy, lineage, models
+from sweetlake.operators import hierarchy, lineage, models, structures
 from sweetlake.operators.joins import occurrences
 
 
@@ -156,3 +157,64 @@ def test_specificity_borders(spark):
     c = spark.createDataFrame([("s", 0.0), ("z", 0.0)], "series string, centre double")
     got = {r.series: tuple(r)[1:] for r in chromatograms.chromatogram_specificity(x, c).collect()}
     assert got == {"s": (20.0, 8.0, 40.0, True), "z": (0.0, 0.0, None, None)}
+
+
+def test_robust_fit_equals_plain(spark):
+    """Keys that fit at once, after removals, never, and with too few, constant or missing points; ties and repeated rows."""
+    rng = np.random.default_rng(4)
+    data = {}
+    for k in range(24):
+        x = np.round(rng.uniform(0, 20, int(rng.integers(1, 40))), 1)
+        y = 3 * x + 1 + rng.normal(0, [0.1, 4, 40][k % 3], len(x)) + 60 * (rng.random(len(x)) < 0.1)
+        data[f"k{k}"] = [(float(a), float(b)) for a, b in zip(x, y)]
+    data |= {"flat": [(1.0, 2.0)] * 5, "two": [(1.0, 1.0), (2.0, 2.0)], "twice": [(float(i), float(i * i)) for i in range(6)] * 2}
+
+    def plain(points):
+        points, removed = sorted(points), 0
+        while len(points) >= 3 and removed <= 20:
+            xs, ys = map(np.array, zip(*points))
+            if xs.std() == 0 or ys.std() == 0:
+                break
+            r = np.corrcoef(xs, ys)[0, 1]
+            if removed == 0 and abs(r) < 0.5:
+                break
+            slope, intercept = np.polyfit(xs, ys, 1)
+            if abs(r) > 0.95:
+                return slope, intercept, r, len(points), removed
+            points.pop(int(np.abs(ys - slope * xs - intercept).argmax()))
+            removed += 1
+        return None, None, None, len(points), removed
+
+    rows = [(k, *p) for k, ps in data.items() for p in ps] + [("two", None, 5.0)]
+    got = {r.key: tuple(r)[1:] for r in c.robust_fit(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y", good=0.95).collect()}
+    assert got.keys() == data.keys() and sum(g[0] is not None for g in got.values()) > 8
+    for k, points in data.items():
+        assert got[k] == pytest.approx(plain(points), nan_ok=True) if got[k][0] is not None else got[k] == plain(points)
+
+
+def test_isotope_patterns_equal_the_whole_convolution(spark):
+    elements = {"a": {"C": 6, "H": 12, "O": 6}, "b": {"N": 1}, "c": {"C": 40, "O": 30, "N": 5, "H": 66}}
+    chances = {"C": [0.9893, 0.0107], "H": [0.999885, 0.000115], "N": [0.99636, 0.00364], "O": [0.99757, 0.00038, 0.00205]}
+    df = spark.createDataFrame([(a, e, n) for a, es in elements.items() for e, n in es.items()], "acc string, element string, n int")
+    for r in c.isotope_pattern(df, chances, cutoff=0).collect():
+        whole = np.ones(1)
+        for e, n in elements[r.acc].items():
+            for _ in range(n):
+                whole = np.convolve(whole, chances[e])
+        want = np.pad(whole, (0, 6))[:6]
+        assert r.pattern == pytest.approx((want / want.max()).tolist(), rel=1e-9)
+
+
+def test_pieces_equal_all_connected_sets():
+    rng = random.Random(3)
+    for _ in range(60):
+        n = rng.randint(1, 7)
+        up = {i: None if i == 1 or rng.random() < 0.15 else rng.randint(1, i - 1) for i in range(1, n + 1)}
+        found = {tuple(ids): cuts for ids, cuts in structures.pieces([{"rid": i, "parent": p, "symbol": None, "anomer": None, "pos": None} for i, p in up.items()])}
+        want = {}
+        for k in range(1, n + 1):
+            for ids in itertools.combinations(range(1, n + 1), k):
+                inside = sum(up[i] in ids for i in ids)
+                if inside == k - 1:
+                    want[ids] = sum(p is not None and (i in ids) != (p in ids) for i, p in up.items())
+        assert found == want
