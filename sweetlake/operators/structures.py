@@ -7,6 +7,7 @@ several residues without parent is undetermined; one without any link is a compo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,6 +39,9 @@ class Tree:
     def __init__(self, residues):
         self.node = {int(r["rid"]): (known(r["symbol"]), known(r["anomer"]), known(r["pos"])) for r in residues}
         self.kids = {r: [] for r in self.node}
+        # Optional fields: substituents (name, pos) of a residue, and the residue on which a repeat unit's end hangs the next unit.
+        self.subst = {int(r["rid"]): [(x["name"], known(x["pos"])) for x in r["subst"]] for r in residues if "subst" in r and r["subst"] is not None and len(r["subst"])}
+        self.bridge = {int(r["rid"]): int(r["bridge"]) for r in residues if "bridge" in r and known(r["bridge"]) is not None}
         self.tops = []
         for rid, parent in {int(r["rid"]): known(r["parent"]) for r in residues}.items():
             (self.tops if parent not in self.kids else self.kids[parent]).append(rid)
@@ -58,19 +62,30 @@ def accepts(general: Node, special: Node, strict: bool, classes: dict[str, str]
     return all(g is None or g == s or (member and k == 0) for k, (g, s) in enumerate(zip(general, special)))
 
 
+def same_substituents(general: list[tuple], special: list[tuple]) -> bool:
+    """Whether both have as many substituents of each name, and the special one has all positions that the general one knows."""
+    names = lambda xs: Counter(n for n, _ in xs)
+    return names(general) == names(special) and not Counter(x for x in general if x[1] is not None) - Counter(special)
+
+
 def subsumes_tree(a: Tree, b: Tree, classes: dict[str, str] | None = None) -> bool:
     """Whether all residues of a accept those of b, one to one, and each of a's links is a link of b.
 
     A composition accepts any structure of fitting residues.  A tree's root lies on the root.  The parts of an
-    undetermined structure lie anywhere; one that has links accepts no composition."""
-    if len(a.node) != len(b.node) or not a.node:
+    undetermined structure lie anywhere; one that has links accepts no composition.  Substituents must be those of the residue
+    that a residue lies on.  Of two structures with repeats the bridges must lie on each other; one with and one without, or an
+    undetermined one with repeats, are not decided and so not accepted."""
+    if len(a.node) != len(b.node) or not a.node or len(a.bridge) != len(b.bridge):
+        return False
+    if a.bridge and (len(a.tops) > 1 or len(b.tops) > 1):
         return False
     order, todo = [], [(t, None) for t in sorted(a.tops, key=lambda t: not a.kids[t])]
     while todo:
         i, parent = todo.pop(0)
         order.append((i, parent))
         todo = [(k, i) for k in a.kids[i]] + todo
-    ok = lambda i, j: accepts(a.node[i], b.node[j], False, classes)
+    ok = lambda i, j: accepts(a.node[i], b.node[j], False, classes) and same_substituents(a.subst.get(i, []), b.subst.get(j, []))
+    bridged = lambda: all(b.bridge.get(at[i]) == at.get(k) for i, k in a.bridge.items())
     at: dict[int, int] = {}
     loose = [i for i, parent in order if parent is None and not a.kids[i]] if len(a.tops) > 1 else []
     tight = [(i, parent) for i, parent in order if i not in loose]
@@ -113,7 +128,7 @@ def subsumes_tree(a: Tree, b: Tree, classes: dict[str, str] | None = None) -> bo
         used.add(j)
         if len(stack) < len(tight):
             stack.append(options(len(stack)))
-        elif rest(used):
+        elif bridged() and rest(used):
             return True
     return False
 
@@ -126,7 +141,7 @@ def gathered(residues: DataFrame) -> DataFrame:
 def subsumption_pairs(structures: DataFrame, slices: int = 8, classes: dict[str, str] | None = None) -> DataFrame:
     """(parent, child, kind): pairs in one rounded-mass bucket of which the parent accepts the child.
 
-    structures: acc, mass, alditol (boolean), residues; classes: symbol -> its class, which as a symbol accepts it.
+    structures: acc, mass, alditol (boolean), residues (optionally with subst, an array of name and pos, and bridge); classes: symbol -> its class, which as a symbol accepts it.
     One with alditol enters a second bucket, without it, only as the child; those edges are +aldi.  Pairs must agree
     in size and, where the parent's symbols are all known, in classes before trees are compared.  Hot buckets are
     cut: the child side by hash into slices, to which the parent side is copied.  Equal pairs go from the smaller

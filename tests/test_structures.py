@@ -203,3 +203,32 @@ def test_rules_name_core_tests(spark):
     assert [r.acc for r in s.classify(df, [{"id": "n", "type": "N-linked", "motifs": ["m"], "test": "n_core"}]).collect()] == ["core"]
     assert {r.acc for r in df.where(s.accepted_core(["Man"])).collect()} == set() and {r.acc for r in df.where(s.accepted_core(["GlcNAc"])).collect()} == {"core", "beta"}
     assert {r.acc for r in df.where(s.no_branch()).collect()} == {"comp", "none"}
+
+
+def test_subsumption_of_substituents_and_repeats_equals_brute_force():
+    rng, hits = random.Random(8), 0
+    for _ in range(2_500):
+        n = rng.randint(1, 4)
+        pair = []
+        for known in (0.4, 0.8):
+            rows = [{"rid": i, "parent": None if i == 1 else rng.randint(1, i - 1), "symbol": "Man", "anomer": None, "pos": None, "subst": [{"name": rng.choice("SP"), "pos": rng.choice([3, 6]) if rng.random() < known else None} for _ in range(rng.choice([0, 0, 1, 2]))], "bridge": None} for i in range(1, n + 1)]
+            if rng.random() < 0.3:
+                rows[-1]["bridge"] = rng.randint(1, n)
+            pair.append(s.Tree(rows))
+        a, b = pair
+
+        def held(i, j):
+            general, special = a.subst.get(i, []), b.subst.get(j, [])
+            return len(general) == len(special) and any(all(g[0] == x[0] and g[1] in (None, x[1]) for g, x in zip(general, p)) for p in itertools.permutations(special))
+
+        want = len(a.bridge) == len(b.bridge) and any(m[1] == 1 and all(held(i, j) for i, j in m.items()) and all(b.bridge.get(m[i]) == m[k] for i, k in a.bridge.items()) for m in maps(a, b))
+        assert s.subsumes_tree(a, b) == want
+        hits += want
+    assert hits > 100
+
+
+def test_subsumption_of_substituents_in_a_table(spark):
+    kind = "acc string, mass double, alditol boolean, residues array<struct<rid:int,parent:int,symbol:string,anomer:string,pos:int,subst:array<struct<name:string,pos:int>>,bridge:int>>"
+    rows = [(acc, 1.0, False, [(1, None, "Man", None, None, subst, bridge)]) for acc, subst, bridge in [("open", [("S", None)], None), ("three", [("S", 3)], None), ("none", None, None), ("ring", [("S", 3)], 1), ("vague", [("S", None)], 1)]]
+    got = {(r.parent, r.child) for r in s.subsumption_pairs(spark.createDataFrame(rows, kind), 2).collect()}
+    assert got == {("open", "three"), ("vague", "ring")}
