@@ -146,8 +146,9 @@ def g23(t):
     "U3_missing_score",
     """WITH r AS (SELECT l_orderkey AS acc, l_linenumber AS rid, l_linenumber = 1 AS root, CASE WHEN l_suppkey % 3 = 0 THEN 2.0 ELSE 0.0 END + CASE WHEN l_suppkey % 4 = 0 THEN 1.0 ELSE 0.0 END + CASE WHEN l_partkey % 5 = 0 THEN 1.0 ELSE 0.0 END + CASE WHEN l_partkey % 2 = 0 THEN 2.0 ELSE 0.0 END AS own,
 CASE WHEN l_partkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END AS simple, l_partkey % 11 > 0 AS linked, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+l AS (SELECT acc, count(*) AS k, sum(CASE WHEN rid % 3 = 0 THEN 5 ELSE 0.65 / 2 * (simple / 8 * 10) + 5 * (1 - 0.65) * (rid % 3 - 1) / n END) AS loose FROM r WHERE rid <= 4 AND own <> 2 GROUP BY 1),
 s AS (SELECT acc, n, sum(own / 8 * 10) AS own, sum(CASE WHEN root THEN 0 WHEN NOT linked THEN 10 ELSE 0.65 * (simple / 8 * 10) END) AS link FROM r GROUP BY 1, 2)
-SELECT acc, CAST(floor(10000 * (own / (10.0 * n) * (0.65 / 1.65) + link / (10.0 * greatest(1, n - 1)) * (1 - 0.65 / 1.65)) + 1e-9) AS INTEGER) AS score FROM s""",
+SELECT acc, CAST(floor(10000 * (own / (10.0 * n) * (0.65 / 1.65) + (link + coalesce(loose, 0)) / CASE WHEN n > 1 OR k > 0 THEN 10.0 * (n - 1) + 5 * coalesce(k, 0) ELSE 10 END * (1 - 0.65 / 1.65)) + 1e-9) AS INTEGER) AS score FROM s LEFT JOIN l USING (acc)""",
 )
 def u3(t):
     one = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
@@ -160,7 +161,14 @@ def u3(t):
         F.col("l_orderkey").alias("acc"), F.col("l_linenumber").alias("child"), F.when(p % 3 > 0, F.array(F.lit(4))).alias("parent_pos"), F.when(p % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("child_pos"),
         F.array(F.lit("o")).alias("parent_type"), F.array(F.lit("d")).alias("child_type"),
     )
-    return s.missing_score(rows, links)
+    # A substituent on each of the first residues, with 0 to 2 possible parents; those on a residue that lacks 2 are anhydro.
+    lacks = F.when(q % 3 == 0, 2).otherwise(0) + F.when(q % 4 == 0, 1).otherwise(0) + F.when(p % 5 == 0, 1).otherwise(0) + F.when(p % 2 == 0, 2).otherwise(0)
+    parents = (F.col("l_linenumber") % 3).cast("int")
+    loose = one.where("l_linenumber <= 4").select(
+        F.col("l_orderkey").alias("acc"), F.col("l_linenumber").alias("sid"), F.when(lacks == 2, "anhydro").otherwise("sulfate").alias("name"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), parents))).alias("i"), (parents > 0).alias("linked"),
+        F.when(p % 3 > 0, F.array(F.lit(4))).alias("parent_pos"), F.when(p % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("child_pos"), F.array(F.lit("o")).alias("parent_type"), F.array(F.lit("d")).alias("child_type"),
+    )
+    return s.missing_score(rows, links, loose)
 
 
 @query(

@@ -436,13 +436,16 @@ def representatives(rows: DataFrame) -> DataFrame:
 SIMPLE = 0.65
 
 
-def missing_score(residues: DataFrame, links: DataFrame) -> DataFrame:
+def missing_score(residues: DataFrame, links: DataFrame, substituents: DataFrame | None = None) -> DataFrame:
     """(acc, score): incompleteness from 0 to 10000, of a residue part and a link part.
 
     residues: acc, rid, is_root, anomer, config and stem (arrays with null entries), ring_start, ring_end,
     substituent_pos (array of position arrays); links: acc, child, parent_pos, child_pos, parent_type, child_type
     (arrays), one row per possible parent.  A residue that is not the root and has no link counts in full;
-    so does every link of a structure without any connected residue.  Loose substituents are not scored."""
+    so does every link of a structure without any connected residue.
+
+    substituents: those that are no part of their residue's name: acc, sid, name, and linked (false for one without any
+    parent) with the columns of a link, one row per possible parent.  Each weighs half a link; anhydro ones are left out."""
     lacking = lambda c: F.col(c).isNull().cast("double")
     config = F.coalesce(2.0 * F.size(F.filter("config", lambda x: x.isNull())) / F.nullif(F.size("config"), F.lit(0)), F.lit(2.0))
     ring = F.when(F.coalesce(F.col("anomer"), F.lit("")) != "open", lacking("ring_start") + lacking("ring_end")).otherwise(0.0)
@@ -457,6 +460,13 @@ def missing_score(residues: DataFrame, links: DataFrame) -> DataFrame:
     rows = residues.withColumn("own", own).join(by_child, ["acc", "rid"], "left").join(size, "acc")
     link = F.when(F.col("parents").isNull(), F.when(F.col("is_root"), 0.0).otherwise(10.0)).otherwise(SIMPLE * F.col("simple") + 10 * (1 - SIMPLE) * (F.col("parents") - 1) / F.col("n"))
     total = rows.groupBy("acc").agg(F.sum("own").alias("own"), F.sum(link).alias("link"), F.first("n").alias("n"))
+    if substituents is None:
+        total = total.withColumns({"k": F.lit(0), "loose": F.lit(0.0)})
+    else:
+        each = substituents.where(~F.col("name").eqNullSafe(F.lit("anhydro"))).groupBy("acc", "sid").agg(F.avg(F.when(F.col("linked"), simple)).alias("simple"), F.count_if(F.col("linked")).alias("parents")).join(size, "acc")
+        half = F.when(F.col("parents") == 0, 5.0).otherwise(SIMPLE / 2 * F.col("simple") + 5 * (1 - SIMPLE) * (F.col("parents") - 1) / F.col("n"))
+        total = total.join(each.groupBy("acc").agg(F.count("*").alias("k"), F.sum(half).alias("loose")), "acc", "left").fillna({"k": 0, "loose": 0.0})
     w = SIMPLE / (1 + SIMPLE)
-    share = F.col("link") / (10.0 * F.greatest(F.lit(1), F.col("n") - 1))
+    whole = F.when((F.col("n") > 1) | (F.col("k") > 0), 10.0 * (F.col("n") - 1) + 5 * F.col("k")).otherwise(10.0)
+    share = (F.col("link") + F.col("loose")) / whole
     return total.select("acc", F.floor(10000 * (F.col("own") / (10.0 * F.col("n")) * w + share * (1 - w)) + 1e-9).cast("int").alias("score"))
