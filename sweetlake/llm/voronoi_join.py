@@ -60,8 +60,11 @@ class Cells:
     def ends(self, v: np.ndarray, sign: int) -> np.ndarray:
         """Upper (sign 1) or lower (-1) ends of the inner products of rows with queries of each cell: (rows, cells)."""
         middle = v @ self.pivots.T
-        swing = np.sqrt((v**2).sum(axis=1))[:, None] * self.radius[None]
-        return middle + sign * (swing + 1 + 1e-9 * (np.abs(middle) + swing))
+        long = np.sqrt((v**2).sum(axis=1))[:, None]
+        swing = long * self.radius[None]
+        # Products may cancel, so the room for rounding is taken from the vectors' lengths and not from their product.
+        room = 1e-9 * long * (np.sqrt((self.pivots**2).sum(axis=1)) + self.radius)[None]
+        return middle + sign * (swing + 1 + room)
 
 
 def choose_pivots(data: DataFrame, most: int) -> np.ndarray:

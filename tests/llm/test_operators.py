@@ -247,6 +247,19 @@ def test_voronoi_bounds_hold():
     assert (low < scores).all() and (scores < high).all()
 
 
+def test_voronoi_bounds_hold_where_products_cancel():
+    """Components near 10^12 whose products cancel: each bound holds the exact product of whole numbers."""
+    rng = np.random.default_rng(2)
+    half = rng.integers(9 * 10**11, 11 * 10**11, (400, 8))
+    v = np.concatenate([half, half + rng.integers(-3, 4, half.shape)], axis=1)
+    q = np.concatenate([half[::-1], -half[::-1]], axis=1)
+    exact = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in q[:20]] for x in v]
+    pivots = q[:20].astype(float)
+    cells = voronoi_join.Cells(pivots, np.ones(20, int), np.zeros(20))
+    low, high = (cells.ends(v.astype(float), sign) for sign in (-1, 1))
+    assert all(low[i][j] <= exact[i][j] <= high[i][j] for i in range(len(v)) for j in range(20))
+
+
 def test_vectors_of_other_lengths_take_no_part(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("lengths"))
     v = [(100 * i, [0.1 * i, 0.5]) for i in range(5)] + [(7, []), (8, [0.1]), (9, [0.1, 0.2, 0.3]), (10, None)]
