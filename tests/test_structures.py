@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from sweetlake.jobs.queries import QUERIES
-from sweetlake.operators import components, motifs
+from sweetlake.operators import components
+from sweetlake.operators import motifs as matching
 from sweetlake.operators import structures as s
 
 SCHEMA = "acc string, rid int, parent int, symbol string, anomer string, pos int"
@@ -31,7 +32,7 @@ def test_subsumption(spark):
 
 def test_alignment(spark):
     df = s.gathered(residues(spark, TREES))
-    got = {(r.structure, r.type, r.strict): r.ids for r in motifs.align_motifs(df.where("acc = 'small'"), df).collect()}
+    got = {(r.structure, r.type, r.strict): r.ids for r in matching.align_motifs(df.where("acc = 'small'"), df).collect()}
     assert got["full", "substructure", True] == "2,3" and got["full", "substructure", False] == "2,3"
     assert ("full", "core", False) not in got and ("chain", "nonreducing", False) not in got
     # Ends of the motif lie on ends of the structure; a residue above them may have other branches.
@@ -87,7 +88,7 @@ def test_subsumption_of_compositions_and_unknown_symbols(spark):
 def test_alignment_of_very_many_motifs(spark):
     motifs = {f"m{k}": [(1, None, f"s{k % 50}", None, k)] for k in range(6_000)} | {"any": [(1, None, None, None, None)]}
     df = s.gathered(residues(spark, motifs))
-    got = motifs.align_motifs(df, s.gathered(residues(spark, {"x": [(1, None, "s7", "a", 57)]}))).where("type = 'core' and not strict").collect()
+    got = matching.align_motifs(df, s.gathered(residues(spark, {"x": [(1, None, "s7", "a", 57)]}))).where("type = 'core' and not strict").collect()
     assert {r.motif for r in got} == {"m57", "any"}
 
 
