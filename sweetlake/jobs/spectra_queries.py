@@ -253,13 +253,13 @@ def u12(t):
 
 @query("U12_retention_runs")
 def u12_runs(t):
-    """Three runs from the fit of each peptide's mean value."""
+    """Two runs from the fit of each peptide's mean value."""
     group = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("tg")
     rows = t.lineitem.select(group, F.col("l_suppkey").alias("seq"), F.col("l_partkey").alias("pep"), (F.col("l_discount") * 100).cast("int").alias("c"), F.col("l_quantity").cast("double").alias("n"), (F.col("l_extendedprice") / 1000).cast("double").alias("rt"))
     rows, names = models.with_categories(rows, ["c"])
     xs = [*names, "n"]
     known = rows.groupBy("seq", "pep").agg(*(F.avg(c).alias(c) for c in (*xs, "rt")))
-    best, _ = models.retention_runs(rows, "tg", "seq", "pep", "rt", xs, known, threshold=20, choose=5_000, runs=3, seed=1)
+    best, _ = models.retention_runs(rows, "tg", "seq", "pep", "rt", xs, known, threshold=40, choose=50_000, runs=2, seed=1)
     return best.select("tg", "run", "fitted", "residual", "good")
 
 
