@@ -48,16 +48,26 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
         paths = paths.unionByName(new)
 
 
+def add_piece(pieces: list[tuple[int, DataFrame]], new: DataFrame) -> None:
+    """Adds a table to (level, table) pieces; two of one level are written as one of the next, so that after n rounds a plan has
+    log n pieces and a row was written as often."""
+    level = 0
+    while pieces and pieces[-1][0] == level:
+        new, level = cut_lineage(pieces.pop()[1].unionByName(new).repartition(*new.columns)), level + 1
+    pieces.append((level, new))
+
+
 def walked(start: DataFrame, step: DataFrame) -> DataFrame:
     """(id, at) of all that `step` (at, next) reaches from `start` (id, at), without the start; only what is new is followed."""
-    step = step.select("at", "next").distinct()
-    seen = front = cut_lineage(start.select("id", "at").distinct())
-    found = front.limit(0)
+    step = cut_lineage(step.select("at", "next").distinct())
+    begin = front = cut_lineage(start.select("id", "at").distinct())
+    pieces = [(0, begin)]
     while True:
+        seen = reduce(DataFrame.unionByName, (p for _, p in pieces))
         front = cut_lineage(front.join(step, "at").select("id", F.col("next").alias("at")).distinct().join(seen, ["id", "at"], "left_anti"))
         if front.isEmpty():
-            return found
-        seen, found = seen.unionByName(front), found.unionByName(front)
+            return seen.join(begin, ["id", "at"], "left_anti")
+        add_piece(pieces, front)
 
 
 def transitive_reduction(closure: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -335,6 +345,6 @@ def minimal_topologies(nodes: DataFrame, closure: DataFrame, base: DataFrame) ->
     nodes: acc, level."""
     topo = nodes.where("level = 'Topology'").select(F.col("acc").alias("descendant"))
     under = closure.join(base.select(F.col("acc").alias("ancestor")), "ancestor", "left_semi").join(topo, "descendant", "left_semi").select(F.col("ancestor").alias("acc"), F.col("descendant").alias("topology"))
-    lower = under.alias("x").join(under.alias("y"), F.col("x.acc") == F.col("y.acc")).select(F.col("x.acc").alias("acc"), F.col("x.topology").alias("ancestor"), F.col("y.topology").alias("descendant"))
-    covered = lower.join(closure, ["ancestor", "descendant"], "left_semi").select("acc", F.col("descendant").alias("topology")).distinct()
+    # Each topology is followed down, not held against all others of its composition.
+    covered = under.join(closure.select(F.col("ancestor").alias("topology"), "descendant"), "topology").select("acc", F.col("descendant").alias("topology")).distinct()
     return under.join(covered, ["acc", "topology"], "left_anti")

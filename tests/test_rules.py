@@ -57,6 +57,24 @@ def test_confusable(spark):
         assert n == {1: 1, 2: 2, 3: 1}
 
 
+def test_confusable_of_equal_values(spark):
+    """4,000 transitions of two values: two points meet, not 8 million pairs; an unknown value confuses with nothing."""
+    tr = spark.range(4_000).selectExpr("id as key", "if(id % 2 = 0, 500d, 500.04d) as prod", "1d as nrt").unionByName(spark.createDataFrame([(9_999, None, 1.0)], "key long, prod double, nrt double"))
+    found = library.confusable_transitions(tr, "key", {"prod": 0.05, "nrt": 3})
+    assert found.groupBy("n").count().orderBy("n").collect() == [(0, 1), (3_999, 4_000)]
+    assert "_m" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_source_ids_come_once_before_the_join(spark):
+    """Repeated facts and ids are not multiplied: the join is the last step and has the result's rows."""
+    taxa = spark.range(2_000).selectExpr("1 as taxid", "'s' as source", "id % 2 as sourceid")
+    ids = spark.range(2_000).selectExpr("'s' as source", "id % 2 as sourceid", "id % 4 as acc")
+    found = joins.source_ids_to_accessions(taxa, ids)
+    assert sorted(tuple(r) for r in found.collect()) == [(a, 1, "s", a % 2) for a in range(4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(i for i, x in enumerate(plan) if "Join" in x) < next(i for i, x in enumerate(plan) if "Aggregate" in x)
+
+
 def test_closure_reduction_components(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "parent string, child string")
     closure = hierarchy.transitive_closure(e)
@@ -175,6 +193,24 @@ def test_subsumption_dump_keeps_equal_lines(spark):
     assert sorted(r.message for r in d.warnings.collect()) == ["odd", "odd", "unread: short", "unread: short"]
 
 
+def test_walks_of_many_rounds_have_small_plans(spark):
+    """A chain of 40 rounds and a cycle: all is found, and the plan has a part for each doubling, not for each round."""
+    step = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "at int, next int")
+    found = hierarchy.walked(spark.createDataFrame([(1, 0), (2, 100)], "id int, at int"), step)
+    assert {tuple(r) for r in found.collect()} == {(1, i) for i in range(1, 41)} | {(2, 101)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") < 12
+
+
+def test_minimal_topologies_follow_only_what_is_below(spark):
+    """3,000 topologies below one composition, none above another, are looked up one by one."""
+    closure = spark.range(3_000).selectExpr("'b' as ancestor", "concat('t', id) as descendant").unionByName(spark.createDataFrame([("t0", "t1"), ("t1", "t2"), ("t0", "t2")], "ancestor string, descendant string"))
+    nodes = spark.range(3_000).selectExpr("concat('t', id) as acc", "'Topology' as level")
+    found = hierarchy.minimal_topologies(nodes, closure, spark.createDataFrame([("b",)], "acc string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.topology for r in found.collect()} == {f"t{i}" for i in range(3_000)} - {"t1", "t2"}
+    assert not any("acc" in line.split("=")[0] and line.count("acc#") == 2 for line in plan.splitlines() if "Join Inner" in line)
+
+
 def plain_closure(edges):
     out = set(edges)
     while more := {(a, d) for a, b in out for c, d in out if b == c and a != d} - out:
