@@ -53,21 +53,23 @@ def confusable_transitions(tr: DataFrame, key: str, axes: dict[str, float], slic
 
     A range join by bins of the tolerance on every axis: one side is dealt to the 3^d bins
     around its own, then an exact test.  It is symmetric, unlike a scan that stops short of its
-    first row.  Dense bins are cut into `slices` by the key on the wide side and replicated.
+    first row.  Transitions of equal values are one point with their number, as they confuse alike.  Dense bins are
+    cut into `slices` by the point on the wide side and replicated.
     """
     bins = {a: F.floor(F.col(a) / F.lit(float(t))) for a, t in axes.items()}
     base = tr.select(key, *axes)
-    one = base.withColumns({f"_b{a}": b for a, b in bins.items()}).withColumn("_s", F.pmod(F.xxhash64(key), F.lit(slices)))
-    other = base.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    points = base.dropna(subset=[*axes]).groupBy(*axes).agg(F.count("*").alias("_m"))
+    one = points.withColumns({f"_b{a}": b for a, b in bins.items()}).withColumn("_s", F.pmod(F.xxhash64(*axes), F.lit(slices)))
+    other = points.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
     for a, b in bins.items():
         other = other.withColumn(f"_b{a}", F.explode(F.sequence(b - 1, b + 1)))
-    other = other.select(F.col(key).alias("_k"), *(F.col(a).alias(f"_x{a}") for a in axes), "_s", *(f"_b{a}" for a in axes))
+    other = other.select(*(F.col(a).alias(f"_x{a}") for a in axes), "_s", *(f"_b{a}" for a in axes))
     near = [F.abs(F.col(a) - F.col(f"_x{a}")) < t for a, t in axes.items()]
     pairs = one.join(other, ["_s", *(f"_b{a}" for a in axes)])
     for test in near:
         pairs = pairs.where(test)
-    counted = pairs.groupBy("_k").agg(F.count_if(F.col(key) != F.col("_k")).alias("n"))
-    return base.select(key).join(counted, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+    counted = pairs.groupBy(*(F.col(f"_x{a}").alias(a) for a in axes)).agg((F.sum("_m") - 1).alias("n"))  # all but itself
+    return base.join(counted, [*axes], "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def library_stats(df: DataFrame, protein: str, glycan: str, site: str, glycopeptide: str) -> DataFrame:
