@@ -55,8 +55,11 @@ def attach_taxid(df: DataFrame, species: DataFrame, proteins: DataFrame, fixes:
 
 
 def source_ids_to_accessions(taxa: DataFrame, ids: DataFrame) -> DataFrame:
-    """(acc, taxid, source, sourceid) of all accessions of each source's own ids."""
-    return taxa.join(ids, ["source", "sourceid"]).select("acc", "taxid", "source", "sourceid").distinct()
+    """(acc, taxid, source, sourceid) of all accessions of each source's own ids.
+
+    Both sides are made distinct first: then no row comes twice, and the join has no more rows than the result."""
+    facts, names = taxa.select("taxid", "source", "sourceid").distinct(), ids.select("source", "sourceid", "acc").distinct()
+    return facts.join(names, ["source", "sourceid"]).select("acc", "taxid", "source", "sourceid")
 
 
 def two_hop_annotations(acc_to_id: DataFrame, names: DataFrame, id_to_value: DataFrame) -> DataFrame:
