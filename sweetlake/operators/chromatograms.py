@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from .ordered import with_position
 from .stats import lod
 
 
@@ -25,12 +26,20 @@ def apex_window(xic: DataFrame, half: float = 1.5, series: str = "series") -> Da
 
 
 def local_slope(windowed: DataFrame, before: int = 0, after: int = 4, series: str = "series") -> DataFrame:
-    """Least-squares slope over neighbouring points, scaled by the apex's order of magnitude."""
+    """Least-squares slope over neighbouring points, scaled by the apex's order of magnitude.
+
+    Moments are taken about running means, point by point, so late times cancel nothing."""
     w = Window.partitionBy(series).orderBy("rt").rowsBetween(-before, after)
-    n, sx, sy = F.count("rt").over(w), F.sum("rt").over(w), F.sum("int").over(w)
-    sxx, sxy = F.sum(F.col("rt") ** 2).over(w), F.sum(F.col("rt") * F.col("int")).over(w)
-    down = n * sxx - sx * sx
-    slope = F.when(down > 1e-12, (n * sxy - sx * sy) / down)
+    x, y = F.col("rt").cast("double"), F.col("int").cast("double")
+    points = F.collect_list(F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))).over(w)
+
+    def add(s: Column, p: Column) -> Column:
+        n = s["n"] + 1
+        mx, my = s["mx"] + (p["x"] - s["mx"]) / n, s["my"] + (p["y"] - s["my"]) / n
+        return F.struct(n.alias("n"), mx.alias("mx"), my.alias("my"), (s["xy"] + (p["x"] - s["mx"]) * (p["y"] - my)).alias("xy"), (s["xx"] + (p["x"] - mx) * (p["x"] - s["mx"])).alias("xx"))
+
+    start = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "mx", "my", "xy", "xx")))
+    slope = F.aggregate(points, start, add, lambda s: F.when(s["xx"] > 0, s["xy"] / s["n"] / (s["xx"] / s["n"])))
     return windowed.withColumn("slope", slope / F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(F.col("apex_int"), F.lit(1.0))))))
 
 
@@ -122,11 +131,6 @@ def robust_fit(points: DataFrame, key: str, x: str, y: str, good: float = 0.99,
     return rows.groupBy("key").applyInPandas(fit, "key string, slope double, intercept double, r double, n long, removed int")
 
 
-def _log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
-    g = np.vectorize(math.lgamma, otypes=[float])
-    return g(n + 1.0) - g(k + 1.0) - g(n - k + 1.0)
-
-
 def _stirling_rest(n: float) -> float:
     """log n! less its Stirling approximation."""
     if n < 16:
@@ -229,38 +233,74 @@ def binom_tail(x: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _each(binom_tails, 1, x, n, p)
 
 
-def _binomial(n: int, p: float) -> np.ndarray:
-    """Chances of 0 to n hits in n trials at chance p."""
+#: Chances that a distribution leaves out: so small that all of them together are nothing beside the least score, 1e-30.
+NOTHING = 1e-60
+
+
+def _held(start: int, chances: np.ndarray) -> tuple[int, np.ndarray]:
+    """A distribution without the ends that are nothing."""
+    there = np.flatnonzero(chances >= NOTHING)
+    return start + int(there[0]), chances[there[0] : there[-1] + 1]
+
+
+def _binomial(n: int, p: float) -> tuple[int, np.ndarray]:
+    """(first number of hits, chances from there on) in n trials at chance p, by ratios of neighbours from the mode."""
     if p <= 0 or p >= 1:
-        return np.eye(n + 1)[n if p >= 1 else 0]
-    i = np.arange(n + 1)
-    return np.exp(_log_choose(np.full(n + 1, n), i) + i * math.log(p) + (n - i) * math.log1p(-p))
+        return n if p >= 1 else 0, np.ones(1)
+    mode, far = min(n, int((n + 1) * p)), 1 + math.ceil(math.sqrt(-n * math.log(NOTHING) / 2))  # by Hoeffding's bound
+    i, j = np.arange(mode, min(n, mode + far), dtype=float), np.arange(mode, max(0, mode - far), -1, dtype=float)
+    up, down = np.cumprod((n - i) / (i + 1) * (p / (1 - p))), np.cumprod(j / (n - j + 1) * ((1 - p) / p))
+    return _held(mode - len(down), math.exp(_log_binomial(mode, n, p)) * np.concatenate((down[::-1], [1.0], up)))
+
+
+def _trials_tail(groups: list[tuple[float, int]], least: int) -> float:
+    """P(X >= least) of trials given as (chance, number): binomials are folded one into the other.
+
+    Chances below NOTHING are left out, so the work grows with the spread of the numbers, not with these."""
+    low, pmf = 0, np.ones(1)
+    for p, n in sorted(groups, key=lambda g: g[1]):
+        start, more = _binomial(n, p)
+        low, pmf = _held(low + start, np.convolve(pmf, more))
+    return min(1.0, float(pmf[max(0, least - low) :].sum()))
+
+
+#: Trials of a row up to which its distribution is followed trial by trial, for all rows of a batch at once.
+FEW = 64
 
 
 @F.pandas_udf(DoubleType())
 def poisson_binomial_tail(probs: pd.Series, k: pd.Series) -> pd.Series:
     """P(X >= k) of independent trials with these chances: a direct sum over the exact distribution.
 
-    Trials of one chance are one binomial, so the work grows with the number of different chances."""
-    out = []
-    for ps, least in zip(probs, k):
-        pmf = np.ones(1)
-        for p, n in zip(*np.unique(np.asarray(ps, float), return_counts=True)):
-            pmf = np.convolve(pmf, _binomial(int(n), float(p)))
-        out.append(float(pmf[max(0, int(least)) :].sum()))
+    Rows of few trials go through them together, with one state for k and more hits; in rows of many, trials of one chance are one
+    binomial, so the work grows with the number of different chances."""
+    sizes, least, out = probs.map(len).to_numpy(int), np.maximum(k.to_numpy(int), 0), np.ones(len(probs))
+    for top in np.unique(least):
+        at = np.flatnonzero((least == top) & (sizes <= FEW))
+        if not len(at) or top == 0:
+            continue
+        if top > FEW:
+            out[at] = 0.0
+            continue
+        chances = np.zeros((len(at), sizes[at].max()))
+        chances[np.arange(chances.shape[1]) < sizes[at][:, None]] = np.concatenate([np.asarray(probs.iloc[i], float) for i in at])
+        state = np.zeros((len(at), top + 1))
+        state[:, 0] = 1.0
+        for p in chances.T:
+            moved = state[:, :-1] * p[:, None]
+            state[:, :-1] -= moved
+            state[:, 1:] += moved
+        out[at] = state[:, top]
+    for i in np.flatnonzero((sizes > FEW) & (least > 0)):
+        values, counts = np.unique(np.asarray(probs.iloc[i], float), return_counts=True)
+        out[i] = _trials_tail(list(zip(values.tolist(), counts.tolist())), int(least[i]))
     return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())
 def counted_trials_tail(trials: pd.Series, k: pd.Series) -> pd.Series:
     """P(X >= k) of independent trials, given as (chance, number of trials)."""
-    out = []
-    for groups, least in zip(trials, k):
-        pmf = np.ones(1)
-        for g in groups:
-            pmf = np.convolve(pmf, _binomial(int(g["n"]), float(g["p"])))
-        out.append(float(pmf[max(0, int(least)) :].sum()))
-    return pd.Series(out)
+    return pd.Series([_trials_tail([(float(g["p"]), int(g["n"])) for g in groups], int(least)) for groups, least in zip(trials, k)], dtype="float64")
 
 
 def spec_score(other: Column, total: Column, background: Column, every: Column) -> Column:
@@ -331,8 +371,13 @@ def phenotype_enrichment(motif_residues: DataFrame, residue_genes: DataFrame, ge
     share = gene_pheno.groupBy("phenotype").agg((F.count_distinct("gene") / F.lit(max(1, genes))).alias("p"))
     known = residue_genes.join(gene_pheno.select("gene").distinct(), "gene", "left_semi")
     size = known.groupBy("rid").agg(F.count_distinct("gene").alias("k"))
-    hit = known.join(gene_pheno, "gene").select("rid", "phenotype").distinct()
-    hits = motif_residues.distinct().join(hit, "rid").groupBy("motif", "phenotype").agg(F.count("*").alias("hits"))
+    # A residue's phenotypes are bits of numbered words, joined by OR, and residues of a motif with the same bits are counted.
+    numbers = with_position(gene_pheno.select("phenotype").distinct(), [F.asc("phenotype")], "at").select("phenotype", F.floor((F.col("at") - 1) / 64).alias("word"), ((F.col("at") - 1) % 64).cast("int").alias("bit"))
+    carried = gene_pheno.join(numbers, "phenotype").groupBy("gene", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    held = residue_genes.join(carried, "gene").groupBy("rid", "word").agg(F.bit_or("bits").alias("bits"))
+    alike = motif_residues.distinct().join(held, "rid").groupBy("motif", "word", "bits").agg(F.count("*").alias("n"))
+    each = alike.select("motif", "word", "n", F.explode(F.expr("filter(sequence(0, 63), i -> getbit(bits, i) = 1)")).alias("bit"))
+    hits = each.groupBy("motif", "word", "bit").agg(F.sum("n").alias("hits")).join(numbers, ["word", "bit"]).select("motif", "phenotype", "hits")
     # Residues of a motif with the same number of genes have one chance: they are counted, not listed.
     counted = motif_residues.distinct().join(size, "rid").groupBy("motif", "k").agg(F.count("*").alias("n"))
     trials = counted.groupBy("motif").agg(F.collect_list(F.struct("k", "n")).alias("ks"))

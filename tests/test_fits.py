@@ -30,6 +30,13 @@ def plain_tail(chances, least):
     return sum(math.prod(p if x else 1 - p for p, x in zip(chances, xs)) for xs in itertools.product((0, 1), repeat=len(chances)) if sum(xs) >= least)
 
 
+def test_slopes_of_late_times_do_not_cancel(spark):
+    """A line of slope 3 has it at any time, however late."""
+    df = spark.createDataFrame([(s, at + i / 100, 7 + 3 * (i / 100)) for s, at in ((1, 0.0), (2, 2.0**20), (3, 2.0**30)) for i in range(8)], "series int, rt double, int double")
+    got = c.local_slope(df.withColumn("apex_int", F.lit(1.0))).where("slope is not null").collect()
+    assert len(got) == 21 and all(r.slope == pytest.approx(3, rel=1e-4) for r in got)
+
+
 def test_tails_equal_enumeration(spark):
     cases = [([0.1, 0.1, 0.3], 2), ([0.0, 1.0, 0.5, 0.5], 2), ([0.25] * 6, 0), ([0.9], 2), ([], 0)]
     df = spark.createDataFrame([(i, p, k) for i, (p, k) in enumerate(cases)], "i int, p array<double>, k int")
@@ -59,6 +66,33 @@ def test_phenotype_enrichment_equals_plain(spark):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def test_phenotypes_of_many_residues_and_many_phenotypes(spark):
+    """200,000 residues of one motif and 150 phenotypes: rows are a motif's kinds of residues, and folding takes seconds."""
+    residues = spark.range(200_000).selectExpr("'m' as motif", "id as rid")
+    genes = spark.range(200_000).selectExpr("id as rid", "explode(array(id % 150, if(id % 3 = 0, (id + 1) % 150, null))) as gene").where("gene is not null")
+    pheno = spark.range(150).selectExpr("id as gene", "concat('p', id) as phenotype")
+    start = time.time()
+    got = {r.phenotype: r.hits for r in c.phenotype_enrichment(residues, genes, pheno, least=-1).collect()}
+    counts = {f"p{k}": sum(1 for i in range(200_000) if i % 150 == k or i % 3 == 0 and (i + 1) % 150 == k) for k in (0, 1, 2, 149)}
+    assert len(got) == 150 and {k: got[k] for k in counts} == counts and time.time() - start < 60
+
+
+def test_large_trials_take_milliseconds():
+    """Halves of 400,000 trials of two chances: the tail is that of the normal limit, by symmetry about one half."""
+    start = time.time()
+    assert c._trials_tail([(0.25, 200_000), (0.75, 200_000)], 200_000) == pytest.approx(0.5, abs=2e-3)
+    assert c._trials_tail([(0.5, 1_000_000)], 500_001) + c._trials_tail([(0.5, 1_000_000)], 500_000) == pytest.approx(1, abs=1e-9)
+    assert time.time() - start < 5
+
+
+def test_rows_of_few_trials_go_together(spark):
+    """200,000 rows of 3 trials and one of 200, with tails that keep their digits when they are small."""
+    df = spark.range(200_000).selectExpr("array(1e-5d, 2e-5d, 3e-5d) as p", "3 as k").unionByName(spark.createDataFrame([([0.5] * 200, 200)], "p array<double>, k int"))
+    start = time.time()
+    got = sorted(r.t for r in df.select(c.poisson_binomial_tail("p", "k").alias("t")).distinct().collect())
+    assert got == pytest.approx([0.5**200, 6e-15], rel=1e-9) and time.time() - start < 5
+
+
 def test_occurrences_overlap_and_quote(spark):
     cases = [("aaaa", "aa"), ("a.b.a.b", ".b"), ("x\\Ey\\E", "\\E"), ("", "a"), ("abc", ""), ("\U0001f600a\U0001f600a", "a"), ("same", "same"), ("ab", "abc"), ("(?=a", "(?=")]
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(cases)], "i int, t string, p string")
