@@ -138,14 +138,14 @@ def gathered(residues: DataFrame) -> DataFrame:
     return residues.groupBy("acc").agg(F.array_sort(F.collect_list(F.struct("rid", "parent", "symbol", "anomer", "pos"))).alias("residues"))
 
 
-def subsumption_pairs(structures: DataFrame, slices: int = 8, classes: dict[str, str] | None = None) -> DataFrame:
+def subsumption_pairs(structures: DataFrame, slices: int = 8, classes: dict[str, str] | None = None, both: bool = False) -> DataFrame:
     """(parent, child, kind): pairs in one rounded-mass bucket of which the parent accepts the child.
 
     structures: acc, mass, alditol (boolean), residues (optionally with subst, an array of name and pos, and bridge); classes: symbol -> its class, which as a symbol accepts it.
     One with alditol enters a second bucket, without it, only as the child; those edges are +aldi.  Pairs must agree
     in size and, where the parent's symbols are all known, in classes before trees are compared.  Hot buckets are
-    cut: the child side by hash into slices, to which the parent side is copied.  Equal pairs go from the smaller
-    accession to the larger."""
+    cut: the child side by hash into slices, to which the parent side is copied.  Equal pairs of one
+    mass go from the smaller accession to the larger, or, with `both`, both ways."""
     classes = classes or {}
     bucket = lambda m: F.concat_ws("/", F.format_number(m, 2), F.size("residues").cast("string"))
     of = lambda c: reduce(lambda so_far, kv: F.when(c == kv[0], kv[1]).otherwise(so_far), classes.items(), c)
@@ -165,8 +165,26 @@ def subsumption_pairs(structures: DataFrame, slices: int = 8, classes: dict[str,
     def subsumes(general: pd.Series, special: pd.Series) -> pd.Series:
         return pd.Series([subsumes_tree(Tree(g), Tree(s), classes) for g, s in zip(general, special)], dtype=bool)
 
-    down = pairs.where(subsumes("p", "c")).withColumn("equal", subsumes("c", "p"))
-    return down.where(~F.col("equal") | (F.col("parent") < F.col("child"))).select("parent", "child", "kind")
+    down = pairs.where(subsumes("p", "c"))
+    if not both:  # an alditol's pair comes one way only, and stays
+        down = down.withColumn("equal", subsumes("c", "p")).where(~F.col("equal") | (F.col("parent") < F.col("child")) | (F.col("kind") == "+aldi"))
+    return down.select("parent", "child", "kind")
+
+
+def subsumption_classes(structures: DataFrame, slices: int = 8, classes: dict[str, str] | None = None) -> DataFrame:
+    """(parent, child, kind): `subsumption_pairs` of class representatives, and a row of kind `same` from each representative to
+    every other member of its class.
+
+    A class has all structures of equal residues, substituents and bridges, equal rounded mass and equal alditol; its least accession
+    stands for it.  Every pair of structures follows: members take their class's rows; of two members of one class, or of two classes
+    that are told both ways, the smaller accession is the parent.  So trees are compared once a pair of different ones, and rows grow with structures, not with their pairs."""
+    keyed = structures.withColumns({"_own": F.format_number("mass", 2), "_plain": F.when(F.col("alditol"), F.format_number(F.col("mass") - ALDITOL, 2))})
+    same = [F.col(c) for c in ("_own", "_plain", "alditol", "residues")]
+    named = keyed.select("acc", "mass", "alditol", "residues", F.sha2(F.to_json(F.struct(*same)), 256).alias("_class"))
+    first = named.groupBy("_class").agg(F.min_by(F.struct("acc", "mass", "alditol", "residues"), "acc").alias("r"))
+    pairs = subsumption_pairs(first.select("r.*"), slices, classes, both=True)
+    members = named.select("acc", "_class").join(first.select("_class", F.col("r.acc").alias("parent")), "_class").where("acc <> parent")
+    return pairs.unionByName(members.select("parent", F.col("acc").alias("child"), F.lit("same").alias("kind")))
 
 
 def cleaved(tree: Tree, enzyme: dict) -> list[int]:

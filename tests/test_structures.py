@@ -133,6 +133,20 @@ def test_subsumption_query_takes_all_trees(spark):
     assert {r.parent % 4 for r in got if r.parent > 0} == {0, 1, 2, 3} and any(r.parent < 0 < r.child for r in got)
 
 
+def test_subsumption_classes_give_every_pair(spark):
+    """Pairs of representatives and members are all pairs, with copies, alditols and masses that differ."""
+    rng, kind = random.Random(6), "acc int, mass double, alditol boolean, residues array<struct<rid:int,parent:int,symbol:string,anomer:string,pos:int>>"
+    rows = [(i, 10.0 + rng.choice((0, s.ALDITOL)), rng.random() < 0.5, [(1, None, "Man", rng.choice("ab"), 4), (2, 1, rng.choice(["Man", "Gal", None]), None, rng.choice([None, 3]))]) for i in rng.sample(range(99), 60)]
+    df = spark.createDataFrame(rows, kind)
+    want = {tuple(r) for r in s.subsumption_pairs(df, 2).collect()}
+    found = s.subsumption_classes(df, 2).collect()
+    rep = {r.child: r.parent for r in found if r.kind == "same"}
+    held = {i: [k for k, *_ in rows if rep.get(k, k) == i] for i in {r[0] for r in rows} - rep.keys()}
+    pairs = {tuple(r) for r in found if r.kind != "same"}
+    got = {(a, b, k) for p, q, k in pairs for a in held[p] for b in held[q] if a < b or (q, p, k) not in pairs} | {(a, b, "subsumed") for m in held.values() for a in m for b in m if a < b}
+    assert got == want and len(found) < len(want) and rep and {k for _, _, k in want} == {"subsumed", "+aldi"}
+
+
 def test_forest_roots_equal_components(spark):
     rng = random.Random(2)
     edges = [(i, rng.randint(max(0, i - 3), i - 1)) for i in range(1, 200) if i % 11]
