@@ -220,7 +220,11 @@ def align_motifs(motifs: DataFrame, structures: DataFrame, slices: int = 8) -> D
 
     A motif meets only structures that have its rarest known symbol, are not smaller and have all its known symbols; a
     motif of unknown symbols only meets all.  Structures are cut by hash into slices, to which motifs are copied, so that
-    a common symbol is many tasks."""
+    a common symbol is many tasks.  Equal structures are aligned once, and what is found comes back to all of them."""
+    facts = [c for c in ("residues", "n_subst", "mass", "repeated") if c in structures.columns]
+    named = structures.select("acc", F.sha2(F.to_json(F.struct(*facts)), 256).alias("_class"), *facts)
+    members = named.select("_class", F.col("acc").alias("structure"))
+    structures = named.groupBy("_class").agg(F.first(F.struct(*facts)).alias("r")).select(F.col("_class").alias("acc"), "r.*")
     symbols = F.array_compact(F.array_distinct(F.transform("residues", lambda r: r["symbol"])))
     theirs = structures.select(*_described(structures, "structure", "s"), symbols.alias("s_symbols"), F.pmod(F.xxhash64("acc"), F.lit(slices)).cast("int").alias("slice"))
     met = theirs.withColumn("symbol", F.explode(F.concat("s_symbols", F.array(F.lit("")))))
@@ -249,5 +253,5 @@ def align_motifs(motifs: DataFrame, structures: DataFrame, slices: int = 8) -> D
                     out.append((name, structure, kind, strict, ",".join(map(str, ids)), ",".join(links)))
             yield pd.DataFrame(out, columns=["motif", "structure", "type", "strict", "ids", "links"])
 
-    kinds = dict(motifs.dtypes)["acc"], dict(structures.dtypes)["acc"]
-    return rows.mapInPandas(run, f"motif {kinds[0]}, structure {kinds[1]}, type string, strict boolean, ids string, links string")
+    found = rows.mapInPandas(run, f"motif {dict(motifs.dtypes)['acc']}, structure string, type string, strict boolean, ids string, links string")
+    return found.withColumnRenamed("structure", "_class").join(members, "_class").select("motif", "structure", "type", "strict", "ids", "links")

@@ -122,6 +122,16 @@ def test_parents_in_a_cycle_are_an_error():
         s.Tree(named([(1, 2, "Man", None, None), (2, 1, "Man", None, None)]))
 
 
+def test_equal_structures_are_aligned_once(spark):
+    """3,000 copies of a structure have its rows, and the plan aligns classes."""
+    rows = [(f"s{i}", CORE, 0, 10.0, False) for i in range(3_000)] + [("other", CORE, 1, 10.0, False), (None, CORE, 0, 10.0, False)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = m.align_motifs(table.where("acc = 's0'"), table, 3)
+    kinds = {(r.type, r["count"]) for r in found.where("strict").groupBy("type").count().collect()}
+    assert kinds == {("core", 3_002), ("substructure", 3_002), ("nonreducing", 3_002), ("whole", 3_001)}
+    assert "_class" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_query_takes_all_motifs_and_trees(spark):
     got = QUERIES["J19_align_motifs"](spark, "/root/testdata/sf0.001").collect()
     assert len({r.motif for r in got}) > 50 and {r.structure % 10 for r in got} == set(range(10))
