@@ -75,6 +75,26 @@ def test_source_ids_come_once_before_the_join(spark):
     assert next(i for i, x in enumerate(plan) if "Join" in x) < next(i for i, x in enumerate(plan) if "Aggregate" in x)
 
 
+def test_motif_hits_look_up_each_set_once(spark):
+    """2,000 structures of two sets of alignments and 300 motifs: ids are dealt to the sets, not to the structures."""
+    align = spark.range(2_000).selectExpr("id as structure", "explode(array(1, 2, 2)) as motif", "'core' as type", "id % 2 = 0 as strict")
+    motifs = spark.range(300).selectExpr("concat('m', id) as motif_id", "1 + id % 2 as structure_acc", "'core' as alignment")
+    found = joins.motif_hits(align, motifs).collect()
+    every = ";".join(sorted(f"m{i}" for i in range(300)))
+    assert len(found) == 2_000 and all(r.loose == every and r.strict == (every if r.structure % 2 == 0 else "") for r in found)
+    plan = joins.motif_hits(align, motifs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(held" in plan
+
+
+def test_elements_share_one_count_of_symbols(spark):
+    """The rows are read once: known symbols, unknown ones and elements come from one count; a glycan of unknown symbols only has none."""
+    items = spark.createDataFrame([(1, "A"), (1, "A"), (1, "B"), (2, "A"), (2, "?"), (3, "?"), (4, None)], "acc int, symbol string")
+    table = spark.createDataFrame([("A", "C", 2), ("A", "H", 3), ("B", "C", 5)], "symbol string, element string, n int")
+    found = stats.elemental_composition(items, table)
+    assert {tuple(r) for r in found.collect()} == {(1, "C", 9), (1, "H", 6), (2, "C", None), (2, "H", None)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
 def test_closure_reduction_components(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "parent string, child string")
     closure = hierarchy.transitive_closure(e)
