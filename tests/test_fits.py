@@ -127,6 +127,17 @@ def test_retention_model_converges_or_warns(spark):
     assert [r.x for r in fitted.where("not good").collect()] == [7.0]
 
 
+def test_retention_model_writes_no_rows(spark):
+    """20,000 rows of 5 peptides: what a fit leaves in the shared folder is a row a peptide and round."""
+    import pathlib
+
+    folder = pathlib.Path(lineage.shared_folder(spark).removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before, df = size(), spark.range(20_000).selectExpr("id % 5 as pep", "double(id % 97) as a", "double(id % 5 + 2 * (id % 97) + if(id % 100 = 3, 60, 0)) as rt")
+    fitted, b = models.retention_model(df, "pep", "rt", ["a"])
+    assert fitted.where("not good").count() == 200 and b["a"] == pytest.approx(2) and size() - before < 100_000
+
+
 def test_scratch_is_cleared(spark):
     df = lineage.written(spark.range(5), "gone")
     assert df.count() == 5 and lineage.WRITTEN[spark.sparkContext.applicationId]
