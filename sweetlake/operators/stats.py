@@ -56,10 +56,13 @@ def elemental_composition(residues: DataFrame, table: DataFrame) -> DataFrame:
     """(acc, element, n): elements over all residues; a glycan with an unknown residue has null counts.
 
     residues: acc, symbol; table: symbol, element, n."""
-    known = table.select("symbol").distinct().withColumn("_known", F.lit(True))
-    bad = residues.join(known, "symbol", "left").groupBy("acc").agg(F.bool_or(F.col("_known").isNull()).alias("_bad"))
-    counts = residues.groupBy("acc", "symbol").agg(F.count("*").alias("c")).join(table, "symbol").groupBy("acc", "element").agg(F.sum(F.col("c") * F.col("n")).alias("n"))
-    return counts.join(bad, "acc").select("acc", "element", F.when(~F.col("_bad"), F.col("n")).alias("n"))
+    known = table.groupBy("symbol").agg(F.collect_list(F.struct("element", "n")).alias("parts"))
+    # A glycan's symbols, of which there are few, are one row, so that only the counts of symbols are shuffled.
+    counted = residues.groupBy("acc", "symbol").agg(F.count("*").alias("c")).join(known, "symbol", "left")
+    whole = counted.groupBy("acc").agg(F.bool_or(F.col("parts").isNull()).alias("_bad"), F.flatten(F.collect_list(F.transform("parts", lambda p: F.struct(p["element"].alias("element"), (F.col("c") * p["n"]).alias("n"))))).alias("parts"))
+    total = lambda e: F.aggregate(F.filter("parts", lambda p: p["element"] == e), F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    each = whole.withColumn("element", F.explode(F.array_distinct(F.transform("parts", lambda p: p["element"]))))
+    return each.select("acc", "element", F.when(~F.col("_bad"), total(F.col("element"))).alias("n"))
 
 
 def formula(elements: DataFrame) -> DataFrame:
