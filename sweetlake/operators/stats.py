@@ -27,14 +27,21 @@ def symbol_frequency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count("*").alias("n")).orderBy(a, F.desc("n"), b)
 
 
+#: Items that are counted in one partition.
+PART_ROWS = 500_000
+
+
 def composition_counts(items: DataFrame, parents: DataFrame) -> DataFrame:
     """(acc, symbol, n): counts with roll-up to parent symbols, and the total as *, which counts no roll-up.
 
-    items: acc, symbol; parents: symbol, parent."""
-    own = items.groupBy("acc", "symbol").agg(F.count("*").alias("n"))
-    rolled = own.join(parents, "symbol").select("acc", F.col("parent").alias("symbol"), "n")
-    total = own.select("acc", F.lit("*").alias("symbol"), "n")
-    return own.unionByName(rolled).unionByName(total).groupBy("acc", "symbol").agg(F.sum("n").alias("n"))
+    items: acc, symbol; parents: symbol, parent, a vocabulary that is broadcast.  Items are dealt out by acc once, to as many
+    partitions as their number asks for, so that the counts that a task holds do not grow with the input."""
+    parts = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // PART_ROWS))
+    own = items.repartition(parts, "acc").groupBy("acc", "symbol").agg(F.count("*").alias("n"))
+    ups = parents.groupBy("symbol").agg(F.collect_list(F.struct("parent")).alias("_ups"))
+    none = F.array().cast("array<struct<parent:string>>")
+    listed = F.concat(F.array("symbol"), F.transform(F.coalesce("_ups", none), lambda u: u["parent"]), F.array(F.lit("*")))
+    return own.join(F.broadcast(ups), "symbol", "left").select("acc", F.explode(listed).alias("symbol"), "n").groupBy("acc", "symbol").agg(F.sum("n").alias("n"))
 
 
 def composition_table(counts: DataFrame, listed: list[str], others: str = "Xxx") -> DataFrame:
@@ -48,7 +55,10 @@ def composition_table(counts: DataFrame, listed: list[str], others: str = "Xxx")
 
 def repeat_flagged_counts(one: DataFrame, two: DataFrame) -> DataFrame:
     """(acc, symbol, n) as text: the count for one repeat, with + where two repeats give another."""
-    both = one.join(two.select("acc", "symbol", F.col("n").alias("m")), ["acc", "symbol"], "left")
+    # An accession's few counts are one list, so that counts that are dealt out by acc stay where they are.
+    lists = lambda df, name: df.groupBy("acc").agg(F.collect_list(F.struct("symbol", "n")).alias(name))
+    each = lists(one, "_one").join(lists(two, "_two"), "acc", "left").select("acc", "_two", F.inline("_one"))
+    both = each.withColumn("m", F.get(F.filter("_two", lambda x: x["symbol"] == F.col("symbol")), F.lit(0))["n"])
     return both.select("acc", "symbol", F.concat(F.col("n").cast("string"), F.when(F.col("n").eqNullSafe(F.col("m")), "").otherwise("+")).alias("n"))
 
 

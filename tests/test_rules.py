@@ -1,5 +1,7 @@
 """Rules with answers worked by hand."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -297,3 +299,19 @@ def test_glycosites(spark):
 def test_calibration_of_the_first_document(spark):
     rows = [("a", "2", "1.5:2"), ("a", "1", None), ("a", "3", "9:9"), ("b", "1", "x:1"), ("c", "1", None)]
     assert {tuple(r) for r in library.dia_calibration(spark.createDataFrame(rows, "spectra string, name string, lccalibration string")).collect()} == {("a", 1.5, 2.0), ("b", None, 1.0)}
+
+
+def test_composition_counts_are_dealt_by_number(spark, monkeypatch):
+    """20 items in pieces of 2: one shuffle by acc, into as many partitions as the items ask for; null symbols and several parents count."""
+    monkeypatch.setattr(stats, "PART_ROWS", 2)
+    rows = [(i % 7, s) for i, s in enumerate(["Man", "Gal", None, "Man", "Fuc"] * 4)]
+    items = spark.createDataFrame(rows, "acc int, symbol string")
+    parents = spark.createDataFrame([("Man", "Hex"), ("Gal", "Hex"), ("Man", "Any")], "symbol string, parent string")
+    got = stats.composition_counts(items, parents)
+    want = Counter()
+    for acc, symbol in rows:
+        for s in (symbol, *{"Man": ("Hex", "Any"), "Gal": ("Hex",)}.get(symbol, ()), "*"):
+            want[acc, s] += 1
+    assert {(r.acc, r.symbol): r.n for r in got.collect()} == want and got.rdd.getNumPartitions() == 10
+    flagged = stats.repeat_flagged_counts(got, got.withColumn("n", F.col("n") + F.when(F.col("symbol") == "Hex", 1).otherwise(0)).where("symbol <> 'Fuc'"))
+    assert {(r.acc, r.symbol): r.n for r in flagged.collect()} == {(a, s): f"{n}{'+' if s in ('Hex', 'Fuc', None) else ''}" for (a, s), n in want.items()}
