@@ -177,9 +177,10 @@ def enzyme_alignments(matches: DataFrame, residues: DataFrame, node_enzymes: Dat
     up = followed(place, residues.select("acc", F.col("rid").alias("at"), F.col("parent").alias("next")), ["acc"]).where("step > 0")
     above = up.select(F.col("acc").alias("structure"), F.col("id").alias("rid"), F.col("at").alias("above"))
     aligned = matches.select(*key, "rid").distinct()
-    support = aligned.join(above, ["structure", "rid"]).select(*key, F.col("above").alias("rid")).distinct().join(aligned, [*key, "rid"], "left_anti")
+    # Sizes of rows that were exploded are guessed far too small: without the hints Spark would broadcast whole sides.
+    support = aligned.join(above.hint("merge"), ["structure", "rid"]).select(*key, F.col("above").alias("rid")).distinct().join(aligned.hint("merge"), [*key, "rid"], "left_anti")
     rows = matches.select(*key, "motif_rid", "rid").unionByName(support, allowMissingColumns=True)
     clean = F.when(F.col("violations") == 0, F.col("gene"))
     listed = {c: F.coalesce(F.nullif(F.array_join(F.sort_array(F.collect_set(F.when(F.col("species") == name, clean))), ","), F.lit("")), F.lit("-")).alias(c) for c, name in species.items()}
     nodes = node_enzymes.groupBy(F.col("acc").alias("structure"), "rid", "node_id").agg(*listed.values())
-    return rows.join(nodes, ["structure", "rid"]).select("motif", "motif_rid", "structure", "rid", "type", "idx", "node_id", *species)
+    return rows.join(nodes.hint("merge"), ["structure", "rid"]).select("motif", "motif_rid", "structure", "rid", "type", "idx", "node_id", *species)

@@ -62,16 +62,17 @@ def followed(start: DataFrame, jump: DataFrame, by: list[str]) -> DataFrame:
     """start and all that following `jump` from it reaches, with the number of steps.
 
     start: by.., id, at, step (0); jump: by.., at, next, one row per place.  Jumps double each round, so rounds
-    grow with the logarithm of the longest path.  A path that comes back to where it was is an error."""
-    every = cut_lineage(start)
-    jump = cut_lineage(jump.where("at is not null and next is not null").distinct())
+    grow with the logarithm of the longest path.  A path that comes back to where it was is an error.
+    Tables are written and joined by sorting: no side goes through the driver, however small it seems."""
+    every = written(start, "paths")
+    jump = written(jump.where("at is not null and next is not null").distinct(), "jump")
     places, stride = jump.count(), 1
     while not jump.isEmpty():
         if stride > places:
             raise ValueError("parents form a cycle")
-        far = every.join(jump, [*by, "at"]).select(*by, "id", F.col("next").alias("at"), (F.col("step") + stride).alias("step"))
-        every = cut_lineage(every.unionByName(far))
+        far = every.join(jump.hint("merge"), [*by, "at"]).select(*by, "id", F.col("next").alias("at"), (F.col("step") + stride).alias("step"))
+        every = written(every.unionByName(far), "paths")
         then = jump.select(*by, F.col("at").alias("next"), F.col("next").alias("then"))
-        jump = cut_lineage(jump.join(then, [*by, "next"]).select(*by, "at", F.col("then").alias("next")))
+        jump = written(jump.join(then.hint("merge"), [*by, "next"]).select(*by, "at", F.col("then").alias("next")), "jump")
         stride *= 2
     return every

@@ -315,3 +315,13 @@ def test_composition_counts_are_dealt_by_number(spark, monkeypatch):
     assert {(r.acc, r.symbol): r.n for r in got.collect()} == want and got.rdd.getNumPartitions() == 10
     flagged = stats.repeat_flagged_counts(got, got.withColumn("n", F.col("n") + F.when(F.col("symbol") == "Hex", 1).otherwise(0)).where("symbol <> 'Fuc'"))
     assert {(r.acc, r.symbol): r.n for r in flagged.collect()} == {(a, s): f"{n}{'+' if s in ('Hex', 'Fuc', None) else ''}" for (a, s), n in want.items()}
+
+
+def test_paths_are_joined_by_sorting(spark):
+    """No side of a walk or of supporting residues is broadcast."""
+    residues = spark.createDataFrame([(1, r, r - 1 if r > 1 else None) for r in range(1, 6)], "acc int, rid int, parent int")
+    matches = spark.createDataFrame([("m", 40, 1, 4, "core", 1)], "motif string, motif_rid int, structure int, rid int, type string, idx int")
+    enzymes = spark.createDataFrame([(1, r, f"N{r}", "human", "G", 0) for r in range(1, 6)], "acc int, rid int, node_id string, species string, gene string, violations int")
+    found = joins.enzyme_alignments(matches, residues, enzymes, {"human": "human"})
+    assert {(r.rid, r.motif_rid) for r in found.collect()} == {(4, 40), (3, None), (2, None), (1, None)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
