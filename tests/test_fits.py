@@ -263,3 +263,24 @@ def test_pieces_equal_all_connected_sets():
                 if inside == k - 1:
                     want[ids] = sum(p is not None and (i in ids) != (p in ids) for i, p in up.items())
         assert found == want
+
+
+def test_no_row_moves_past_the_bound_of_its_sequence(spark):
+    """Two fits of rows of many sequences, one of which only the later fit has: the bound holds for each row, and is not far from it."""
+    rng = np.random.default_rng(2)
+    rows = [(0, int(s), float(x), float(3 * x + s + e)) for s, x, e in zip(rng.integers(0, 9, 400), rng.uniform(5, 9, 400), rng.normal(0, 5, 400))]
+    df = spark.createDataFrame(rows, "_run int, seq int, x double, y double")
+    shift = {"x": 7.0, "y": 20.0}
+    fits = []
+    for kept in ("seq < 8 and y < 26", "y < 29"):
+        sums = models._sums(df.where(kept), "_run", "seq", "y", ["x"], shift).localCheckpoint()
+        solved = models._solved(sums, "_run", 1)
+        effects = models._effects(sums, "_run", "seq", "y", ["x"], shift, solved)
+        fits.append((effects, solved, {r.seq: r._effect for r in effects.collect()}))
+    (e0, b0, f0), (e1, b1, f1) = fits
+    moved, _ = models._moved(e1, b1, e0, b0, "_run", "seq", np.array([7.0]), np.array([2.0]), [0])
+    bound = {r.seq: r._move for r in moved.collect()}
+    for _, s, x, _ in rows:
+        real = abs(f1[s] + b1[0][0] * x - f0.get(s, 0.0) - b0[0][0] * x)
+        assert real <= bound[s] + 1e-9 <= real + 4 * abs(b1[0][0] - b0[0][0]) + 1e-6
+    assert set(bound) == set(range(9))
