@@ -101,7 +101,8 @@ def upsert_annotations(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple
 def assign_ids(new_keys: DataFrame, existing: DataFrame, prefix: str, width: int = 6, key: str = "key") -> DataFrame:
     """(key, id): known keys keep their id; new ones, in order, take the smallest unused numbers, then go on after the largest.
 
-    existing: key, id = prefix and a number.  Gaps are found next to used numbers, so no full sequence is built."""
+    existing: key, id = prefix and a number.  Gaps are found next to used numbers, so no full sequence is built.
+    A number of more than `width` digits keeps them all."""
     number = existing.select(F.col(key), F.regexp_extract("id", r"([0-9]+)$", 1).cast("long").alias("n"))
     fresh = with_position(new_keys.select(key).distinct().join(existing.select(key), key, "left_anti"), [F.asc(key)], "k")
     used = with_position(number.select("n").distinct(), [F.asc("n")], "rank").select("n", (F.col("n") - F.col("rank")).alias("holes"))
@@ -110,7 +111,7 @@ def assign_ids(new_keys: DataFrame, existing: DataFrame, prefix: str, width: int
     both = fresh.select(F.col("k").alias("at"), F.lit(1).alias("side"), key, F.lit(0).cast("long").alias("c")).unionByName(steps.select((F.col("holes") + 1).alias("at"), F.lit(0).alias("side"), F.lit(None).cast(dict(fresh.dtypes)[key]).alias(key), "c"))
 
     numbered = running(both, [F.asc("at"), F.asc("side"), F.asc(key)], {"below": ("sum", "c")}).where("side = 1")
-    named = numbered.select(key, F.concat(F.lit(prefix), F.lpad((F.col("at") + F.col("below")).cast("string"), width, "0")).alias("id"))
+    named = numbered.select(key, F.concat(F.lit(prefix), F.format_string(f"%0{width}d", F.col("at") + F.col("below"))).alias("id"))
     kept = existing.join(new_keys.select(key).distinct(), key, "left_semi").select(key, "id")
     return kept.unionByName(named)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sweetlake.functions import text
 from sweetlake.operators import chromatograms, fdr, hierarchy, joins, library, stats
 from sweetlake.operators.components import connected_components
-from sweetlake.sources import readers
+from sweetlake.sources import readers, sinks
 
 SCORED = [("g1", 10.0, 0), ("g1", 9.0, 0), ("g2", 8.0, 0), ("g3", 7.0, 1), ("g4", 6.0, 0), ("g5", 5.0, 1)]
 
@@ -88,6 +88,14 @@ def test_motif_hits_look_up_each_set_once(spark):
     assert "first(held" in plan
 
 
+def test_ids_of_more_digits_than_the_width_stay_whole(spark):
+    """120 keys of ids of two digits: number 100 and those after it are not cut, so no id comes twice."""
+    old = spark.createDataFrame([(7, "TG02")], "key long, id string")
+    got = {r.key: r.id for r in sinks.assign_ids(spark.range(120).withColumnRenamed("id", "key"), old, "TG", 2).collect()}
+    assert got[7] == "TG02" and got[0] == "TG01" and got[119] == "TG120"
+    assert len(set(got.values())) == 120
+
+
 def test_elements_share_one_count_of_symbols(spark):
     """The rows are read once: known symbols, unknown ones and elements come from one count; a glycan of unknown symbols only has none."""
     items = spark.createDataFrame([(1, "A"), (1, "A"), (1, "B"), (2, "A"), (2, "?"), (3, "?"), (4, None)], "acc int, symbol string")
