@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sweetlake.operators import fdr, models
 
@@ -136,3 +137,27 @@ def test_retention_runs_from_known_values_find_the_planted_rows(spark):
 def test_retention_runs_of_no_rows(spark):
     df = spark.createDataFrame([], "tg int, seq string, pep string, total double, nrt double")
     assert models.retention_runs(df, "tg", "seq", "pep", "nrt", ["total"], runs=2)[0].count() == 0
+
+
+def test_retention_runs_take_few_jobs_a_round(spark):
+    """40 rows that are called bad one by one: a round is few jobs, of which one writes flags and sums."""
+    rows = [(i, f"q{i % 4}", f"p{i}", float(i % 7), 10.0 * (i % 4) + 3 * (i % 7) + (30 + i if i % 5 == 0 else 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "tg int, seq string, pep string, n double, nrt double").localCheckpoint()
+    spark.sparkContext.setJobGroup("retention", "rounds")
+    best, stats = models.retention_runs(df, "tg", "seq", "pep", "nrt", ["n"], threshold=12.0, choose=10, heuristic="worst")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("retention"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stats[0]["rounds"] > 3 and best.where("not good").count() == stats[0]["bad"] == 40
+    assert jobs <= 30 + 10 * stats[0]["rounds"]
+
+
+def test_retention_runs_of_long_sequences_in_pieces(spark, monkeypatch):
+    """Sequences in pieces of two rows, one of them null, are fitted as whole ones; groups of several rows and unknown columns stay as they are."""
+    rows, wrong, df, names, known = runs_data(spark)
+    df = df.withColumn("seq", F.when(F.col("seq") != "q7", F.col("seq"))).withColumn("tg", F.col("tg") - F.col("tg") % 3).withColumn("more", F.array("tg"))
+    ask = lambda: models.retention_runs(df, "tg", "seq", "pep", "nrt", [*names, "total"], threshold=8.0, choose=7, runs=2, seed=5)
+    facts = lambda out: sorted((r.tg, r.pep, r.total, r.nrt, r.good, round(r.residual, 6), round(r.fitted, 6), r.more) for r in out.collect())
+    whole, stats = ask()
+    monkeypatch.setattr(models, "PIECE", 2)
+    cut, again = ask()
+    assert facts(cut) == facts(whole) and len(facts(cut)) == len(rows) and [(s["rounds"], s["bad"]) for s in again] == [(s["rounds"], s["bad"]) for s in stats]
