@@ -88,6 +88,25 @@ def test_motif_hits_look_up_each_set_once(spark):
     assert "first(held" in plan
 
 
+def test_motif_hits_shuffle_no_ids_by_set(spark):
+    """3,000 structures of different sets and 6,000 motifs: 24 million ids in the lists, of which none is shuffled; unknown values stay."""
+    align = spark.range(3_000).selectExpr("id as structure", "explode(sequence(0, 11)) as motif", "if(id = 1, null, (id * 7919) % 4093) as code").where("shiftright(code, motif) % 2 = 1 or code is null")
+    align = align.selectExpr("if(structure = 1, null, structure) as structure", "motif", "'core' as type", "if(code is null, null, code % 3 = 0) as strict")
+    motifs = spark.range(6_000).selectExpr("if(id = 5, null, id div 2) as motif_id", "id % 12 as structure_acc", "'core' as alignment")
+    found = {r.structure: r for r in joins.motif_hits(align, motifs).collect()}
+    ids = {m: {i // 2 for i in range(m, 6_000, 12) if i != 5} for m in range(12)}
+    for k in range(3_000):
+        code = 4_095 if k == 1 else k * 7919 % 4093
+        every = ";".join(map(str, sorted(set().union(*(ids[m] for m in range(12) if code >> m & 1)))))
+        if code == 0:
+            assert k not in found
+            continue
+        r = found[None if k == 1 else k]
+        assert r.loose == every and r.strict == (every if code % 3 == 0 and k != 1 else "")
+    plan = joins.motif_hits(align, motifs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(motif_id" not in plan
+
+
 def test_ids_of_more_digits_than_the_width_stay_whole(spark):
     """120 keys of ids of two digits: number 100 and those after it are not cut, so no id comes twice."""
     old = spark.createDataFrame([(7, "TG02")], "key long, id string")
