@@ -161,3 +161,35 @@ def test_retention_runs_of_long_sequences_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(models, "PIECE", 2)
     cut, again = ask()
     assert facts(cut) == facts(whole) and len(facts(cut)) == len(rows) and [(s["rounds"], s["bad"]) for s in again] == [(s["rounds"], s["bad"]) for s in stats]
+
+
+def test_retention_model_reads_its_rows_a_few_times(spark, monkeypatch):
+    """Even values, of which the threshold keeps a part that drifts for rounds: the input is computed no more often for that.  Peptides of many rows in slices give the same."""
+    rng = np.random.default_rng(7)
+    rows = [(i, f"p{i % 4}" if i % 100 else None, float(rng.integers(0, 9)), float(rng.uniform(0, 104))) for i in range(2_400)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        calls.add(1)
+        return x
+
+    df = spark.createDataFrame(rows, "id int, pep string, a double, rt double").coalesce(2)
+    df = df.withColumn("rt", F.udf(counted, "double").asNondeterministic()("rt"))
+    out, b = models.retention_model(df, "pep", "rt", ["a"], threshold=40)
+    used, got = calls.value, {r.id: r for r in out.collect()}
+    # Rounds of a plain version, with the rows without a peptide aside.
+    own = [r for r in rows if r[1]]
+    x, y, q = np.array([r[2] for r in own]), np.array([r[3] for r in own]), np.array([int(r[1][1]) for r in own])
+    a, good, rounds = np.stack([x, *(q == k for k in range(4))], 1).astype(float), np.ones(len(own), bool), 0
+    while True:
+        beta, rounds = np.linalg.lstsq(a[good], y[good], rcond=None)[0], rounds + 1
+        now = abs(y - a @ beta) <= 40
+        if (now == good).all():
+            break
+        good = now
+    assert rounds > 6 and used <= 4 * len(rows) and b["a"] == pytest.approx(beta[0])
+    assert [got[r[0]].good for r in own] == good.tolist() and len(got) == len(rows)
+    assert all(got[r[0]].fitted == pytest.approx(beta[1:].mean() + beta[0] * r[2]) for r in rows if not r[1])
+    monkeypatch.setattr(models, "SLICE", 100)
+    again, c = models.retention_model(df, "pep", "rt", ["a"], threshold=40)
+    assert c["a"] == pytest.approx(beta[0]) and {r.id for r in again.where("good").collect()} == {k for k, r in got.items() if r.good}
